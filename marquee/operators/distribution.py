@@ -319,6 +319,11 @@ def number_rows(
     ``order`` must tell the rows of a group apart.  A large group is spread over many ranges.
     """
     keyed = df.withColumn("_key", F.struct(*order))
+    if set(df.columns) <= {*order, *by}:
+        return cumulative(keyed, "_key", by, per_range=per_range).select(
+            *by, *[F.col("value")[c].alias(c) for c in order if c not in by],
+            (F.col("upto") - 1).alias(into),
+        )
     placed = cumulative(keyed, "_key", by, per_range=per_range).select(
         *by, F.col("value").alias("_key"), (F.col("upto") - 1).alias(into)
     )

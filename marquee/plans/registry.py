@@ -9,8 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from marquee.functions.columns import round_mean
-from marquee.plans import models, patterns, questions
+from marquee.operators.distribution import add_ranks, describe
+from marquee.operators.explode import explode_list
+from marquee.plans import (
+    compare,
+    dictionary,
+    models,
+    patterns,
+    profiling,
+    quality,
+    questions,
+    texts,
+)
+from marquee.plans.metrics import metric
+from marquee.plans.texts import DESCRIBED
 from marquee.plans.warehouse import Marts, Staged, build, stage_supplied
+from marquee.sources import supplied
 from marquee.sources.writers import Shelf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +32,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 # the supplied facts hold about seven ratings per user, so the diversity rungs stand lower
 DIVERSITY = [(9, "Explorer"), (6, "Regular Viewer"), (3, "Selective")]
 
+# distinct values per range in the queries that show the ranged ranking; the usual size is larger
+SMALL_RANGE = 500
+
+
 _marts: dict[tuple[str, str], tuple[Shelf, Marts]] = {}
 
 
@@ -108,11 +126,228 @@ def pattern_queries() -> dict[str, Query]:
         "pattern_year_range": on_marts(lambda m: patterns.year_range(m.content)),
         "pattern_decade_comparison": on_marts(lambda m: patterns.decade_comparison(m.content)),
         "pattern_segment_pivot": on_marts(lambda m: patterns.segment_pivot(m.users)),
-        "pattern_top_decile": on_marts(lambda m: patterns.top_share(m.content, per_range=500)),
+        "pattern_top_decile": on_marts(lambda m: patterns.top_share(m.content, per_range=SMALL_RANGE)),
         "pattern_single_maker": on_marts(lambda m: patterns.single_maker(m.content)),
         "pattern_table_sample": on_marts(lambda m: patterns.table_sample(m.content)),
     }
 
 
+def profile_queries() -> dict[str, Query]:
+    P = profiling
+
+    def events(spark: SparkSession, folder: str) -> DataFrame:
+        return supplied.table(spark, folder, "events")
+
+    def over_events(function: Callable[[DataFrame], DataFrame]) -> Query:
+        return lambda spark, folder: settled(function(events(spark, folder)))
+
+    def scaled_ranks(spark: SparkSession, folder: str) -> DataFrame:
+        key = F.col("o_orderkey")
+        priced = supplied.table(spark, folder, "orders").select(
+            key, F.when(key % 13 != 0, F.col("o_totalprice")).alias("price")
+        )
+        return settled(add_ranks(priced, {
+            "price_rank": ("rank_desc", "price"), "price_place": ("percent_rank", "price"),
+        }, per_range=SMALL_RANGE))
+
+    def per_user(s: Staged) -> DataFrame:
+        return P.activity(s.ratings, "user_id")
+
+    return {
+        "profile_nulls": on_staged(lambda s: P.null_share(s.items)),
+        "profile_sentinels": on_staged(lambda s: P.sentinel_share(
+            s.items, ["type", "tags", "makers", "source_material", "english_name", "aired",
+                      "premiered"])),
+        "profile_duplicates": on_staged(
+            lambda s: P.duplicates(s.items, "item_id").unionByName(P.duplicates(s.items, "name"))
+        ),
+        "profile_describe": over_events(
+            lambda e: describe(e, "value", DESCRIBED, ["event_type"])),
+        "profile_describe_followers": on_staged(
+            lambda s: describe(s.items, "followers", DESCRIBED)),
+        "profile_describe_score": on_staged(lambda s: describe(
+            s.items, "score", [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99])),
+        "profile_value_counts": on_staged(lambda s: P.value_counts(s.items, "type")),
+        "profile_distribution": on_staged(lambda s: P.value_shares(s.ratings, "rating")),
+        "profile_fixed_categories": on_staged(
+            lambda s: P.counts_in_order(s.items, "season", P.SEASONS)),
+        "correlation": on_staged(lambda s: P.correlations(
+            s.items.filter(F.col("score").isNotNull()), "score",
+            ["followers", "favorites", "completed_count", "watching_count", "dropped_count"])),
+        "engagement_correlation": on_staged(lambda s: P.correlations(
+            P.engagement(s.items), "score",
+            ["completed_per_follower", "dropped_per_follower", "log_followers"])),
+        "histogram_linear": over_events(
+            lambda e: P.equal_width_histogram(e, F.col("value"), 100).drop("weight", "density")),
+        "histogram_log": on_staged(
+            lambda s: P.log_histogram(s.items, "followers", 50).drop("weight", "density")),
+        "histogram_weighted": on_staged(lambda s: P.equal_width_histogram(
+            s.items, F.col("score"), 50, F.col("followers"))),
+        "box_by_group": on_staged(lambda s: P.box_by_group(s.items, "score", "type")),
+        "binned_rates": on_staged(lambda s: P.binned_rates(s.items)),
+        "pivot_year_type": on_staged(lambda s: P.pivot_year_type(s.items)),
+        "yearly_series": on_staged(lambda s: P.yearly_series(s.items)),
+        "tag_counts": on_staged(lambda s: P.tag_counts(s.items)),
+        "tags_per_item": on_staged(lambda s: P.tags_per_item(s.items)),
+        "score_by_tag": on_staged(lambda s: P.score_by_tag(s.items)),
+        "type_stats": on_staged(lambda s: P.group_stats(s.items, "type")),
+        "source_stats": on_staged(lambda s: P.group_stats(s.items, "source_material")),
+        "primary_maker_stats": on_staged(lambda s: P.primary_maker_stats(s.items, 20)),
+        "concentration_top_pct": on_staged(lambda s: P.concentration(s.items, "followers")),
+        "concentration_users": on_staged(lambda s: P.concentration(per_user(s), "rating_count")),
+        "concentration_items": on_staged(
+            lambda s: P.concentration(P.activity(s.ratings, "item_id"), "rating_count")),
+        "concentration_top_n": on_staged(
+            lambda s: P.concentration_top_n(s.items, "followers")),
+        "gini": on_staged(lambda s: P.gini_of(s.items, "followers", per_range=SMALL_RANGE)),
+        "lorenz_curve": on_staged(
+            lambda s: P.lorenz_of(s.items, "followers", per_range=SMALL_RANGE)),
+        "activity_cdf": on_staged(lambda s: P.cdf_of(per_user(s), "rating_count")),
+        "value_cdf": over_events(lambda e: P.cdf_of(e, "value", per_range=SMALL_RANGE)),
+        "global_rank_scaled": scaled_ranks,
+        "sparsity": on_staged(lambda s: P.rating_overview(s.ratings)),
+        "cold_start": on_staged(lambda s: P.cold_start(s.ratings)),
+        "rating_by_activity": on_staged(lambda s: P.rating_by_activity(s.ratings)),
+        "power_vs_rest": on_staged(lambda s: P.power_vs_rest(s.ratings)),
+        "status_distribution": on_staged(lambda s: P.status_distribution(s.entries)),
+        "semi_join_active_users": on_staged(lambda s: P.status_of_raters(s.entries, s.ratings)),
+        "activity_per_user": on_staged(per_user),
+        "activity_per_item": on_staged(lambda s: P.activity(s.ratings, "item_id")),
+        "activity_describe": on_staged(
+            lambda s: describe(per_user(s), "rating_count", DESCRIBED)),
+        "tag_diversity_per_user": on_staged(lambda s: P.tag_diversity(s.ratings, s.items)),
+        "tag_diversity_describe": on_staged(lambda s: describe(
+            P.tag_diversity(s.ratings, s.items), "tag_count", [0.1, 0.25, 0.5, 0.75, 0.9])),
+    }
+
+
+def text_queries() -> dict[str, Query]:
+    T = texts
+    return {
+        "text_presence": on_staged(lambda s: T.presence(s.text)),
+        "text_length_stats": on_staged(lambda s: T.length_stats(s.text)),
+        "text_short_shares": on_staged(lambda s: T.short_shares(s.text)),
+        "text_clipped_histogram": on_staged(
+            lambda s: T.clipped_histogram(s.text).drop("weight", "density")),
+        "text_length_by_tag": on_staged(lambda s: T.length_by_tag(s.text)),
+        "text_score_by_length": on_staged(lambda s: T.score_by_length(s.text)),
+        "text_length_correlation": on_staged(lambda s: T.length_score_correlation(s.text)),
+        "text_repeated": on_staged(lambda s: T.repeated(s.text)),
+        "text_most_repeated": on_staged(lambda s: T.most_repeated(s.text)),
+        "special_char_ratio": on_staged(lambda s: T.special_characters(s.text)),
+        "word_frequency": on_staged(lambda s: T.frequent_words(s.text)),
+        "word_counts": on_staged(lambda s: T.word_counts(s.text)),
+        "vocabulary_coverage": on_staged(lambda s: T.vocabulary(s.text)),
+    }
+
+
+def quality_queries() -> dict[str, Query]:
+    Q = quality
+
+    def on_both(function: Callable[[Staged, Marts], DataFrame]) -> Query:
+        return lambda spark, folder: function(
+            stage_supplied(spark, folder), marts(spark, folder)
+        )
+
+    return {
+        "quality_unique": on_both(Q.all_unique),
+        "quality_not_null": on_both(Q.all_not_null),
+        "quality_accepted": on_both(lambda s, m: Q.all_accepted(s)),
+        "quality_orphans": on_both(Q.all_orphans),
+        "quality_ranges": on_both(lambda s, m: Q.ranges(m.content)),
+        "quality_cross_column": on_both(lambda s, m: Q.cross_column(m.item_stats)),
+        "quality_all": on_both(Q.all_checks),
+    }
+
+
+def metric_queries() -> dict[str, Query]:
+    def over(table: Callable[[Staged, Marts], DataFrame], name: str, by: list[str]) -> Query:
+        return lambda spark, folder: settled(metric(
+            table(stage_supplied(spark, folder), marts(spark, folder)), name, by
+        ))
+
+    def content(s: Staged, m: Marts) -> DataFrame:
+        return m.content
+
+    def listings(s: Staged, m: Marts) -> DataFrame:
+        return explode_list(m.item_stats, "tags", "tag")
+
+    def ratings(s: Staged, m: Marts) -> DataFrame:
+        return s.ratings
+
+    def entries(s: Staged, m: Marts) -> DataFrame:
+        return s.entries
+
+    grains = {
+        "avg_score": (content, ["type"]),
+        "completion_rate": (entries, ["item_id"]),
+        "drop_rate": (entries, ["item_id"]),
+        "performance_score": (content, ["source_category"]),
+        "high_rating_ratio": (ratings, ["item_id"]),
+        "low_rating_ratio": (ratings, ["item_id"]),
+        "total_ratings": (ratings, ["user_id"]),
+        "user_avg_rating": (ratings, ["user_id"]),
+        "user_completion_rate": (entries, ["user_id"]),
+        "rating_engagement_ratio": (lambda s, m: m.users, ["user_tier"]),
+        "tag_item_count": (listings, ["tag"]),
+        "tag_health_score": (listings, ["tag"]),
+        "count_growth_rate": (lambda s, m: models.yearly_tags(m.item_stats), ["tag"]),
+    }
+    return {
+        f"metric_{name}": over(table, name, by) for name, (table, by) in grains.items()
+    }
+
+
+def compare_queries() -> dict[str, Query]:
+    C = compare
+    keys = ["query_id", "row_no"]
+
+    def results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+        expected = C.long_cells(
+            supplied.expected_results(spark, folder), keys,
+            ["customer", "priority", "status", "total"],
+        )
+        parts = [C.long_cells(df, ["mode", *keys], columns)
+                 for df, columns in supplied.actual_results(spark, folder)]
+        return expected, parts[0].unionByName(parts[1])
+
+    def level(function: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+        return lambda spark, folder: function(*results(spark, folder))
+
+    def log(function: Callable[[DataFrame], DataFrame]) -> Query:
+        """The attempts with the verdicts, which are kept: every rate reads them."""
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            shelf, _ = shelf_and_marts(spark, folder)
+            if "verdicts" not in shelf:
+                shelf("verdicts", C.verdicts(*results(spark, folder)))
+            attempts = supplied.attempts(spark, folder)
+            return settled(function(C.outcomes(attempts, shelf["verdicts"])))
+        return run
+
+    return {
+        "compare_structure": level(C.structure),
+        "compare_first_row": level(C.first_row),
+        "compare_result": level(lambda e, a: C.result(e, a, per_range=SMALL_RANGE)),
+        "compare_verdicts": level(C.verdicts),
+        "error_labels": lambda spark, folder: supplied.attempts(spark, folder).groupBy(
+            "message", C.error_label(F.col("message")).alias("error_type")
+        ).agg(F.count("*").alias("attempt_count")),
+        "rates_by_mode": log(lambda o: C.rates(o, ["mode"])),
+        "rates_by_level": log(C.rates_by_level),
+        "error_counts": log(C.error_counts),
+        "mode_difference": log(lambda o: C.mode_difference(o, "plain", "guided")),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return table_queries() | question_queries() | pattern_queries()
+    return (
+        table_queries()
+        | question_queries()
+        | pattern_queries()
+        | profile_queries()
+        | text_queries()
+        | quality_queries()
+        | metric_queries()
+        | {"dictionary_content": lambda spark, folder: dictionary.dictionary(marts(spark, folder))}
+        | compare_queries()
+    )

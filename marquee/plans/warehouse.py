@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,41 +15,41 @@ from marquee.sources.readers import source
 from marquee.sources.writers import Shelf, as_view, to_table, unkept
 
 
-@dataclass(frozen=True)
 class Staged:
-    items: DataFrame
-    ratings: DataFrame
-    entries: DataFrame
-    text: DataFrame
-
-
-def stage(items: DataFrame, ratings: DataFrame, entries: DataFrame, text: DataFrame) -> Staged:
-    return Staged(
-        staging.staged_items(items),
-        staging.staged_ratings(ratings),
-        staging.staged_list_entries(entries),
-        staging.staged_item_text(text),
-    )
+    """The staged rows of the four raw sources.  A source is opened when it is first asked for."""
+
+    def __init__(self, raw: Callable[[str], DataFrame]):
+        self._raw = raw
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return staging.staged_items(self._raw("items"))
+
+    @cached_property
+    def ratings(self) -> DataFrame:
+        return staging.staged_ratings(self._raw("ratings"))
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return staging.staged_list_entries(self._raw("list_entries"))
+
+    @cached_property
+    def text(self) -> DataFrame:
+        return staging.staged_item_text(self._raw("item_text"))
 
 
 def stage_files(spark: SparkSession, paths: dict[str, str]) -> Staged:
-    """Stage the four named sources from their paths."""
-    names = ("items", "ratings", "list_entries", "item_text")
-    return stage(*[source(spark, name, paths[name]) for name in names])
+    """Stage the named sources from their paths."""
+    return Staged(lambda name: source(spark, name, paths[name]))
 
 
 def stage_supplied(spark: SparkSession, folder: str) -> Staged:
-    return stage(
-        supplied.items(spark, folder),
-        supplied.ratings(spark, folder),
-        supplied.list_entries(spark, folder),
-        supplied.item_text(spark, folder),
-    )
+    return Staged(lambda name: getattr(supplied, name)(spark, folder))
 
 
 def as_views(staged: Staged, prefix: str = "stg_") -> None:
-    for name, df in vars(staged).items():
-        as_view(df, prefix + name)
+    for name in ("items", "ratings", "entries", "text"):
+        as_view(getattr(staged, name), prefix + name)
 
 
 @dataclass(frozen=True)

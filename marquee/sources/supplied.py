@@ -142,3 +142,88 @@ def item_text(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k % 22 == 0, "").when(k % 11 == 0, NO_TEXT).otherwise(F.col("text"))
         .alias("sypnopsis"),
     )
+
+
+# --- results and attempts, for the comparison jobs -------------------------------------------
+
+QUESTIONS = 40
+
+
+def _query_id(q: Column) -> Column:
+    return F.concat(F.lit("Q"), F.lpad(_text(q), 2, "0"))
+
+
+def _answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as the rows of forty results: question, row number, four columns."""
+    key = F.col("o_orderkey")
+    return table(spark, folder, "orders").select(
+        (key % QUESTIONS).alias("q"),
+        _div(key, QUESTIONS).alias("row_no"),
+        F.col("o_custkey").alias("customer"),
+        F.col("o_orderpriority").alias("priority"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").alias("total"),
+    )
+
+
+def expected_results(spark: SparkSession, folder: str) -> DataFrame:
+    return _answers(spark, folder).withColumn("query_id", _query_id(F.col("q"))).drop("q")
+
+
+def actual_results(spark: SparkSession, folder: str) -> list[tuple[DataFrame, list[str]]]:
+    """Two modes' answers, with known defects, and the columns each part returns.
+
+    ``plain`` inflates totals, loses rows, loses a column, swaps neighbours and shifts customers,
+    each in some questions; ``guided`` does the first two less often.
+    """
+    answers = _answers(spark, folder)
+    q, row, total = F.col("q"), F.col("row_no"), F.col("total")
+    plain = answers.filter(~((q % 5 == 1) & (row % 3 == 2))).select(
+        F.lit("plain").alias("mode"), "q",
+        F.when(q % 7 == 3, row + 1 - 2 * (row % 2)).otherwise(row).alias("row_no"),
+        F.when(q % 8 == 5, F.col("customer") + 1).otherwise(F.col("customer")).alias("customer"),
+        "priority", "status",
+        F.when(q % 4 == 0, total * 1.2).otherwise(total * 1.01).alias("total"),
+    )
+    guided = answers.filter(~((q % 10 == 1) & (row % 3 == 2))).select(
+        F.lit("guided").alias("mode"), "q", "row_no", "customer", "priority", "status",
+        F.when(q % 8 == 0, total * 1.2).otherwise(total).alias("total"),
+    )
+    whole = plain.filter(q % 6 != 2).unionByName(guided)
+    short = plain.filter(q % 6 == 2).drop("priority")
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.withColumn("query_id", _query_id(q)).drop("q")
+
+    return [
+        (named(whole), ["customer", "priority", "status", "total"]),
+        (named(short), ["customer", "status", "total"]),
+    ]
+
+
+def attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """One attempt per order: mode, question, its difficulty and category, error message or NULL."""
+    key = F.col("o_orderkey")
+    q = key % QUESTIONS
+    messages = [
+        F.concat(F.lit('Parser Error: syntax error at or near "'), F.col("o_orderpriority"),
+                 F.lit('"')),
+        F.lit("Catalog Error: Table with that name not found"),
+        F.lit("no such column: total"),
+        F.lit("Cannot JOIN on a missing key"),
+        F.lit("Conversion Error: could not CAST the value"),
+        F.lit("Binder Error: ambiguous reference"),
+        F.lit("Out of time"),
+        F.lit("Binder Error: column of that type not found"),
+    ]
+    message = F
+    for number, text in enumerate(messages):
+        message = message.when(key % 17 == number, text)
+    return table(spark, folder, "orders").select(
+        F.when(_div(key, QUESTIONS) % 2 == 0, "plain").otherwise("guided").alias("mode"),
+        _query_id(q).alias("query_id"),
+        _pick(q % 3, {0: "easy", 1: "medium"}, "hard").alias("difficulty"),
+        _pick(q % 5, {0: "content", 1: "users", 2: "tags", 3: "trends"}, "comparison")
+        .alias("category"),
+        message.alias("message"),
+    )

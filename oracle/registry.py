@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from oracle.checks import CHECKS, COMPARISONS, METRICS
+from oracle.profiles import PROFILES
 from oracle.questions import PATTERNS, QUESTIONS
 from oracle.tables import sql
 
@@ -33,5 +35,5 @@ TABLES: dict[str, tuple[str, str]] = {
 
 
 def all_sql() -> dict[str, str]:
-    parts = TABLES | QUESTIONS | PATTERNS
+    parts = TABLES | QUESTIONS | PATTERNS | PROFILES | CHECKS | METRICS | COMPARISONS
     return {name: sql(select, doubles=doubles) for name, (select, doubles) in parts.items()}
