@@ -24,12 +24,17 @@ SMALL_ROWS = 1_000_000
 
 
 def histogram(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., value, n) for the values that are not NULL; combined before the shuffle."""
-    return (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("value"))
-        .agg(F.count("*").alias("n"))
-    )
+    """(by..., value, n): rows per value, combined before the shuffle; n is 0 for NULL.
+
+    NULL is kept as an empty entry, not filtered away: the filter would be pushed below and work
+    out a costly value expression a second time.
+    """
+    return df.groupBy(*by, F.col(value).alias("value")).agg(F.count(value).alias("n"))
+
+
+def _totals(df: DataFrame, value: str, by: Sequence[str], **options) -> DataFrame:
+    """Running totals with an empty entry for NULL."""
+    return running_totals(histogram(df, value, by), by, **options)
 
 
 def cumulative(
@@ -45,7 +50,29 @@ def cumulative(
     ``n`` rows with the value, ``upto`` rows at or below it, ``total`` rows in all; with ``weigh``
     also ``sum_upto`` and ``sum_total`` of the (numeric) values themselves.
     """
-    return running_totals(histogram(df, value, by), by, weigh=weigh, per_range=per_range)
+    held = df.filter(F.col(value).isNotNull())
+    return _totals(held, value, by, weigh=weigh, per_range=per_range)
+
+
+def _cuts_upto(value: Column) -> Column:
+    """How many of the sorted cut points are at or below the value, by halving steps."""
+    steps = F.array(*[F.lit(1 << bit) for bit in range(MAX_RANGES.bit_length() - 1, -1, -1)])
+    found = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda found, step: F.when(F.get("_cuts", found + step - 1) <= value, found + step)
+        .otherwise(found),
+    )
+    # never NULL, and declared so: a join on it then brings no check that is pushed to the scan
+    return F.when(F.col("_cuts").isNotNull(), F.coalesce(found, F.lit(0))).otherwise(0)
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame to every row, as a scalar subquery and not a join."""
+    names = one_row.columns
+    return df.withColumn("_row", one_row.select(F.struct(*names)).scalar()).select(
+        *[F.col(f"`{c}`") for c in df.columns], *[F.col("_row")[c].alias(c) for c in names]
+    )
 
 
 def running_totals(
@@ -54,35 +81,43 @@ def running_totals(
     *,
     weigh: bool = False,
     per_range: int = VALUES_PER_RANGE,
+    distinct: DataFrame | None = None,
 ) -> DataFrame:
-    """As ``cumulative``, for a histogram (by..., value, n) that is already made."""
-    keys = [f"_by{i}" for i, _ in enumerate(by)] + ["_all"]
+    """As ``cumulative``, for a histogram (by..., value, n) that is already made.
+
+    If every n is 1 and the group sizes are known, pass them as ``distinct`` (by..., size).
+    """
+    keys = [f"_by{i}" for i, _ in enumerate(by)]
     # a struct is never NULL itself, so groups with a NULL key join like any other
-    hist = hist.select(
-        *[F.struct(F.col(c)).alias(k) for c, k in zip(by, keys, strict=False)],
-        F.lit(0).alias("_all"),
-        "value",
-        "n",
-    )
+    packed = [F.struct(F.col(c)).alias(k) for c, k in zip(by, keys, strict=True)]
+    hist = hist.select(*packed, "value", "n")
     sums = {"n": F.col("n")}
     if weigh:
         sums["sum"] = F.col("value") * F.col("n")
 
-    sizes = hist.groupBy(*keys).agg(
-        F.count("*").alias("_distinct"),
-        *[F.sum(c).alias(f"_{name}_total") for name, c in sums.items()],
-    ).withColumn(
+    def with_group(df: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+        """Add what is known of each row's group; without groups that is a single row."""
+        return df.join(facts, keys, how) if keys else attach(df, facts)
+
+    if distinct is None:
+        sizes = hist.groupBy(*keys).agg(
+            F.count("*").alias("_distinct"),
+            *[F.sum(c).alias(f"_{name}_total") for name, c in sums.items()],
+        )
+    else:
+        sizes = distinct.select(
+            *packed, F.col("size").alias("_distinct"), F.col("size").alias("_n_total")
+        )
+    sizes = sizes.withColumn(
         "_ranges", F.least(F.lit(MAX_RANGES), F.ceil(F.col("_distinct") / F.lit(per_range)))
     )
-    # n > 0 always holds; naming n keeps this branch's shuffle identical to the other ones', so
-    # Spark builds the histogram once and reuses it
+    # the condition names n, always >= 0: without it the filter would be pushed below the histogram,
+    # and this branch would build one of its own instead of reusing the others' shuffle
+    wanted = F.when((F.col("n") >= 0) & (F.col("_ranges") > 1),
+                    F.col("_ranges") * SAMPLES_PER_RANGE)
     cuts = (
-        hist.join(sizes.filter(F.col("_ranges") > 1), keys)
-        .filter(F.col("n") > 0)
-        .filter(
-            F.pmod(F.xxhash64("value"), F.col("_distinct"))
-            < F.col("_ranges") * SAMPLES_PER_RANGE
-        )
+        with_group(hist, sizes)
+        .filter(F.pmod(F.xxhash64("value"), F.col("_distinct")) < wanted)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("value")).alias("_sample"),
              F.max("_ranges").alias("_wanted"))
@@ -94,28 +129,22 @@ def running_totals(
             ).alias("_cuts"),
         )
     )
-    placed = hist.join(cuts, keys, "left").select(
-        *keys,
-        F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("value"))), F.lit(0))
-        .alias("_range"),
-        "value",
-        "n",
+    placed = with_group(hist, cuts, "left").select(
+        *keys, _cuts_upto(F.col("value")).alias("_range"), "value", "n"
     )
 
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = (
-        placed.groupBy(*keys, "_range")
-        .agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
-        .select(
-            *keys,
-            "_range",
-            *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}_before")
-              for name in sums],
-        )
-        .join(sizes, keys)
+    per_group_range = placed.groupBy(*keys, "_range").agg(
+        *[F.sum(c).alias(f"_{name}") for name, c in sums.items()]
     )
+    offsets = with_group(per_group_range.select(
+        *keys,
+        "_range",
+        *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}_before")
+          for name in sums],
+    ), sizes)
     inside = Window.partitionBy(*keys, "_range").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -123,8 +152,10 @@ def running_totals(
         *keys, "_range", "value", "n",
         *[F.sum(c).over(inside).alias(f"_{name}_inside") for name, c in sums.items()],
     )
+    # without groups there are at most MAX_RANGES + 1 offsets
+    offsets = offsets if keys else F.broadcast(offsets)
     return running.join(offsets, [*keys, "_range"]).select(
-        *[F.col(k)[c].alias(c) for c, k in zip(by, keys, strict=False)],
+        *[F.col(k)[c].alias(c) for c, k in zip(by, keys, strict=True)],
         "value",
         "n",
         (F.col("_n_inside") + F.col("_n_before")).alias("upto"),
@@ -150,8 +181,9 @@ def add_ranks(
     if rows is not None and rows <= SMALL_ROWS:
         return _add_ranks_in_one_task(df, ranks)
     out = df
-    for name, (kind, column) in ranks.items():
-        out = _add_rank(out, df, name, kind, column, per_range)
+    for column in dict.fromkeys(column for _, column in ranks.values()):
+        kinds = {name: kind for name, (kind, c) in ranks.items() if c == column}
+        out = _add_ranks_of(out, df, column, kinds, per_range)
     return out
 
 
@@ -168,32 +200,26 @@ def _add_ranks_in_one_task(df: DataFrame, ranks: dict[str, tuple[str, str]]) ->
     return df.withColumns(added)
 
 
-def _add_rank(
-    out: DataFrame, source: DataFrame, name: str, kind: str, column: str, per_range: int
+def _add_ranks_of(
+    out: DataFrame, source: DataFrame, column: str, kinds: dict[str, str], per_range: int
 ) -> DataFrame:
-    counts = cumulative(source, column, per_range=per_range)
-    ranked = counts.select(
-        F.col("value").alias(f"_{name}_key"),
-        (F.col("total") - F.col("upto") + 1 if kind == "rank_desc"
-         else F.col("upto") - F.col("n") + 1).alias(f"_{name}"),
-    )
-    sizes = source.agg(
-        F.count(column).alias(f"_{name}_held"), F.count("*").alias(f"_{name}_rows")
-    )
-    # NULL matches nothing and comes after every value.  The one-row totals are attached by a
-    # constant key.
-    out = (
-        out.join(ranked, F.col(column) == F.col(f"_{name}_key"), "left")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(sizes.withColumn("_one", F.lit(1))), "_one")
-    )
-    position = F.coalesce(F.col(f"_{name}"), F.col(f"_{name}_held") + 1)
-    if kind == "percent_rank":
-        rows = F.col(f"_{name}_rows")
-        position = F.when(rows > 1, (position - 1) / (rows - 1)).otherwise(0.0)
-    return out.withColumn(name, position).drop(
-        "_one", f"_{name}_key", f"_{name}", f"_{name}_held", f"_{name}_rows"
+    """Ranks by one column: a value's ranks follow from its running count."""
+    upto, n, total = F.col("upto"), F.col("n"), F.col("total")
+    ranked = cumulative(source, column, per_range=per_range).select(
+        F.col("value").alias("_key"),
+        *[(total - upto + 1 if kind == "rank_desc" else upto - n + 1).alias(f"_{name}")
+          for name, kind in kinds.items()],
     )
+    sizes = source.agg(F.count(column).alias("_held"), F.count("*").alias("_rows"))
+    joined = attach(out.join(ranked, F.col(column) == F.col("_key"), "left"), sizes)
+    for name, kind in kinds.items():
+        # NULL matches nothing and comes after every value
+        place = F.coalesce(F.col(f"_{name}"), F.col("_held") + 1)
+        if kind == "percent_rank":
+            rows = F.col("_rows")
+            place = F.when(rows > 1, (place - 1) / (rows - 1)).otherwise(0.0)
+        joined = joined.withColumn(name, place)
+    return joined.drop("_key", "_held", "_rows", *[f"_{name}" for name in kinds])
 
 
 def quantile_columns(points: Sequence[float], *, prefix: str = "p") -> dict[str, Column]:
@@ -217,7 +243,7 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles per group, as one row per group."""
     aggregates = [c.alias(name) for name, c in quantile_columns(points).items()]
-    return cumulative(df, value, by).groupBy(*by).agg(*aggregates)
+    return _totals(df, value, by).groupBy(*by).agg(*aggregates)
 
 
 def describe(
@@ -225,30 +251,20 @@ def describe(
 ) -> DataFrame:
     """count, mean, std, min, max and exact quantiles per group, all from one histogram.
 
-    Mean and deviation come from the rows themselves; only order statistics need the histogram.
+    A group without any value has count 0 and NULL for the rest.
     """
-    plain = df.groupBy(*by).agg(
-        F.count(value).alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev(value).alias("std"),
-        F.min(value).cast("double").alias("min"),
-        F.max(value).cast("double").alias("max"),
+    counts = _totals(df, value, by, weigh=True)
+    n, total = F.col("n"), F.max("total")
+    off = F.col("value") - F.col("sum_total") / F.nullif(F.col("total"), F.lit(0))
+    return counts.groupBy(*by).agg(
+        F.coalesce(total, F.lit(0)).alias("count"),
+        (F.max("sum_total") / F.nullif(total, F.lit(0))).alias("mean"),
+        F.when(total > 1, F.sqrt(F.sum(n * off * off) / F.nullif(total - 1, F.lit(0))))
+        .alias("std"),
+        F.min("value").cast("double").alias("min"),
+        F.max("value").cast("double").alias("max"),
+        *[c.alias(name) for name, c in quantile_columns(points).items()],
     )
-    ordered = quantiles(df, value, points, by)
-    if not by:
-        return plain.withColumn("_one", F.lit(1)).join(
-            ordered.withColumn("_one", F.lit(1)), "_one", "left"
-        ).drop("_one")
-    return _join_null_safe(plain, ordered, by)
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in by})
-    condition = None
-    for c in by:
-        same = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-        condition = same if condition is None else condition & same
-    return left.join(renamed, condition, "left").drop(*[f"_r_{c}" for c in by])
 
 
 def top_share(counts: DataFrame, sizes: dict[str, Column]) -> DataFrame:
@@ -312,19 +328,15 @@ def number_rows(
     by: Sequence[str],
     into: str,
     *,
+    sizes: DataFrame | None = None,
     per_range: int = VALUES_PER_RANGE,
 ) -> DataFrame:
     """0-based place of every row inside its group, in the order of ``order``.
 
-    ``order`` must tell the rows of a group apart.  A large group is spread over many ranges.
+    ``order`` must tell the rows of a group apart; only ``by`` and ``order`` are handed on.  A
+    large group is spread over many ranges.  ``sizes`` (by..., size) saves counting the groups.
     """
-    keyed = df.withColumn("_key", F.struct(*order))
-    if set(df.columns) <= {*order, *by}:
-        return cumulative(keyed, "_key", by, per_range=per_range).select(
-            *by, *[F.col("value")[c].alias(c) for c in order if c not in by],
-            (F.col("upto") - 1).alias(into),
-        )
-    placed = cumulative(keyed, "_key", by, per_range=per_range).select(
-        *by, F.col("value").alias("_key"), (F.col("upto") - 1).alias(into)
+    keyed = df.select(*by, F.struct(*order).alias("value"), F.lit(1).alias("n"))
+    return running_totals(keyed, by, per_range=per_range, distinct=sizes).select(
+        *by, *[F.col("value")[c].alias(c) for c in order], (F.col("upto") - 1).alias(into)
     )
-    return keyed.join(placed, [*by, "_key"]).drop("_key")

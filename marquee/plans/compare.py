@@ -37,31 +37,34 @@ def long_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Da
 
 
 def _shape(cells: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
-    """Rows and columns per result.  Every row has a cell in every column, so counting the cells
-    of each column counts the rows, and the partial counts are all that is shuffled."""
+    """Rows and column names per result.  Every row has a cell in every column, so counting the
+    cells of each column counts the rows, and the partial counts are all that is shuffled."""
     per_column = cells.groupBy(*keys, "column").agg(F.count("*").alias("n"))
     return per_column.groupBy(*keys).agg(
-        F.max("n").alias(f"{side}_rows"), F.count("*").alias(f"{side}_columns")
+        F.max("n").alias(f"{side}_rows"),
+        F.array_sort(F.collect_list("column")).alias(f"{side}_columns"),
     )
 
 
-def structure(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Per run: are there as many rows and as many columns?"""
+def _shapes(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """One small row per run: do the sizes agree, and which columns do both sides have?"""
     shapes = _shape(actual, RUN, "actual").join(
         _shape(expected, ["query_id"], "expected"), "query_id"
     )
     return shapes.select(
         *RUN,
         (F.col("expected_rows") == F.col("actual_rows")).alias("row_match"),
-        (F.col("expected_columns") == F.col("actual_columns")).alias("col_match"),
-    ).withColumn("structure_match", F.col("row_match") & F.col("col_match"))
+        (F.size("expected_columns") == F.size("actual_columns")).alias("col_match"),
+        F.array_intersect("expected_columns", "actual_columns").alias("common"),
+        F.col("expected_rows").alias("size"),
+    )
 
 
-def _common(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(mode, query_id, column) of the columns that both sides have."""
-    return actual.select(*RUN, "column").distinct().join(
-        expected.select("query_id", "column").distinct(), ["query_id", "column"]
-    ).select(*RUN, "column")
+def structure(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Per run: are there as many rows and as many columns?"""
+    return _shapes(expected, actual).drop("common", "size").withColumn(
+        "structure_match", F.col("row_match") & F.col("col_match")
+    )
 
 
 def _cell() -> Column:
@@ -79,16 +82,25 @@ def first_row(expected: DataFrame, actual: DataFrame) -> DataFrame:
     )
 
 
-def _sorted_rows(cells: DataFrame, into: str, per_range: int) -> DataFrame:
-    """Rows of common columns, fractions rounded to 2, numbered in the order of their columns."""
-    rounded = cells.withColumn("num", round_to(F.col("num"), 2))
+def _rows(cells: DataFrame, keys: Sequence[str], into: str) -> DataFrame:
+    """Cells to rows, one array of cells each; fractions rounded to 2."""
     missing = F.col("num").isNull() & F.col("txt").isNull()
-    rows = rounded.groupBy(*RUN, "row_no").agg(
-        F.sort_array(F.collect_list(
-            F.struct("column", missing.alias("missing"), "num", "txt")
+    return cells.groupBy(*keys, "row_no").agg(
+        F.collect_list(F.struct(
+            "column", missing.alias("missing"), round_to(F.col("num"), 2).alias("num"), "txt"
         )).alias(into)
     )
-    return number_rows(rows, [into, "row_no"], RUN, "place", per_range=per_range).drop("row_no")
+
+
+def _placed(rows: DataFrame, runs: DataFrame, on: Sequence[str], into: str,
+            per_range: int) -> DataFrame:
+    """Rows of every run, cut to its common columns and numbered in their order."""
+    shared = F.filter(into, lambda cell: F.array_contains("common", cell["column"]))
+    cut = rows.join(runs, list(on)).select(*RUN, "row_no", F.sort_array(shared).alias(into))
+    sizes = runs.select(*RUN, "size")
+    return number_rows(
+        cut, [into, "row_no"], RUN, "place", sizes=sizes, per_range=per_range
+    ).drop("row_no")
 
 
 def result(
@@ -98,14 +110,13 @@ def result(
 
     Both sides are sorted by their common columns in the order of the names and compared by place.
     """
-    comparable = structure(expected, actual).filter("row_match").select(*RUN)
-    common = _common(expected, actual).join(comparable, RUN)
-    # every run brings its own copy of the expected cells, cut to the run's common columns
-    e = expected.join(common, ["query_id", "column"])
-    a = actual.join(common, [*RUN, "column"])
-    paired = _sorted_rows(e, "e", per_range).join(
-        _sorted_rows(a, "a", per_range), [*RUN, "place"]
-    )
+    runs = _shapes(expected, actual).filter(
+        F.col("row_match") & (F.size("common") > 0)
+    ).select(*RUN, "common", "size")
+    # every run brings its own copy of the expected rows
+    e = _placed(_rows(expected, ["query_id"], "e"), runs, ["query_id"], "e", per_range)
+    a = _placed(_rows(actual, RUN, "a"), runs, RUN, "a", per_range)
+    paired = e.join(a, [*RUN, "place"])
     agreeing = F.size(F.filter(
         F.zip_with("e", "a", lambda x, y: cells_equal(x, y, TOLERANCE)), lambda same: same
     ))

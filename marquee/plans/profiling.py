@@ -16,6 +16,7 @@ from marquee.functions.columns import (
 )
 from marquee.operators.distribution import (
     VALUES_PER_RANGE,
+    attach,
     cdf,
     cumulative,
     describe,
@@ -39,15 +40,6 @@ SEASONS = ["Winter", "Spring", "Summer", "Fall"]
 TYPES = ["TV", "OVA", "Movie", "ONA", "Special", "Music", UNKNOWN]
 
 
-def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row frame (an aggregate without keys) to every row."""
-    return (
-        df.withColumn("_one", F.lit(1))
-        .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one")
-        .drop("_one")
-    )
-
-
 def _as_rows(one_row: DataFrame, label: str, names: Sequence[str], value: str) -> DataFrame:
     """The columns of a one-row frame as rows (label, value)."""
     cells = [F.struct(F.lit(n).alias(label), F.col(f"`{n}`").alias(value)) for n in names]
@@ -227,7 +219,7 @@ def equal_width_histogram(
     )
     low, high = F.col("_low"), F.col("_high")
     width = (high - low) / bins
-    placed = with_one_row(held, limits).withColumn(
+    placed = attach(held, limits).withColumn(
         "bin", equal_width_bin(F.col("value"), low, high, bins)
     )
     return placed.groupBy("bin").agg(
@@ -322,7 +314,7 @@ def rating_overview(ratings: DataFrame) -> DataFrame:
 
     out = totals
     for one_row in (middle, size("user_id", "user_count"), size("item_id", "item_count")):
-        out = with_one_row(out, one_row)
+        out = attach(out, one_row)
     pairs = F.col("user_count").cast("double") * F.col("item_count")
     return out.withColumn("sparsity", 1 - F.col("rating_count") / F.nullif(pairs, F.lit(0.0)))
 
@@ -341,7 +333,7 @@ def cold_start(ratings: DataFrame, fixed: Sequence[int] = (5, 10, 20)) -> DataFr
         return found.select(*[F.floor(p).cast("long").alias(f"{prefix}_{p}")
                               for p in ("p10", "p20")])
 
-    marks = with_one_row(low_quantiles(per_user, "user"), low_quantiles(per_item, "item"))
+    marks = attach(low_quantiles(per_user, "user"), low_quantiles(per_item, "item"))
     wanted = F.array_distinct(F.array(
         "user_p10", "user_p20", *[F.lit(t).cast("long") for t in fixed]
     ))
@@ -349,7 +341,7 @@ def cold_start(ratings: DataFrame, fixed: Sequence[int] = (5, 10, 20)) -> DataFr
     def cold(counts: DataFrame, alias: str) -> DataFrame:
         spread = histogram(counts, "rating_count")
         return (
-            with_one_row(spread, marks)
+            attach(spread, marks)
             .withColumn("threshold", F.explode(wanted))
             .groupBy("threshold")
             .agg(
@@ -381,7 +373,7 @@ def power_vs_rest(ratings: DataFrame, point: float = 0.99) -> DataFrame:
     """Users at or above a quantile of activity against the others."""
     users = activity(ratings, "user_id")
     bound = quantiles(users, "rating_count", [point]).toDF("bound")
-    compared = with_one_row(users, bound).groupBy(
+    compared = attach(users, bound).groupBy(
         F.when(F.col("rating_count") >= F.col("bound"), "power").otherwise("rest")
         .alias("user_group")
     ).agg(

@@ -39,6 +39,17 @@ SMALL_RANGE = 500
 _marts: dict[tuple[str, str], tuple[Shelf, Marts]] = {}
 
 
+_staged: dict[tuple[str, str], Staged] = {}
+
+
+def staged(spark: SparkSession, folder: str) -> Staged:
+    """The staged rows of a folder; the plan is made once per session."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _staged:
+        _staged[key] = stage_supplied(spark, folder)
+    return _staged[key]
+
+
 def shelf_and_marts(spark: SparkSession, folder: str) -> tuple[Shelf, Marts]:
     """The tables of a folder, built once per session into the shared folder.
 
@@ -47,7 +58,7 @@ def shelf_and_marts(spark: SparkSession, folder: str) -> tuple[Shelf, Marts]:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _marts:
         shelf = Shelf(spark, folder)
-        _marts[key] = (shelf, build(stage_supplied(spark, folder), shelf, diversity=DIVERSITY))
+        _marts[key] = (shelf, build(staged(spark, folder), shelf, diversity=DIVERSITY))
     return _marts[key]
 
 
@@ -65,7 +76,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def on_staged(function: Callable[[Staged], DataFrame]) -> Query:
-    return lambda spark, folder: settled(function(stage_supplied(spark, folder)))
+    return lambda spark, folder: settled(function(staged(spark, folder)))
 
 
 def on_marts(function: Callable[[Marts], DataFrame]) -> Query:
@@ -88,7 +99,7 @@ def table_queries() -> dict[str, Query]:
         "user_profiles": on_staged(profiles),
         "tag_metrics": on_marts(lambda m: models.tag_metrics(m.item_stats)),
         "content_performance": lambda spark, folder: settled(models.content_performance(
-            marts(spark, folder).item_stats, stage_supplied(spark, folder).text
+            marts(spark, folder).item_stats, staged(spark, folder).text
         )),
         "user_segments": on_marts(
             lambda m: models.user_segments(m.user_profiles, diversity=DIVERSITY)
@@ -246,7 +257,7 @@ def quality_queries() -> dict[str, Query]:
 
     def on_both(function: Callable[[Staged, Marts], DataFrame]) -> Query:
         return lambda spark, folder: function(
-            stage_supplied(spark, folder), marts(spark, folder)
+            staged(spark, folder), marts(spark, folder)
         )
 
     return {
@@ -263,7 +274,7 @@ def quality_queries() -> dict[str, Query]:
 def metric_queries() -> dict[str, Query]:
     def over(table: Callable[[Staged, Marts], DataFrame], name: str, by: list[str]) -> Query:
         return lambda spark, folder: settled(metric(
-            table(stage_supplied(spark, folder), marts(spark, folder)), name, by
+            table(staged(spark, folder), marts(spark, folder)), name, by
         ))
 
     def content(s: Staged, m: Marts) -> DataFrame:
@@ -327,7 +338,7 @@ def compare_queries() -> dict[str, Query]:
     return {
         "compare_structure": level(C.structure),
         "compare_first_row": level(C.first_row),
-        "compare_result": level(lambda e, a: C.result(e, a, per_range=SMALL_RANGE)),
+        "compare_result": level(C.result),
         "compare_verdicts": level(C.verdicts),
         "error_labels": lambda spark, folder: supplied.attempts(spark, folder).groupBy(
             "message", C.error_label(F.col("message")).alias("error_type")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.columns import cut, special_share, words_by_whitespace
-from marquee.operators.distribution import cumulative, describe, quantiles, top_share
+from marquee.operators.distribution import attach, cumulative, describe, quantiles, top_share
 from marquee.operators.explode import explode_list
-from marquee.plans.profiling import equal_width_histogram, with_one_row
+from marquee.plans.profiling import equal_width_histogram
 from marquee.plans.questions import count
 
 # fixed value: the sentence that stands for a missing text
@@ -70,7 +70,7 @@ def short_shares(texts: DataFrame) -> DataFrame:
         for n in (10, 50)
     ])
     low = quantiles(words, "word_count", [0.1]).select(F.floor("p10").alias("p10_words"))
-    return with_one_row(shares, low)
+    return attach(shares, low)
 
 
 def clipped_histogram(texts: DataFrame, bins: int = 50, point: float = 0.99) -> DataFrame:
@@ -78,7 +78,7 @@ def clipped_histogram(texts: DataFrame, bins: int = 50, point: float = 0.99) ->
     words = measured(texts)
     bound = quantiles(words, "word_count", [point]).toDF("bound")
     clipped = F.least(F.col("word_count").cast("double"), F.col("bound"))
-    return equal_width_histogram(with_one_row(words, bound), clipped, bins)
+    return equal_width_histogram(attach(words, bound), clipped, bins)
 
 
 def length_by_tag(texts: DataFrame, min_items: int = 100) -> DataFrame:
@@ -159,4 +159,4 @@ def vocabulary(texts: DataFrame, top: int = 5000) -> DataFrame:
     share = top_share(counts, {"top": F.lit(top)}).select(
         (100.0 * F.col("share")).alias("coverage_pct")
     )
-    return with_one_row(size, share)
+    return attach(size, share)
