@@ -27,7 +27,7 @@ from marquee.operators.distribution import (
     top_share,
 )
 from marquee.operators.explode import explode_list, list_length
-from marquee.plans.questions import count, share_of_total
+from marquee.plans.questions import count, with_share
 from marquee.plans.staging import STATUS_LABELS
 
 # fixed values: bin edges, right-closed, and labels
@@ -92,7 +92,7 @@ def value_counts(df: DataFrame, name: str) -> DataFrame:
 def value_shares(df: DataFrame, name: str) -> DataFrame:
     """Counts per value with the percentage of all rows."""
     grouped = df.groupBy(name).agg(count("value_count"))
-    return grouped.withColumn("pct", share_of_total(grouped, "value_count")).orderBy(name)
+    return with_share(grouped, "value_count", "pct").orderBy(name)
 
 
 def counts_in_order(df: DataFrame, name: str, categories: Sequence[str]) -> DataFrame:
@@ -381,10 +381,8 @@ def power_vs_rest(ratings: DataFrame, point: float = 0.99) -> DataFrame:
         F.sum("rating_count").alias("total_ratings"),
         F.avg("avg_rating").alias("avg_rating"),
     )
-    return compared.withColumns({
-        "user_pct": share_of_total(compared, "user_count"),
-        "rating_pct": share_of_total(compared, "total_ratings"),
-    })
+    return with_share(with_share(compared, "user_count", "user_pct"), "total_ratings",
+                      "rating_pct")
 
 
 def _status_name() -> Column:
@@ -401,13 +399,13 @@ def status_distribution(entries: DataFrame) -> DataFrame:
         F.avg("rating").alias("avg_rating"),
         F.count_if(F.col("rating") > 0).alias("rated_count"),
     )
-    return grouped.select(
+    return with_share(grouped, "entry_count", "pct").select(
         "status_code",
         _status_name().alias("status_name"),
         "entry_count",
         "avg_rating",
         "rated_count",
-        share_of_total(grouped, "entry_count").alias("pct"),
+        "pct",
         (100.0 * F.col("rated_count") / F.col("entry_count")).alias("rated_pct"),
     ).orderBy(F.asc_nulls_last("status_code"))
 
@@ -416,7 +414,7 @@ def status_of_raters(entries: DataFrame, ratings: DataFrame) -> DataFrame:
     """``status_distribution`` over the entries of users who have rated anything.
 
     The entries are counted per user and status before the semi-join, so a user with very many of
-    them brings at most one row per status to it.
+    them brings one row per status to it.
     """
     per_user = entries.groupBy("user_id", "status_code").agg(
         F.count("*").alias("n"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.columns import known, ladder, round_mean, round_to
@@ -44,9 +44,10 @@ def count(alias: str) -> Column:
     return F.count("*").alias(alias)
 
 
-def share_of_total(df: DataFrame, n: str) -> Column:
-    """Percentage of an already grouped count; the window holds one row per group."""
-    return F.col(n) * 100.0 / F.sum(n).over(Window.partitionBy(F.lit(0)))
+def with_share(grouped: DataFrame, n: str, into: str) -> DataFrame:
+    """Percentage of the sum of a grouped count.  The sum is a subquery, not a one-task window."""
+    total = grouped.agg(F.sum(n)).scalar()
+    return grouped.withColumn(into, F.col(n) * 100.0 / total)
 
 
 # --- content performance -------------------------------------------------------------------
@@ -199,8 +200,8 @@ def ub02(u: DataFrame, tier: str = "Power") -> DataFrame:
 def ub03(u: DataFrame) -> DataFrame:
     """Rating tendencies and their share of all users."""
     grouped = u.groupBy("rating_tendency").agg(count("user_count"))
-    return grouped.withColumn(
-        "pct", round_to(share_of_total(grouped, "user_count"), 1)
+    return with_share(grouped, "user_count", "pct").withColumn(
+        "pct", round_to(F.col("pct"), 1)
     ).orderBy(F.desc("user_count"), "rating_tendency")
 
 
