@@ -1,8 +1,9 @@
 """Tolerant comparison of query results, and the rates that sum it up.
 
-Results are long tables: ``expected`` (query_id, row_no, column, num, txt) and ``actual`` with a
-``mode`` in front.  A cell holds ``num`` if the column is fractional, else ``txt`` (whole numbers
-and booleans as text), neither if it is NULL.  Rows are numbered from 0.
+Results are tables of rows: ``expected`` (query_id, row_no, cells) and ``actual`` with a ``mode`` in
+front.  A cell is (column, num, txt): ``num`` if the column is fractional, else ``txt`` (whole
+numbers and booleans as text), neither if it is NULL.  All rows of a result have the same columns;
+rows are numbered from 0.
 
 Whole numbers are text on purpose: only fractions get the tolerance.
 """
@@ -23,8 +24,8 @@ TOLERANCE = 0.05
 ENOUGH = 0.5
 
 
-def long_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Wide result rows to cells; ``keys`` stay as they are."""
+def row_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Wide result rows to (keys..., cells)."""
     kinds = dict(df.dtypes)
 
     def cell(name: str) -> Column:
@@ -33,16 +34,17 @@ def long_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Da
         text = F.lit(None).cast("string") if fractional else F.col(name).cast("string")
         return F.struct(F.lit(name).alias("column"), number.alias("num"), text.alias("txt"))
 
-    return df.select(*keys, F.inline(F.array(*[cell(c) for c in columns])))
+    return df.select(*keys, F.array(*[cell(c) for c in columns]).alias("cells"))
 
 
-def _shape(cells: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
-    """Rows and column names per result.  Every row has a cell in every column, so counting the
-    cells of each column counts the rows, and the partial counts are all that is shuffled."""
-    per_column = cells.groupBy(*keys, "column").agg(F.count("*").alias("n"))
-    return per_column.groupBy(*keys).agg(
-        F.max("n").alias(f"{side}_rows"),
-        F.array_sort(F.collect_list("column")).alias(f"{side}_columns"),
+def _shape(results: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
+    """Rows and column names per result; only partial counts are shuffled."""
+    names = F.transform("cells", lambda cell: cell["column"])
+    counted = results.groupBy(*keys, names.alias("names")).agg(F.count("*").alias("n"))
+    return counted.groupBy(*keys).agg(
+        F.sum("n").alias(f"{side}_rows"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names"))))
+        .alias(f"{side}_columns"),
     )
 
 
@@ -67,39 +69,37 @@ def structure(expected: DataFrame, actual: DataFrame) -> DataFrame:
     )
 
 
-def _cell() -> Column:
-    return F.struct("num", "txt")
-
-
 def first_row(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Per run: do at least half of the common columns agree in the first row, as returned?"""
     first = F.col("row_no") == 0
-    e = expected.filter(first).select("query_id", "column", _cell().alias("e"))
-    a = actual.filter(first).select(*RUN, "column", _cell().alias("a"))
+
+    def cells_of(results: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+        cells = results.filter(first).select(*keys, F.explode("cells").alias(name))
+        return cells.withColumn("column", F.col(name)["column"])
+
+    e = cells_of(expected, ["query_id"], "e")
+    a = cells_of(actual, RUN, "a")
     return a.join(e, ["query_id", "column"]).groupBy(*RUN).agg(
         (F.avg(cells_equal(F.col("e"), F.col("a"), TOLERANCE).cast("int")) >= ENOUGH)
         .alias("first_row_match")
     )
 
 
-def _rows(cells: DataFrame, keys: Sequence[str], into: str) -> DataFrame:
-    """Cells to rows, one array of cells each; fractions rounded to 2."""
-    missing = F.col("num").isNull() & F.col("txt").isNull()
-    return cells.groupBy(*keys, "row_no").agg(
-        F.collect_list(F.struct(
-            "column", missing.alias("missing"), round_to(F.col("num"), 2).alias("num"), "txt"
-        )).alias(into)
-    )
-
-
-def _placed(rows: DataFrame, runs: DataFrame, on: Sequence[str], into: str,
+def _placed(results: DataFrame, runs: DataFrame, on: Sequence[str], into: str,
             per_range: int) -> DataFrame:
-    """Rows of every run, cut to its common columns and numbered in their order."""
-    shared = F.filter(into, lambda cell: F.array_contains("common", cell["column"]))
-    cut = rows.join(runs, list(on)).select(*RUN, "row_no", F.sort_array(shared).alias(into))
+    """Rows of every run, cut to its common columns, fractions rounded to 2, numbered in the order
+    of their columns; NULL comes last."""
+    shared = F.filter("cells", lambda cell: F.array_contains("common", cell["column"]))
+    rounded = F.sort_array(F.transform(shared, lambda cell: F.struct(
+        cell["column"].alias("column"),
+        (cell["num"].isNull() & cell["txt"].isNull()).alias("missing"),
+        round_to(cell["num"], 2).alias("num"),
+        cell["txt"].alias("txt"),
+    )))
+    rows = results.join(runs, list(on)).select(*RUN, "row_no", rounded.alias(into))
     sizes = runs.select(*RUN, "size")
     return number_rows(
-        cut, [into, "row_no"], RUN, "place", sizes=sizes, per_range=per_range
+        rows, [into, "row_no"], RUN, "place", sizes=sizes, per_range=per_range
     ).drop("row_no")
 
 
@@ -114,8 +114,8 @@ def result(
         F.col("row_match") & (F.size("common") > 0)
     ).select(*RUN, "common", "size")
     # every run brings its own copy of the expected rows
-    e = _placed(_rows(expected, ["query_id"], "e"), runs, ["query_id"], "e", per_range)
-    a = _placed(_rows(actual, RUN, "a"), runs, RUN, "a", per_range)
+    e = _placed(expected, runs, ["query_id"], "e", per_range)
+    a = _placed(actual, runs, RUN, "a", per_range)
     paired = e.join(a, [*RUN, "place"])
     agreeing = F.size(F.filter(
         F.zip_with("e", "a", lambda x, y: cells_equal(x, y, TOLERANCE)), lambda same: same

@@ -36,7 +36,8 @@ DIVERSITY = [(9, "Explorer"), (6, "Regular Viewer"), (3, "Selective")]
 SMALL_RANGE = 500
 
 
-_marts: dict[tuple[str, str], tuple[Shelf, Marts]] = {}
+_marts: dict[tuple[str, str], Marts] = {}
+_shelves: dict[tuple[str, str], Shelf] = {}
 
 
 _staged: dict[tuple[str, str], Staged] = {}
@@ -50,22 +51,24 @@ def staged(spark: SparkSession, folder: str) -> Staged:
     return _staged[key]
 
 
-def shelf_and_marts(spark: SparkSession, folder: str) -> tuple[Shelf, Marts]:
+def shelf(spark: SparkSession, folder: str) -> Shelf:
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _shelves:
+        _shelves[key] = Shelf(spark, folder)
+    return _shelves[key]
+
+
+def marts(spark: SparkSession, folder: str) -> Marts:
     """The tables of a folder, built once per session into the shared folder.
 
     The questions read these as they would the saved tables of a warehouse.
     """
     key = (spark.sparkContext.applicationId, folder)
     if key not in _marts:
-        shelf = Shelf(spark, folder)
-        _marts[key] = (shelf, build(staged(spark, folder), shelf, diversity=DIVERSITY))
+        _marts[key] = build(staged(spark, folder), shelf(spark, folder), diversity=DIVERSITY)
     return _marts[key]
 
 
-def marts(spark: SparkSession, folder: str) -> Marts:
-    return shelf_and_marts(spark, folder)[1]
-
-
 def settled(df: DataFrame) -> DataFrame:
     """Fractions cut to six decimals, so that the order of summation cannot show."""
     return df.select([
@@ -234,18 +237,28 @@ def profile_queries() -> dict[str, Query]:
 
 def text_queries() -> dict[str, Query]:
     T = texts
+
+    def on_measures(function: Callable[[DataFrame], DataFrame]) -> Query:
+        """The measures of the texts are kept: every profile reads them, none reads the texts."""
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            kept = shelf(spark, folder)
+            if "text_measures" not in kept:
+                kept("text_measures", T.measured(staged(spark, folder).text))
+            return settled(function(kept["text_measures"]))
+        return run
+
     return {
         "text_presence": on_staged(lambda s: T.presence(s.text)),
-        "text_length_stats": on_staged(lambda s: T.length_stats(s.text)),
-        "text_short_shares": on_staged(lambda s: T.short_shares(s.text)),
-        "text_clipped_histogram": on_staged(
-            lambda s: T.clipped_histogram(s.text).drop("weight", "density")),
-        "text_length_by_tag": on_staged(lambda s: T.length_by_tag(s.text)),
-        "text_score_by_length": on_staged(lambda s: T.score_by_length(s.text)),
-        "text_length_correlation": on_staged(lambda s: T.length_score_correlation(s.text)),
-        "text_repeated": on_staged(lambda s: T.repeated(s.text)),
+        "text_length_stats": on_measures(T.length_stats),
+        "text_short_shares": on_measures(T.short_shares),
+        "text_clipped_histogram": on_measures(
+            lambda m: T.clipped_histogram(m).drop("weight", "density")),
+        "text_length_by_tag": on_measures(T.length_by_tag),
+        "text_score_by_length": on_measures(T.score_by_length),
+        "text_length_correlation": on_measures(T.length_score_correlation),
+        "text_repeated": on_measures(T.repeated),
         "text_most_repeated": on_staged(lambda s: T.most_repeated(s.text)),
-        "special_char_ratio": on_staged(lambda s: T.special_characters(s.text)),
+        "special_char_ratio": on_measures(T.special_characters),
         "word_frequency": on_staged(lambda s: T.frequent_words(s.text)),
         "word_counts": on_staged(lambda s: T.word_counts(s.text)),
         "vocabulary_coverage": on_staged(lambda s: T.vocabulary(s.text)),
@@ -314,11 +327,11 @@ def compare_queries() -> dict[str, Query]:
     keys = ["query_id", "row_no"]
 
     def results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-        expected = C.long_cells(
+        expected = C.row_cells(
             supplied.expected_results(spark, folder), keys,
             ["customer", "priority", "status", "total"],
         )
-        parts = [C.long_cells(df, ["mode", *keys], columns)
+        parts = [C.row_cells(df, ["mode", *keys], columns)
                  for df, columns in supplied.actual_results(spark, folder)]
         return expected, parts[0].unionByName(parts[1])
 
@@ -328,11 +341,11 @@ def compare_queries() -> dict[str, Query]:
     def log(function: Callable[[DataFrame], DataFrame]) -> Query:
         """The attempts with the verdicts, which are kept: every rate reads them."""
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            shelf, _ = shelf_and_marts(spark, folder)
-            if "verdicts" not in shelf:
-                shelf("verdicts", C.verdicts(*results(spark, folder)))
+            kept = shelf(spark, folder)
+            if "verdicts" not in kept:
+                kept("verdicts", C.verdicts(*results(spark, folder)))
             attempts = supplied.attempts(spark, folder)
-            return settled(function(C.outcomes(attempts, shelf["verdicts"])))
+            return settled(function(C.outcomes(attempts, kept["verdicts"])))
         return run
 
     return {

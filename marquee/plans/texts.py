@@ -36,12 +36,18 @@ def is_text(c: Column) -> Column:
 
 
 def measured(texts: DataFrame) -> DataFrame:
-    """Usable texts with their length and number of words; the text itself is left behind."""
+    """What the profiles need to know of each usable text, from one reading of it.
+
+    Length, words, share of special characters, and the SHA-256 that stands for the text where
+    copies are counted, so that no text goes through a shuffle.
+    """
     text = F.col("text")
     return texts.filter(is_text(text)).select(
         "item_id", "tags", "score",
         F.length(text).cast("long").alias("text_length"),
         words_by_whitespace(text).alias("word_count"),
+        special_share(text).alias("special_share"),
+        F.sha2(text, 256).alias("digest"),
     )
 
 
@@ -53,36 +59,34 @@ def presence(texts: DataFrame) -> DataFrame:
     )
 
 
-def length_stats(texts: DataFrame) -> DataFrame:
+def length_stats(measures: DataFrame) -> DataFrame:
     """Summary of length and of words, one row each."""
-    long = measured(texts).select(F.inline(F.array(
+    long = measures.select(F.inline(F.array(
         F.struct(F.lit("text_length").alias("measure"), F.col("text_length").alias("value")),
         F.struct(F.lit("word_count").alias("measure"), F.col("word_count").alias("value")),
     )))
     return describe(long, "value", DESCRIBED, ["measure"])
 
 
-def short_shares(texts: DataFrame) -> DataFrame:
+def short_shares(measures: DataFrame) -> DataFrame:
     """The 10% quantile of the word counts, and the shares at or below 10 and 50 words."""
-    words = measured(texts)
-    shares = words.agg(*[
+    shares = measures.agg(*[
         (100.0 * F.count_if(F.col("word_count") <= n) / F.count("*")).alias(f"upto_{n}_pct")
         for n in (10, 50)
     ])
-    low = quantiles(words, "word_count", [0.1]).select(F.floor("p10").alias("p10_words"))
+    low = quantiles(measures, "word_count", [0.1]).select(F.floor("p10").alias("p10_words"))
     return attach(shares, low)
 
 
-def clipped_histogram(texts: DataFrame, bins: int = 50, point: float = 0.99) -> DataFrame:
+def clipped_histogram(measures: DataFrame, bins: int = 50, point: float = 0.99) -> DataFrame:
     """Word counts with everything above a quantile moved to it."""
-    words = measured(texts)
-    bound = quantiles(words, "word_count", [point]).toDF("bound")
+    bound = quantiles(measures, "word_count", [point]).toDF("bound")
     clipped = F.least(F.col("word_count").cast("double"), F.col("bound"))
-    return equal_width_histogram(attach(words, bound), clipped, bins)
+    return equal_width_histogram(attach(measures, bound), clipped, bins)
 
 
-def length_by_tag(texts: DataFrame, min_items: int = 100) -> DataFrame:
-    listed = explode_list(measured(texts), "tags", "tag", delimiter=", ")
+def length_by_tag(measures: DataFrame, min_items: int = 100) -> DataFrame:
+    listed = explode_list(measures, "tags", "tag", delimiter=", ").select("tag", "word_count")
     middle = quantiles(listed, "word_count", [0.5], ["tag"]).withColumnRenamed(
         "p50", "median_words"
     )
@@ -90,9 +94,9 @@ def length_by_tag(texts: DataFrame, min_items: int = 100) -> DataFrame:
     return means.filter(F.col("item_count") >= min_items).join(middle, "tag")
 
 
-def score_by_length(texts: DataFrame) -> DataFrame:
+def score_by_length(measures: DataFrame) -> DataFrame:
     band = cut(F.col("word_count"), LENGTH_EDGES, LENGTH_BANDS)
-    scored = measured(texts).filter(F.col("score").isNotNull())
+    scored = measures.filter(F.col("score").isNotNull())
     return scored.groupBy(band.alias("length_band")).agg(
         F.avg("score").alias("avg_score"),
         count("item_count"),
@@ -100,22 +104,18 @@ def score_by_length(texts: DataFrame) -> DataFrame:
     )
 
 
-def length_score_correlation(texts: DataFrame) -> DataFrame:
-    return measured(texts).filter(F.col("score").isNotNull()).agg(
+def length_score_correlation(measures: DataFrame) -> DataFrame:
+    return measures.filter(F.col("score").isNotNull()).agg(
         F.corr(F.col("word_count").cast("double"), F.col("score")).alias("correlation")
     )
 
 
-def _copies(texts: DataFrame) -> DataFrame:
-    """Copies per distinct text, keyed by SHA-256 so that no text goes through the shuffle."""
-    held = texts.filter(is_text(F.col("text")))
-    return held.groupBy(F.sha2("text", 256).alias("digest")).agg(
-        count("copies"), F.min("item_id").alias("first_item")
-    )
+def _copies(digests: DataFrame) -> DataFrame:
+    return digests.groupBy("digest").agg(count("copies"), F.min("item_id").alias("first_item"))
 
 
-def repeated(texts: DataFrame) -> DataFrame:
-    return _copies(texts).agg(
+def repeated(measures: DataFrame) -> DataFrame:
+    return _copies(measures).agg(
         F.sum("copies").alias("text_count"),
         F.sum(F.col("copies") - 1).alias("duplicate_count"),
         (100.0 * F.sum(F.col("copies") - 1) / F.sum("copies")).alias("duplicate_pct"),
@@ -123,17 +123,18 @@ def repeated(texts: DataFrame) -> DataFrame:
 
 
 def most_repeated(texts: DataFrame, k: int = 5) -> DataFrame:
-    """The k texts with the most copies, whole."""
-    top = _copies(texts).orderBy(F.desc("copies"), "digest").limit(k)
-    return F.broadcast(top).join(
-        texts.select(F.col("item_id").alias("first_item"), "text"), "first_item"
+    """The k texts with the most copies, whole; only those k are fetched again."""
+    digests = texts.filter(is_text(F.col("text"))).select(
+        "item_id", F.sha2("text", 256).alias("digest")
+    )
+    top = _copies(digests).orderBy(F.desc("copies"), "digest").limit(k)
+    return texts.select(F.col("item_id").alias("first_item"), "text").join(
+        F.broadcast(top), "first_item"
     ).select("copies", "digest", "text")
 
 
-def special_characters(texts: DataFrame) -> DataFrame:
-    held = texts.filter(is_text(F.col("text")))
-    shares = held.select(special_share(F.col("text")).alias("special_share"))
-    return describe(shares, "special_share", [0.75, 0.9, 0.95, 0.99])
+def special_characters(measures: DataFrame) -> DataFrame:
+    return describe(measures, "special_share", [0.75, 0.9, 0.95, 0.99])
 
 
 def word_counts(texts: DataFrame, min_length: int = 3) -> DataFrame:

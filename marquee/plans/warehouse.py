@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from marquee.plans import models, staging
@@ -69,28 +71,38 @@ def build(
     """Every table.  ``keep`` writes a table and hands back its reader.
 
     The items are counted first: a catalogue of up to a million rows is ranked in one task, a
-    larger one over ranges.
+    larger one over ranges.  Tables that do not read one another are submitted side by side, so
+    the tail of one fills up with the tasks of the next.
     """
     rows = staged.items.count() if count_items else None
-    item_stats = keep(
-        "item_stats",
-        models.item_stats(staged.items, staged.ratings, staged.entries, rows=rows),
-    )
-    user_profiles = keep(
-        "user_profiles",
-        models.user_profiles(staged.items, staged.ratings, staged.entries, keep=keep),
-    )
-    tag_metrics = keep("tag_metrics", models.tag_metrics(item_stats))
-    return Marts(
-        item_stats=item_stats,
-        user_profiles=user_profiles,
-        tag_metrics=tag_metrics,
-        content=keep(
-            "content_performance", models.content_performance(item_stats, staged.text, rows=rows)
-        ),
-        users=keep("user_segments", models.user_segments(user_profiles, diversity=diversity)),
-        tags=keep("tag_trends", models.tag_trends(tag_metrics, item_stats)),
-    )
+    facts = staged.ratings, staged.entries
+
+    def item_stats() -> DataFrame:
+        return keep("item_stats", models.item_stats(staged.items, *facts, rows=rows))
+
+    def user_profiles() -> DataFrame:
+        return keep("user_profiles", models.user_profiles(staged.items, *facts, keep=keep))
+
+    with ThreadPoolExecutor(4) as pool:
+        stats, profiles = (pool.submit(inheritable_thread_target(f)) for f in
+                           (item_stats, user_profiles))
+
+        def tag_metrics() -> DataFrame:
+            return keep("tag_metrics", models.tag_metrics(stats.result()))
+
+        def content() -> DataFrame:
+            return keep("content_performance",
+                        models.content_performance(stats.result(), staged.text, rows=rows))
+
+        def users() -> DataFrame:
+            return keep("user_segments",
+                        models.user_segments(profiles.result(), diversity=diversity))
+
+        metrics, performance, segments = (pool.submit(inheritable_thread_target(f)) for f in
+                                          (tag_metrics, content, users))
+        trends = keep("tag_trends", models.tag_trends(metrics.result(), stats.result()))
+        return Marts(stats.result(), profiles.result(), metrics.result(), performance.result(),
+                     segments.result(), trends)
 
 
 def shelved(spark: SparkSession, staged: Staged, label: str, **options) -> Marts:

@@ -11,11 +11,12 @@ def cells(spark, results, mode=None):
     data = []
     for query, given in results.items():
         for number, row in enumerate(given):
-            for column, value in row.items():
-                num = value if isinstance(value, float) else None
-                txt = None if isinstance(value, float) or value is None else str(value)
-                data.append((mode or "m", query, number, column, num, txt))
-    schema = "mode string, query_id string, row_no long, column string, num double, txt string"
+            data.append((mode or "m", query, number, [
+                (column, value if isinstance(value, float) else None,
+                 None if isinstance(value, float) or value is None else str(value))
+                for column, value in row.items()]))
+    schema = ("mode string, query_id string, row_no long, "
+              "cells array<struct<column:string,num:double,txt:string>>")
     df = spark.createDataFrame(data, schema)
     return df if mode else df.drop("mode")
 
@@ -85,11 +86,12 @@ def test_ranges_do_not_change_the_verdict(spark):
             "q": (600, 600), "other": (40, 40)}
 
 
-def test_long_cells_split_numbers_and_texts(spark, rows):
+def test_row_cells_split_numbers_and_texts(spark):
     df = spark.createDataFrame([(0, 1, 2.5, "x", True)],
                                "row_no int, a int, b double, c string, d boolean")
-    assert rows(compare.long_cells(df, ["row_no"], ["a", "b", "c", "d"])) == [
-        (0, "a", None, "1"), (0, "b", 2.5, None), (0, "c", None, "x"), (0, "d", None, "true")]
+    row = compare.row_cells(df, ["row_no"], ["a", "b", "c", "d"]).first()
+    assert [tuple(cell) for cell in row["cells"]] == [
+        ("a", None, "1"), ("b", 2.5, None), ("c", None, "x"), ("d", None, "true")]
 
 
 @pytest.mark.parametrize(("message", "label"), [
