@@ -70,6 +70,10 @@ def ratio(part: Column, whole: Column) -> Column:
     return part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
 
 
+def percent(part: Column, whole: Column) -> Column:
+    return 100.0 * ratio(part, whole)
+
+
 def growth(recent: Column, previous: Column) -> Column:
     return F.when(previous > 0, (recent - previous) / previous)
 

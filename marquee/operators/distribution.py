@@ -288,7 +288,7 @@ def top_share(counts: DataFrame, sizes: dict[str, Column]) -> DataFrame:
         .groupBy(F.col("part.label").alias("label"))
         .agg(
             F.max("part.k").alias("top_rows"),
-            (F.sum("part.held") / F.max("sum_total")).alias("share"),
+            (F.sum("part.held") / F.nullif(F.max("sum_total"), F.lit(0))).alias("share"),
         )
     )
 
@@ -303,7 +303,8 @@ def gini(counts: DataFrame) -> DataFrame:
     total = F.max("total").cast("double")
     return counts.agg(
         F.max("total").alias("n_rows"),
-        (2 * F.sum(places * value) / (total * F.max("sum_total")) - (total + 1) / total)
+        (2 * F.sum(places * value) / F.nullif(total * F.max("sum_total"), F.lit(0.0))
+         - (total + 1) / total)
         .alias("gini"),
     )
 
@@ -313,7 +314,7 @@ def lorenz(counts: DataFrame) -> DataFrame:
     return counts.select(
         "value",
         (F.col("upto") / F.col("total")).alias("population_share"),
-        (F.col("sum_upto") / F.col("sum_total")).alias("value_share"),
+        (F.col("sum_upto") / F.nullif(F.col("sum_total"), F.lit(0))).alias("value_share"),
     )
 
 

@@ -12,6 +12,7 @@ from marquee.functions.columns import (
     cut,
     equal_width_bin,
     first_listed,
+    percent,
     ratio,
 )
 from marquee.operators.distribution import (
@@ -53,7 +54,7 @@ def null_share(df: DataFrame) -> DataFrame:
     """(column_name, null_pct) of every column, in one pass."""
     names = df.columns
     shares = df.agg(*[
-        (100.0 * F.count_if(F.col(f"`{n}`").isNull()) / F.count("*")).alias(n) for n in names
+        percent(F.count_if(F.col(f"`{n}`").isNull()), F.count("*")).alias(n) for n in names
     ])
     return _as_rows(shares, "column_name", names, "null_pct")
 
@@ -65,7 +66,7 @@ def sentinel_share(df: DataFrame, names: Sequence[str], sentinel: str = UNKNOWN)
         *[F.count_if(F.col(f"`{n}`") == sentinel).alias(n) for n in names],
     )
     rows = [F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").alias("sentinel_count"),
-                     (100.0 * F.col(f"`{n}`") / F.col("_rows")).alias("sentinel_pct"))
+                     percent(F.col(f"`{n}`"), F.col("_rows")).alias("sentinel_pct"))
             for n in names]
     return counts.select(F.inline(F.array(*rows)))
 
@@ -227,7 +228,8 @@ def equal_width_histogram(
         F.max(low + (F.col("bin") + 1) * width).alias("high"),
         F.count("*").alias("row_count"),
         F.sum("weight").alias("weight"),
-        (F.sum("weight") / F.max("_total") / F.max(F.nullif(width, F.lit(0.0))))
+        (F.sum("weight") / F.nullif(F.max("_total"), F.lit(0.0))
+         / F.max(F.nullif(width, F.lit(0.0))))
         .alias("density"),
     )
 

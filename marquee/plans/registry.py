@@ -169,9 +169,10 @@ def profile_queries() -> dict[str, Query]:
 
     return {
         "profile_nulls": on_staged(lambda s: P.null_share(s.items)),
-        "profile_sentinels": on_staged(lambda s: P.sentinel_share(
-            s.items, ["type", "tags", "makers", "source_material", "english_name", "aired",
-                      "premiered"])),
+        "profile_sentinels": lambda spark, folder: settled(P.sentinel_share(
+            supplied.items(spark, folder),
+            ["Score", "Episodes", "Members", "Type", "Genres", "Studios", "Source", "Aired",
+             "Premiered"])),
         "profile_duplicates": on_staged(
             lambda s: P.duplicates(s.items, "item_id").unionByName(P.duplicates(s.items, "name"))
         ),

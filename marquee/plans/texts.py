@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.columns import cut, special_share, words_by_whitespace
+from marquee.functions.columns import cut, percent, special_share, words_by_whitespace
 from marquee.operators.distribution import attach, cumulative, describe, quantiles, top_share
 from marquee.operators.explode import explode_list
 from marquee.plans.profiling import equal_width_histogram
@@ -71,7 +71,7 @@ def length_stats(measures: DataFrame) -> DataFrame:
 def short_shares(measures: DataFrame) -> DataFrame:
     """The 10% quantile of the word counts, and the shares at or below 10 and 50 words."""
     shares = measures.agg(*[
-        (100.0 * F.count_if(F.col("word_count") <= n) / F.count("*")).alias(f"upto_{n}_pct")
+        percent(F.count_if(F.col("word_count") <= n), F.count("*")).alias(f"upto_{n}_pct")
         for n in (10, 50)
     ])
     low = quantiles(measures, "word_count", [0.1]).select(F.floor("p10").alias("p10_words"))

@@ -83,9 +83,9 @@ def build(
     def user_profiles() -> DataFrame:
         return keep("user_profiles", models.user_profiles(staged.items, *facts, keep=keep))
 
+    in_session = inheritable_thread_target(staged.items.sparkSession)
     with ThreadPoolExecutor(4) as pool:
-        stats, profiles = (pool.submit(inheritable_thread_target(f)) for f in
-                           (item_stats, user_profiles))
+        stats, profiles = (pool.submit(in_session(f)) for f in (item_stats, user_profiles))
 
         def tag_metrics() -> DataFrame:
             return keep("tag_metrics", models.tag_metrics(stats.result()))
@@ -98,8 +98,9 @@ def build(
             return keep("user_segments",
                         models.user_segments(profiles.result(), diversity=diversity))
 
-        metrics, performance, segments = (pool.submit(inheritable_thread_target(f)) for f in
-                                          (tag_metrics, content, users))
+        metrics, performance, segments = (
+            pool.submit(in_session(f)) for f in (tag_metrics, content, users)
+        )
         trends = keep("tag_trends", models.tag_trends(metrics.result(), stats.result()))
         return Marts(stats.result(), profiles.result(), metrics.result(), performance.result(),
                      segments.result(), trends)

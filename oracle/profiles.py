@@ -117,10 +117,10 @@ PROFILES: dict[str, tuple[str, str]] = {
         f"select '{c}' as column_name, 100.0 * (count(*) - count({c})) / count(*) as null_pct "
         "from stg_items" for c in _ITEM_COLUMNS), "null_pct"),
     "profile_sentinels": (" union all ".join(
-        f"""select '{c}' as column_name, count(*) filter (where {c} = 'Unknown') as sentinel_count,
-        100.0 * count(*) filter (where {c} = 'Unknown') / count(*) as sentinel_pct from stg_items"""
-        for c in ("type", "tags", "makers", "source_material", "english_name", "aired",
-                  "premiered")), "sentinel_pct"),
+        f"""select '{c}' as column_name, count(*) filter (where "{c}" = 'Unknown') as sentinel_count,
+        100.0 * count(*) filter (where "{c}" = 'Unknown') / count(*) as sentinel_pct from raw_items"""
+        for c in ("Score", "Episodes", "Members", "Type", "Genres", "Studios", "Source", "Aired",
+                  "Premiered")), "sentinel_pct"),
     "profile_duplicates": (" union all ".join(
         f"""select '{c}' as column_name, count(*) as row_count,
           count(*) - count(distinct {c}) as duplicate_count,
