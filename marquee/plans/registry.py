@@ -23,7 +23,7 @@ from marquee.plans import (
 )
 from marquee.plans.metrics import metric
 from marquee.plans.texts import DESCRIBED
-from marquee.plans.warehouse import Marts, Staged, build, stage_supplied
+from marquee.plans.warehouse import Marts, Staged, marts_of, stage_supplied
 from marquee.sources import supplied
 from marquee.sources.writers import Shelf
 
@@ -59,13 +59,15 @@ def shelf(spark: SparkSession, folder: str) -> Shelf:
 
 
 def marts(spark: SparkSession, folder: str) -> Marts:
-    """The tables of a folder, built once per session into the shared folder.
+    """The tables of a folder, each made once per session in the shared folder when first read.
 
     The questions read these as they would the saved tables of a warehouse.
     """
     key = (spark.sparkContext.applicationId, folder)
     if key not in _marts:
-        _marts[key] = build(staged(spark, folder), shelf(spark, folder), diversity=DIVERSITY)
+        _marts[key] = marts_of(
+            staged(spark, folder), shelf(spark, folder), diversity=DIVERSITY
+        )
     return _marts[key]
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark import inheritable_thread_target
@@ -54,60 +53,75 @@ def as_views(staged: Staged, prefix: str = "stg_") -> None:
         as_view(getattr(staged, name), prefix + name)
 
 
-@dataclass(frozen=True)
 class Marts:
-    item_stats: DataFrame
-    user_profiles: DataFrame
-    tag_metrics: DataFrame
-    content: DataFrame
-    users: DataFrame
-    tags: DataFrame
-
-
-def build(
-    staged: Staged, keep: Keep = unkept, *, diversity=models.VIEWING_DIVERSITY,
-    count_items: bool = True,
-) -> Marts:
-    """Every table.  ``keep`` writes a table and hands back its reader.
-
-    The items are counted first: a catalogue of up to a million rows is ranked in one task, a
-    larger one over ranges.  Tables that do not read one another are submitted side by side, so
-    the tail of one fills up with the tasks of the next.
+    """The tables.  Each is made when it is first asked for, from the tables it reads.
+
+    ``keep`` is the cut point between them: it writes a table and hands back its reader, or, left
+    out, leaves the whole plan lazy.  ``rows`` is the number of items: a catalogue of up to a
+    million is ranked in one task, a larger or uncounted one over ranges.
     """
-    rows = staged.items.count() if count_items else None
-    facts = staged.ratings, staged.entries
 
-    def item_stats() -> DataFrame:
-        return keep("item_stats", models.item_stats(staged.items, *facts, rows=rows))
+    def __init__(self, staged: Staged, keep: Keep = unkept, *, rows: int | None = None,
+                 diversity=models.VIEWING_DIVERSITY):
+        self._staged, self._keep, self._rows, self._diversity = staged, keep, rows, diversity
 
-    def user_profiles() -> DataFrame:
-        return keep("user_profiles", models.user_profiles(staged.items, *facts, keep=keep))
+    @cached_property
+    def item_stats(self) -> DataFrame:
+        s = self._staged
+        return self._keep(
+            "item_stats", models.item_stats(s.items, s.ratings, s.entries, rows=self._rows)
+        )
 
-    in_session = inheritable_thread_target(staged.items.sparkSession)
-    with ThreadPoolExecutor(4) as pool:
-        stats, profiles = (pool.submit(in_session(f)) for f in (item_stats, user_profiles))
+    @cached_property
+    def user_profiles(self) -> DataFrame:
+        s = self._staged
+        return self._keep(
+            "user_profiles",
+            models.user_profiles(s.items, s.ratings, s.entries, keep=self._keep),
+        )
 
-        def tag_metrics() -> DataFrame:
-            return keep("tag_metrics", models.tag_metrics(stats.result()))
+    @cached_property
+    def tag_metrics(self) -> DataFrame:
+        return self._keep("tag_metrics", models.tag_metrics(self.item_stats))
 
-        def content() -> DataFrame:
-            return keep("content_performance",
-                        models.content_performance(stats.result(), staged.text, rows=rows))
+    @cached_property
+    def content(self) -> DataFrame:
+        return self._keep("content_performance", models.content_performance(
+            self.item_stats, self._staged.text, rows=self._rows
+        ))
 
-        def users() -> DataFrame:
-            return keep("user_segments",
-                        models.user_segments(profiles.result(), diversity=diversity))
+    @cached_property
+    def users(self) -> DataFrame:
+        return self._keep("user_segments", models.user_segments(
+            self.user_profiles, diversity=self._diversity
+        ))
 
-        metrics, performance, segments = (
-            pool.submit(in_session(f)) for f in (tag_metrics, content, users)
-        )
-        trends = keep("tag_trends", models.tag_trends(metrics.result(), stats.result()))
-        return Marts(stats.result(), profiles.result(), metrics.result(), performance.result(),
-                     segments.result(), trends)
+    @cached_property
+    def tags(self) -> DataFrame:
+        return self._keep("tag_trends", models.tag_trends(self.tag_metrics, self.item_stats))
+
+    def make_all(self) -> Marts:
+        """Make every table.  Those that do not read one another are submitted side by side, so
+        the tail of one fills up with the tasks of the next."""
+        in_session = inheritable_thread_target(self._staged.items.sparkSession)
+        with ThreadPoolExecutor(2) as pool:
+            users = pool.submit(in_session(lambda: self.users))
+            _ = self.item_stats
+            content = pool.submit(in_session(lambda: self.content))
+            _ = self.tags
+            users.result()
+            content.result()
+        return self
+
+
+def marts_of(staged: Staged, keep: Keep = unkept, **options) -> Marts:
+    """The tables of a counted catalogue."""
+    return Marts(staged, keep, rows=staged.items.count(), **options)
 
 
 def shelved(spark: SparkSession, staged: Staged, label: str, **options) -> Marts:
-    return build(staged, Shelf(spark, label), **options)
+    """Every table, written once under the shared folder."""
+    return marts_of(staged, Shelf(spark, label), **options).make_all()
 
 
 def save(marts: Marts, database: str = "marts") -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marquee.plans.texts import STOP_WORDS
 from oracle.tables import PIECES
 
 _POINTS = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -58,16 +59,10 @@ select * from (select item_id, word_count, trim(unnest(string_split(tags, ', '))
                from usable_text where tags <> 'Unknown') where tag <> ''
 """
 
-_STOP = """the a an and or but in on at to for of with by from is are was were be been has have had do
-does did will would could should may might this that these those it its his her he she they them
-their who which what when where how all each every both few more most other some such no not only
-own same than too very just about also into as after before between through during while if then
-so because up out one two new now way can over him my our your any being there even""".split()
-
 PIECES["text_words"] = f"""
 select word, count(*) as word_count
 from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from usable_text)
-where length(word) > 2 and word not in ({", ".join(f"'{w}'" for w in _STOP)})
+where length(word) > 2 and word not in ({", ".join(f"'{w}'" for w in STOP_WORDS)})
 group by word
 """
 

@@ -12,7 +12,7 @@ from marquee.plans.staging import (
     staged_list_entries,
     staged_ratings,
 )
-from marquee.plans.warehouse import Staged, build
+from marquee.plans.warehouse import Staged, marts_of
 from marquee.sources import schemas
 
 
@@ -80,7 +80,7 @@ def marts(spark):
         "item_text": spark.createDataFrame(
             [(i, "n", "8.1", "a", "some words") for i in range(1, 30)], schemas.ITEM_TEXT),
     }
-    return build(Staged(frames.__getitem__))
+    return marts_of(Staged(frames.__getitem__))
 
 
 def test_item_without_facts_keeps_null_stats(marts):

@@ -32,7 +32,7 @@ def no_broadcast(spark):
 def test_no_plan_pairs_all_rows_or_gathers_them_in_one_task(spark, no_broadcast):
     """Without size-based broadcasts every join still has a key, no row goes to Python, and what
     ends in a single task is already aggregated or limited."""
-    marts(spark, SMALL)
+    marts(spark, SMALL).make_all()
     bounded = re.compile(r"(\(\d+\) )?(HashAggregate|ObjectHashAggregate|SortAggregate|LocalLimit|"
                          r"TakeOrderedAndProject|Sort )")
     for name, query in entry.queries().items():
