@@ -6,7 +6,7 @@ import pytest
 
 from marquee.plans.dictionary import TABLES
 from marquee.plans.registry import marts
-from marquee.plans.warehouse import as_views, save, stage_files, stage_supplied
+from marquee.plans.warehouse import as_views, save, shelved, stage_files, stage_supplied
 from marquee.sources import published, readers, schemas, writers
 from tests.conftest import SMALL
 
@@ -43,6 +43,15 @@ def test_csv_sources_to_staged_rows(spark, files):
     assert text["score"] == 8.1
 
 
+def test_files_to_written_tables(spark, files):
+    built = shelved(spark, stage_files(spark, files), "from files")
+    row = built.content.first()
+    assert (row["item_id"], row["rating_count"], row["completion_rate"]) == (1, 1, 0.5)
+    assert built.users.count() == 1
+    assert built.tags.count() == 0
+    assert all("from_files" in f for f in built.content.inputFiles())
+
+
 def test_unknown_source_is_named(spark):
     with pytest.raises(KeyError, match="nothing"):
         readers.source(spark, "nothing", "/nowhere")
