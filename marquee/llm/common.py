@@ -40,7 +40,7 @@ def _scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{application}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def _forget(df: DataFrame) -> None:
+def forget(df: DataFrame) -> None:
     """Delete the files of a table made by `keep`, once nothing reads it any more."""
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -74,7 +74,7 @@ def components(edges: DataFrame) -> DataFrame:
             .select("a", F.col("low").alias("b")).distinct()
         )
         after = keep(small, "links")
-        _forget(links)
+        forget(links)
         links = after
         # done when every node hangs on one other, and nothing hangs on a hanging node
         roles = links.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))

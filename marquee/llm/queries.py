@@ -4,18 +4,71 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marquee.llm import boosted_rules, hash_tree, simhash
-from marquee.llm.common import table
+from marquee.llm import (
+    boosted_rules,
+    entropy_mix,
+    hash_tree,
+    host_paths,
+    merge_replay,
+    projection_forest,
+    simhash,
+    subword_quality,
+    weak_toxicity,
+)
+from marquee.llm.common import crc_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def op1_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return projection_forest.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op2_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = crc_of("doc_id") % 4 == 2
+    model = weak_toxicity.fit_on(docs, table(spark, folder, "labels"), ~held_out)
+    return weak_toxicity.add_score(docs, model, "score").select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= weak_toxicity.PREDICT_FROM).cast("int").alias("predicted"),
+    )
+
+
+def op3_subword_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = crc_of("doc_id") % 5 == 0
+    model = subword_quality.fit_on(docs, table(spark, folder, "labels"), ~held_out)
+    return subword_quality.add_score(docs, model, "score").select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= subword_quality.KEEP_FROM).cast("int").alias("predicted"),
+    )
+
+
+def op4_entropy_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return entropy_mix.taken_words(table(spark, folder, "documents"))
+
+
 def op6_hash_tree(spark: SparkSession, folder: str) -> DataFrame:
     return hash_tree.shard_rows(table(spark, folder, "documents"), hash_tree.even_tree())
 
 
+def op7_merge_replay(spark: SparkSession, folder: str) -> DataFrame:
+    return merge_replay.digests(
+        table(spark, folder, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    )
+
+
+def op8_host_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return host_paths.main_texts(table(spark, folder, "pages"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -27,7 +80,10 @@ def op10_boosted_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op6_hash_tree, op9_simhash, op10_boosted_rules)}
+    return {q.__name__: q for q in (
+        op1_projection_forest, op2_weak_toxicity, op3_subword_quality, op4_entropy_mix, op6_hash_tree,
+        op7_merge_replay, op8_host_paths, op9_simhash, op10_boosted_rules,
+    )}
 
 
 def all_sql() -> dict[str, str]:
