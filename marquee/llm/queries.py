@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm import (
     boosted_rules,
+    causal_lm,
     entropy_mix,
     hash_tree,
     host_paths,
@@ -55,6 +56,13 @@ def op4_entropy_mix(spark: SparkSession, folder: str) -> DataFrame:
     return entropy_mix.taken_words(table(spark, folder, "documents"))
 
 
+def op5_causal_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = crc_of("doc_id") % 7 == 2
+    ranks = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    return causal_lm.score(docs, held_out, causal_lm.fit(docs, held_out, *ranks), *ranks)
+
+
 def op6_hash_tree(spark: SparkSession, folder: str) -> DataFrame:
     return hash_tree.shard_rows(table(spark, folder, "documents"), hash_tree.even_tree())
 
@@ -81,8 +89,8 @@ def op10_boosted_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
-        op1_projection_forest, op2_weak_toxicity, op3_subword_quality, op4_entropy_mix, op6_hash_tree,
-        op7_merge_replay, op8_host_paths, op9_simhash, op10_boosted_rules,
+        op1_projection_forest, op2_weak_toxicity, op3_subword_quality, op4_entropy_mix, op5_causal_lm,
+        op6_hash_tree, op7_merge_replay, op8_host_paths, op9_simhash, op10_boosted_rules,
     )}
 
 
