@@ -51,7 +51,7 @@ BLOCK = 16
 PARTS = 32
 ROUNDS = 2
 RATE = 0.01
-STEP_IDS = 2048
+STEP_IDS = 1024
 # words sent to all tasks, words that a task counts or remembers before it hands them on
 COMMON_WORDS = 200_000
 COUNTED_WORDS = 500_000
@@ -90,7 +90,8 @@ def count_words(texts: DataFrame) -> DataFrame:
                 if len(counts) > COUNTED_WORDS:
                     yield out()
                     counts.clear()
-        yield out()
+        if counts:
+            yield out()
 
     return (
         texts.select(F.col("text").cast("binary").alias("text"))
