@@ -3,9 +3,9 @@
 Many weak voters look at a text: lexicons of words and of word beginnings, the number and density of
 their hits, and patterns of writing.  The lexicons are words and beginnings that mark labelled training
 texts; each family is dealt out to several voters.  A generative label model explains the votes of a
-text by its hidden class: a vector of accuracies per class (how often each voter fires) and one matrix
-of covariances (which voters fire together beyond what the class explains), estimated by expectation
-maximisation without looking at labels.  Its posteriors are the labels on which a linear classifier,
+text by its hidden class: a vector of accuracies per class (how often each voter fires) and the
+correlations of voters within a class (by which voters that repeat one another are weighed down),
+estimated by expectation maximisation without looking at labels.  Its posteriors are the labels on which a linear classifier,
 over lexicon entries, votes and the share of hits, is trained; it scores every text.
 
 Defined results: a NULL, empty or blank text has no words, no voter fires, and it gets the score of a
@@ -32,6 +32,8 @@ LEAST_TEXTS = 8
 LEAST_Z = 4.0
 VOTERS_PER_FAMILY = 4
 PREDICT_FROM = 0.3
+# correlations below this are taken for chance
+LEAST_CORRELATION = 0.1
 
 # fixed values: marks that stand at the ends of words
 MARKS = b".,;:!?\"'()[]{}*&$%#|<>-_"
@@ -97,33 +99,46 @@ class Lexicon:
 
 @dataclass
 class LabelModel:
-    """Firing rates per class, one covariance of all voters, and the share of class 1."""
+    """Firing rates of the voters per class, their covariance within classes, and the share of class 1.
+
+    Voters are weighed by how alone they stand: one that fires together with others beyond what the class
+    explains counts once with them, not as often as they are.
+    """
 
     rates: np.ndarray
     covariance: np.ndarray
     share: float
 
+    def correlation(self) -> np.ndarray:
+        spread = np.sqrt(np.maximum(np.diag(self.covariance), 1e-12))
+        found = self.covariance / np.outer(spread, spread)
+        np.fill_diagonal(found, 1.0)
+        return found
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        inverse = np.linalg.inv(self.covariance)
-        weight = inverse @ (self.rates[1] - self.rates[0])
-        middle = (self.rates[1] + self.rates[0]) / 2
-        odds = (votes - middle) @ weight + np.log(self.share / (1 - self.share))
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        together = np.abs(self.correlation())
+        alone = 1 / np.where(together >= LEAST_CORRELATION, together, 0).sum(axis=1)
+        fires = np.log(self.rates[1] / self.rates[0])
+        silent = np.log((1 - self.rates[1]) / (1 - self.rates[0]))
+        odds = votes @ (alone * (fires - silent)) + (alone * silent).sum()
+        return 1 / (1 + np.exp(-np.clip(odds + np.log(self.share / (1 - self.share)), -30, 30)))
 
 
-def fit_label_model(votes: np.ndarray, rounds: int = 30, ridge: float = 0.02) -> LabelModel:
+def fit_label_model(votes: np.ndarray, rounds: int = 50) -> LabelModel:
     """Estimate rates, covariance and class share from votes alone.
 
     The lexicon voters start it: texts where two or more of them fire begin as class 1.
     """
     lexicon = votes[:, :-len(PATTERNS)].sum(axis=1)
     p = np.where(lexicon >= 2, 0.95, np.where(lexicon == 1, 0.3, 0.02))
+    overall = votes.mean(axis=0)
     model = None
     for _ in range(rounds):
         weight = np.stack([1 - p, p])
-        rates = (weight @ votes + 0.5 * votes.mean(axis=0)) / (weight.sum(axis=1)[:, None] + 0.5)
-        spread = sum((votes - rates[k]).T @ ((votes - rates[k]) * weight[k][:, None]) for k in (0, 1))
-        covariance = spread / len(votes) + ridge * np.eye(votes.shape[1])
+        rates = (weight @ votes + 2 * overall + 0.5) / (weight.sum(axis=1)[:, None] + 3)
+        covariance = sum(
+            (votes - rates[k]).T @ ((votes - rates[k]) * weight[k][:, None]) for k in (0, 1)
+        ) / len(votes)
         model = LabelModel(rates, covariance, float(np.clip(p.mean(), 1e-4, 1 - 1e-4)))
         after = model.posterior(votes)
         if np.abs(after - p).max() < 1e-6:
