@@ -120,14 +120,15 @@ def equal_width_bin(c: Column, low: Column, high: Column, bins: int) -> Column:
 
 
 def cells_equal(expected: Column, actual: Column, tolerance: float = 0.05) -> Column:
-    """Equality of two result cells, each a struct of ``num`` (fractional) or ``txt`` (the rest).
+    """Equality of two result cells, each a struct of ``num`` (fractional), ``whole`` or ``txt``.
 
     Fractional values match within the relative tolerance (exactly when zero is expected),
     whole numbers and text match exactly, NULL matches NULL and NaN matches NaN.
     """
     e_num, a_num = expected["num"], actual["num"]
-    e_txt, a_txt = expected["txt"], actual["txt"]
-    both_missing = e_num.isNull() & e_txt.isNull() & a_num.isNull() & a_txt.isNull()
+    both_missing = F.lit(True)
+    for kind in ("num", "whole", "txt"):
+        both_missing = both_missing & expected[kind].isNull() & actual[kind].isNull()
     both_nan = F.isnan(e_num) & F.isnan(a_num)
     close = F.when(e_num == 0, a_num == 0).otherwise(
         F.abs(e_num - a_num) < F.abs(e_num) * tolerance
@@ -135,6 +136,7 @@ def cells_equal(expected: Column, actual: Column, tolerance: float = 0.05) -> Co
     return both_missing | F.coalesce(
         F.when(e_num.isNotNull() & a_num.isNotNull(),
                both_nan | (close & ~F.isnan(e_num) & ~F.isnan(a_num))),
-        e_txt == a_txt,
+        expected["whole"] == actual["whole"],
+        expected["txt"] == actual["txt"],
         F.lit(False),
     )

@@ -17,10 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 512
+# ranges are found by halving; so many halvings tell more ranges apart than there can be
+HALVINGS = 30
 VALUES_PER_RANGE = 50_000
 SAMPLES_PER_RANGE = 8
-SMALL_ROWS = 1_000_000
 
 
 def histogram(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -56,7 +56,7 @@ def cumulative(
 
 def _cuts_upto(value: Column) -> Column:
     """How many of the sorted cut points are at or below the value, by halving steps."""
-    steps = F.array(*[F.lit(1 << bit) for bit in range(MAX_RANGES.bit_length() - 1, -1, -1)])
+    steps = F.array(*[F.lit(1 << bit) for bit in range(HALVINGS - 1, -1, -1)])
     found = F.aggregate(
         steps,
         F.lit(0),
@@ -108,9 +108,7 @@ def running_totals(
         sizes = distinct.select(
             *packed, F.col("size").alias("_distinct"), F.col("size").alias("_n_total")
         )
-    sizes = sizes.withColumn(
-        "_ranges", F.least(F.lit(MAX_RANGES), F.ceil(F.col("_distinct") / F.lit(per_range)))
-    )
+    sizes = sizes.withColumn("_ranges", F.ceil(F.col("_distinct") / F.lit(per_range)))
     # the condition names n, always >= 0: without it the filter would be pushed below the histogram,
     # and this branch would build one of its own instead of reusing the others' shuffle
     wanted = F.when((F.col("n") >= 0) & (F.col("_ranges") > 1),
@@ -152,8 +150,6 @@ def running_totals(
         *keys, "_range", "value", "n",
         *[F.sum(c).over(inside).alias(f"_{name}_inside") for name, c in sums.items()],
     )
-    # without groups there are at most MAX_RANGES + 1 offsets
-    offsets = offsets if keys else F.broadcast(offsets)
     return running.join(offsets, [*keys, "_range"]).select(
         *[F.col(k)[c].alias(c) for c, k in zip(by, keys, strict=True)],
         "value",
@@ -169,17 +165,13 @@ def add_ranks(
     df: DataFrame,
     ranks: dict[str, tuple[str, str]],
     *,
-    rows: int | None = None,
     per_range: int = VALUES_PER_RANGE,
 ) -> DataFrame:
     """Add global ranks, one column per entry ``name -> (kind, column)``.
 
     ``rank_desc`` is rank() over (order by column desc nulls last); ``percent_rank`` is
-    percent_rank() over (order by column asc nulls last).  Pass ``rows``, the counted number of
-    rows, to let an input of at most SMALL_ROWS take the plain one-task window instead.
+    percent_rank() over (order by column asc nulls last).
     """
-    if rows is not None and rows <= SMALL_ROWS:
-        return _add_ranks_in_one_task(df, ranks)
     out = df
     for column in dict.fromkeys(column for _, column in ranks.values()):
         kinds = {name: kind for name, (kind, c) in ranks.items() if c == column}
@@ -187,19 +179,6 @@ def add_ranks(
     return out
 
 
-def _add_ranks_in_one_task(df: DataFrame, ranks: dict[str, tuple[str, str]]) -> DataFrame:
-    everything = Window.partitionBy(F.lit(0))
-    added = {}
-    for name, (kind, column) in ranks.items():
-        if kind == "rank_desc":
-            order = everything.orderBy(F.desc_nulls_last(column))
-            added[name] = F.rank().over(order).cast("long")
-        else:
-            order = everything.orderBy(F.asc_nulls_last(column))
-            added[name] = F.percent_rank().over(order)
-    return df.withColumns(added)
-
-
 def _add_ranks_of(
     out: DataFrame, source: DataFrame, column: str, kinds: dict[str, str], per_range: int
 ) -> DataFrame:

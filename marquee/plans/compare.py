@@ -1,11 +1,15 @@
 """Tolerant comparison of query results, and the rates that sum it up.
 
 Results are tables of rows: ``expected`` (query_id, row_no, cells) and ``actual`` with a ``mode`` in
-front.  A cell is (column, num, txt): ``num`` if the column is fractional, else ``txt`` (whole
-numbers and booleans as text), neither if it is NULL.  All rows of a result have the same columns;
+front.  A cell is (column, num, whole, txt): ``num`` if the column is fractional, ``whole`` if it holds
+whole numbers, else ``txt``, none of them if it is NULL.  All rows of a result have the same columns;
 rows are numbered from 0.
 
-Whole numbers are text on purpose: only fractions get the tolerance.
+A result without rows has no cells to tell its columns.  ``runs`` (mode, query_id, expected_columns,
+actual_columns) names every run and its columns, NULL for a run that failed; left out, the runs are
+those that have rows on both sides.
+
+Only fractions get the tolerance.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from marquee.functions.columns import cells_equal, round_to
 from marquee.operators.distribution import VALUES_PER_RANGE, number_rows
 
 RUN = ["mode", "query_id"]
+SLOTS = ["num", "whole", "txt"]
 TOLERANCE = 0.05
 ENOUGH = 0.5
 
@@ -29,10 +34,15 @@ def row_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Dat
     kinds = dict(df.dtypes)
 
     def cell(name: str) -> Column:
-        fractional = kinds[name] in ("double", "float") or kinds[name].startswith("decimal")
-        number = F.col(name).cast("double") if fractional else F.lit(None).cast("double")
-        text = F.lit(None).cast("string") if fractional else F.col(name).cast("string")
-        return F.struct(F.lit(name).alias("column"), number.alias("num"), text.alias("txt"))
+        kind = kinds[name]
+        fractional = kind in ("double", "float") or kind.startswith("decimal")
+        whole = kind in ("tinyint", "smallint", "int", "bigint")
+        held = {"double": fractional, "bigint": whole, "string": not fractional and not whole}
+        slots = [F.col(name).cast(to) if here else F.lit(None).cast(to)
+                 for to, here in held.items()]
+        return F.struct(F.lit(name).alias("column"), *[
+            slot.alias(into) for slot, into in zip(slots, SLOTS, strict=True)
+        ])
 
     return df.select(*keys, F.array(*[cell(c) for c in columns]).alias("cells"))
 
@@ -48,24 +58,39 @@ def _shape(results: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
     )
 
 
-def _shapes(expected: DataFrame, actual: DataFrame) -> DataFrame:
+def _shapes(expected: DataFrame, actual: DataFrame, runs: DataFrame | None) -> DataFrame:
     """One small row per run: do the sizes agree, and which columns do both sides have?"""
-    shapes = _shape(actual, RUN, "actual").join(
-        _shape(expected, ["query_id"], "expected"), "query_id"
+    actual_shape = _shape(actual, RUN, "actual")
+    expected_shape = _shape(expected, ["query_id"], "expected")
+    if runs is None:
+        shapes = actual_shape.join(expected_shape, "query_id")
+    else:
+        named = runs.select(*RUN, F.array_sort("expected_columns").alias("expected_columns"),
+                            F.array_sort("actual_columns").alias("actual_columns"))
+        shapes = (
+            named.join(actual_shape.drop("actual_columns"), RUN, "left")
+            .join(expected_shape.drop("expected_columns"), "query_id", "left")
+            .fillna(0, ["actual_rows", "expected_rows"])
+        )
+    ran = F.col("expected_columns").isNotNull() & F.col("actual_columns").isNotNull()
+    common = F.coalesce(
+        F.array_intersect("expected_columns", "actual_columns"), F.array().cast("array<string>")
     )
     return shapes.select(
         *RUN,
-        (F.col("expected_rows") == F.col("actual_rows")).alias("row_match"),
-        (F.size("expected_columns") == F.size("actual_columns")).alias("col_match"),
-        F.array_intersect("expected_columns", "actual_columns").alias("common"),
+        (ran & (F.col("expected_rows") == F.col("actual_rows"))).alias("row_match"),
+        (ran & (F.size("expected_columns") == F.size("actual_columns"))).alias("col_match"),
+        common.alias("common"),
         F.col("expected_rows").alias("size"),
     )
 
 
-def structure(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Per run: are there as many rows and as many columns?"""
-    return _shapes(expected, actual).drop("common", "size").withColumn(
-        "structure_match", F.col("row_match") & F.col("col_match")
+def structure(expected: DataFrame, actual: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Per run: are there as many rows and as many columns, and how many columns are common?"""
+    return _shapes(expected, actual, runs).select(
+        *RUN, "row_match", "col_match",
+        (F.col("row_match") & F.col("col_match")).alias("structure_match"),
+        F.size("common").cast("long").alias("common_columns"),
     )
 
 
@@ -87,13 +112,14 @@ def first_row(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def _placed(results: DataFrame, runs: DataFrame, on: Sequence[str], into: str,
             per_range: int) -> DataFrame:
-    """Rows of every run, cut to its common columns, fractions rounded to 2, numbered in the order
-    of their columns; NULL comes last."""
+    """Rows of every run, cut to its common columns, fractions rounded to 2, numbered in the order of
+    their first common column by its own type, then of the others; NULL comes last."""
     shared = F.filter("cells", lambda cell: F.array_contains("common", cell["column"]))
     rounded = F.sort_array(F.transform(shared, lambda cell: F.struct(
         cell["column"].alias("column"),
-        (cell["num"].isNull() & cell["txt"].isNull()).alias("missing"),
+        F.coalesce(*[cell[slot].cast("string") for slot in SLOTS]).isNull().alias("missing"),
         round_to(cell["num"], 2).alias("num"),
+        cell["whole"].alias("whole"),
         cell["txt"].alias("txt"),
     )))
     rows = results.join(runs, list(on)).select(*RUN, "row_no", rounded.alias(into))
@@ -104,14 +130,15 @@ def _placed(results: DataFrame, runs: DataFrame, on: Sequence[str], into: str,
 
 
 def result(
-    expected: DataFrame, actual: DataFrame, *, per_range: int = VALUES_PER_RANGE
+    expected: DataFrame, actual: DataFrame, runs: DataFrame | None = None,
+    *, per_range: int = VALUES_PER_RANGE,
 ) -> DataFrame:
     """Per run with equal row counts: do half of the rows agree in half of their common columns?
 
     Both sides are sorted by their common columns in the order of the names and compared by place.
     """
-    runs = _shapes(expected, actual).filter(
-        F.col("row_match") & (F.size("common") > 0)
+    runs = _shapes(expected, actual, runs).filter(
+        F.col("row_match") & (F.size("common") > 0) & (F.col("size") > 0)
     ).select(*RUN, "common", "size")
     # every run brings its own copy of the expected rows
     e = _placed(expected, runs, ["query_id"], "e", per_range)
@@ -131,16 +158,17 @@ def result(
     )
 
 
-def verdicts(expected: DataFrame, actual: DataFrame) -> DataFrame:
+def verdicts(expected: DataFrame, actual: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """The three levels side by side, one row per run."""
-    out = structure(expected, actual)
-    for level in (first_row(expected, actual), result(expected, actual)):
+    out = structure(expected, actual, runs)
+    for level in (first_row(expected, actual), result(expected, actual, runs)):
         out = out.join(level, RUN, "left")
     false = F.lit(False)
     return out.select(
         *RUN, "row_match", "col_match", "structure_match",
         F.coalesce("first_row_match", false).alias("first_row_match"),
         F.coalesce("result_match", false).alias("result_match"),
+        "common_columns",
     )
 
 

@@ -41,20 +41,17 @@ _RATING_COLUMNS = [
 ]
 
 
-def item_stats(
-    items: DataFrame, ratings: DataFrame, entries: DataFrame, *, rows: int | None = None
-) -> DataFrame:
+def item_stats(items: DataFrame, ratings: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per item: what is known of it, how it is rated, how it is watched.
 
-    The facts are aggregated to item grain before they meet the items.  ``rows``, a count of the
-    items, lets a small catalogue be ranked in one task.
+    The facts are aggregated to item grain before they meet the items.
     """
     known_items = items.select(
         "item_id", "name", "type", "tags", "source_material", "source_category", "makers",
         F.col("score").alias("community_score"), "followers", "favorites", "start_year",
         "season", "episodes", "is_digital_native",
     )
-    ranked = add_ranks(known_items, {"_place": ("percent_rank", "followers")}, rows=rows)
+    ranked = add_ranks(known_items, {"_place": ("percent_rank", "followers")})
     meta = ranked.withColumn(
         "followers_tier", ladder(F.col("_place"), ITEM_TIERS, "Lower Half")
     ).drop("_place")
@@ -163,7 +160,6 @@ def content_performance(
     text: DataFrame,
     *,
     most_followers: int = MOST_FOLLOWERS,
-    rows: int | None = None,
 ) -> DataFrame:
     """One row per item: quality, popularity, viewing, global ranks and the composite score."""
     ranked = add_ranks(
@@ -174,7 +170,6 @@ def content_performance(
             "completion_rank": ("rank_desc", "completion_rate"),
             "engagement_rank": ("rank_desc", "rating_count"),
         },
-        rows=rows,
     )
     reach = F.ln(F.greatest(F.col("followers"), F.lit(1))) / math.log(most_followers)
     score = (

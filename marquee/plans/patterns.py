@@ -68,8 +68,7 @@ def segment_pivot(
 
 
 def top_share(
-    c: DataFrame, least: float = 0.9, *, rows: int | None = None,
-    per_range: int = VALUES_PER_RANGE,
+    c: DataFrame, least: float = 0.9, *, per_range: int = VALUES_PER_RANGE,
 ) -> DataFrame:
     """Items at or above a percent rank of the composite score."""
     scored = c.filter(F.col("performance_score").isNotNull()).select(
@@ -77,7 +76,7 @@ def top_share(
     )
     ranked = add_ranks(
         scored, {"pct_rank": ("percent_rank", "performance_score")},
-        rows=rows, per_range=per_range,
+        per_range=per_range,
     )
     return (
         ranked.filter(F.col("pct_rank") >= least)

@@ -152,14 +152,13 @@ def yearly_series(items: DataFrame, first_year: int = 1960) -> DataFrame:
 def pivot_year_type(
     items: DataFrame, first_year: int = 2000, types: Sequence[str] = TYPES
 ) -> DataFrame:
-    """One row per year, one column of counts per type."""
+    """One row per year, one column of counts per type, and one for all other types and none."""
+    listed = F.coalesce(F.col("type").isin(list(types)), F.lit(False))
     return (
         items.filter(F.col("start_year") >= first_year)
         .groupBy("start_year")
-        .pivot("type", list(types))
-        .count()
-        .fillna(0)
-        .withColumnsRenamed({t: f"{t.lower()}_count" for t in types})
+        .agg(*[F.count_if(F.col("type") == t).alias(f"{t.lower()}_count") for t in types],
+             F.count_if(~listed).alias("other_count"))
         .orderBy("start_year")
     )
 
@@ -234,6 +233,38 @@ def equal_width_histogram(
     )
 
 
+def histogram_by(df: DataFrame, value: Column, bins: int, by: str) -> DataFrame:
+    """(by, bin, low, high, row_count, density) of non-empty bins, each group between its own limits.
+
+    For a few groups with known labels: their limits go along with every row.  The density of each
+    group integrates to one, so that groups of any size compare.
+    """
+    held = df.select(F.col(by), value.cast("double").alias("value")).dropna()
+    limits = held.groupBy(by).agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("total")
+    ).agg(F.map_from_entries(F.collect_list(F.struct(by, F.struct("low", "high", "total"))))
+          .alias("_limits"))
+    own = F.element_at("_limits", F.col(by))
+    low, width = own["low"], (own["high"] - own["low"]) / bins
+    placed = attach(held, limits).withColumn(
+        "bin", equal_width_bin(F.col("value"), own["low"], own["high"], bins)
+    )
+    return placed.groupBy(by, "bin").agg(
+        F.max(low + F.col("bin") * width).alias("low"),
+        F.max(low + (F.col("bin") + 1) * width).alias("high"),
+        F.count("*").alias("row_count"),
+        (F.count("*") / F.max(own["total"]) / F.max(F.nullif(width, F.lit(0.0)))).alias("density"),
+    )
+
+
+def with_activity_group(ratings: DataFrame, point: float = 0.99) -> DataFrame:
+    """Activity of users, and whether they are at or above a quantile of it."""
+    users = activity(ratings, "user_id")
+    bound = quantiles(users, "rating_count", [point]).toDF("bound")
+    busy = F.col("rating_count") >= F.col("bound")
+    return attach(users, bound).withColumn("user_group", F.when(busy, "power").otherwise("rest"))
+
+
 def log_histogram(df: DataFrame, name: str, bins: int) -> DataFrame:
     """Equal bins on the decimal logarithm; values below one count as one."""
     held = df.filter(F.col(name).isNotNull())
@@ -373,12 +404,7 @@ def rating_by_activity(ratings: DataFrame) -> DataFrame:
 
 def power_vs_rest(ratings: DataFrame, point: float = 0.99) -> DataFrame:
     """Users at or above a quantile of activity against the others."""
-    users = activity(ratings, "user_id")
-    bound = quantiles(users, "rating_count", [point]).toDF("bound")
-    compared = attach(users, bound).groupBy(
-        F.when(F.col("rating_count") >= F.col("bound"), "power").otherwise("rest")
-        .alias("user_group")
-    ).agg(
+    compared = with_activity_group(ratings, point).groupBy("user_group").agg(
         count("user_count"),
         F.sum("rating_count").alias("total_ratings"),
         F.avg("avg_rating").alias("avg_rating"),

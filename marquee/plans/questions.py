@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.columns import known, ladder, round_mean, round_to
@@ -45,8 +45,11 @@ def count(alias: str) -> Column:
 
 
 def with_share(grouped: DataFrame, n: str, into: str) -> DataFrame:
-    """Percentage of the sum of a grouped count.  The sum is a subquery, not a one-task window."""
-    total = grouped.agg(F.sum(n)).scalar()
+    """Percentage of the sum of a count, for the few rows of a grouping by labels.
+
+    The grouped rows meet in one task, so that the facts below are read once.
+    """
+    total = F.sum(n).over(Window.partitionBy())
     return grouped.withColumn(into, F.col(n) * 100.0 / total)
 
 

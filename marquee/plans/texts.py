@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marquee.functions.columns import cut, percent, special_share, words_by_whitespace
 from marquee.operators.distribution import attach, cumulative, describe, quantiles, top_share
 from marquee.operators.explode import explode_list
-from marquee.plans.profiling import equal_width_histogram
+from marquee.plans.profiling import box_by_group, equal_width_histogram
 from marquee.plans.questions import count
 
 # fixed value: the sentence that stands for a missing text
@@ -59,6 +59,18 @@ def presence(texts: DataFrame) -> DataFrame:
     )
 
 
+def score_by_presence(texts: DataFrame) -> DataFrame:
+    """Quartiles, extremes and count of the scores with and without a usable text."""
+    label = F.when(is_text(F.col("text")), "has text").otherwise("no text")
+    return box_by_group(texts.select(label.alias("presence"), "score"), "score", "presence")
+
+
+def text_share(texts: DataFrame) -> DataFrame:
+    """How many items have a usable text, and their share."""
+    held = F.count_if(is_text(F.col("text")))
+    return texts.agg(held.alias("item_count"), percent(held, F.count("*")).alias("item_pct"))
+
+
 def length_stats(measures: DataFrame) -> DataFrame:
     """Summary of length and of words, one row each."""
     long = measures.select(F.inline(F.array(
@@ -127,10 +139,9 @@ def most_repeated(texts: DataFrame, k: int = 5) -> DataFrame:
     digests = texts.filter(is_text(F.col("text"))).select(
         "item_id", F.sha2("text", 256).alias("digest")
     )
-    top = _copies(digests).orderBy(F.desc("copies"), "digest").limit(k)
-    return texts.select(F.col("item_id").alias("first_item"), "text").join(
-        F.broadcast(top), "first_item"
-    ).select("copies", "digest", "text")
+    top = _copies(digests).orderBy(F.desc("copies"), "digest").limit(k).select("digest", "copies")
+    fetched = texts.select(F.sha2("text", 256).alias("digest"), "text").join(F.broadcast(top), "digest")
+    return fetched.groupBy("copies", "digest").agg(F.min("text").alias("text"))
 
 
 def special_characters(measures: DataFrame) -> DataFrame:
@@ -149,13 +160,13 @@ def word_counts(texts: DataFrame, min_length: int = 3) -> DataFrame:
     )
 
 
-def frequent_words(texts: DataFrame, k: int = 30) -> DataFrame:
-    return word_counts(texts).orderBy(F.desc("word_count"), "word").limit(k)
+def frequent_words(counts: DataFrame, k: int = 30) -> DataFrame:
+    return counts.orderBy(F.desc("word_count"), "word").limit(k)
 
 
-def vocabulary(texts: DataFrame, top: int = 5000) -> DataFrame:
+def vocabulary(counts: DataFrame, top: int = 5000) -> DataFrame:
     """Vocabulary size, and the share of all words that the most frequent ones make up."""
-    counts = cumulative(word_counts(texts), "word_count", weigh=True)
+    counts = cumulative(counts, "word_count", weigh=True)
     size = counts.agg(F.max("total").alias("vocabulary_size"), F.max("sum_total").alias("words"))
     share = top_share(counts, {"top": F.lit(top)}).select(
         (100.0 * F.col("share")).alias("coverage_pct")

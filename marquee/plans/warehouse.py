@@ -57,20 +57,16 @@ class Marts:
     """The tables.  Each is made when it is first asked for, from the tables it reads.
 
     ``keep`` is the cut point between them: it writes a table and hands back its reader, or, left
-    out, leaves the whole plan lazy.  ``rows`` is the number of items: a catalogue of up to a
-    million is ranked in one task, a larger or uncounted one over ranges.
+    out, leaves the whole plan lazy.
     """
 
-    def __init__(self, staged: Staged, keep: Keep = unkept, *, rows: int | None = None,
-                 diversity=models.VIEWING_DIVERSITY):
-        self._staged, self._keep, self._rows, self._diversity = staged, keep, rows, diversity
+    def __init__(self, staged: Staged, keep: Keep = unkept, *, diversity=models.VIEWING_DIVERSITY):
+        self._staged, self._keep, self._diversity = staged, keep, diversity
 
     @cached_property
     def item_stats(self) -> DataFrame:
         s = self._staged
-        return self._keep(
-            "item_stats", models.item_stats(s.items, s.ratings, s.entries, rows=self._rows)
-        )
+        return self._keep("item_stats", models.item_stats(s.items, s.ratings, s.entries))
 
     @cached_property
     def user_profiles(self) -> DataFrame:
@@ -87,7 +83,7 @@ class Marts:
     @cached_property
     def content(self) -> DataFrame:
         return self._keep("content_performance", models.content_performance(
-            self.item_stats, self._staged.text, rows=self._rows
+            self.item_stats, self._staged.text
         ))
 
     @cached_property
@@ -115,8 +111,7 @@ class Marts:
 
 
 def marts_of(staged: Staged, keep: Keep = unkept, **options) -> Marts:
-    """The tables of a counted catalogue."""
-    return Marts(staged, keep, rows=staged.items.count(), **options)
+    return Marts(staged, keep, **options)
 
 
 def shelved(spark: SparkSession, staged: Staged, label: str, **options) -> Marts:

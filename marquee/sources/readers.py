@@ -12,19 +12,23 @@ from marquee.sources import schemas
 
 
 def _csv(spark: SparkSession, path: str, schema: StructType, *, multiline: bool) -> DataFrame:
-    """Read by header name, so that a file with more or reordered columns still fits.
+    """Read by header name, so that sources with more or reordered columns still fit.
 
-    Quotes inside quoted text are doubled.  A multi-line file cannot be split: keep such data in
+    A header that lacks a column is refused.  All files of a source must share one header: Spark
+    compares each file's header with that of the first and fails where they differ, so that no
+    value can land under another name.  Quotes inside quoted text are doubled.  A multi-line file cannot be split: keep such data in
     many files, or copy it to Parquet once with ``writers.to_parquet``.
     """
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multiline}
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multiline,
+               "enforceSchema": False}
     header = spark.read.options(**options).csv(path).columns
+    absent = [f.name for f in schema if f.name not in header]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
     as_text = ", ".join(f"`{name}` string" for name in header)
     raw = spark.read.options(**options).schema(as_text).csv(path)
     return raw.select([
-        F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.name in header
-        else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in schema
+        F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema
     ])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marquee.plans.dictionary import TABLES as DICTIONARY
+from oracle.dictionary import TABLES as DICTIONARY
 from oracle.tables import PIECES
 
 
@@ -65,8 +65,8 @@ METRICS: dict[str, tuple[str, str]] = {
          "item_id"),
         ("drop_rate", "avg(if(status = 'Dropped', 1.0, 0.0))", "stg_list_entries", "item_id"),
         ("performance_score", "avg(performance_score)", "content", "source_category"),
-        ("high_rating_ratio", "avg(if(rating > 7, 1.0, 0.0))", "stg_ratings", "item_id"),
-        ("low_rating_ratio", "avg(if(rating < 5, 1.0, 0.0))", "stg_ratings", "item_id"),
+        ("high_rating_ratio", "avg(if(rating >= 8, 1.0, 0.0))", "stg_ratings", "item_id"),
+        ("low_rating_ratio", "avg(if(rating <= 4, 1.0, 0.0))", "stg_ratings", "item_id"),
         ("total_ratings", "count(*)", "stg_ratings", "user_id"),
         ("user_avg_rating", "avg(rating)", "stg_ratings", "user_id"),
         ("user_completion_rate", "avg(if(status = 'Completed', 1.0, 0.0))", "stg_list_entries",
@@ -77,7 +77,7 @@ METRICS: dict[str, tuple[str, str]] = {
         ("tag_health_score",
          "cast(0.3 as double) * avg(if(start_year >= 2015, 1.0, 0.0)) "
          "+ cast(0.3 as double) * ((avg(community_score) - 1) / 9) "
-         "+ cast(0.2 as double) * avg(if(followers_tier like 'Top%', 1.0, 0.0)) "
+         "+ cast(0.2 as double) * avg(if(followers_tier in ('Top 1%', 'Top 5%', 'Top 10%'), 1.0, 0.0)) "
          "+ cast(0.2 as double) * avg(completion_rate)", "listed_tags", "tag"),
     )
 }
@@ -92,16 +92,16 @@ METRICS["metric_count_growth_rate"] = ("""select tag,
 def _dictionary() -> str:
     parts = []
     for table, entries in DICTIONARY.items():
-        for column, entry in entries.items():
+        for column, (kind, meaning, values) in entries.items():
             odd = "0"
-            if entry.values:
-                listed = ", ".join(f"'{v}'" for v in entry.values)
+            if values:
+                listed = ", ".join(f"'{v}'" for v in values)
                 odd = f"count(*) filter (where {column} not in ({listed}))"
             parts.append(
                 f"select '{table}' as table_name, '{column}' as column_name, "
-                f"'{entry.type}' as column_type, true as as_declared, "
-                f"'{entry.meaning.replace(chr(39), chr(39) * 2)}' as meaning, "
-                f"'{', '.join(entry.values)}' as allowed, count(*) as row_count, "
+                f"'{kind}' as column_type, true as as_declared, "
+                f"'{meaning.replace(chr(39), chr(39) * 2)}' as meaning, "
+                f"'{', '.join(values)}' as allowed, count(*) as row_count, "
                 f"count(*) - count({column}) as null_count, cast({odd} as bigint) "
                 f"as unlisted_count from {table}"
             )
@@ -125,7 +125,8 @@ from answers where not (q % 10 = 1 and row_no % 3 = 2)
 """
 PIECES["shapes"] = """
 select mode, q, max(given_rows) = max(rows) as row_match, bool_and(has_priority) as col_match,
-  max(given_rows) = max(rows) and bool_and(has_priority) as structure_match
+  max(given_rows) = max(rows) and bool_and(has_priority) as structure_match,
+  cast(if(bool_and(has_priority), 4, 3) as bigint) as common_columns
 from (select mode, q, count(*) as given_rows, bool_and(has_priority) as has_priority
       from given group by mode, q)
 join (select q, count(*) as rows from answers group by q) using (q)
@@ -144,11 +145,11 @@ select g.mode, g.q, (if(g.customer = e.customer, 1, 0) + if(g.status = e.status,
     + if(if(e.total = 0, g.total = 0, abs(e.total - g.total) < abs(e.total) * cast(0.05 as double)),
          1, 0)) >= if(g.has_priority, 4, 3) * 0.5 as agrees
 from (select mode, q, has_priority, customer, priority, status, round(total, 2) as total,
-        row_number() over (partition by mode, q order by cast(customer as varchar),
-          priority, status, round(total, 2), row_no) as place
+        row_number() over (partition by mode, q order by customer, priority, status,
+          round(total, 2), row_no) as place
       from given) g
 join (select mode, q, s.has_priority, customer, priority, status, round(total, 2) as total,
-        row_number() over (partition by mode, q order by cast(customer as varchar),
+        row_number() over (partition by mode, q order by customer,
           if(s.has_priority, priority, null), status, round(total, 2), row_no) as place
       from answers join (select mode, q, bool_and(has_priority) as has_priority from given
                          group by mode, q) s using (q)) e
@@ -193,14 +194,20 @@ def _rate(flag: str, mode: str) -> str:
 
 COMPARISONS: dict[str, tuple[str, str]] = {
     "compare_structure": (
-        f"select mode, {_QUERY}, row_match, col_match, structure_match from shapes", ""),
+        f"select mode, {_QUERY}, row_match, col_match, structure_match, "
+        "common_columns from shapes", ""),
     "compare_first_row": (f"select mode, {_QUERY}, first_row_match from first_rows", ""),
     "compare_result": (
         f"select mode, {_QUERY}, rows_compared, rows_agreeing, result_match from agreement", ""),
     "compare_verdicts": (f"""select mode, {_QUERY}, row_match, col_match, structure_match,
           coalesce(first_row_match, false) as first_row_match,
-          coalesce(result_match, false) as result_match
+          coalesce(result_match, false) as result_match, common_columns
         from shapes left join first_rows using (mode, q) left join agreement using (mode, q)""", ""),
+    # 0: both empty, 1: nothing expected, 2: nothing returned, 3: failed
+    "compare_few_rows": (f"""select mode, {_QUERY}, q % 4 = 0 as row_match, q % 4 <> 3 as col_match,
+          q % 4 = 0 as structure_match, false as first_row_match, false as result_match,
+          cast(if(q % 4 = 3, 0, 4) as bigint) as common_columns
+        from (select distinct mode, q from given)""", ""),
     "error_labels": ("""select message, error_type, count(*) as attempt_count
         from attempt_log group by message, error_type""", ""),
     "rates_by_mode": (f"""select mode, {_COUNTS},

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from marquee.plans.texts import STOP_WORDS
 from oracle.tables import PIECES
 
+# fixed values: words left out of the frequency count
+_STOP_WORDS = """
+the a an and or but in on at to for of with by from is are was were be been has have had do does
+did will would could should may might this that these those it its his her he she they them
+their who which what when where how all each every both few more most other some such no not
+only own same than too very just about also into as after before between through during while if
+then so because up out one two new now way can over him my our your any being there even
+""".split()
+
 _POINTS = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 _DESCRIBED = "mean std min max " + " ".join(_POINTS)
 
@@ -62,9 +70,32 @@ select * from (select item_id, word_count, trim(unnest(string_split(tags, ', '))
 PIECES["text_words"] = f"""
 select word, count(*) as word_count
 from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from usable_text)
-where length(word) > 2 and word not in ({", ".join(f"'{w}'" for w in STOP_WORDS)})
+where length(word) >= 3 and word not in ({", ".join(f"'{w}'" for w in _STOP_WORDS)})
+group by word
+"""
+
+
+PIECES["usable_documents"] = """
+select doc_id as item_id, text, length(text) as text_length,
+  len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) as word_count
+from documents where text <> ''
+"""
+PIECES["document_word_list"] = f"""
+select word, count(*) as word_count
+from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from usable_documents)
+where length(word) >= 3 and word not in ({", ".join(f"'{w}'" for w in _STOP_WORDS)})
 group by word
 """
+PIECES["user_tags"] = """
+select user_id, count(distinct tag) as tag_count
+from (select user_id, unnest(string_split(tags, ', ')) as tag
+      from stg_ratings join stg_items using (item_id)) group by user_id
+"""
+PIECES["grouped_users"] = """
+select *, if(rating_count >= (select quantile_cont(rating_count, 0.99) from user_activity),
+             'power', 'rest') as user_group
+from user_activity
+"""
 
 
 def _histogram(value: str, source: str, bins: int, weight: str = "") -> str:
@@ -159,7 +190,8 @@ PROFILES: dict[str, tuple[str, str]] = {
     "pivot_year_type": ("select start_year, " + ", ".join(
         f"sum(if(type = '{t}', 1, 0))::bigint as {t.lower()}_count"
         for t in ("TV", "OVA", "Movie", "ONA", "Special", "Music", "Unknown"))
-        + " from stg_items where start_year >= 2000 group by start_year", ""),
+        + ", sum(if(coalesce(type in ('TV', 'OVA', 'Movie', 'ONA', 'Special', 'Music', 'Unknown'), "
+        "false), 0, 1))::bigint as other_count from stg_items where start_year >= 2000 group by start_year", ""),
     "yearly_series": ("""select start_year, count(*) as item_count, avg(score) as avg_score,
           count(score) as scored_count
         from stg_items where start_year >= 1960 group by start_year""", "avg_score"),
@@ -272,7 +304,51 @@ PROFILES: dict[str, tuple[str, str]] = {
 _LONG = "(select 'text_length' as measure, text_length as value from usable_text union all " \
         "select 'word_count', word_count from usable_text)"
 
+_SPECIAL = """(select len(regexp_extract_all(text, '[^a-zA-Z0-9 \\t\\n\\x0B\\f\\r]'))
+              / cast(greatest(length(text), 1) as double) as s from {source})"""
+
+
+def _density(value: str, source: str, bins: int) -> tuple[str, str]:
+    """An unweighted histogram with its density."""
+    select = _histogram(value, source, bins, "1")
+    return f"select * exclude (weight) from ({select})", "low high density"
+
+
 PROFILES |= {
+    "activity_describe_items": (_describe("rating_count", "item_activity"), _DESCRIBED),
+    "histogram_user_counts": _density("rating_count", "user_activity", 100),
+    "histogram_user_means": _density("avg_rating", "user_activity", 50),
+    "histogram_item_counts": _density("rating_count", "item_activity", 100),
+    "histogram_item_means": _density("avg_rating", "item_activity", 50),
+    "histogram_unweighted": _density("score", "stg_items", 40),
+    "histogram_tag_diversity": _density("tag_count", "user_tags", 40),
+    "density_by_activity": (" union all ".join(
+        f"select '{group}' as user_group, * exclude (weight) from ("
+        + _histogram("avg_rating", f"(select * from grouped_users where user_group = '{group}')", 30, "1")
+        + ")" for group in ("power", "rest")), "low high density"),
+    "text_share": ("""select (select count(*) from usable_text) as item_count,
+          100.0 * (select count(*) from usable_text) / count(*) as item_pct from stg_item_text""",
+                   "item_pct"),
+    "score_by_text_presence": ("""select if(item_id in (select item_id from usable_text),
+            'has text', 'no text') as presence, count(*) as row_count, min(score) as p0,
+          quantile_cont(score, 0.25) as p25, median(score) as p50,
+          quantile_cont(score, 0.75) as p75, max(score) as p100
+        from stg_item_text where score is not null group by 1""", "p0 p25 p50 p75 p100"),
+    "document_length_stats": (_describe("value", _LONG.replace("usable_text", "usable_documents"),
+                                        "measure"), _DESCRIBED),
+    "document_special_chars": (_describe(
+        "s", _SPECIAL.format(source="usable_documents"),
+        points={"p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}),
+        "mean std min max p75 p90 p95 p99"),
+    "document_word_frequency": ("""select word, word_count from document_word_list
+        order by word_count desc, word limit 30""", ""),
+    "document_vocabulary": ("""select count(*) as vocabulary_size,
+          cast(sum(word_count) as bigint) as words,
+          100.0 * (select sum(word_count) from (select word_count from document_word_list
+            order by word_count desc limit 5000)) / sum(word_count) as coverage_pct
+        from document_word_list""", "coverage_pct"),
+    "document_most_repeated": ("""select count(*) as copies, sha256(text) as digest, text
+        from usable_documents group by text order by copies desc, digest limit 5""", ""),
     "text_presence": ("""select if(coalesce(text <> '' and text <>
             'No synopsis information has been added to this title.', false),
             'has text', 'no text') as presence,

@@ -35,5 +35,10 @@ TABLES: dict[str, tuple[str, str]] = {
 
 
 def all_sql() -> dict[str, str]:
-    parts = TABLES | QUESTIONS | PATTERNS | PROFILES | CHECKS | METRICS | COMPARISONS
+    files = {f"csv_{name.removeprefix('stg_')}": select for name, select in TABLES.items()
+             if name.startswith("stg_")}
+    # an empty text in a CSV file is no text
+    files["csv_item_text"] = ("""select * replace (nullif(text, '') as text,
+        nullif(text_length, 0) as text_length) from stg_item_text""", "score")
+    parts = TABLES | files | QUESTIONS | PATTERNS | PROFILES | CHECKS | METRICS | COMPARISONS
     return {name: sql(select, doubles=doubles) for name, (select, doubles) in parts.items()}

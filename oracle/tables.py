@@ -110,10 +110,12 @@ select "MAL_ID" as item_id, "Name" as name, "English name" as english_name,
   {", ".join(f'try_cast("{raw}" as double) as {name}' for name, raw in _REAL.items())},
   try_cast(regexp_extract("Aired", '([0-9]{{4}})', 1) as integer) as start_year,
   case when "Premiered" <> 'Unknown' then split_part("Premiered", ' ', 1) end as season,
-  case when "Source" = 'Unknown' then null
+  -- fixed values: which sources count as what
+  case when "Source" in ('Manga', 'Light novel', 'Visual novel', 'Novel', 'Web manga')
+       then 'IP-based'
        when "Source" = 'Original' then 'Original'
-       when "Source" in ('Manga', 'Light novel', 'Visual novel', 'Novel', 'Web manga')
-       then 'IP-based' else 'Other-IP' end as source_category,
+       when "Source" = 'Unknown' then null
+       else 'Other-IP' end as source_category,
   coalesce("Type" = 'ONA', false) as is_digital_native
 from raw_items
 """
@@ -124,8 +126,9 @@ select user_id, anime_id as item_id, rating from raw_ratings where rating >= 1 a
 
 PIECES["stg_list_entries"] = """
 select user_id, anime_id as item_id, rating, watching_status as status_code,
-  coalesce(['Watching', 'Completed', 'On Hold', 'Dropped', null, 'Plan to Watch'][watching_status],
-           'Unknown') as status,
+  -- fixed values: status codes
+  case watching_status when 1 then 'Watching' when 2 then 'Completed' when 3 then 'On Hold'
+       when 4 then 'Dropped' when 6 then 'Plan to Watch' else 'Unknown' end as status,
   watched_episodes
 from raw_list_entries
 """
@@ -231,7 +234,7 @@ select tag, count(distinct item_id) as item_count,
   min(start_year) as earliest_year, max(start_year) as latest_year,
   avg(rating_count) as avg_rating_count, cast(sum(rating_count) as bigint) as total_ratings,
   cast(sum(if(start_year >= 2015, 1, 0)) as double) / count(*) as recent_ratio,
-  cast(sum(if(followers_tier like 'Top%', 1, 0)) as double) / count(*) as popular_ratio
+  cast(sum(if(followers_tier in ('Top 1%', 'Top 5%', 'Top 10%'), 1, 0)) as double) / count(*) as popular_ratio
 from listed_tags group by tag having count(distinct item_id) >= 10
 """
 

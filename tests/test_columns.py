@@ -92,23 +92,23 @@ def test_equal_width_bins_keep_the_maximum(spark):
 
 
 @pytest.mark.parametrize(("expected", "actual", "same"), [
-    ((100.0, None), (104.9, None), True),
-    ((100.0, None), (105.1, None), False),
-    ((0.0, None), (0.0, None), True),
-    ((0.0, None), (0.001, None), False),
-    ((-100.0, None), (-104.0, None), True),
-    ((None, None), (None, None), True),
-    ((1.0, None), (None, None), False),
-    ((math.nan, None), (math.nan, None), True),
-    ((math.nan, None), (1.0, None), False),
-    ((1.0, None), (math.nan, None), False),
-    ((None, "100"), (None, "101"), False),
-    ((None, "x"), (None, "x"), True),
-    ((5.0, None), (None, "5"), False),
+    ((100.0, None, None), (104.9, None, None), True),
+    ((100.0, None, None), (105.1, None, None), False),
+    ((0.0, None, None), (0.0, None, None), True),
+    ((0.0, None, None), (0.001, None, None), False),
+    ((-100.0, None, None), (-104.0, None, None), True),
+    ((None, None, None), (None, None, None), True),
+    ((1.0, None, None), (None, None, None), False),
+    ((math.nan, None, None), (math.nan, None, None), True),
+    ((math.nan, None, None), (1.0, None, None), False),
+    ((1.0, None, None), (math.nan, None, None), False),
+    ((None, 100, None), (None, 101, None), False),
+    ((None, None, "x"), (None, None, "x"), True),
+    ((5.0, None, None), (None, 5, None), False),
 ])
 def test_cells_equal(spark, expected, actual, same):
     df = spark.createDataFrame(
-        [(expected, actual)], "e struct<num:double,txt:string>, a struct<num:double,txt:string>")
+        [(expected, actual)], "e struct<num:double,whole:long,txt:string>, a struct<num:double,whole:long,txt:string>")
     assert df.select(c.cells_equal(F.col("e"), F.col("a"))).first()[0] is same
 
 

@@ -7,16 +7,15 @@ from marquee.plans import compare
 
 
 def cells(spark, results, mode=None):
-    """{query: [row dicts]} to cells; floats are fractional, everything else is text."""
+    """{query: [row dicts]} to cells by the types of the values."""
     data = []
     for query, given in results.items():
         for number, row in enumerate(given):
             data.append((mode or "m", query, number, [
-                (column, value if isinstance(value, float) else None,
-                 None if isinstance(value, float) or value is None else str(value))
+                (column, *[value if isinstance(value, kind) else None for kind in (float, int, str)])
                 for column, value in row.items()]))
     schema = ("mode string, query_id string, row_no long, "
-              "cells array<struct<column:string,num:double,txt:string>>")
+              "cells array<struct<column:string,num:double,whole:long,txt:string>>")
     df = spark.createDataFrame(data, schema)
     return df if mode else df.drop("mode")
 
@@ -91,7 +90,34 @@ def test_row_cells_split_numbers_and_texts(spark):
                                "row_no int, a int, b double, c string, d boolean")
     row = compare.row_cells(df, ["row_no"], ["a", "b", "c", "d"]).first()
     assert [tuple(cell) for cell in row["cells"]] == [
-        ("a", None, "1"), ("b", 2.5, None), ("c", None, "x"), ("d", None, "true")]
+        ("a", None, 1, None), ("b", 2.5, None, None), ("c", None, None, "x"),
+        ("d", None, None, "true")]
+
+
+def test_whole_numbers_are_ordered_as_numbers(spark):
+    """As texts, 10 would come before 9 and pair every row with another one."""
+    expected = cells(spark, {"q": [{"k": 9, "v": 1.0}, {"k": 10, "v": 50.0}]})
+    actual = cells(spark, {"q": [{"k": 8, "v": 1.0}, {"k": 10, "v": 50.0}]}, "m")
+    row = compare.result(expected, actual).first()
+    assert (row["rows_compared"], row["rows_agreeing"]) == (2, 2)
+
+
+def test_runs_without_rows_have_verdicts(spark):
+    full = [{"k": 1}]
+    expected = cells(spark, {"both": full, "lost": full, "failed": full})
+    actual = cells(spark, {"both": full, "more": full}, "m")
+    runs = spark.createDataFrame(
+        [("m", "both", ["k"], ["k"]), ("m", "lost", ["k"], ["k"]), ("m", "more", ["k"], ["k", "x"]),
+         ("m", "none", ["k", "j"], ["j", "k"]), ("m", "failed", ["k"], None)],
+        "mode string, query_id string, expected_columns array<string>, actual_columns array<string>")
+    found = {r["query_id"]: tuple(r)[2:] for r in compare.verdicts(expected, actual, runs).collect()}
+    assert found == {
+        "both": (True, True, True, True, True, 1),
+        "lost": (False, True, False, False, False, 1),
+        "more": (False, False, False, False, False, 1),
+        "none": (True, True, True, False, False, 2),
+        "failed": (False, False, False, False, False, 0),
+    }
 
 
 @pytest.mark.parametrize(("message", "label"), [

@@ -27,17 +27,22 @@ def skewed(spark):
 
 def test_many_ranges_equal_the_plain_window(skewed, rows):
     ranks = {"r": ("rank_desc", "v"), "p": ("percent_rank", "v"), "q": ("percent_rank", "x")}
-    plain = d.add_ranks(skewed, ranks, rows=6000)
-    ranged = d.add_ranks(skewed, ranks, per_range=50)
-    assert rows(ranged, "id", "r", "p", "q") == rows(plain, "id", "r", "p", "q")
+    everything = Window.partitionBy(F.lit(0))
+    plain = skewed.withColumns({
+        "r": F.rank().over(everything.orderBy(F.desc_nulls_last("v"))).cast("long"),
+        "p": F.percent_rank().over(everything.orderBy(F.asc_nulls_last("v"))),
+        "q": F.percent_rank().over(everything.orderBy(F.asc_nulls_last("x"))),
+    })
+    for per_range in (50, 2):  # 2: some three thousand ranges
+        ranged = d.add_ranks(skewed, ranks, per_range=per_range)
+        assert rows(ranged, "id", "r", "p", "q") == rows(plain, "id", "r", "p", "q")
 
 
 def test_nulls_rank_last_both_ways(spark, rows):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 9), (4, None), (5, 5)], "id int, v int")
     expected = [(1, 2, 0.0), (2, 4, 0.75), (3, 1, 0.5), (4, 4, 0.75), (5, 2, 0.0)]
     ranks = {"r": ("rank_desc", "v"), "p": ("percent_rank", "v")}
-    for found in (d.add_ranks(df, ranks), d.add_ranks(df, ranks, rows=5),
-                  d.add_ranks(df, ranks, per_range=1)):
+    for found in (d.add_ranks(df, ranks), d.add_ranks(df, ranks, per_range=1)):
         assert rows(found, "id", "r", "p") == expected
 
 
@@ -48,11 +53,6 @@ def test_degenerate_rankings(spark, rows, data):
     assert [(r[2], r[3]) for r in found] == [(0.0, 1)] * len(data)
 
 
-def test_large_inputs_are_not_ranked_in_one_task(skewed):
-    plan = d.add_ranks(skewed, {"p": ("percent_rank", "v")}, rows=d.SMALL_ROWS + 1)
-    assert "_key" in plan._jdf.queryExecution().analyzed().toString()
-
-
 def test_cumulative_by_group(skewed, rows):
     w = Window.partitionBy("grp").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     expected = (

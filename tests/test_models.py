@@ -124,7 +124,7 @@ def test_score_formula(marts):
 
 def test_ranged_and_plain_ranking_build_the_same_marts(spark, marts, rows):
     text = spark.createDataFrame([(1, True, 2)], "item_id int, has_text boolean, text_words long")
-    plain = models.content_performance(marts.item_stats, text, rows=40)
+    plain = models.content_performance(marts.item_stats, text)
     ranged = models.content_performance(marts.item_stats, text)
     columns = ["item_id", "score_rank", "popularity_rank", "completion_rank", "engagement_rank"]
     assert rows(ranged, *columns) == rows(plain, *columns)

@@ -52,6 +52,26 @@ def test_files_to_written_tables(spark, files):
     assert all("from_files" in f for f in built.content.inputFiles())
 
 
+def test_files_of_one_header_are_read_together(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("rating,extra,user_id,anime_id\n7,x,1,2\n")
+    (tmp_path / "b.csv").write_text("rating,extra,user_id,anime_id\n8,y,3,4\n")
+    found = readers.source(spark, "ratings", str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 2, 7), (3, 4, 8)]
+
+
+def test_a_file_with_another_header_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("user_id,anime_id,rating\n1,2,7\n")
+    (tmp_path / "b.csv").write_text("anime_id,user_id,rating\n4,3,8\n")
+    with pytest.raises(Exception, match="header"):
+        readers.source(spark, "ratings", str(tmp_path)).collect()
+
+
+def test_an_absent_column_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("user_id,rating\n1,7\n")
+    with pytest.raises(ValueError, match="anime_id"):
+        readers.source(spark, "ratings", str(tmp_path))
+
+
 def test_unknown_source_is_named(spark):
     with pytest.raises(KeyError, match="nothing"):
         readers.source(spark, "nothing", "/nowhere")
