@@ -26,9 +26,13 @@ from pyspark.sql import functions as F
 from marquee.llm.common import keep, labelled_sample
 
 SAMPLE_ROWS = 8_000
-# entries per family, texts an entry must occur in, and the least z-score of its log odds
+# entries per family; toxic texts an entry must occur in, and the share of them (near copies of one toxic
+# text have its words in common); the least log odds against other texts (a language with more toxic
+# texts raises them a little for each of its words), and their least z-score
 ENTRIES = 240
 LEAST_TEXTS = 8
+LEAST_SHARE = 0.03
+LEAST_ODDS = 2.5
 LEAST_Z = 4.0
 VOTERS_PER_FAMILY = 4
 PREDICT_FROM = 0.3
@@ -177,7 +181,11 @@ def fit_linear(rows: np.ndarray, targets: np.ndarray, rounds: int = 300, ridge:
 
 
 def learn_lexicon(sample: DataFrame) -> list[bytes]:
-    """Entries that occur in toxic texts much more than in others, strongest first in each family."""
+    """Entries that occur in toxic texts much more than in others, strongest first in each family.
+
+    Copies of a text count once, else every word of a copied toxic text would be an entry.
+    """
+    sample = sample.dropDuplicates(["text"])
     @F.pandas_udf("array<binary>")
     def marks(texts: pd.Series) -> pd.Series:
         return pd.Series([list({m for w in set(words_of(t)) for m in marks_of(w)}) for t in texts])
@@ -185,7 +193,7 @@ def learn_lexicon(sample: DataFrame) -> list[bytes]:
     counts = (
         sample.select("label", F.explode(marks(F.col("text").cast("binary"))).alias("entry"))
         .groupBy("entry").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
-        .filter(F.col("n") >= LEAST_TEXTS)
+        .filter(F.col("toxic") >= LEAST_TEXTS)
     )
     sizes = sample.agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).first()
     toxic, clean = sizes["toxic"] or 0, sizes["n"] - (sizes["toxic"] or 0)
@@ -197,8 +205,8 @@ def learn_lexicon(sample: DataFrame) -> list[bytes]:
     family = F.substring("entry", 1, 1)
     best = Window.partitionBy("family").orderBy(F.desc("z"), "entry")
     strongest = (
-        counts.select("entry", family.alias("family"), z.alias("z"))
-        .filter((F.col("z") >= LEAST_Z))
+        counts.filter((F.col("toxic") >= LEAST_SHARE * toxic) & (odds >= LEAST_ODDS) & (z >= LEAST_Z))
+        .select("entry", family.alias("family"), z.alias("z"))
         .withColumn("place", F.row_number().over(best)).filter(F.col("place") <= ENTRIES)
         .orderBy("family", "place").select("entry").collect()
     )
