@@ -1,6 +1,7 @@
 """Quality classifier by supervised subword embeddings.
 
-A text is a bag of hashed features: its words, and the byte n-grams of its words with their edges.
+A text is a bag of hashed features: its words, its pairs of neighbouring words (all pairs of a word with
+itself are one feature), and the byte n-grams of its words with their edges.
 Each feature has a learned vector; a document is the average of the vectors of its features, repeats
 included, and a softmax layer scores it.  Vectors and layer are trained together by stochastic
 gradient descent in numpy on a bounded sample of labelled documents, of which only the bags reach the
@@ -34,6 +35,9 @@ KEEP_FROM = 0.3
 
 # words that are hashed at once: bounds memory on very long texts
 CHUNK_WORDS = 20_000
+# the feature of a word that stands twice; it counts once more for each n-gram size, as each word of an
+# ordinary text brings n-grams of every size
+SAME_WORD = 1
 STEP = np.uint32(0x01000193)
 MIX = np.uint32(0x9E3779B1)
 
@@ -48,6 +52,7 @@ def _buckets(hashes: np.ndarray, kind: int) -> np.ndarray:
 def features(text: bytes | None) -> Iterator[np.ndarray]:
     """Feature numbers of a UTF-8 text, in arrays of bounded size."""
     words = (text or b"").split()
+    last = None
     for at in range(0, len(words), CHUNK_WORDS):
         chunk = words[at:at + CHUNK_WORDS]
         data = np.frombuffer(b" " + b" ".join(chunk) + b" ", np.uint8).astype(np.uint32)
@@ -60,7 +65,16 @@ def features(text: bytes | None) -> Iterator[np.ndarray]:
         )
         powers = np.cumprod(np.full(int(lengths.max()) + 1, STEP, np.uint32), dtype=np.uint32)
         terms = np.where(space, np.uint32(0), data * powers[place])
-        yield _buckets(np.add.reduceat(terms, starts, dtype=np.uint32), 0)
+        hashes = np.add.reduceat(terms, starts, dtype=np.uint32)
+        yield _buckets(hashes, 0)
+        # pairs of neighbours, also over the edge of a chunk
+        line = hashes if last is None else np.concatenate([last, hashes])
+        last = hashes[-1:]
+        pairs = _buckets(line[:-1] * MIX + line[1:], 1)
+        same = line[:-1] == line[1:]
+        pairs[same] = SAME_WORD
+        yield pairs
+        yield np.full(len(NGRAMS) * int(same.sum()), SAME_WORD, np.uint32)
         # n-grams that have a space at their ends only
         rolled = data.copy()
         inner = np.zeros(len(data), bool)
