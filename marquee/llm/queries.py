@@ -17,6 +17,7 @@ from marquee.llm import (
     merge_replay,
     projection_forest,
     simhash,
+    sql,
     subword_quality,
     weak_toxicity,
 )
@@ -95,4 +96,4 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ALL)
