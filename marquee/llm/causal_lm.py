@@ -25,6 +25,7 @@ counts are 0, N and V are 0, and ids are uniform inside a uniform model.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,16 +49,17 @@ WIDTH = 16
 SMOOTHING = 2.0
 BLOCK = 16
 # documents of one round: those whose id hashes to this many parts' first, second, ...
-PARTS = 32
+PARTS = 48
 ROUNDS = 2
 RATE = 0.01
 STEP_IDS = 1024
-# words sent to all tasks, words that a task counts or remembers before it hands them on
+# words sent to all tasks, words that a task counts before it hands them on, words that a worker remembers
 COMMON_WORDS = 200_000
-COUNTED_WORDS = 500_000
-REMEMBERED = 1_000_000
-# ids that are scored at once: bounds memory
-CHUNK = 8192
+COUNTED_WORDS = 250_000
+REMEMBERED = 500_000
+# ids and bytes of texts that are scored at once: bound memory
+CHUNK = 4096
+BLOCK_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -196,7 +198,8 @@ def make_classes(pairs: np.ndarray, begins: np.ndarray, documents: float) -> Cla
     around = np.zeros((size, 32))
     for of, beside in ((second, first), (first, second)):
         meaning = random.normal(size=(size, 32))
-        np.add.at(around, of[both], meaning[beside[both]] * np.sqrt(n[both])[:, None])
+        for part in np.array_split(np.flatnonzero(both), 1 + both.sum() // 50_000):
+            np.add.at(around, of[part], meaning[beside[part]] * np.sqrt(n[part])[:, None])
     around /= np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-9)
     rest = order[own:]
     for is_first, base, groups in ((True, own, BEGINNING), (False, own + BEGINNING, INNER)):
@@ -240,10 +243,10 @@ class Model:
         return self
 
     def _attend(self, x: np.ndarray, before: np.ndarray, first: np.ndarray):
-        """Windows of blocks: queries, keys, values, weights, context.
+        """Windows of blocks: queries, keys, values, weights and their sums, context.
 
-        ``before`` is the block ahead of x, ``first`` the place in x where each text begins, which
-        may be negative.
+        ``before`` is the block ahead of x, ``first`` the place in x where each position's text begins,
+        a multiple of the block, negative if that is ahead of x.
         """
         blocks = len(x) // BLOCK
         seen = np.concatenate([before, x])
@@ -255,16 +258,16 @@ class Model:
 
         key, value = windows(self.key[seen]), windows(self.value[seen])
         scores = np.matmul(query, key.transpose(0, 2, 1))
-        scores += self.near[_DISTANCE]
-        # causal, and inside the text
-        begin = first.reshape(blocks, BLOCK)[:, :1] - np.arange(blocks)[:, None] * BLOCK + BLOCK
-        allowed = _CAUSAL[None] & (_PLACE[None, None, :] >= begin[:, :, None])
-        np.clip(scores, -60, 60, out=scores)
+        np.minimum(scores, 60, out=scores)
         np.exp(scores, out=scores)
-        scores *= allowed
-        scores /= scores.sum(axis=2, keepdims=True)
+        scores *= np.where(_CAUSAL, np.exp(self.near[_DISTANCE]), np.float32(0))
+        # texts begin with a block: the block before their first one is another text's
+        opening = first[::BLOCK] == np.arange(blocks) * BLOCK
+        scores[opening, :, :BLOCK] = 0
+        total = scores.sum(axis=2, keepdims=True)
         context = np.matmul(scores, value)
-        return seen, query, key, value, scores, context
+        context /= total
+        return seen, query, key, value, scores, total, context
 
     def log_next(self, x: np.ndarray, y: np.ndarray, before: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Log probability of class y after x, for whole blocks."""
@@ -278,7 +281,8 @@ class Model:
     def gradient(self, x, y, before, first, real) -> np.ndarray:
         """Gradient of the mean loss over real positions."""
         blocks = len(x) // BLOCK
-        seen, query, key, value, weights, context = self._attend(x, before, first)
+        seen, query, key, value, weights, total, context = self._attend(x, before, first)
+        weights = weights / total
         flat = context.reshape(len(x), WIDTH)
         off = flat @ self.out
         off += self.table[x]
@@ -307,9 +311,9 @@ class Model:
         )]).astype(np.float32)
 
 
-_PLACE = np.arange(2 * BLOCK)
-_DISTANCE = np.maximum(np.arange(BLOCK)[:, None] + BLOCK - _PLACE[None, :], 0)
-_CAUSAL = _PLACE[None, :] <= np.arange(BLOCK)[:, None] + BLOCK
+_BACK = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
+_DISTANCE = np.maximum(_BACK, 0)
+_CAUSAL = _BACK >= 0
 
 
 def _by_symbol(symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -344,46 +348,80 @@ def starting_table(pairs: np.ndarray, classes: Classes, documents: float) -> np.
 
 
 class Coder:
-    """Words of texts as classes, remembered per worker."""
+    """Words of texts as classes, remembered per worker.
 
-    def __init__(self, classes: Classes, path: str, pattern: str):
-        self.classes, self.coder = classes, encoding(path, pattern)
-        self.seen: dict[bytes, tuple[bytes, bytes, float]] = {}
+    What is known of the remembered words lies in arrays, by the words' numbers: places and lengths of
+    their symbols and classes, the log probability of their ids inside the classes, and, for common words,
+    the logarithm of their corpus count plus one (NaN for others).
+    """
+
+    def __init__(self, classes: Classes, path: str, pattern: str, common: dict[bytes, int] | None = None):
+        self.classes, self.coder, self.common = classes, encoding(path, pattern), common or {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: dict[bytes, int] = {}
+        self.symbols, self.aims = np.zeros(0, np.uint16), np.zeros(0, np.uint8)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.shares, self.logs = np.zeros(0), np.zeros(0)
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has.  Each word's first id holds the space before it."""
+        ids = np.array(ids_of(b" ".join(words), self.coder), np.int64)
+        starts = np.flatnonzero(self.classes.begins[ids])
+        if len(starts) == len(words) and starts[0] == 0:
+            return ids, np.diff(np.append(starts, len(ids)))
+        coded = [ids_of(word, self.coder) for word in words]
+        return (np.fromiter((i for c in coded for i in c), np.int64),
+                np.fromiter(map(len, coded), np.int64, len(coded)))
 
     def learn(self, words) -> None:
         new = [w for w in words if w not in self.seen]
         if len(self.seen) + len(new) > REMEMBERED:
-            self.seen.clear()
+            self.forget()
             new = list(words)
         if not new:
             return
-        coded = [ids_of(word, self.coder) for word in new]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        ids, lengths = self._encoded(new)
         starts = np.cumsum(lengths) - lengths
-        ids = np.fromiter((i for c in coded for i in c), np.int64, int(lengths.sum()))
         before = np.concatenate([[-1], ids[:-1]])
         before[starts] = -1
         shares = np.add.reduceat(self.classes.inside(before, ids), starts)
-        symbols, aims = self.classes.symbol[ids].astype("<u2"), self.classes.of_id[ids].astype(np.uint8)
-        for word, s, e, share in zip(new, starts.tolist(), (starts + lengths).tolist(), shares.tolist(),
-                                     strict=True):
-            self.seen[word] = symbols[s:e].tobytes(), aims[s:e].tobytes(), share
-
-    def stream(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Symbols read, classes that follow, which positions are real, and the words' own shares.
-
-        Filled up to whole blocks.
-        """
-        found = [self.seen[w] for w in words]
-        end = int(self.classes.symbol[-1])
-        read = np.frombuffer(b"".join([f[0] for f in found]), "<u2")
-        aims = np.frombuffer(b"".join([f[1] for f in found]), np.uint8)
-        n = len(read) + 1
+        common = self.common
+        logs = np.log10(np.array([common.get(w, np.nan) for w in new], float) + 1)
+        self.starts = np.concatenate([self.starts, starts + len(self.symbols)])
+        self.symbols = np.concatenate([self.symbols, self.classes.symbol[ids].astype(np.uint16)])
+        self.aims = np.concatenate([self.aims, self.classes.of_id[ids].astype(np.uint8)])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.shares = np.concatenate([self.shares, shares])
+        self.logs = np.concatenate([self.logs, logs])
+        self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new)), strict=True))
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+
+    def stream(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols read, classes that follow, and which positions are real, filled up to whole blocks."""
+        lengths = self.lengths[numbers]
+        upto = np.cumsum(lengths)
+        n = int(upto[-1]) + 1 if len(numbers) else 1
+        places = np.repeat(self.starts[numbers] - upto + lengths, lengths) + np.arange(n - 1)
         size = -(-n // BLOCK) * BLOCK
-        x = np.full(size, end, np.uint16)
+        x = np.full(size, self.classes.symbol[-1], np.uint16)
         y = np.full(size, self.classes.end, np.uint8)
-        x[1:n], y[:n - 1] = read, aims
-        return x, y, np.arange(size) < n, sum(f[2] for f in found)
+        x[1:n], y[:n - 1] = self.symbols[places], self.aims[places]
+        return x, y, np.arange(size) < n
+
+
+_coders: dict[str, Coder] = {}
+
+
+def _remembered(name: str, make) -> Coder:
+    """The worker's coder of this name; that of an earlier run is let go."""
+    if name not in _coders:
+        _coders.clear()
+        _coders[name] = make()
+    return _coders[name]
 
 
 def _chunks(streams, size: int):
@@ -400,7 +438,7 @@ def _chunks(streams, size: int):
         held -= n
         return out
 
-    for number, (x, y, real, _) in enumerate(streams):
+    for number, (x, y, real) in enumerate(streams):
         firsts.append(np.full(len(x), held))
         xs.append(x)
         ys.append(y)
@@ -416,9 +454,13 @@ def _chunks(streams, size: int):
 def score_words(model: Model, coder: Coder, texts: list[list[bytes]]) -> np.ndarray:
     """Natural log probability of each text."""
     coder.learn({w for words in texts for w in words})
-    streams = [coder.stream(words) for words in texts]
-    total = np.array([own for *_, own in streams]) + np.log(coder.classes.share[-1])
-    for x, y, real, owner, first, before in _chunks(streams, CHUNK):
+    return _score(model, coder, [coder.numbers(words) for words in texts])
+
+
+def _score(model: Model, coder: Coder, texts: list[np.ndarray]) -> np.ndarray:
+    end_share = np.log(coder.classes.share[-1])
+    total = np.array([coder.shares[numbers].sum() + end_share for numbers in texts])
+    for x, y, real, owner, first, before in _chunks(map(coder.stream, texts), CHUNK):
         found = np.where(real, model.log_next(x, y, before, first), 0.0)
         total += np.bincount(owner, found, len(texts))
     return total
@@ -457,7 +499,7 @@ def train_round(docs: DataFrame, model: Model, classes: Classes, path: str, patt
                 for text in batch["text"]:
                     words = words_of(text)
                     coder.learn(set(words))
-                    yield coder.stream(words)
+                    yield coder.stream(coder.numbers(words))
 
         seen = _train(own, streams(), rate)
         if seen:
@@ -499,7 +541,8 @@ def fit(docs: DataFrame, held_out: Column, path: str, pattern: str) -> Fitted:
     words = keep(count_words(training), "words")
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).first()
     documents = training.count()
-    pairs = count_neighbours(words, path, pattern).toPandas().to_numpy(np.int64).reshape(-1, 3)
+    found = count_neighbours(words, path, pattern).toArrow()
+    pairs = np.stack([found[c].to_numpy() for c in ("first", "second", "n")], axis=1).astype(np.int64)
     coder = encoding(path, pattern)
     begins = np.zeros(coder.max_token_value + 1, bool)
     for token in coder.token_byte_values():
@@ -514,37 +557,44 @@ def fit(docs: DataFrame, held_out: Column, path: str, pattern: str) -> Fitted:
                   totals["distinct"] + (documents > 0), documents)
 
 
+def _scored_part(model: Model, coder: Coder, texts: list[bytes | None], documents: int) -> pd.DataFrame:
+    """Counts, the base score's part of common words and the end, the score, and all other words."""
+    split = [words_of(t) for t in texts]
+    coder.learn({w for words in split for w in words})
+    numbers = [coder.numbers(words) for words in split]
+    out = []
+    for words, own in zip(split, numbers, strict=True):
+        logs = coder.logs[own]
+        other = np.isnan(logs)
+        rare = Counter([words[i] for i in np.flatnonzero(other).tolist()])
+        out.append((
+            len(words) + 1, len(words) - int(other.sum()) + (documents > 0),
+            float(np.nansum(logs)) + float(np.log10(documents + 1)), list(rare), list(rare.values()),
+        ))
+    found = pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "rare", "times"])
+    found["score"] = _score(model, coder, numbers) / np.log(10)
+    return found[["n_tokens", "n_known", "base", "score", "rare", "times"]]
+
+
 def score(docs: DataFrame, held_out: Column, fitted: Fitted, path: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, held_out, token counts, base_score, score."""
-    common = {bytes(r["word"]): r["n"] for r in
-              fitted.words.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()}
-    end_log = float(np.log10(fitted.documents + 1))
+    frequent = fitted.words.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).toArrow()
+    common = dict(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True))
     shared = docs.sparkSession.sparkContext.broadcast((common, fitted.model.flat(), fitted.classes))
-    documents = fitted.documents
+    del frequent, common
+    documents, name = fitted.documents, uuid.uuid4().hex
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, flat, classes = shared.value
         model = Model(np.zeros((SYMBOLS, CLASSES))).load(flat)
-        coder = Coder(classes, path, pattern)
+        coder = _remembered(name, lambda: Coder(classes, path, pattern, known))
         for batch in batches:
-            out = []
-            texts = [words_of(t) for t in batch["text"]]
-            logs = score_words(model, coder, texts) / np.log(10)
-            for words, log in zip(texts, logs, strict=True):
-                base, n_known, rare, times = end_log, int(documents > 0), [], []
-                for word, n in Counter(words).items():
-                    count = known.get(word)
-                    if count is None:
-                        rare.append(word)
-                        times.append(n)
-                    else:
-                        base += n * np.log10(count + 1)
-                        n_known += n
-                out.append((len(words) + 1, n_known, base, float(log), rare, times))
-            yield pd.concat([
-                batch[["row", "doc_id", "held_out"]].reset_index(drop=True),
-                pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "rare", "times"]),
-            ], axis=1)
+            sizes = batch["text"].map(lambda t: len(t or b"")).cumsum()
+            for _, part in batch.groupby(sizes // BLOCK_BYTES):
+                found = _scored_part(model, coder, part["text"].tolist(), documents)
+                yield pd.concat([
+                    part[["row", "doc_id", "held_out"]].reset_index(drop=True), found,
+                ], axis=1)
 
     # a row is named by its id and text; rows alike in both share their sums
     row = F.to_json(F.struct("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text")))

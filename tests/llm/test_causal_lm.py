@@ -86,6 +86,17 @@ def test_scores_do_not_depend_on_neighbours_or_chunks(fitted_model, monkeypatch)
     assert np.allclose(together, causal_lm.score_words(model, coder, texts), rtol=1e-4)
 
 
+def test_words_coded_together_are_coded_as_alone(fitted_model):
+    _, classes = fitted_model
+    coder = causal_lm.Coder(classes, *RANKS)
+    odd = ["a\u3000b", "\u3000", "x\u00a0", "-", "don't", "日本", "a1b2", "\x1c", "...!", "\u2028z", "ка"]
+    words = [w.encode() for w in odd] + prose(1, 50).encode().split()
+    ids, lengths = coder._encoded(words)
+    plain = [causal_lm.ids_of(w, coder.coder) for w in words]
+    assert ids.tolist() == [i for p in plain for i in p]
+    assert lengths.tolist() == [len(p) for p in plain]
+
+
 def test_attention_looks_back_only(fitted_model):
     model, _ = fitted_model
     r = np.random.default_rng(0)
@@ -128,7 +139,7 @@ def test_training_helps_on_held_out_texts(fitted_model):
     start = causal_lm.score_words(model, coder, test).sum()
     texts = [prose(i, 60).encode().split() for i in range(100)]
     coder.learn({w for t in texts for w in t})
-    causal_lm._train(model, [coder.stream(t) for t in texts * 4], 0.02)
+    causal_lm._train(model, [coder.stream(coder.numbers(t)) for t in texts * 4], 0.02)
     assert causal_lm.score_words(model, coder, test).sum() > start * 0.8
 
 
