@@ -37,63 +37,81 @@ def unique(df: DataFrame, table: str, column: str) -> DataFrame:
     return _verdict(repeated, table, column, "unique")
 
 
-def _per_column(df: DataFrame, table: str, check: str, failing: dict[str, Column]) -> DataFrame:
-    """Several column checks of one table in one pass."""
-    counts = df.agg(*[F.count_if(c).alias(name) for name, c in failing.items()])
+Check = tuple[str, str, Column]
+
+
+def row_checks(df: DataFrame, table: str, checks: Sequence[Check]) -> DataFrame:
+    """Several checks of one table in one pass: (column, check, failures of a row, 0 or more)."""
+    counts = df.agg(*[F.coalesce(F.sum(failures.cast("long")), F.lit(0)).alias(f"_{i}")
+                      for i, (_, _, failures) in enumerate(checks)])
     rows = [
         F.struct(
             F.lit(table).alias("table_name"),
-            F.lit(name).alias("column_name"),
+            F.lit(column).alias("column_name"),
             F.lit(check).alias("check_name"),
-            F.col(name).alias("failing_rows"),
-            (F.col(name) == 0).alias("passed"),
+            F.col(f"_{i}").alias("failing_rows"),
+            (F.col(f"_{i}") == 0).alias("passed"),
         )
-        for name in failing
+        for i, (column, check, _) in enumerate(checks)
     ]
     return counts.select(F.inline(F.array(*rows)))
 
 
+def _missing(columns: Sequence[str]) -> list[Check]:
+    return [(c, "not_null", F.col(c).isNull()) for c in columns]
+
+
+def _unlisted(values: dict[str, Sequence[str]]) -> list[Check]:
+    return [(c, "accepted_values", F.col(c).isNotNull() & ~F.col(c).isin(list(allowed)))
+            for c, allowed in values.items()]
+
+
 def not_null(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
-    return _per_column(df, table, "not_null", {c: F.col(c).isNull() for c in columns})
+    return row_checks(df, table, _missing(columns))
 
 
 def accepted_values(df: DataFrame, table: str, values: dict[str, Sequence[str]]) -> DataFrame:
-    return _per_column(df, table, "accepted_values", {
-        c: F.col(c).isNotNull() & ~F.col(c).isin(list(allowed))
-        for c, allowed in values.items()
-    })
+    return row_checks(df, table, _unlisted(values))
 
 
 def orphans(child: DataFrame, parent: DataFrame, table: str, column: str) -> DataFrame:
-    """Child rows whose key the parent lacks."""
-    keyed = child.select(column).filter(F.col(column).isNotNull())
+    """Child rows whose key the parent lacks.  The child meets the parent as keys with counts."""
+    keyed = child.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     lost = keyed.join(parent.select(column), column, "left_anti").agg(
-        F.count("*").alias("failing_rows")
+        F.coalesce(F.sum("n"), F.lit(0)).alias("failing_rows")
     )
     return _verdict(lost, table, column, "relationships")
 
 
+# fixed values
+LIMITS = {
+    "completion_rate": (0.0, 1.0),
+    "drop_rate": (0.0, 1.0),
+    "performance_score": (0.0, 1.0),
+    "community_score": (1.0, 10.0),
+}
+
+
 def out_of_range(content: DataFrame) -> DataFrame:
     """(metric, item_id, value) of rates and scores outside their range, from one scan."""
-    limits = {
-        "completion_rate": (0.0, 1.0),
-        "drop_rate": (0.0, 1.0),
-        "performance_score": (0.0, 1.0),
-        "community_score": (1.0, 10.0),
-    }
     cells = [
         F.struct(F.lit(name).alias("metric"), F.col(name).alias("value"),
                  F.lit(low).alias("low"), F.lit(high).alias("high"))
-        for name, (low, high) in limits.items()
+        for name, (low, high) in LIMITS.items()
     ]
     return content.select("item_id", F.inline(F.array(*cells))).filter(
         (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
     ).select("metric", "item_id", "value")
 
 
+def _outside() -> list[Check]:
+    outside = [F.coalesce(~F.col(name).between(low, high), F.lit(False)).cast("int")
+               for name, (low, high) in LIMITS.items()]
+    return [("rates and scores", "valid_ranges", reduce(Column.__add__, outside))]
+
+
 def ranges(content: DataFrame) -> DataFrame:
-    failures = out_of_range(content).agg(F.count("*").alias("failing_rows"))
-    return _verdict(failures, "content", "rates and scores", "valid_ranges")
+    return row_checks(content, "content", _outside())
 
 
 def more_ratings_than_entries(stats: DataFrame) -> DataFrame:
@@ -103,9 +121,13 @@ def more_ratings_than_entries(stats: DataFrame) -> DataFrame:
     )
 
 
+def _excess() -> list[Check]:
+    more = F.coalesce(F.col("rating_count") > F.col("total_list_count"), F.lit(False))
+    return [("rating_count", "at_most_total_list_count", more)]
+
+
 def cross_column(stats: DataFrame) -> DataFrame:
-    failures = more_ratings_than_entries(stats).agg(F.count("*").alias("failing_rows"))
-    return _verdict(failures, "item_stats", "rating_count", "at_most_total_list_count")
+    return row_checks(stats, "item_stats", _excess())
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -125,25 +147,35 @@ def all_unique(s: Staged, m: Marts) -> DataFrame:
     ])
 
 
+REQUIRED = {
+    "stg_items": ["item_id", "name"],
+    "stg_ratings": ["user_id", "item_id", "rating"],
+    "stg_list_entries": ["user_id", "item_id"],
+    "stg_item_text": ["item_id"],
+    "item_stats": ["item_id"],
+    "user_profiles": ["user_id"],
+    "tag_metrics": ["tag"],
+    "content": ["item_id"],
+    "users": ["user_id"],
+    "tags": ["tag"],
+}
+ACCEPTED = {"stg_items": {"type": ITEM_TYPES}, "stg_list_entries": {"status": ENTRY_STATUSES}}
+
+
+def _table(s: Staged, m: Marts, name: str) -> DataFrame:
+    staged = {"stg_items": "items", "stg_ratings": "ratings", "stg_list_entries": "entries",
+              "stg_item_text": "text"}
+    return getattr(s, staged[name]) if name in staged else getattr(m, name)
+
+
 def all_not_null(s: Staged, m: Marts) -> DataFrame:
-    return _union([
-        not_null(s.items, "stg_items", ["item_id", "name"]),
-        not_null(s.ratings, "stg_ratings", ["user_id", "item_id", "rating"]),
-        not_null(s.entries, "stg_list_entries", ["user_id", "item_id"]),
-        not_null(s.text, "stg_item_text", ["item_id"]),
-        not_null(m.item_stats, "item_stats", ["item_id"]),
-        not_null(m.user_profiles, "user_profiles", ["user_id"]),
-        not_null(m.tag_metrics, "tag_metrics", ["tag"]),
-        not_null(m.content, "content", ["item_id"]),
-        not_null(m.users, "users", ["user_id"]),
-        not_null(m.tags, "tags", ["tag"]),
-    ])
+    return _union([not_null(_table(s, m, name), name, columns) for name, columns in REQUIRED.items()])
 
 
 def all_accepted(s: Staged) -> DataFrame:
     return _union([
-        accepted_values(s.items, "stg_items", {"type": ITEM_TYPES}),
-        accepted_values(s.entries, "stg_list_entries", {"status": ENTRY_STATUSES}),
+        accepted_values(s.items, "stg_items", ACCEPTED["stg_items"]),
+        accepted_values(s.entries, "stg_list_entries", ACCEPTED["stg_list_entries"]),
     ])
 
 
@@ -157,8 +189,12 @@ def all_orphans(s: Staged, m: Marts) -> DataFrame:
 
 
 def all_checks(s: Staged, m: Marts) -> DataFrame:
-    """The thirty checks as one table."""
-    return _union([
-        all_unique(s, m), all_not_null(s, m), all_accepted(s), all_orphans(s, m),
-        ranges(m.content), cross_column(m.item_stats),
-    ])
+    """The thirty checks as one table: one pass per table for all checks of rows, one per key."""
+    further = {"content": _outside(), "item_stats": _excess()}
+    by_row = [
+        row_checks(_table(s, m, name), name, [
+            *_missing(columns), *_unlisted(ACCEPTED.get(name, {})), *further.get(name, []),
+        ])
+        for name, columns in REQUIRED.items()
+    ]
+    return _union([all_unique(s, m), *by_row, all_orphans(s, m)])

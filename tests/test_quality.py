@@ -1,6 +1,9 @@
 from __future__ import annotations
 
-from marquee.plans import quality
+from pyspark.sql import functions as F
+
+from marquee.plans import quality, registry
+from tests.conftest import SMALL
 
 
 def verdicts(df):
@@ -47,3 +50,10 @@ def test_more_ratings_than_entries(spark, rows):
     df = spark.createDataFrame([(1, 5, 4), (2, 4, 4), (3, None, 1), (4, 3, None)],
                                "item_id int, rating_count long, total_list_count long")
     assert rows(quality.more_ratings_than_entries(df)) == [(1, 5, 4)]
+
+
+def test_all_row_checks_of_a_table_are_one_pass(spark):
+    """Twenty-two row-level checks on ten tables, eight keys and four relationships."""
+    staged, built = registry.staged(spark, SMALL), registry.marts(spark, SMALL)
+    plan = quality.all_checks(staged, built)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("inline(") == len(quality.REQUIRED)
