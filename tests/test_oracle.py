@@ -6,10 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from marquee.plans import registry
+from oracle.registry import all_sql
 from tests.conftest import SMALL
 from tools.check import TABLES, compare
 
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
+QUERIES, STATEMENTS = registry.all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +27,11 @@ def test_every_statement_has_a_query():
     assert set(QUERIES) - set(STATEMENTS) == {"pattern_table_sample"}
 
 
+def test_all_are_registered():
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert STATEMENTS.keys() <= entry.oracle_sql().keys() <= entry.queries().keys()
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_same_rows(spark, con, name):
     good, note, _ = compare(spark, con, name, SMALL, QUERIES[name], STATEMENTS.get(name))
