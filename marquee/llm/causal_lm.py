@@ -56,7 +56,7 @@ STEP_IDS = 1024
 # words sent to all tasks, words that a task counts before it hands them on, words that a worker remembers
 COMMON_WORDS = 200_000
 COUNTED_WORDS = 250_000
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 # ids and bytes of texts that are scored at once: bound memory
 CHUNK = 4096
 BLOCK_BYTES = 1 << 20

@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import heapq
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -26,11 +27,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# pieces that a worker remembers, and characters that it cuts at once: both bound memory alone
-REMEMBERED = 1_000_000
-BLOCK_CHARS = 1 << 22
-
-
+# pieces that a worker remembers from one block to the next, pairs of tokens, and characters of a block: all
+# bound memory alone
+REMEMBERED = 300_000
+REMEMBERED_PAIRS = 200_000
+BLOCK_CHARS = 1 << 25
 # above every id, so that two ids make one number
 PAIR_BASE = 1 << 31
 
@@ -55,7 +56,13 @@ class Vocabulary:
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.pattern = regex.compile(pattern)
         self.pairs: dict[tuple[int, int], int] = {}
-        self.seen: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Known pieces are numbered; their ids lie one after the other in one array."""
+        self.numbers: dict[str, int] = {}
+        self.flat = np.zeros(0, np.uint32)
+        self.starts = self.lengths = np.zeros(0, np.int64)
 
     def merged(self, left: int, right: int) -> int:
         """The token that two tokens make, or -1."""
@@ -63,7 +70,7 @@ class Vocabulary:
         found = self.pairs.get(pair)
         if found is None:
             found = self.ids.get(self.tokens[left] + self.tokens[right], -1)
-            if len(self.pairs) < REMEMBERED:
+            if len(self.pairs) < REMEMBERED_PAIRS:
                 self.pairs[pair] = found
         return found
 
@@ -151,29 +158,45 @@ class Vocabulary:
             ids[at:at + 2] = [best]
         return ids
 
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.seen) + len(pieces) > REMEMBERED:
-            self.seen.clear()
-        raw = {p: p.encode() for p in pieces if p not in self.seen}
-        whole = {p: self.ids[b] for p, b in raw.items() if b in self.ids}
-        rest = [p for p in raw if p not in whole]
-        for p, number in whole.items():
-            self.seen[p] = number.to_bytes(4, "little")
-        for p, ids in zip(rest, self.replay([raw[p] for p in rest]), strict=True):
-            self.seen[p] = np.array(ids, "<u4").tobytes()
+    def _learn(self) -> None:
+        """Encode the pieces that are numbered but not yet known, all together."""
+        new = [piece.encode() for piece in islice(self.numbers, len(self.starts), None)]
+        if not new:
+            return
+        whole = [self.ids.get(raw) for raw in new]
+        rest = iter(self.replay([raw for raw, number in zip(new, whole, strict=True) if number is None]))
+        coded = [next(rest) if number is None else [number] for number in whole]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        ids = np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum()))
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _ids(self, numbers: np.ndarray) -> bytes:
+        lengths = self.lengths[numbers]
+        upto = np.cumsum(lengths)
+        places = np.repeat(self.starts[numbers] - upto + lengths, lengths)
+        return self.flat[places + np.arange(len(places))].astype("<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        block: list[list[str]] = []
+        block: list[np.ndarray] = []
         size = 0
+        if len(self.numbers) > REMEMBERED:
+            self.forget()
         for i, text in enumerate(texts):
-            block.append(self.pattern.findall(text or ""))
+            numbers = self.numbers
+            number = numbers.setdefault
+            block.append(np.array(
+                [number(p, len(numbers)) for p in self.pattern.findall(text or "")], np.int32
+            ))
             size += len(text or "")
             if size >= BLOCK_CHARS or i == len(texts) - 1:
-                self.learn({p for pieces in block for p in pieces})
-                seen = self.seen
-                out.extend(b"".join([seen[p] for p in pieces]) for pieces in block)
+                self._learn()
+                out.extend(map(self._ids, block))
                 block, size = [], 0
+                if len(self.numbers) > REMEMBERED:
+                    self.forget()
         return out
 
     def decode(self, ids: bytes | None) -> bytes:

@@ -155,10 +155,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, allowed: Column | None = None,
 
     sample = labelled_sample(docs, labels, "quality", rows, allowed).select(
         "doc_id", "label", bags(F.col("text").cast("binary")).alias("bag")
-    ).select("doc_id", "label", "bag.*").toPandas().sort_values("doc_id")
-    pairs = [(np.frombuffer(u, "<i4"), np.frombuffer(s, "<f4"))
+    ).select("doc_id", "label", "bag.*").toArrow().sort_by("doc_id")
+    pairs = [(np.frombuffer(u.as_py(), "<i4"), np.frombuffer(s.as_py(), "<f4"))
              for u, s in zip(sample["used"], sample["shares"], strict=True)]
-    return train(pairs, sample["label"].to_numpy(np.int64))
+    return train(pairs, sample["label"].to_numpy().astype(np.int64))
 
 
 def add_score(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
