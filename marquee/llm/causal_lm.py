@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from marquee.llm.common import keep
 
 # what is predicted, and how many of these classes are shared by ids that begin words, or do not
-CLASSES = 128
-BEGINNING, INNER = 16, 32
+CLASSES = 112
+BEGINNING, INNER = 14, 28
 # what the model reads: ids of their own, and the shared classes
 SYMBOLS = 1024
 WIDTH = 16
@@ -49,12 +49,14 @@ WIDTH = 16
 SMOOTHING = 2.0
 BLOCK = 16
 # documents of one round: those whose id hashes to this many parts' first, second, ...
-PARTS = 48
+PARTS = 64
 ROUNDS = 2
-RATE = 0.01
+RATE = 0.02
 STEP_IDS = 1024
+# names of a row's two hashes
+ROW = ["row", "row_too"]
 # words sent to all tasks, words that a task counts before it hands them on, words that a worker remembers
-COMMON_WORDS = 200_000
+COMMON_WORDS = 300_000
 COUNTED_WORDS = 250_000
 REMEMBERED = 300_000
 # ids and bytes of texts that are scored at once: bound memory
@@ -593,31 +595,32 @@ def score(docs: DataFrame, held_out: Column, fitted: Fitted, path: str, pattern:
             for _, part in batch.groupby(sizes // BLOCK_BYTES):
                 found = _scored_part(model, coder, part["text"].tolist(), documents)
                 yield pd.concat([
-                    part[["row", "doc_id", "held_out"]].reset_index(drop=True), found,
+                    part[[*ROW, "doc_id", "held_out"]].reset_index(drop=True), found,
                 ], axis=1)
 
-    # a row is named by its id and text; rows alike in both share their sums
-    row = F.to_json(F.struct("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text")))
+    # a row is named by two hashes of its id and text; rows alike in both share their sums
+    text = F.col("text").cast("binary")
+    names = [F.xxhash64("doc_id", text).alias(ROW[0]), F.xxhash64(text, "doc_id").alias(ROW[1])]
     parts = keep(
-        docs.select(row.alias("row"), "doc_id", held_out.alias("held_out"),
-                    F.col("text").cast("binary").alias("text"))
-        .mapInPandas(scored, "row string, doc_id long, held_out boolean, n_tokens long, n_known long, "
-                             "base double, score double, rare array<binary>, times array<long>"),
+        docs.select(*names, "doc_id", held_out.alias("held_out"), text.alias("text"))
+        .mapInPandas(scored, "row long, row_too long, doc_id long, held_out boolean, n_tokens long, "
+                             "n_known long, base double, score double, rare array<binary>, "
+                             "times array<long>"),
         "scored",
     )
-    rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
-        "row", F.col("x.rare").alias("word"), F.col("x.times").alias("times")
+    rare = parts.select(*ROW, F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
+        *ROW, F.col("x.rare").alias("word"), F.col("x.times").alias("times")
     )
-    found = rare.join(fitted.words, "word").groupBy("row").agg(
+    found = rare.join(fitted.words, "word").groupBy(*ROW).agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"),
         F.sum("times").alias("more_known"),
     )
-    copies = parts.groupBy("row").agg(F.count("*").alias("copies"))
-    found = found.join(copies, "row")
+    copies = parts.groupBy(*ROW).agg(F.count("*").alias("copies"))
+    found = found.join(copies, ROW)
     total = float(np.log10(fitted.train_tokens + fitted.distinct + 1))
     more = F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0))
     known = F.coalesce((F.col("more_known") / F.col("copies")).cast("long"), F.lit(0))
-    return parts.join(found, "row", "left").select(
+    return parts.join(found, ROW, "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + known).alias("n_known"),
         F.lit(fitted.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * total).alias("base_score"), "score",
