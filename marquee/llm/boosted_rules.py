@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import free_name, labelled_sample
+from marquee.llm.common import free_name, labelled_sample, small_batches
 
 # fixed values: the base rule and its symbols
 SYMBOLS = b"#*$%&|<>"
@@ -210,6 +210,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees
 
 def judge(docs: DataFrame, trees: Trees, name: str, text: str = "text") -> DataFrame:
     """Add a struct of the counts, base_failed, score and kept."""
+    small_batches(docs.sparkSession)
     fields = ", ".join(f"{c} long" for c in COUNTS)
 
     @F.pandas_udf(f"{fields}, score double")

@@ -37,7 +37,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import keep
+from marquee.llm.common import keep, small_batches
 
 # what is predicted, and how many of these classes are shared by ids that begin words, or do not
 CLASSES = 112
@@ -539,6 +539,7 @@ class Fitted:
 
 def fit(docs: DataFrame, held_out: Column, path: str, pattern: str) -> Fitted:
     """Learn from the documents (doc_id, text) that are not held out."""
+    small_batches(docs.sparkSession)
     training = docs.filter(~held_out)
     words = keep(count_words(training), "words")
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).first()

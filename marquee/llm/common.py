@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +14,8 @@ from marquee.sources.writers import shared_folder
 WHITE_SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{WHITE_SPACE}]+"
 
+TEXTS_PER_BATCH = 2500
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -26,6 +26,17 @@ def crc_of(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python by no more than TEXTS_PER_BATCH rows, so that a worker holds few at a time.
+
+    The setting of the session is only ever lowered.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if not 0 < now <= TEXTS_PER_BATCH:
+        spark.conf.set(name, str(TEXTS_PER_BATCH))
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write a table under the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
@@ -87,16 +98,6 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def per_batch(function: Callable[[pd.DataFrame], pd.DataFrame]):
-    """A function of one batch as a function for mapInPandas."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield function(batch)
-
-    return run
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that the frame does not have yet."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import free_name, keep
+from marquee.llm.common import free_name, keep, small_batches
 
 PATHS_PER_HOST = 3
 # winning paths of at most so many hosts are sent to all executors; beyond, they are joined by host
@@ -283,6 +283,8 @@ def winning_paths(pages: DataFrame) -> DataFrame:
 
 def add_main_text(pages: DataFrame, name: str = "text") -> DataFrame:
     """Add the main text of each page (columns url and html), replacing a column of that name."""
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def extracted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for sources, paths in batches:

@@ -27,11 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm.common import small_batches
+
 # pieces that a worker remembers from one block to the next, pairs of tokens, and characters of a block: all
 # bound memory alone
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 REMEMBERED_PAIRS = 200_000
-BLOCK_CHARS = 1 << 25
+BLOCK_CHARS = 1 << 23
 # above every id, so that two ids make one number
 PAIR_BASE = 1 << 31
 
@@ -211,6 +213,8 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 def add_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the ids of a text; ``path`` is the rank file, present on every executor."""
+    small_batches(df.sparkSession)
+
     @F.pandas_udf("binary")
     def encoded(texts: pd.Series) -> pd.Series:
         return pd.Series(vocabulary(path, pattern).encode(texts.tolist()))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import components, free_name, keep, per_batch
+from marquee.llm.common import components, free_name, keep, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -68,6 +68,8 @@ def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """Add the fingerprint of a text column as a signed long."""
+    small_batches(df.sparkSession)
+
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         found = np.fromiter((fingerprint(t) for t in texts), "<u8", len(texts))

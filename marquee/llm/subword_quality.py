@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import free_name, labelled_sample
+from marquee.llm.common import free_name, labelled_sample, small_batches
 
 BUCKET_BITS = 16
 DIMENSIONS = 16
@@ -163,6 +163,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, allowed: Column | None = None,
 
 def add_score(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
     """Add the probability of good quality."""
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in texts], dtype="float64")

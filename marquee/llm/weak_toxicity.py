@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import keep, labelled_sample
+from marquee.llm.common import keep, labelled_sample, small_batches
 
 SAMPLE_ROWS = 8_000
 # entries per family; toxic texts an entry must occur in, and the share of them (near copies of one toxic
@@ -245,6 +245,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, allowed: Column | None = None,
 
 def add_score(docs: DataFrame, classifier: Classifier, name: str, text: str = "text") -> DataFrame:
     """Add the probability that a text is toxic."""
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series([classifier.score(t) for t in texts], dtype="float64")
