@@ -31,8 +31,8 @@ from marquee.llm.common import small_batches
 
 # pieces that a worker remembers from one block to the next, pairs of tokens, and characters of a block: all
 # bound memory alone
-REMEMBERED = 200_000
-REMEMBERED_PAIRS = 200_000
+REMEMBERED = 120_000
+REMEMBERED_PAIRS = 100_000
 BLOCK_CHARS = 1 << 23
 # above every id, so that two ids make one number
 PAIR_BASE = 1 << 31
