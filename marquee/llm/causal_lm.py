@@ -11,8 +11,9 @@ so a score does not depend on the texts beside it.
 
 What is learned comes from the whole training corpus: counts of words and ids, and the table, which starts
 from the corpus counts of neighbouring classes inside words.  Attention and table are then trained by
-Adam steps in numpy: in each round every partition trains on its share of the documents (chosen by hash),
-and the partitions' parameters are averaged, weighted by ids.
+Adam steps in numpy, once over every training document: the documents are dealt to rounds by hash, in each
+round every partition trains on its documents of that round, and the partitions' parameters are averaged,
+weighted by ids.
 
 The base score needs the corpus count of every word.  The most frequent words (a fixed number) are sent to
 all tasks; the others are joined on the word, once per distinct word of a text.
@@ -40,19 +41,18 @@ from pyspark.sql import functions as F
 from marquee.llm.common import keep, small_batches
 
 # what is predicted, and how many of these classes are shared by ids that begin words, or do not
-CLASSES = 112
-BEGINNING, INNER = 14, 28
+CLASSES = 128
+BEGINNING, INNER = 16, 32
 # what the model reads: ids of their own, and the shared classes
 SYMBOLS = 1024
 WIDTH = 16
 # corpus counts are smoothed by this many occurrences of the class average
 SMOOTHING = 2.0
 BLOCK = 16
-# documents of one round: those whose id hashes to this many parts' first, second, ...
-PARTS = 64
+# every training document is in one round, by the hash of its id
 ROUNDS = 2
 RATE = 0.02
-STEP_IDS = 1024
+STEP_IDS = 2048
 # names of a row's two hashes
 ROW = ["row", "row_too"]
 # words sent to all tasks, words that a task counts before it hands them on, words that a worker remembers
@@ -552,7 +552,7 @@ def fit(docs: DataFrame, held_out: Column, path: str, pattern: str) -> Fitted:
         begins[coder.encode_single_token(token)] = token.startswith(b" ")
     classes = make_classes(pairs, begins, documents)
     model = Model(starting_table(pairs, classes, documents))
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(PARTS))
+    part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(ROUNDS))
     for step in range(ROUNDS):
         model = train_round(training.filter(part == step), model, classes, path, pattern,
                             RATE / (step + 1))

@@ -143,6 +143,20 @@ def test_training_helps_on_held_out_texts(fitted_model):
     assert causal_lm.score_words(model, coder, test).sum() > start * 0.8
 
 
+def test_every_training_document_is_trained_on_once(spark, monkeypatch):
+    trained, plain_round = [], causal_lm.train_round
+
+    def recorded(docs, *rest):
+        trained.extend(r["text"] for r in docs.select("text").collect())
+        return plain_round(docs, *rest)
+
+    monkeypatch.setattr(causal_lm, "train_round", recorded)
+    rows = [(i if i % 9 else None, f"{prose(i, 12)} n{i}", "en", "s", 0) for i in range(90)]
+    held_out = crc_of("doc_id") % 7 == 2
+    causal_lm.fit(spark.createDataFrame(rows, DOC_SCHEMA).repartition(3), held_out, *RANKS)
+    assert sorted(trained) == sorted(t for i, t, *_ in rows if not held(i))
+
+
 def test_empty_table(spark, no_docs):
     held_out = crc_of("doc_id") % 7 == 2
     fitted = causal_lm.fit(no_docs, held_out, *RANKS)
