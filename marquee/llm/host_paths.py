@@ -1,14 +1,17 @@
 """Main text of web pages by consensus on paths per host.
 
 A page's containers are scored by the text of the paragraphs in them, less what is linked: a paragraph
-counts for its container and half for the container around it.  The best container's path votes for
-its host.  A path is generalised: the tags and class names from the body down, without digits, ids
-and positions.  Spark counts the votes per host and path.  Then every page is read again, and the
+counts for its container and half for the container around it.  From the best container one climbs to
+those around it that hold headings and unlinked paragraphs of their own, as long as little else comes with
+them, and that container's path votes for its host.  A path is generalised: the tags and class names from
+the body down, without digits, ids and positions.  Spark counts the votes per host and path.  Then every page is read again, and the
 container at the host's winning path gives the text; a page that does not have this path takes the
 next one of its host, and one that has none of them its own best container.
 
 Left out everywhere: scripts, styles, forms, menus, sidebars, footers, headers outside an article, and
-elements whose class, id or role names adverts, notices, comments and the like.  Blocks are what
+elements whose class, id or role names adverts, notices, comments and the like.  A name of several parts
+counts by its last part that is not of layout (cookie-notice, related-posts, but not related-work or
+has-sidebar), not for headings, and not where it holds most of the page's unlinked text.  Blocks are what
 block-level elements part; a line break is white space.
 
 Defined results: a NULL or empty page has an empty text; a NULL url, or one without a host, belongs to
@@ -54,6 +57,14 @@ ASIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
                "notices", "pagination", "pager", "popup", "promo", "promotion", "promoted", "related",
                "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor",
                "sponsored", "subscribe", "toolbar", "widget", "widgets"}
+# parts that say nothing about what is named, and parts that make a name one of a state
+LAYOUT_NAMES = {"area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "column",
+                "container", "desktop", "fixed", "form", "group", "holder", "icon", "icons", "inner", "item",
+                "items", "left", "link", "links", "list", "mobile", "outer", "panel", "posts", "right",
+                "row", "section", "slot", "small", "stories", "sticky", "text", "title", "top", "unit",
+                "wrap", "wrapper"}
+STATE_NAMES = {"has", "have", "hide", "is", "no", "non", "not", "show", "with", "without"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # start tags that end an open element of these names, looked for up to the nearest of the others
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -76,6 +87,7 @@ class Element:
     container: int  # number of the container it is or stands in
     linked: bool
     article: bool
+    hidden: bool = False  # off for another reason than a name of several parts
 
 
 @dataclass
@@ -91,9 +103,11 @@ class Page:
 
     containers: list[Container] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
+    # of each block, the block element it is in and its unlinked characters
+    kinds: list[tuple[str, float]] = field(default_factory=list)
 
     def best(self) -> int | None:
-        """The container that scores highest, the first of equals, or the article around it."""
+        """The container that scores highest, the first of equals, with what belongs to it around it."""
         if not any(c.score > 0 for c in self.containers):
             return None
         best = max(range(len(self.containers)), key=lambda i: (self.containers[i].score, -i))
@@ -102,7 +116,45 @@ class Page:
             if self.containers[around].path.rsplit(">", 1)[-1].split(".")[0] == "article":
                 best = around
             around = self.containers[around].parent
-        return best
+        if self.containers[best].path.rsplit(">", 1)[-1].split(".")[0] == "article":
+            return best
+        return self._climbed(best)
+
+    def _climbed(self, best: int) -> int:
+        """The container around the best one that also holds its headings and unlinked paragraphs.
+
+        Text of other containers that comes with it is at most half as long; the body is taken only for
+        a heading ahead of the text.
+        """
+        chain = [best]
+        while self.containers[chain[-1]].parent >= 0:
+            chain.append(self.containers[chain[-1]].parent)
+        place = {container: i for i, container in enumerate(chain)}
+        meets: list[int] = []  # of each container, the place in the chain of the nearest one around it
+        for i, container in enumerate(self.containers):
+            meets.append(place[i] if i in place else meets[container.parent])
+        gain, other, start = [0.0] * len(chain), [0.0] * len(chain), 0
+        for at, (owner, _) in enumerate(self.blocks):
+            if meets[owner] == 0:
+                start = at
+                break
+        for at, ((owner, text), (kind, unlinked)) in enumerate(zip(self.blocks, self.kinds, strict=True)):
+            level = meets[owner]
+            wanted = kind in HEADINGS or (kind == "p" and chain[level] != 0)
+            ahead = at < start or chain[level] != 0
+            if level == 0 or (owner == chain[level] and wanted and ahead and unlinked * 2 > len(text)):
+                gain[level] += len(text)
+            else:
+                other[level] += len(text)
+        found, own, more = best, gain[0], 0.0
+        for container, new, beside in zip(chain[1:], gain[1:], other[1:], strict=True):
+            more += beside
+            if more * 2 > own:
+                break
+            if new:
+                found = container
+                own += new
+        return found
 
     def text_of(self, chosen: set[int]) -> str:
         inside = []
@@ -137,10 +189,26 @@ def _is_aside(name: str, attributes: dict[str, str]) -> bool:
         return True
     if attributes.get("role", "").lower() in ROLES or _HIDDEN.search(attributes.get("style", "")):
         return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    if name == "article":  # only a class that is such a name as a whole
-        return not ASIDE_NAMES.isdisjoint(names.split())
-    return not ASIDE_NAMES.isdisjoint(_NAME_PART.findall(names))
+    return not ASIDE_NAMES.isdisjoint(_names(attributes))
+
+
+def _names(attributes: dict[str, str]) -> list[str]:
+    return f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+
+
+def _is_named_aside(name: str, attributes: dict[str, str]) -> bool:
+    """Whether a name of several parts marks an aside."""
+    if name in {"html", "body", "main", "article"} | HEADINGS:
+        return False
+    for whole in _names(attributes):
+        parts = [p for p in _NAME_PART.findall(whole) if len(p) > 1]
+        if not STATE_NAMES.isdisjoint(parts):
+            continue
+        while parts and parts[-1] in LAYOUT_NAMES:
+            parts.pop()
+        if parts and parts[-1] in ASIDE_NAMES:
+            return True
+    return False
 
 
 def _step(name: str, attributes: dict[str, str]) -> str:
@@ -150,7 +218,18 @@ def _step(name: str, attributes: dict[str, str]) -> str:
 
 
 def read(source: str | None) -> Page:
-    """Read a page in one pass over its tags."""
+    """Read a page; once more if asides, by names of several parts, hold most of its unlinked text."""
+    page, total, asides = _read(source, set())
+    most = {at for at, n in asides.items() if n * 2 > total}
+    return _read(source, most)[0] if most else page
+
+
+def _read(source: str | None, spared: set[int]) -> tuple[Page, int, dict[int, int]]:
+    """The page in one pass over its tags, its unlinked characters, and those of each aside by its place."""
+    asides: dict[int, int] = {}
+    opened: list[tuple[int, int, Element]] = []  # asides: depth on the stack, place and element
+    total = 0
+    kind = "body"
     page = Page([Container("body", -1)])
     source = source or ""
     stack = [Element("body", "body", False, 0, False, False)]
@@ -165,6 +244,7 @@ def read(source: str | None) -> Page:
             if text:
                 page.blocks.append((owner, text))
                 share = 1 - linked[1] / max(linked[0], 1)
+                page.kinds.append((kind, len(text) * share))
                 page.containers[owner].score += len(text) * share
                 around = page.containers[owner].parent
                 if around >= 0:
@@ -172,15 +252,30 @@ def read(source: str | None) -> Page:
         parts = []
         linked[0] = linked[1] = 0
 
+    def close_asides(still: list[Element]) -> None:
+        while opened and not (opened[-1][0] < len(still) and still[opened[-1][0]] is opened[-1][2]):
+            _, place, _ = opened.pop()
+            if opened:
+                asides[opened[-1][1]] += asides[place]
+
     def add(text: str) -> None:
-        nonlocal owner
+        nonlocal owner, kind, total
         top = stack[-1]
-        if top.off or not text:
+        if not text:
+            return
+        if not (top.hidden or top.linked or text.isspace()):
+            total += len(text)
+            if opened:
+                close_asides(stack)
+            if opened:
+                asides[opened[-1][1]] += len(text)
+        if top.off:
             return
         if not parts:
             if text.isspace():
                 return
             owner = top.container
+            kind = next((e.name for e in reversed(stack) if e.name in BLOCKS), "body")
         parts.append(text)
         linked[0] += len(text)
         linked[1] += len(text) * top.linked
@@ -221,8 +316,10 @@ def read(source: str | None) -> Page:
             continue
         attributes = _attributes(tag["rest"])
         top = stack[-1]
-        off = (top.off or name in NO_TEXT or _is_aside(name, attributes)
-               or (name == "header" and not top.article))
+        hidden = (top.hidden or name in NO_TEXT or _is_aside(name, attributes)
+                  or (name == "header" and not top.article))
+        named = not hidden and at not in spared and _is_named_aside(name, attributes)
+        off = top.off or hidden or named
         container, path = top.container, top.path
         if name in BLOCKS:
             path = f"{path}>{_step(name, attributes)}"
@@ -230,9 +327,14 @@ def read(source: str | None) -> Page:
             page.containers.append(Container(path, top.container))
             container = len(page.containers) - 1
         stack.append(Element(name, path, off, container, top.linked or name == "a",
-                             top.article or name in {"article", "main"}))
+                             top.article or name in {"article", "main"}, hidden))
+        if named:
+            close_asides(stack)
+            asides[at] = 0
+            opened.append((len(stack) - 1, at, stack[-1]))
     close_block()
-    return page
+    close_asides([])
+    return page, total, asides
 
 
 def _end_open(stack: list[Element], name: str) -> None:

@@ -33,6 +33,25 @@ def test_odd_pages():
     assert text(f"<article><p>{long}</p></article>") == long
 
 
+def test_names_that_only_hold_a_listed_part_are_no_asides():
+    body = "<p>" + "story words " * 9 + "</p>"
+    for name in ("content has-sidebar", "no-comments", "widget-content", "content-sidebar-wrap"):
+        assert text(f'<div class="{name}">{body}</div><div class="ad-slot">Buy</div>').startswith("story")
+    page = f'<div><h2 id="related-work">Related</h2>{body}<section class="social-science"><p>More</p></section>'
+    assert text(page).split("\n")[0] == "Related" and text(page).endswith("More")
+    for name in ("cookie-notice", "related-posts", "site-footer", "sidebar", "comment-list"):
+        assert "Aside" not in text(f'<div>{body}<div class="{name}">Aside</div></div>')
+
+
+def test_title_and_lead_beside_the_long_text_belong_to_it():
+    body = "<p>" + "story words " * 30 + "</p>"
+    post = f'<div class="post"><h1>Title</h1><p>lead</p><div class="entry">{body * 2}</div></div>'
+    found = text(f'<div class="box"><p>box</p></div>{post}<p>Copyright</p>')
+    assert found.split("\n")[:2] == ["Title", "lead"] and "box" not in found and "Copyright" not in found
+    page = host_paths.read(post)
+    assert page.containers[page.best()].path == "body>div.post"
+
+
 def test_paths_are_generalised():
     page = host_paths.read('<div class="b post-12 a"><article id="p7"><p>x</p></article></div>')
     assert [c.path for c in page.containers] == [
