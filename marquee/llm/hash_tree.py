@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 # hexadecimal digits of a hash that fit a double exactly, and those that name a slot range
 DRAW_DIGITS = 13
 RANGE_DIGITS = 3
+# equal rows that are expanded at once
+CHUNK_ROWS = 65_536
 
 
 @dataclass(frozen=True)
@@ -100,7 +102,8 @@ def add_slots(df: DataFrame, shard: str, slot: str = "slot") -> DataFrame:
 
     Within a shard, rows stand in the order of a hash over all their columns.  Equal rows are counted
     first, then rows are numbered inside ranges of that hash, and each range starts where the earlier
-    ones end; so neither a shard nor a hot row is gathered in one task.
+    ones end.  A hot row's count is cut into chunks, which are dealt to tasks before they become rows; so
+    neither a shard nor a hot row is gathered in one task.
     """
     columns = df.columns
     values = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]
@@ -117,12 +120,19 @@ def add_slots(df: DataFrame, shard: str, slot: str = "slot") -> DataFrame:
     inside = Window.partitionBy(*group).orderBy("_order", *columns).rowsBetween(
         Window.unboundedPreceding, -1
     )
+    last = F.col("_first") + F.col("_n") - 1
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         counted.withColumn("_earlier", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
         .join(starts, group)
         .withColumn("_first", F.col("_start") + F.col("_earlier"))
+        .select(*columns, last.alias("_last"), F.explode(
+            F.sequence(F.col("_first"), last, F.lit(CHUNK_ROWS).cast("long"))
+        ).alias("_from"))
+        # with a number, as chunks are small until they are rows and would be put together by size
+        .repartition(tasks, shard, "_from")
         .select(*columns, F.explode(
-            F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)
+            F.sequence(F.col("_from"), F.least("_last", F.col("_from") + (CHUNK_ROWS - 1)))
         ).alias(slot))
     )
 

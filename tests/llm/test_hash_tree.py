@@ -49,3 +49,13 @@ def test_a_changed_weight_moves_rows_only_through_its_subtrees(spark):
     assert both.filter("region = 0 and r2 = 0 and shard <> s2").count() == 0
     share = both.filter("s2 = 5").count() / 4000
     assert abs(share - 3 / 10) < 0.04
+
+
+def test_a_hot_row_is_expanded_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(hash_tree, "CHUNK_ROWS", 7, raising=False)
+    df = spark.createDataFrame([(1, "a")] * 100 + [(2, "a"), (3, "b")], "id int, shard string")
+    found = hash_tree.add_slots(df, "shard").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["slot"] for r in found if r["shard"] == "a") == list(range(101))
+    assert [r["slot"] for r in found if r["shard"] == "b"] == [0]
+    assert sum(r["id"] == 1 for r in found) == 100
+    assert len({r["task"] for r in found if r["id"] == 1}) > 1
