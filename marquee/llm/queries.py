@@ -19,6 +19,7 @@ from marquee.llm import (
     simhash,
     sql,
     subword_quality,
+    turn_repair,
     weak_toxicity,
 )
 from marquee.llm.common import crc_of, table
@@ -88,10 +89,14 @@ def op10_boosted_rules(spark: SparkSession, folder: str) -> DataFrame:
     return boosted_rules.rated(docs, trees)
 
 
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.repair(table(spark, folder, "conversations"))
+
+
 def all_queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
         op1_projection_forest, op2_weak_toxicity, op3_subword_quality, op4_entropy_mix, op5_causal_lm,
-        op6_hash_tree, op7_merge_replay, op8_host_paths, op9_simhash, op10_boosted_rules,
+        op6_hash_tree, op7_merge_replay, op8_host_paths, op9_simhash, op10_boosted_rules, op11_turn_repair,
     )}
 
 
