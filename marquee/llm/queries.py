@@ -19,6 +19,8 @@ from marquee.llm import (
     simhash,
     sql,
     subword_quality,
+    token_alignment,
+    token_store,
     turn_repair,
     weak_toxicity,
 )
@@ -28,6 +30,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 RANKS = "byte_bpe_50k.tiktoken"
+BYTE_LEVEL = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,10 +97,23 @@ def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
     return turn_repair.repair(table(spark, folder, "conversations"))
 
 
+def op12_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return token_store.digests(token_store.stored(docs, public_tokenizers.path(BYTE_LEVEL)))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.aligned(
+        table(spark, folder, "documents"), public_tokenizers.path(BYTE_LEVEL),
+        public_tokenizers.path(PIECES),
+    )
+
+
 def all_queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
         op1_projection_forest, op2_weak_toxicity, op3_subword_quality, op4_entropy_mix, op5_causal_lm,
         op6_hash_tree, op7_merge_replay, op8_host_paths, op9_simhash, op10_boosted_rules, op11_turn_repair,
+        op12_token_store, op13_token_alignment,
     )}
 
 
