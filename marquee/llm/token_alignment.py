@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql.types import StructType
 from pyspark.taskcontext import TaskContext
 
 from marquee.llm.common import keep, small_batches
-from marquee.llm.word_ids import ByteLevel, Pieces, Words, gathered, per_slice
+from marquee.llm.word_ids import Words, byte_level, gathered, per_slice, piece_model
 
 BLOCK_CHARS = 1 << 19
 PAIRS_A_ROW = 1 << 20
@@ -126,8 +127,8 @@ def _summed(docs: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[np.
 class Aligner:
     """Aligns blocks of texts; one for each task, whose words it remembers."""
 
-    def __init__(self, byte_level: str, pieces: str):
-        self.coders = [ByteLevel(byte_level, special_as_text=True), Pieces(pieces)]
+    def __init__(self, tokenizer: str, pieces: str):
+        self.coders = [byte_level(tokenizer, special_as_text=True), piece_model(pieces)]
         self.words = Words(self.coders, led=True)
         self.b_width = len(self.coders[1].entries)
         largest = max(len(c.entries) for c in self.coders)
@@ -135,31 +136,31 @@ class Aligner:
             raise ValueError("the vocabularies are too large for pairs of 31 bits")
         digits = np.array([b"%d" % i for i in range(largest)], f"S{DIGITS}")
         self.digits = digits.view(np.uint8).reshape(largest, DIGITS)
-        self.checked = 0
         self.spells = np.zeros(0, bool)
+        self.forgotten = self.words.forgotten
 
-    def _check_new(self) -> None:
-        """Which words both tokenizers spell."""
-        keys = list(self.words.numbers)
-        if len(keys) < self.checked or not self.checked:
-            self.checked, self.spells = 0, np.zeros(0, bool)
-        new = np.ones(len(keys) - self.checked, bool)
+    def _read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers and sizes of texts; notes of new words whether both tokenizers spell them."""
+        numbers, sizes = self.words.read(texts)
+        if self.words.forgotten != self.forgotten:
+            self.forgotten, self.spells = self.words.forgotten, np.zeros(0, bool)
+        known = len(self.spells)
+        told = [key.encode() for key in self.words.spelled(list(islice(self.words.numbers, known, None)))]
+        new = np.ones(len(told), bool)
         for c, coder in enumerate(self.coders):
-            flat, starts, lengths = (x[c] for x in (self.words.flat, self.words.starts, self.words.lengths))
-            ids = flat[starts[self.checked]:].tolist() if len(new) else []
-            at = 0
-            for i, n in enumerate(lengths[self.checked:].tolist()):
-                told = b"".join([coder.entries[x] for x in ids[at:at + n]])
-                new[i] &= told == self.words.spelled(keys[self.checked + i]).encode()
-                at += n
+            lengths = self.words.lengths[c][known:]
+            entries = map(coder.entries.__getitem__,
+                          gathered(self.words.flat[c], self.words.starts[c][known:], lengths).tolist())
+            new &= np.fromiter(
+                (b"".join(islice(entries, n)) == word
+                 for word, n in zip(told, lengths.tolist(), strict=True)), bool, len(told),
+            )
         self.spells = np.concatenate([self.spells, new])
-        self.checked = len(keys)
+        return numbers, sizes
 
     def align(self, texts: list[str]) -> tuple[dict[str, np.ndarray], list[str], tuple[np.ndarray, ...]]:
         """Per text: counts and the digest of its groups; and (text, pair, times) of all links."""
-        if len(self.words.numbers) == 0:
-            self.checked = 0
-        numbers, sizes = self._numbers(texts)
+        numbers, sizes = self._read(texts)
         doc_of_word = np.repeat(np.arange(len(texts)), sizes)
         good = np.fromiter(map(bool, texts), bool, len(texts))
         good &= per_slice(~self.spells[numbers], sizes) == 0
@@ -195,14 +196,6 @@ class Aligner:
         digests = self._digests(ids, in_a, in_b, group_a, group_b, at_a, at_b, counts)
         return counts, digests, links
 
-    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        before = len(self.words.numbers)
-        numbers, sizes = self.words.read(texts)
-        if len(self.words.numbers) < before or before == 0:
-            self.checked = 0
-        self._check_new()
-        return numbers, sizes
-
     def _digests(self, ids, in_a, in_b, group_a, group_b, at_a, at_b, counts) -> list[str]:
         """The digest of each text's groups, written one after the other."""
         total = len(ids[0]) + len(ids[1])
@@ -249,7 +242,7 @@ def _rows(keys: list, row: int, found: tuple) -> dict[str, list]:
     return out
 
 
-def alignments(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id",
+def alignments(docs: DataFrame, tokenizer: str, pieces: str, key: str = "doc_id",
                text: str = "text") -> DataFrame:
     """`DOCS` of every document: counts, digest and linked pairs (first id * pieces + second id).
 
@@ -259,7 +252,7 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id
     schema = to_arrow_schema(StructType.fromDDL(DOCS))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(byte_level, pieces)
+        aligner = Aligner(tokenizer, pieces)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -288,12 +281,12 @@ def pair_counts(links: DataFrame, b_width: int) -> DataFrame:
     return counts.join(highest, "a_id").select("pair", "n", (F.col("n") == F.col("highest")).alias("best"))
 
 
-def aligned(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id", text: str = "text",
+def aligned(docs: DataFrame, tokenizer: str, pieces: str, key: str = "doc_id", text: str = "text",
             broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """One row per document: its counts, links of the highest pairs, sum of counts, groups digest."""
-    told = keep(alignments(docs, byte_level, pieces, key, text), "alignments")
+    told = keep(alignments(docs, tokenizer, pieces, key, text), "alignments")
     links = told.select("row", F.inline(F.arrays_zip("pairs", "times")).alias("pair", "times"))
-    counts = keep(pair_counts(links, len(Pieces(pieces).entries)), "pairs")
+    counts = keep(pair_counts(links, len(piece_model(pieces).entries)), "pairs")
     small = counts.count() <= broadcast_pairs
     sums = links.join(F.broadcast(counts) if small else counts, "pair").groupBy("row").agg(
         F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),

@@ -31,14 +31,16 @@ from pyspark.sql.types import StructType
 from pyspark.taskcontext import TaskContext
 
 from marquee.llm.common import keep, small_batches
-from marquee.llm.word_ids import ByteLevel, Words
+from marquee.llm.word_ids import Words, byte_level, gathered
 
 END_ID = 2
-SHARD_IDS = 1 << 18
+SHARD_IDS = 1 << 20
 BLOCK_CHARS = 1 << 20
 # a pair is frequent from so many places on; pairs tried and rounds made at most; share of symbols that a
 # round must save.  They shape the size of files and the time to make them, never what is read.
-FREQUENT, PAIRS_A_ROUND, ROUNDS, PAYS = 4, 8000, 12, 0.004
+FREQUENT, PAIRS_A_ROUND, ROUNDS, PAYS = 4, 4000, 8, 0.01
+# a symbol takes two bytes, so rules end where the symbols reach this, if the vocabulary is below it
+NARROW = 1 << 16
 
 MAGIC = b"RPG1"
 HEADER = struct.Struct("<4sBIIIQ")  # magic, bytes of a symbol, first nonterminal, rules, symbols, ids
@@ -65,12 +67,15 @@ def _frequent(ranked: Sequence[tuple[int, int]]) -> list[int]:
 
 def _round(symbols: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """Replace frequent pairs once: (symbols, pairs replaced as left * first + right)."""
-    pairs = symbols[:-1] * first + symbols[1:]
+    # below NARROW symbols a pair fits into 32 bits, which sort faster
+    pairs = symbols[:-1] * symbols.dtype.type(first) + symbols[1:]
     ordered = np.sort(pairs)
     begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     counts = np.diff(np.append(begins, len(ordered)))
     often = np.flatnonzero(counts >= FREQUENT)
     often = often[np.argsort(-counts[often], kind="stable")][:PAIRS_A_ROUND]
+    if first <= NARROW:
+        often = often[:NARROW - first]
     keys = ordered[begins[often]]
     ranked = list(zip((keys // first).tolist(), (keys % first).tolist(), strict=True))
     chosen = np.sort(keys[_frequent(ranked)])
@@ -97,7 +102,7 @@ def _round(symbols: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
 
 def packed(ids: np.ndarray, vocabulary: int) -> bytes:
     """A shard's binary value; all ids are below ``vocabulary``."""
-    symbols, first = np.asarray(ids, np.int64), vocabulary
+    symbols, first = np.asarray(ids, np.uint32 if vocabulary < NARROW else np.int64), vocabulary
     lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for _ in range(ROUNDS):
         if len(symbols) < 2:
@@ -105,15 +110,15 @@ def packed(ids: np.ndarray, vocabulary: int) -> bytes:
         fewer, chosen = _round(symbols, first)
         if not len(chosen):
             break
-        lefts.append(chosen // first)
-        rights.append(chosen % first)
+        lefts.append(chosen.astype(np.int64) // first)
+        rights.append(chosen.astype(np.int64) % first)
         paid = len(symbols) - len(fewer) >= PAYS * len(symbols)
         symbols, first = fewer, first + len(chosen)
         if not paid:
             break
     left, right = np.concatenate(lefts), np.concatenate(rights)
     sizes = _sizes(left, right, vocabulary)
-    wide = "<u4" if first > 1 << 16 else "<u2"
+    wide = "<u4" if first > NARROW else "<u2"
     lengths = sizes[symbols]
     marks = (np.cumsum(lengths) - lengths)[::MARK]
     head = HEADER.pack(MAGIC, int(wide[-1]), vocabulary, len(left), len(symbols), len(ids))
@@ -164,7 +169,11 @@ class Shard:
             symbols = out
 
     def all_ids(self) -> np.ndarray:
-        return self.expanded(self.symbols)
+        """Every symbol is looked up in the list of all expansions."""
+        rules = self.expanded(np.arange(self.first, self.first + len(self.sizes)))
+        sizes = np.concatenate([np.ones(self.first, np.int64), self.sizes.astype(np.int64)])
+        flat = np.concatenate([np.arange(self.first), rules])
+        return gathered(flat, (np.cumsum(sizes) - sizes)[self.symbols], sizes[self.symbols])
 
     def sliced(self, start: int, stop: int) -> np.ndarray:
         """Ids start..stop, expanding only the symbols that hold them."""
@@ -218,7 +227,7 @@ def shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     wanted = _arrow(SHARDS)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteLevel(path)
+        coder = byte_level(path)
         part, number, before = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         held: list[np.ndarray] = []
@@ -299,9 +308,12 @@ def part_starts(files: DataFrame) -> DataFrame:
 
 def digests(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files."""
-    return documents(files).join(part_starts(files), "part").select(
-        "doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "n_tokens",
-        F.crc32("ids").alias("ids_crc32"),
+    # the ids are summed up before the join, so that none are shuffled
+    told = documents(files).select(
+        "part", "doc_id", "start_in_part", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+    return told.join(part_starts(files), "part").select(
+        "doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 

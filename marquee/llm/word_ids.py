@@ -13,6 +13,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 
@@ -20,12 +22,16 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # words that a task remembers from one block of texts to the next; only memory depends on it
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 JOINED = 256
 CUT = re.compile(r"(?<=\S)(?= \S)")
 SPACE_MARK = "▁"
 
-Coded = tuple[np.ndarray, np.ndarray]  # ids one after the other, number of ids of each word
+# a space beside other white space, where no cut may be made; texts without it are cut at every space
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+# ids in some order; where those of each word begin, and how many there are
+Coded = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -60,64 +66,49 @@ class Words:
     def __init__(self, coders: list[Callable[[list[str]], Coded]], led: bool = False):
         self.coders = coders
         self.led = led
+        self.forgotten = 0
         self.forget()
 
     def forget(self) -> None:
+        self.forgotten += 1
         self.numbers = _Numbers()
-        self.unsafe = np.zeros(0, bool)
         self.flat = [np.zeros(0, np.int64) for _ in self.coders]
         self.lengths = [np.zeros(0, np.int64) for _ in self.coders]
         self.starts = [np.zeros(0, np.int64) for _ in self.coders]
 
-    def spelled(self, key: str) -> str:
-        if not self.led and key.startswith(" "):
-            return key[1:]
-        return f" {key}"
-
-    def _numbered(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-
-    def _fast(self, text: str) -> np.ndarray:
+    def spelled(self, keys: list[str]) -> list[str]:
+        """The texts that keys stand for."""
+        if self.led:
+            return [f" {key}" for key in keys]
+        return [key[1:] if key[:1] == " " else f" {key}" for key in keys]
+
+    def _cut(self, text: str) -> list[str]:
+        """The words of a text, as keys."""
+        if text[:1].isspace() or text[-1:].isspace() or any(
+            f"{c} " in text or f" {c}" in text for c in WHITE if c == " " or c in text
+        ):
+            if self.led:
+                return [chunk[1:] for chunk in CUT.split(f" {text}")]
+            first, *rest = CUT.split(text)
+            return [f" {first}", *[chunk[1:] for chunk in rest]]
         words = text.split(" ")
         if not self.led:
             words[0] = f" {words[0]}"
-        return self._numbered(words)
-
-    def _careful(self, text: str) -> np.ndarray:
-        if self.led:
-            return self._numbered([chunk[1:] for chunk in CUT.split(f" {text}")])
-        first, *rest = CUT.split(text)
-        return self._numbered([f" {first}", *[chunk[1:] for chunk in rest]])
-
-    def _judge(self) -> None:
-        """Note of new words whether white space at their edges forbids to cut there."""
-        new = list(self.numbers)[len(self.unsafe):]
-
-        def edged(key: str) -> bool:
-            word = key.removeprefix(" ")
-            return not word or word != word.strip() or (self.led and key[0] == " ")
-
-        self.unsafe = np.concatenate([
-            self.unsafe, np.fromiter(map(edged, new), bool, len(new))
-        ])
+        return words
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts, and how many each text has; the ids of every word are known then."""
         if len(self.numbers) > REMEMBERED:
             self.forget()
-        found = [self._fast(text) for text in texts]
-        self._judge()
-        for i, numbers in enumerate(found):
-            if self.unsafe[numbers].any():
-                found[i] = self._careful(texts[i])
-        self._judge()
-        known = len(self.starts[0])
-        new = [self.spelled(key) for key in list(self.numbers)[known:]]
+        found = []
+        for text in texts:
+            words = self._cut(text)
+            found.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+        new = self.spelled(list(islice(self.numbers, len(self.starts[0]), None)))
         if new:
             for i, coder in enumerate(self.coders):
-                flat, lengths = coder(new)
-                begin = len(self.flat[i]) + np.cumsum(lengths) - lengths
-                self.starts[i] = np.concatenate([self.starts[i], begin])
+                flat, starts, lengths = coder(new)
+                self.starts[i] = np.concatenate([self.starts[i], len(self.flat[i]) + starts])
                 self.flat[i] = np.concatenate([self.flat[i], flat])
                 self.lengths[i] = np.concatenate([self.lengths[i], lengths])
         sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -149,32 +140,31 @@ class ByteLevel:
         self.entries = byte_level_entries(self.tokenizer)
         self.sizes = np.fromiter(map(len, self.entries), np.int64, len(self.entries))
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def __call__(self, words: list[str]) -> Coded:
-        plain = [i for i, w in enumerate(words) if w[:1] == " " and not w[1:2].isspace() and not w[-1].isspace()]
+        plain, rest = [], []
+        for i, word in enumerate(words):
+            edged = word[:1] != " " or word[1:2].isspace() or word[-1:].isspace()
+            (rest if edged else plain).append(i)
         lengths = np.zeros(len(words), np.int64)
-        pieces: list[np.ndarray | None] = [None] * len(words)
-        whole = set(plain)
-        rest = [i for i in range(len(words)) if i not in whole]
-        for i, coded in zip(rest, self.tokenizer.encode_batch_fast(
-            [words[i] for i in rest], add_special_tokens=False
-        ), strict=True):
-            pieces[i] = np.array(coded.ids, np.int64)
         groups = [plain[at:at + JOINED] for at in range(0, len(plain), JOINED)]
-        texts = ["".join(words[i] for i in group) for group in groups]
-        for group, coded in zip(groups, self.tokenizer.encode_batch_fast(
-            texts, add_special_tokens=False
-        ), strict=True):
-            ids = np.array(coded.ids, np.int64)
-            ends = np.cumsum(self.sizes[ids])
-            borders = np.cumsum([len(words[i].encode()) for i in group])
-            stops = np.searchsorted(ends, borders)
-            if not np.array_equal(ends[stops], borders):
-                raise ValueError("a token reaches across two words")
-            for i, piece in zip(group, np.split(ids, stops[:-1] + 1), strict=True):
-                pieces[i] = piece
-        for i, piece in enumerate(pieces):
-            lengths[i] = len(piece)
-        return (np.concatenate(pieces) if pieces else np.zeros(0, np.int64)), lengths
+        coded = self._ids(["".join([words[i] for i in group]) for group in groups])
+        flat = np.fromiter(chain.from_iterable(coded), np.int64, sum(map(len, coded)))
+        ends = np.cumsum(self.sizes[flat])
+        borders = np.cumsum([len(words[i].encode()) for i in plain], dtype=np.int64)
+        stops = np.searchsorted(ends, borders)
+        if len(plain) and not np.array_equal(ends[stops], borders):
+            raise ValueError("a token reaches across two words")
+        lengths[plain] = np.diff(stops, prepend=-1)
+        single = self._ids([words[i] for i in rest])
+        lengths[rest] = [len(ids) for ids in single]
+        starts = np.zeros(len(words), np.int64)
+        starts[plain] = stops + 1 - lengths[plain]
+        starts[rest] = len(flat) + np.cumsum(lengths[rest]) - lengths[rest]
+        more = np.fromiter(chain.from_iterable(single), np.int64, int(lengths[rest].sum()))
+        return np.concatenate([flat, more]), starts, lengths
 
 
 class Pieces:
@@ -198,4 +188,16 @@ class Pieces:
     def __call__(self, words: list[str]) -> Coded:
         coded = self.processor.encode([w[1:] for w in words], num_threads=1)
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        return np.fromiter((i for ids in coded for i in ids), np.int64, int(lengths.sum())), lengths
+        flat = np.fromiter(chain.from_iterable(coded), np.int64, int(lengths.sum()))
+        return flat, np.cumsum(lengths) - lengths, lengths
+
+
+@lru_cache(maxsize=2)
+def byte_level(path: str, special_as_text: bool = False) -> ByteLevel:
+    """A worker reads the file once; what stays is of the vocabulary's size."""
+    return ByteLevel(path, special_as_text)
+
+
+@lru_cache(maxsize=1)
+def piece_model(path: str) -> Pieces:
+    return Pieces(path)
