@@ -7,7 +7,10 @@ value held by a third of the rows is one histogram row like any other.
 
 The cut points are values picked by their hash.  Which values those are depends on the data alone,
 never on task order, so the ranges stay the same when a lost executor makes Spark compute any part
-again, and nothing has to be pinned.
+again, and nothing has to be pinned.  They lie on two levels: `FAN` coarse ranges, and inside a coarse
+range, joined by its number, the cut points of that range alone.  So a row never meets more than about
+`FAN` cut points at a time, and no task gathers more than `FAN` times `SAMPLES_PER_RANGE` values
+(`FAN` squared ranges, at the default size 13 billion distinct values; beyond that ranges grow).
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# ranges are found by halving; so many halvings tell more ranges apart than there can be
-HALVINGS = 30
+FAN = 512
+# cut points are searched by halving; twice as many as wanted can be told apart
+HALVINGS = 10
 VALUES_PER_RANGE = 50_000
 SAMPLES_PER_RANGE = 8
 
@@ -108,27 +112,34 @@ def running_totals(
         sizes = distinct.select(
             *packed, F.col("size").alias("_distinct"), F.col("size").alias("_n_total")
         )
-    sizes = sizes.withColumn("_ranges", F.ceil(F.col("_distinct") / F.lit(per_range)))
-    # the condition names n, always >= 0: without it the filter would be pushed below the histogram,
-    # and this branch would build one of its own instead of reusing the others' shuffle
-    wanted = F.when((F.col("n") >= 0) & (F.col("_ranges") > 1),
-                    F.col("_ranges") * SAMPLES_PER_RANGE)
-    cuts = (
-        with_group(hist, sizes)
-        .filter(F.pmod(F.xxhash64("value"), F.col("_distinct")) < wanted)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("value")).alias("_sample"),
-             F.max("_ranges").alias("_wanted"))
-        .select(
-            *keys,
-            F.filter(
-                "_sample",
-                lambda _, i: i % F.ceil(F.size("_sample") / F.col("_wanted")).cast("int") == 0,
-            ).alias("_cuts"),
+    ranges = F.ceil(F.col("_distinct") / F.lit(per_range))
+    sizes = sizes.withColumn("_ranges", F.least(ranges, F.lit(FAN * FAN)))
+
+    def cuts_of(rows: DataFrame, at: list[str], wanted: Column, step: Column, seed: int) -> DataFrame:
+        """Sorted cut points per ``at``: of ``wanted`` values picked by hash every ``step``-th."""
+        picked = F.pmod(F.xxhash64(F.lit(seed), "value"), F.col("_distinct")) < wanted
+        sample = rows.filter(picked).groupBy(*at).agg(
+            F.sort_array(F.collect_list("value")).alias("_sample"), F.max(step).alias("_step")
         )
+        return sample.select(*at, F.filter(
+            "_sample", lambda _, i: i % F.col("_step") == 0
+        ).alias("_cuts"))
+
+    # the conditions name n, always >= 0: without it they would be pushed below the histogram, and this
+    # branch would build one of its own instead of reusing the others' shuffle
+    several = (F.col("n") >= 0) & (F.col("_ranges") > 1)
+    coarse = F.least("_ranges", F.lit(FAN))
+    first = cuts_of(with_group(hist, sizes), keys, F.when(several, coarse * SAMPLES_PER_RANGE),
+                    F.lit(SAMPLES_PER_RANGE), 0)
+    near = with_group(hist, first, "left").select(
+        *keys, _cuts_upto(F.col("value")).alias("_coarse"), "value", "n"
     )
-    placed = with_group(hist, cuts, "left").select(
-        *keys, _cuts_upto(F.col("value")).alias("_range"), "value", "n"
+    many = (F.col("n") >= 0) & (F.col("_ranges") > FAN)
+    second = cuts_of(with_group(near, sizes), [*keys, "_coarse"],
+                     F.when(many, F.col("_ranges") * SAMPLES_PER_RANGE), F.lit(SAMPLES_PER_RANGE), 1)
+    placed = near.join(second, [*keys, "_coarse"], "left").select(
+        *keys, F.struct("_coarse", _cuts_upto(F.col("value")).alias("_fine")).alias("_range"),
+        "value", "n",
     )
 
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
@@ -165,18 +176,77 @@ def add_ranks(
     df: DataFrame,
     ranks: dict[str, tuple[str, str]],
     *,
+    key: str | None = None,
     per_range: int = VALUES_PER_RANGE,
 ) -> DataFrame:
     """Add global ranks, one column per entry ``name -> (kind, column)``.
 
     ``rank_desc`` is rank() over (order by column desc nulls last); ``percent_rank`` is
     percent_rank() over (order by column asc nulls last).
+
+    With ``key``, a column that tells the rows apart, several columns are ranked in one pass: the values
+    of all of them form one histogram by (column, value), and the ranks come back as one narrow row per
+    key, so the rows themselves are joined once and not once per column.
     """
-    out = df
-    for column in dict.fromkeys(column for _, column in ranks.values()):
-        kinds = {name: kind for name, (kind, c) in ranks.items() if c == column}
-        out = _add_ranks_of(out, df, column, kinds, per_range)
-    return out
+    columns = list(dict.fromkeys(column for _, column in ranks.values()))
+    if key is None or len(columns) == 1:
+        out = df
+        for column in columns:
+            kinds = {name: kind for name, (kind, c) in ranks.items() if c == column}
+            out = _add_ranks_of(out, df, column, kinds, per_range)
+        return out
+    narrow = _ranks_by_key(df, ranks, columns, key, per_range)
+    facts = df.agg(F.count("*").alias("_rows"), *[
+        F.count(c).alias(f"_held{i}") for i, c in enumerate(columns)
+    ])
+    joined = df.withColumn("_key", F.struct(key)).join(narrow, "_key", "left")
+    joined = attach(joined, facts).withColumns({
+        name: _place(kind, name, f"_held{columns.index(c)}") for name, (kind, c) in ranks.items()
+    })
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *ranks)
+
+
+def _ranks_by_key(df: DataFrame, ranks: dict[str, tuple[str, str]], columns: list[str], key: str,
+                  per_range: int) -> DataFrame:
+    """(_key, _name...): places of every row that has a value, for all columns in one pass."""
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    kinds = dict(df.dtypes)
+
+    def value(column: str) -> Column:
+        # whole numbers stay whole: beside fractions they would be rounded
+        exact, none = kinds[column] in whole, F.lit(None)
+        return F.struct(
+            (F.col(column) if exact else none).cast("long").alias("whole"),
+            (none if exact else F.col(column)).cast("double").alias("part"),
+        )
+
+    cells = F.array_compact(F.array(*[
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("measure"), value(c).alias("value")))
+        for i, c in enumerate(columns)
+    ]))
+    stacked = df.select(F.struct(key).alias("_key"), F.inline(cells))
+    totals = running_totals(
+        stacked.groupBy("measure", "value").agg(F.count("*").alias("n")), ["measure"],
+        per_range=per_range,
+    )
+    upto, n, total = F.col("upto"), F.col("n"), F.col("total")
+    places = totals.select(
+        "measure", "value", (total - upto + 1).alias("from_top"), (upto - n + 1).alias("from_end")
+    )
+    return stacked.join(places, ["measure", "value"]).groupBy("_key").agg(*[
+        F.max(F.when(F.col("measure") == columns.index(c),
+                     F.col("from_top" if kind == "rank_desc" else "from_end"))).alias(f"_{name}")
+        for name, (kind, c) in ranks.items()
+    ])
+
+
+def _place(kind: str, name: str, held: str) -> Column:
+    """A rank from the place of a value; NULL matches nothing and comes after every value."""
+    place = F.coalesce(F.col(f"_{name}"), F.col(held) + 1)
+    if kind == "percent_rank":
+        rows = F.col("_rows")
+        return F.when(rows > 1, (place - 1) / (rows - 1)).otherwise(0.0)
+    return place
 
 
 def _add_ranks_of(
@@ -191,13 +261,7 @@ def _add_ranks_of(
     )
     sizes = source.agg(F.count(column).alias("_held"), F.count("*").alias("_rows"))
     joined = attach(out.join(ranked, F.col(column) == F.col("_key"), "left"), sizes)
-    for name, kind in kinds.items():
-        # NULL matches nothing and comes after every value
-        place = F.coalesce(F.col(f"_{name}"), F.col("_held") + 1)
-        if kind == "percent_rank":
-            rows = F.col("_rows")
-            place = F.when(rows > 1, (place - 1) / (rows - 1)).otherwise(0.0)
-        joined = joined.withColumn(name, place)
+    joined = joined.withColumns({name: _place(kind, name, "_held") for name, kind in kinds.items()})
     return joined.drop("_key", "_held", "_rows", *[f"_{name}" for name in kinds])
 
 

@@ -170,6 +170,7 @@ def content_performance(
             "completion_rank": ("rank_desc", "completion_rate"),
             "engagement_rank": ("rank_desc", "rating_count"),
         },
+        key="item_id",
     )
     reach = F.ln(F.greatest(F.col("followers"), F.lit(1))) / math.log(most_followers)
     score = (

@@ -34,8 +34,24 @@ def test_many_ranges_equal_the_plain_window(skewed, rows):
         "q": F.percent_rank().over(everything.orderBy(F.asc_nulls_last("x"))),
     })
     for per_range in (50, 2):  # 2: some three thousand ranges
-        ranged = d.add_ranks(skewed, ranks, per_range=per_range)
-        assert rows(ranged, "id", "r", "p", "q") == rows(plain, "id", "r", "p", "q")
+        for key in (None, "id"):
+            ranged = d.add_ranks(skewed, ranks, key=key, per_range=per_range)
+            assert rows(ranged, "id", "r", "p", "q") == rows(plain, "id", "r", "p", "q")
+
+
+def test_whole_numbers_beyond_doubles_keep_their_order(spark, rows):
+    data = [(i, (1 << 60) + i % 3, i / 7) for i in range(9)]
+    df = spark.createDataFrame(data, "id int, v long, x double")
+    found = d.add_ranks(df, {"r": ("rank_desc", "v"), "q": ("rank_desc", "x")}, key="id")
+    assert rows(found, "id", "r", "q") == [(i, (7, 4, 1)[i % 3], 9 - i) for i in range(9)]
+
+
+def test_a_hundred_thousand_ranges(spark):
+    """One value a range: both levels of cut points are in use, and no sample is large."""
+    df = spark.range(100_000).select((F.col("id") * 7919 % 1_000_003).alias("v"))
+    counts = d.running_totals(d.histogram(df, "v"), per_range=1)
+    checked = counts.withColumn("plain", F.count("*").over(Window.partitionBy(F.lit(0)).orderBy("value")))
+    assert checked.filter("upto <> plain or total <> 100000").count() == 0
 
 
 def test_nulls_rank_last_both_ways(spark, rows):
