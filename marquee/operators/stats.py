@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +30,18 @@ def rating_stats(ratings: DataFrame, key: str) -> DataFrame:
     Ratings are whole numbers 1..10, so ten counters per key hold the whole distribution: one
     hash aggregate, combined before the shuffle, and no list of values for a busy key.
     """
-    counters = ratings.groupBy(key).agg(
+    return rating_measures(rating_counters(ratings, key), key)
+
+
+def rating_counters(ratings: DataFrame, key: str) -> DataFrame:
+    """(key, _c1 .. _c10): ratings of each value.  Counters of two slices add up."""
+    return ratings.groupBy(key).agg(
         *[F.count_if(F.col("rating") == r).alias(f"_c{r}") for r in RATINGS]
     )
+
+
+def rating_measures(counters: DataFrame, key: str) -> DataFrame:
+    """The measures of `rating_stats` from counters."""
     count = {r: F.col(f"_c{r}") for r in RATINGS}
     total = _add(count.values())
     mean = _add(count[r] * r for r in RATINGS).cast("double") / F.col("rating_count")
@@ -78,17 +90,34 @@ def _at(count: dict[int, Column], index: Column) -> Column:
 
 def status_profile(entries: DataFrame, key: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """Entries per status and their shares, per key."""
-    total = F.count("*")
+    return status_shares(status_counters(entries, key, extra))
+
+
+def status_counters(entries: DataFrame, key: str,
+                    extra: dict[str, Column] | None = None) -> DataFrame:
+    """Entries and entries per status, per key.  Counters of two slices add up."""
     return entries.groupBy(key).agg(
-        total.alias("entries"),
+        F.count("*").alias("entries"),
         *[F.count_if(F.col("status") == label).alias(name) for label, name in STATUSES.items()],
         *[c.alias(name) for name, c in (extra or {}).items()],
-    ).withColumns({
+    )
+
+
+def status_shares(counters: DataFrame) -> DataFrame:
+    return counters.withColumns({
         f"{name}_share": ratio(F.col(name), F.col("entries"))
         for name in ("completed", "dropped", "plan_to_watch")
     })
 
 
+def added_up(slices: Sequence[DataFrame], key: str) -> DataFrame:
+    """Counters of several slices as one row per key; a NULL key is a key."""
+    together = reduce(DataFrame.unionByName, slices)
+    return together.groupBy(key).agg(*[
+        F.sum(c).alias(c) for c in together.columns if c != key
+    ])
+
+
 def distinct_per_key(df: DataFrame, key: str, of: str, into: str) -> DataFrame:
     """count(distinct of) per key.  Pairs are spread over (key, of), so a busy key is split."""
     pairs = df.select(key, of).distinct()

@@ -158,10 +158,13 @@ def result(
     )
 
 
-def verdicts(expected: DataFrame, actual: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """The three levels side by side, one row per run."""
+def verdicts(expected: DataFrame, actual: DataFrame, runs: DataFrame | None = None,
+             compared: DataFrame | None = None) -> DataFrame:
+    """The three levels side by side, one row per run.  ``compared`` is `result`, if it is made already."""
     out = structure(expected, actual, runs)
-    for level in (first_row(expected, actual), result(expected, actual, runs)):
+    if compared is None:
+        compared = result(expected, actual, runs)
+    for level in (first_row(expected, actual), compared):
         out = out.join(level, RUN, "left")
     false = F.lit(False)
     return out.select(

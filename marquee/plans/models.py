@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 from marquee.functions.columns import growth, known, ladder, ratio, unit_score
 from marquee.operators.distribution import add_ranks
 from marquee.operators.explode import explode_list
-from marquee.operators.stats import distinct_per_key, favourite, rating_stats, status_profile
+from marquee.operators.stats import (
+    distinct_per_key,
+    favourite,
+    rating_counters,
+    rating_measures,
+    rating_stats,
+    status_counters,
+    status_profile,
+    status_shares,
+)
 from marquee.sources.writers import unkept
 
 Keep = Callable[[str, DataFrame], DataFrame]
@@ -46,6 +55,13 @@ def item_stats(items: DataFrame, ratings: DataFrame, entries: DataFrame) -> Data
 
     The facts are aggregated to item grain before they meet the items.
     """
+    return item_stats_of(
+        items, rating_counters(ratings, "item_id"), status_counters(entries, "item_id")
+    )
+
+
+def item_stats_of(items: DataFrame, rated: DataFrame, watched: DataFrame) -> DataFrame:
+    """`item_stats` from the counters of ratings and statuses per item."""
     known_items = items.select(
         "item_id", "name", "type", "tags", "source_material", "source_category", "makers",
         F.col("score").alias("community_score"), "followers", "favorites", "start_year",
@@ -56,8 +72,8 @@ def item_stats(items: DataFrame, ratings: DataFrame, entries: DataFrame) -> Data
         "followers_tier", ladder(F.col("_place"), ITEM_TIERS, "Lower Half")
     ).drop("_place")
 
-    rated = rating_stats(ratings, "item_id")
-    watched = status_profile(entries, "item_id")
+    rated = rating_measures(rated, "item_id")
+    watched = status_shares(watched)
     return (
         meta.join(rated, "item_id", "left")
         .join(watched, "item_id", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.columns import (
@@ -464,8 +464,25 @@ def status_of_raters(entries: DataFrame, ratings: DataFrame) -> DataFrame:
 
 
 def tag_diversity(ratings: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct tags per user; each step drops repeats before the next one multiplies rows."""
+    """Distinct tags per user, as the union of bitmaps.
+
+    Tags are numbered, and an item's tags are set bits of few words of 64.  What a user rated is joined
+    word by word; `bit_or` unites them before the shuffle, so a busy user sends one row per word and
+    task, and no (user, tag) pair is ever made.
+    """
     tagged = items.filter(F.col("tags").isNotNull()).select("item_id", "tags")
-    combinations = ratings.join(tagged, "item_id").select("user_id", "tags").distinct()
-    single = explode_list(combinations, "tags", "tag", delimiter=", ", drop_unknown=False)
-    return single.select("user_id", "tag").distinct().groupBy("user_id").agg(count("tag_count"))
+    listed = explode_list(tagged, "tags", "tag", delimiter=", ", drop_unknown=False).select("item_id", "tag")
+    # distinct tags alone are put in order: a list of labels, however many items carry them
+    numbers = listed.select("tag").distinct().withColumn(
+        "number", F.row_number().over(Window.orderBy("tag")) - 1
+    )
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("number") % 64).cast("int"))
+    words = listed.join(numbers, "tag").groupBy(
+        "item_id", F.floor(F.col("number") / 64).alias("word")
+    ).agg(F.bit_or(bit).alias("bits"))
+    united = ratings.select("user_id", "item_id").join(words, "item_id").groupBy("user_id", "word").agg(
+        F.bit_or("bits").alias("bits")
+    )
+    return united.groupBy("user_id").agg(
+        F.sum(F.bit_count("bits")).cast("long").alias("tag_count")
+    )

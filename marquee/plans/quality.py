@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.plans.warehouse import Marts, Staged
+from marquee.sources.writers import Shelf
 
 # fixed values
 ITEM_TYPES = ["TV", "OVA", "Movie", "Special", "ONA", "Music", "Unknown"]
@@ -40,10 +41,14 @@ def unique(df: DataFrame, table: str, column: str) -> DataFrame:
 Check = tuple[str, str, Column]
 
 
+def _failures(checks: Sequence[Check]) -> list[Column]:
+    return [F.coalesce(F.sum(failures.cast("long")), F.lit(0)).alias(f"_{i}")
+            for i, (_, _, failures) in enumerate(checks)]
+
+
 def row_checks(df: DataFrame, table: str, checks: Sequence[Check]) -> DataFrame:
     """Several checks of one table in one pass: (column, check, failures of a row, 0 or more)."""
-    counts = df.agg(*[F.coalesce(F.sum(failures.cast("long")), F.lit(0)).alias(f"_{i}")
-                      for i, (_, _, failures) in enumerate(checks)])
+    counts = df.agg(*_failures(checks))
     rows = [
         F.struct(
             F.lit(table).alias("table_name"),
@@ -188,13 +193,51 @@ def all_orphans(s: Staged, m: Marts) -> DataFrame:
     ])
 
 
-def all_checks(s: Staged, m: Marts) -> DataFrame:
-    """The thirty checks as one table: one pass per table for all checks of rows, one per key."""
-    further = {"content": _outside(), "item_stats": _excess()}
-    by_row = [
-        row_checks(_table(s, m, name), name, [
-            *_missing(columns), *_unlisted(ACCEPTED.get(name, {})), *further.get(name, []),
-        ])
-        for name, columns in REQUIRED.items()
+def _checks_of(name: str) -> list[Check]:
+    """All checks of the rows of a table."""
+    further = {"content": _outside, "item_stats": _excess}
+    return [*_missing(REQUIRED[name]), *_unlisted(ACCEPTED.get(name, {})),
+            *(further[name]() if name in further else [])]
+
+
+def all_checks(s: Staged, m: Marts, seen: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """The thirty checks as one table: one pass per table for all checks of rows, one per key.
+
+    ``seen`` are failures counted when tables were written (`CheckedShelf`); those are not scanned again.
+    """
+    seen = seen or {}
+    spark = s.items.sparkSession
+    known = [
+        (name, column, check, int(seen[name][f"_{i}"]), seen[name][f"_{i}"] == 0)
+        for name in REQUIRED if name in seen
+        for i, (column, check, _) in enumerate(_checks_of(name))
     ]
-    return _union([all_unique(s, m), *by_row, all_orphans(s, m)])
+    parts = [all_unique(s, m), all_orphans(s, m), *[
+        row_checks(_table(s, m, name), name, _checks_of(name)) for name in REQUIRED if name not in seen
+    ]]
+    if known:
+        parts.append(spark.createDataFrame(
+            known, "table_name string, column_name string, check_name string, failing_rows long,"
+                   " passed boolean"))
+    return _union(parts)
+
+
+# what the tables are called where they are kept
+KEPT_AS = {"content_performance": "content", "user_segments": "users", "tag_trends": "tags"}
+
+
+class CheckedShelf(Shelf):
+    """A shelf that counts the failures of row checks while it writes a table: no second scan."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        super().__init__(spark, label)
+        self.failures: dict[str, dict[str, int]] = {}
+
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        table = KEPT_AS.get(name, name)
+        if name in self or table not in REQUIRED:
+            return super().__call__(name, df)
+        counted = Observation()
+        written = super().__call__(name, df.observe(counted, *_failures(_checks_of(table))))
+        self.failures[table] = counted.get
+        return written

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +19,24 @@ from marquee.plans import (
     patterns,
     profiling,
     quality,
+    refresh,
+    sketches,
     questions,
     texts,
 )
 from marquee.plans.metrics import metric
+from marquee.plans.quality import CheckedShelf
+from marquee.plans.questions import ITEM
 from marquee.plans.texts import DESCRIBED
-from marquee.plans.warehouse import Marts, Staged, marts_of, stage_files, stage_supplied
+from marquee.plans.warehouse import (
+    Marts,
+    Staged,
+    facts_by_key,
+    marts_of,
+    stage_files,
+    stage_supplied,
+)
 from marquee.sources import schemas, supplied
-from marquee.sources.writers import Shelf
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +45,7 @@ DIVERSITY = [(9, "Explorer"), (6, "Regular Viewer"), (3, "Selective")]
 
 
 _marts: dict[tuple[str, str], Marts] = {}
-_shelves: dict[tuple[str, str], Shelf] = {}
+_shelves: dict[tuple[str, str], CheckedShelf] = {}
 
 
 _staged: dict[tuple[str, str], Staged] = {}
@@ -48,10 +59,10 @@ def staged(spark: SparkSession, folder: str) -> Staged:
     return _staged[key]
 
 
-def shelf(spark: SparkSession, folder: str) -> Shelf:
+def shelf(spark: SparkSession, folder: str) -> CheckedShelf:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _shelves:
-        _shelves[key] = Shelf(spark, folder)
+        _shelves[key] = CheckedShelf(spark, folder)
     return _shelves[key]
 
 
@@ -92,12 +103,30 @@ def table_queries() -> dict[str, Query]:
     def stats(s: Staged) -> DataFrame:
         return models.item_stats(s.items, s.ratings, s.entries)
 
+    def refreshed_stats(spark: SparkSession, folder: str) -> DataFrame:
+        """Three quarters of the users make the kept state, the others come as the new slice."""
+        s, kept = staged(spark, folder), shelf(spark, folder)
+        new = F.coalesce(F.col("user_id") % 4 == 0, F.lit(True))
+        old = refresh.state_of(s.ratings.filter(~new), s.entries.filter(~new))
+        state = refresh.ItemState(kept("old_ratings", old.ratings), kept("old_statuses", old.statuses))
+        state = refresh.refreshed(state, s.ratings.filter(new), s.entries.filter(new), keep=kept)
+        return settled(refresh.item_stats_from(s.items, state))
+
+    def stats_by_key(spark: SparkSession, folder: str) -> DataFrame:
+        s = staged(spark, folder)
+        root = shelf(spark, folder).root
+        prefix = f"facts_{hashlib.sha1(root.encode()).hexdigest()[:12]}"
+        facts = facts_by_key(s, ITEM, prefix, root)
+        return settled(models.item_stats(s.items, facts.ratings, facts.entries))
+
     return {
         "stg_items": on_staged(lambda s: s.items),
         "stg_ratings": on_staged(lambda s: s.ratings),
         "stg_list_entries": on_staged(lambda s: s.entries),
         "stg_item_text": on_staged(lambda s: s.text),
         "item_stats": on_staged(stats),
+        "item_stats_refreshed": refreshed_stats,
+        "item_stats_by_key": stats_by_key,
         "user_profiles": on_staged(profiles),
         "tag_metrics": on_marts(lambda m: models.tag_metrics(m.item_stats)),
         "content_performance": lambda spark, folder: settled(models.content_performance(
@@ -141,7 +170,7 @@ def pattern_queries() -> dict[str, Query]:
         "pattern_segment_pivot": on_marts(lambda m: patterns.segment_pivot(m.users)),
         "pattern_top_decile": on_marts(lambda m: patterns.top_share(m.content)),
         "pattern_single_maker": on_marts(lambda m: patterns.single_maker(m.content)),
-        "pattern_table_sample": on_marts(lambda m: patterns.table_sample(m.content)),
+        "pattern_table_sample": on_marts(lambda m: patterns.table_sample(m.content, ITEM)),
     }
 
 
@@ -166,7 +195,15 @@ def profile_queries() -> dict[str, Query]:
     def per_user(s: Staged) -> DataFrame:
         return P.activity(s.ratings, "user_id")
 
+    def sketched_distinct(s: Staged) -> DataFrame:
+        return sketches.distinct_check(s.ratings, "item_id", "user_id")
+
+    def sketched_quantiles(s: Staged) -> DataFrame:
+        return sketches.quantile_check(s.items, "type", "followers", [0.1, 0.5, 0.9])
+
     return {
+        "sketched_distinct": on_staged(sketched_distinct),
+        "sketched_quantiles": on_staged(sketched_quantiles),
         "profile_nulls": on_staged(lambda s: P.null_share(s.items)),
         "profile_sentinels": lambda spark, folder: settled(P.sentinel_share(
             supplied.items(spark, folder),
@@ -345,7 +382,9 @@ def quality_queries() -> dict[str, Query]:
         "quality_orphans": on_both(Q.all_orphans),
         "quality_ranges": on_both(lambda s, m: Q.ranges(m.content)),
         "quality_cross_column": on_both(lambda s, m: Q.cross_column(m.item_stats)),
-        "quality_all": on_both(Q.all_checks),
+        "quality_all": lambda spark, folder: Q.all_checks(
+            staged(spark, folder), marts(spark, folder).make_all(), shelf(spark, folder).failures
+        ),
     }
 
 
@@ -415,21 +454,26 @@ def compare_queries() -> dict[str, Query]:
     def level(function: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
         return lambda spark, folder: function(*results(spark, folder))
 
+    def compared(spark: SparkSession, folder: str) -> DataFrame:
+        """The comparison of all rows, kept: verdicts and rates read it."""
+        kept = shelf(spark, folder)
+        return kept["compared"] if "compared" in kept else kept(
+            "compared", C.result(*results(spark, folder)))
+
+    def verdicts(spark: SparkSession, folder: str) -> DataFrame:
+        kept = shelf(spark, folder)
+        return kept["verdicts"] if "verdicts" in kept else kept("verdicts", C.verdicts(
+            *results(spark, folder), compared=compared(spark, folder)))
+
     def log(function: Callable[[DataFrame], DataFrame]) -> Query:
-        """The attempts with the verdicts, which are kept: every rate reads them."""
-        def run(spark: SparkSession, folder: str) -> DataFrame:
-            kept = shelf(spark, folder)
-            if "verdicts" not in kept:
-                kept("verdicts", C.verdicts(*results(spark, folder)))
-            attempts = supplied.attempts(spark, folder)
-            return settled(function(C.outcomes(attempts, kept["verdicts"])))
-        return run
+        return lambda spark, folder: settled(function(
+            C.outcomes(supplied.attempts(spark, folder), verdicts(spark, folder))))
 
     return {
         "compare_structure": level(C.structure),
         "compare_first_row": level(C.first_row),
-        "compare_result": level(C.result),
-        "compare_verdicts": level(C.verdicts),
+        "compare_result": compared,
+        "compare_verdicts": verdicts,
         "compare_few_rows": few_rows,
         "error_labels": lambda spark, folder: supplied.attempts(spark, folder).groupBy(
             "message", C.error_label(F.col("message")).alias("error_type")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
+from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from marquee.plans import models, staging
 from marquee.plans.models import Keep
 from marquee.sources import supplied
 from marquee.sources.readers import source
-from marquee.sources.writers import Shelf, as_view, to_table, unkept
+from marquee.sources.writers import Shelf, as_view, bucketed, to_version, unkept
 
 
 class Staged:
@@ -39,6 +40,29 @@ class Staged:
         return staging.staged_item_text(self._raw("item_text"))
 
 
+class Facts(NamedTuple):
+    ratings: DataFrame
+    entries: DataFrame
+
+
+def facts_by_key(staged: Staged, key: str, prefix: str, folder: str | None = None,
+                 buckets: int | None = None) -> Facts:
+    """Copies of the facts laid out by a key, made once: aggregates by it read them without a shuffle.
+
+    The facts are shuffled when they are written, once for all builds that follow.  ``buckets`` is the
+    session's number of shuffle partitions unless given.
+    """
+    spark = staged.ratings.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    copies = {}
+    for fact in Facts._fields:
+        name = f"{prefix}_{fact}_by_{key}"
+        copies[fact] = spark.table(name) if spark.catalog.tableExists(name) else bucketed(
+            getattr(staged, fact), name, key, buckets, folder
+        )
+    return Facts(**copies)
+
+
 def stage_files(spark: SparkSession, paths: dict[str, str]) -> Staged:
     """Stage the named sources from their paths."""
     return Staged(lambda name: source(spark, name, paths[name]))
@@ -120,7 +144,7 @@ def shelved(spark: SparkSession, staged: Staged, label: str, **options) -> Marts
 
 
 def save(marts: Marts, database: str = "marts") -> None:
-    """Replace the mart tables ``database.content_performance`` and so on."""
-    to_table(marts.content, f"{database}.content_performance")
-    to_table(marts.users, f"{database}.user_segments")
-    to_table(marts.tags, f"{database}.tag_trends")
+    """Replace the mart tables ``database.content_performance`` and so on, each in one step."""
+    to_version(marts.content, f"{database}.content_performance")
+    to_version(marts.users, f"{database}.user_segments")
+    to_version(marts.tags, f"{database}.tag_trends")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from marquee.plans.dictionary import TABLES, described
 from marquee.plans.warehouse import Marts
-from marquee.sources.writers import to_table
+from marquee.sources.writers import to_version
 
 # fixed values: published table name, and the published names of columns that we call otherwise
 PUBLISHED: dict[str, tuple[str, dict[str, str]]] = {
@@ -42,9 +42,9 @@ def published(marts: Marts, table: str) -> DataFrame:
 
 
 def publish(marts: Marts, database: str = "main_marts") -> list[str]:
-    """Replace the published tables; returns their names."""
+    """Replace the published tables, each in one step; returns their names."""
     names = []
     for table, (name, _) in PUBLISHED.items():
         names.append(f"{database}.{name}")
-        to_table(published(marts, table), names[-1])
+        to_version(published(marts, table), names[-1])
     return names

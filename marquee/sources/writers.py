@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,69 @@ def to_table(df: DataFrame, name: str, comments: dict[str, str] | None = None) -
     return spark.table(name)
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """A copy of a fact table laid out by key, so that aggregates by that key need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name)
+VERSION = "__v"
+
+
+def versions(spark: SparkSession, name: str) -> list[str]:
+    """The written versions of a published table, oldest first."""
+    database, _, short = name.rpartition(".")
+    tables = spark.catalog.listTables(database or None, f"{short}{VERSION}*")
+    return sorted(f"{database}.{t.name}" if database else t.name for t in tables)
+
+
+def to_version(df: DataFrame, name: str, comments: dict[str, str] | None = None,
+               older: int = 1) -> DataFrame:
+    """Publish ``database.name`` so that readers see the old rows or the new ones, never a part.
+
+    The rows are written as a table of their own first; ``name`` is a view that is switched to it in
+    one step of the catalog.  ``older`` versions stay behind it: for readers that opened them before
+    the switch, and for `to_previous`.  A write that fails leaves everything as it was.
+    """
+    spark = df.sparkSession
+    database, _, _ = name.rpartition(".")
+    if database:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for column, comment in (comments or {}).items():
+        df = df.withMetadata(column, {"comment": comment})
+    written = f"{name}{VERSION}{time.time_ns():020d}"
+    try:
+        df.write.format("parquet").saveAsTable(written)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {written}")
+        raise
+    _switch(spark, name, written)
+    for old in versions(spark, name)[:-1 - older]:
+        spark.sql(f"DROP TABLE {old}")
+    return spark.table(name)
+
+
+def _switch(spark: SparkSession, name: str, written: str) -> None:
+    if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
+        # written in place by an earlier release: it becomes the oldest version
+        spark.sql(f"ALTER TABLE {name} RENAME TO {name}{VERSION}{0:020d}")
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {written}")
+
+
+def to_previous(spark: SparkSession, name: str) -> DataFrame:
+    """Switch a published table back to the version before its newest one, which is dropped."""
+    known = versions(spark, name)
+    if len(known) < 2:
+        raise ValueError(f"{name} has no earlier version")
+    _switch(spark, name, known[-2])
+    spark.sql(f"DROP TABLE {known[-1]}")
+    return spark.table(name)
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, folder: str | None = None) -> DataFrame:
+    """A copy of a fact table laid out by key, so that aggregates by that key need no shuffle.
+
+    Rows are dealt out by key first: a bucket is one file and not one per task.  ``folder`` keeps the
+    files outside the warehouse.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    if folder:
+        writer = writer.option("path", f"{folder}/{name}")
+    writer.format("parquet").saveAsTable(name)
     return df.sparkSession.table(name)
 
 

@@ -289,6 +289,10 @@ PROFILES: dict[str, tuple[str, str]] = {
     "activity_per_user": ("select * from user_activity", "avg_rating"),
     "activity_per_item": ("select * from item_activity", "avg_rating"),
     "activity_describe": (_describe("rating_count", "user_activity"), _DESCRIBED),
+    "sketched_distinct": ("""select count(*) as keys, count(*) as within
+        from (select item_id from stg_ratings group by item_id)""", ""),
+    "sketched_quantiles": ("""select type, count(*) as n, 3::bigint as within
+        from stg_items where followers is not null group by type""", ""),
     "tag_diversity_per_user": ("""select user_id, count(distinct tag) as tag_count
         from (select user_id, unnest(string_split(tags, ', ')) as tag
               from stg_ratings join stg_items using (item_id))

@@ -17,6 +17,10 @@ TABLES: dict[str, tuple[str, str]] = {
     "stg_item_text": ("select * from stg_item_text", "score"),
     "item_stats": ("select * from item_stats",
                    f"community_score {_RATES} completion_rate drop_rate plan_rate"),
+    "item_stats_refreshed": ("select * from item_stats",
+                             f"community_score {_RATES} completion_rate drop_rate plan_rate"),
+    "item_stats_by_key": ("select * from item_stats",
+                          f"community_score {_RATES} completion_rate drop_rate plan_rate"),
     "user_profiles": ("select * from user_profiles",
                       f"{_RATES} user_completion_rate user_drop_rate"),
     "tag_metrics": ("select * from tag_metrics",

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from marquee.plans.dictionary import TABLES
 from marquee.plans.registry import marts
@@ -105,6 +106,39 @@ def test_table_is_replaced_as_a_whole(spark):
     assert [r["k"] for r in spark.table("replaced").collect()] == [2]
 
 
+def test_a_failing_write_leaves_the_published_table(spark):
+    """Readers see the old version until the new one is whole."""
+    good = spark.createDataFrame([(1,), (2,)], "k int")
+    writers.to_version(good, "steady.rows_of", {"k": "a key"})
+    bad = spark.range(100).select(F.when(F.col("id") < 99, F.col("id").cast("int")).otherwise(
+        F.raise_error(F.lit("lost")).cast("int")).alias("k"))
+    with pytest.raises(Exception, match="lost"):
+        writers.to_version(bad, "steady.rows_of")
+    assert sorted(r["k"] for r in spark.table("steady.rows_of").collect()) == [1, 2]
+    assert spark.table("steady.rows_of").schema["k"].metadata["comment"] == "a key"
+    assert len(writers.versions(spark, "steady.rows_of")) == 1
+
+
+def test_versions_are_switched_and_the_one_before_is_kept(spark):
+    for value in (1, 2, 3):
+        before = spark.table("switched") if value > 1 else None
+        writers.to_version(spark.createDataFrame([(value,)], "k int"), "switched")
+        # a reader that opened the table before the switch still reads its rows
+        assert before is None or [r["k"] for r in before.collect()] == [value - 1]
+    assert [r["k"] for r in spark.table("switched").collect()] == [3]
+    assert len(writers.versions(spark, "switched")) == 2
+    assert [r["k"] for r in writers.to_previous(spark, "switched").collect()] == [2]
+    with pytest.raises(ValueError, match="earlier"):
+        writers.to_previous(spark, "switched")
+
+
+def test_a_table_written_in_place_becomes_the_oldest_version(spark):
+    writers.to_table(spark.createDataFrame([(1,)], "k int"), "in_place")
+    writers.to_version(spark.createDataFrame([(2,)], "k int"), "in_place")
+    assert [r["k"] for r in spark.table("in_place").collect()] == [2]
+    assert [r["k"] for r in writers.to_previous(spark, "in_place").collect()] == [1]
+
+
 def test_bucketed_copy_aggregates_without_a_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 50 as user_id", "cast(id % 10 as int) as rating")
     table = writers.bucketed(df, "bucketed_ratings", "user_id", 4)
