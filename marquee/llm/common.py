@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +55,22 @@ def _scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{application}/llm/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def handing_back() -> Iterator[None]:
+    """Give a worker's free memory back to the system when a task ends.
+
+    Python workers live on between tasks and stages; without this they keep the pages that their
+    largest task has used.
+    """
+    try:
+        yield
+    finally:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by `keep`, once nothing reads it any more."""
     spark = df.sparkSession

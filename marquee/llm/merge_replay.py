@@ -1,12 +1,11 @@
 """Byte-level BPE by replaying the merges over a corpus of pieces at once.
 
-The pattern cuts texts into pieces.  The distinct new pieces of a block of texts are laid out as one
-row of byte tokens, and an inverted index maps every mergeable token to the positions whose token and
-right neighbour make it.  Merges are applied in the order of their ranks, each at all its positions
-from left to right, and only the pairs with the touched neighbours are entered anew.  A piece that is
-a token itself is that token.  Encoded pieces are remembered by the worker, so a task replays merges
-for pieces that are new to it; joining a corpus-wide list of pieces back to the texts would shuffle
-every occurrence of every piece, several times the size of the texts.
+The pattern cuts texts into pieces.  The distinct pieces of the words that are new in a block of texts are
+laid out as one row of byte tokens, and an inverted index maps every mergeable token to the positions
+whose token and right neighbour make it.  Merges are applied in the order of their ranks, each at all its
+positions from left to right, and only the pairs with the touched neighbours are entered anew.  A piece
+that is a token itself is that token.  A task remembers the words it has met (`word_ids`) and drops
+them when its last row is done, so merges are replayed once per task and word.
 
 Ids are kept as binary: unsigned 32-bit little-endian numbers, in order.
 
@@ -18,8 +17,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,12 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import small_batches
+from marquee.llm.common import handing_back, small_batches
+from marquee.llm.word_ids import Coded, Numbers, Words, gathered, per_slice
 
-# pieces that a worker remembers from one block to the next, pairs of tokens, and characters of a block: all
-# bound memory alone
-REMEMBERED = 120_000
-REMEMBERED_PAIRS = 100_000
+# words that a task remembers from one block to the next, and characters of a block: both bound memory
+# alone
+REMEMBERED = 400_000
 BLOCK_CHARS = 1 << 23
 # above every id, so that two ids make one number
 PAIR_BASE = 1 << 31
@@ -48,7 +48,7 @@ def _without_overlaps(places: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """The tokens of a rank file, their ids, and the ids of the pieces seen so far."""
+    """The tokens of a rank file and their ids."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as file:
@@ -57,30 +57,28 @@ class Vocabulary:
         self.tokens = {number: token for token, number in self.ids.items()}
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.pattern = regex.compile(pattern)
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        """Known pieces are numbered; their ids lie one after the other in one array."""
-        self.numbers: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = self.lengths = np.zeros(0, np.int64)
-
-    def merged(self, left: int, right: int) -> int:
-        """The token that two tokens make, or -1."""
-        pair = (left, right)
-        found = self.pairs.get(pair)
-        if found is None:
-            found = self.ids.get(self.tokens[left] + self.tokens[right], -1)
-            if len(self.pairs) < REMEMBERED_PAIRS:
-                self.pairs[pair] = found
-        return found
+        self.pairs, self.makes = self._mergeable()
+        # the bytes of all tokens one after the other, to decode from
+        self.sizes = np.zeros(max(self.tokens) + 1, np.int64)
+        self.sizes[list(self.tokens)] = [len(token) for token in self.tokens.values()]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(self.tokens[i] for i in sorted(self.tokens)), np.uint8)
+
+    def _mergeable(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of tokens that make a token, in order, and what they make."""
+        found = [
+            (self.ids[token[:at]] * PAIR_BASE + self.ids[token[at:]], number)
+            for token, number in self.ids.items() for at in range(1, len(token))
+            if token[:at] in self.ids and token[at:] in self.ids
+        ]
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pairs[:, 0].copy(), pairs[:, 1].copy()
 
     def made_by(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The token that each pair of tokens makes, or -1."""
-        pairs, where = np.unique(left * PAIR_BASE + right, return_inverse=True)
-        found = [self.merged(*divmod(pair, PAIR_BASE)) for pair in pairs.tolist()]
-        return np.array(found, np.int64)[where]
+        pairs = left * PAIR_BASE + right
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.makes[at], -1)
 
     def replay(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece."""
@@ -102,23 +100,30 @@ class Vocabulary:
         def enter(places: np.ndarray, rank: int) -> None:
             made = self.made_by(token[places], token[after[places]])
             makes[places] = made
-            out_of_order.append(places[(made >= 0) & (made < rank)])
+            real = made >= 0
+            made, places = made[real], places[real]
+            if not len(made):
+                return
+            if made.min() < rank:
+                out_of_order.append(places[made < rank])
             order = np.argsort(made, kind="stable")
-            numbers, first = np.unique(made[order], return_index=True)
-            for number, group in zip(numbers.tolist(), np.split(places[order], first[1:]), strict=True):
-                if number >= 0:
-                    if number not in index:
-                        index[number] = []
-                        heapq.heappush(ranks, number)
-                    index[number].append(group)
+            made, places = made[order], places[order]
+            borders = [0, *(np.flatnonzero(made[1:] != made[:-1]) + 1).tolist(), len(made)]
+            for begin, end in zip(borders, borders[1:], strict=False):
+                number = int(made[begin])
+                if number not in index:
+                    index[number] = []
+                    heapq.heappush(ranks, number)
+                index[number].append(places[begin:end])
 
         inner = np.flatnonzero(after >= 0)
         if len(inner):
             enter(inner, -1)
         while ranks:
             rank = heapq.heappop(ranks)
-            places = np.unique(np.concatenate(index.pop(rank)))
+            places = np.sort(np.concatenate(index.pop(rank)))
             places = places[makes[places] == rank]
+            places = places[np.diff(places, prepend=-1) > 0]
             places = _without_overlaps(places, after)
             if not len(places):
                 continue
@@ -129,7 +134,7 @@ class Vocabulary:
             after[places] = further
             before[further[further >= 0]] = places[further >= 0]
             left = before[places]
-            touched = np.unique(np.concatenate([left[left >= 0], places[further >= 0]]))
+            touched = np.concatenate([left[left >= 0], places[further >= 0]])
             if len(touched):
                 enter(touched, rank)
         late = np.concatenate(out_of_order) if out_of_order else np.zeros(0, np.int64)
@@ -152,7 +157,7 @@ class Vocabulary:
         """
         ids = [self.byte_ids[b] for b in piece]
         while len(ids) > 1:
-            found = [self.merged(a, b) for a, b in zip(ids, ids[1:], strict=False)]
+            found = self.made_by(np.array(ids[:-1]), np.array(ids[1:])).tolist()
             best = min((f for f in found if f >= 0), default=-1)
             if best < 0:
                 break
@@ -160,64 +165,62 @@ class Vocabulary:
             ids[at:at + 2] = [best]
         return ids
 
-    def _learn(self) -> None:
-        """Encode the pieces that are numbered but not yet known, all together."""
-        new = [piece.encode() for piece in islice(self.numbers, len(self.starts), None)]
-        if not new:
-            return
-        whole = [self.ids.get(raw) for raw in new]
-        rest = iter(self.replay([raw for raw, number in zip(new, whole, strict=True) if number is None]))
-        coded = [next(rest) if number is None else [number] for number in whole]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        ids = np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum()))
-        self.flat = np.concatenate([self.flat, ids])
-
-    def _ids(self, numbers: np.ndarray) -> bytes:
-        lengths = self.lengths[numbers]
-        upto = np.cumsum(lengths)
-        places = np.repeat(self.starts[numbers] - upto + lengths, lengths)
-        return self.flat[places + np.arange(len(places))].astype("<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        block: list[np.ndarray] = []
-        size = 0
-        if len(self.numbers) > REMEMBERED:
-            self.forget()
-        for i, text in enumerate(texts):
-            numbers = self.numbers
-            number = numbers.setdefault
-            block.append(np.array(
-                [number(p, len(numbers)) for p in self.pattern.findall(text or "")], np.int32
-            ))
-            size += len(text or "")
-            if size >= BLOCK_CHARS or i == len(texts) - 1:
-                self._learn()
-                out.extend(map(self._ids, block))
-                block, size = [], 0
-                if len(self.numbers) > REMEMBERED:
-                    self.forget()
-        return out
+    def __call__(self, words: list[str]) -> Coded:
+        """Ids of words: their distinct pieces are encoded all together."""
+        numbers = Numbers()
+        find, number = self.pattern.findall, numbers.__getitem__
+        found = [list(map(number, find(word))) for word in words]
+        parts = np.fromiter(map(len, found), np.int64, len(found))
+        used = np.fromiter(chain.from_iterable(found), np.int64, int(parts.sum()))
+        pieces = [piece.encode() for piece in numbers]
+        whole = [self.ids.get(piece) for piece in pieces]
+        rest = iter(self.replay([p for p, n in zip(pieces, whole, strict=True) if n is None]))
+        coded = [next(rest) if n is None else (n,) for n in whole]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        flat = np.fromiter(chain.from_iterable(coded), np.int64, int(sizes.sum()))
+        lengths = per_slice(sizes[used], parts)
+        return (gathered(flat, (np.cumsum(sizes) - sizes)[used], sizes[used]),
+                np.cumsum(lengths) - lengths, lengths)
 
     def decode(self, ids: bytes | None) -> bytes:
-        numbers = np.frombuffer(ids or b"", "<u4").tolist()
-        return b"".join(map(self.tokens.__getitem__, numbers))
+        numbers = np.frombuffer(ids or b"", "<u4")
+        return gathered(self.bytes, self.starts[numbers], self.sizes[numbers]).tobytes()
 
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
+    """A worker reads the file once; what stays is of the file's size."""
     return Vocabulary(path, pattern)
 
 
+def encode(words: Words, texts: list[str | None]) -> Iterator[bytes]:
+    """The ids of each text, read in blocks."""
+    at = 0
+    while at < len(texts):
+        block: list[str] = []
+        chars = 0
+        while at + len(block) < len(texts) and (not block or chars < BLOCK_CHARS):
+            block.append(texts[at + len(block)] or "")
+            chars += len(block[-1])
+        numbers, sizes = words.read(block)
+        ids = words.ids(0, numbers).astype("<u4")
+        lengths = per_slice(words.lengths[0][numbers], sizes)
+        ends = np.cumsum(lengths)
+        yield from (ids[e - n:e].tobytes() for n, e in zip(lengths.tolist(), ends.tolist(), strict=True))
+        at += len(block)
+
+
 def add_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the ids of a text; ``path`` is the rank file, present on every executor."""
     small_batches(df.sparkSession)
 
     @F.pandas_udf("binary")
-    def encoded(texts: pd.Series) -> pd.Series:
-        return pd.Series(vocabulary(path, pattern).encode(texts.tolist()))
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = Words([vocabulary(path, pattern)], remembered=REMEMBERED)
+        with handing_back():
+            for texts in batches:
+                yield pd.Series(list(encode(words, texts.tolist())), dtype=object)
+            words.forget()
 
     return df.withColumn(ids, encoded(F.coalesce(F.col(text), F.lit(""))))
 

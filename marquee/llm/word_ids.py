@@ -48,7 +48,7 @@ def per_slice(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return upto[ends] - upto[ends - lengths]
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Words numbered in the order in which they come."""
 
     def __missing__(self, word: str) -> int:
@@ -63,15 +63,17 @@ class Words:
     space in front), otherwise the first word of a text is held with a space before it as its mark.
     """
 
-    def __init__(self, coders: list[Callable[[list[str]], Coded]], led: bool = False):
+    def __init__(self, coders: list[Callable[[list[str]], Coded]], led: bool = False,
+                 remembered: int | None = None):
         self.coders = coders
         self.led = led
+        self.remembered = remembered
         self.forgotten = 0
         self.forget()
 
     def forget(self) -> None:
         self.forgotten += 1
-        self.numbers = _Numbers()
+        self.numbers = Numbers()
         self.flat = [np.zeros(0, np.int64) for _ in self.coders]
         self.lengths = [np.zeros(0, np.int64) for _ in self.coders]
         self.starts = [np.zeros(0, np.int64) for _ in self.coders]
@@ -98,7 +100,7 @@ class Words:
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts, and how many each text has; the ids of every word are known then."""
-        if len(self.numbers) > REMEMBERED:
+        if len(self.numbers) > (self.remembered or REMEMBERED):
             self.forget()
         found = []
         for text in texts:

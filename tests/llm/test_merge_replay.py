@@ -9,6 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from marquee.llm import merge_replay
+from marquee.llm.word_ids import Words
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -25,10 +26,19 @@ def test_ids_are_those_of_the_library(texts):
     alphabet = "abcdeé  \n\t  日本1234!!'s"
     many = texts + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 300))) for _ in range(300)]
     many += ["<|endoftext|> a<|endoftext|>", "aaaaaaa" * 100, "é" * 999, "0" * 77, " " * 500 + "x"]
-    words = merge_replay.vocabulary(PATH, PATTERN)
-    for text, ids in zip(many, words.encode(many), strict=True):
+    known = merge_replay.vocabulary(PATH, PATTERN)
+    for text, ids in zip(many, merge_replay.encode(Words([known]), many), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == coder.encode_ordinary(text or "")
-        assert words.decode(ids) == (text or "").encode()
+        assert known.decode(ids) == (text or "").encode()
+
+
+def test_forgotten_words_are_read_again(texts):
+    coder, known = library(), merge_replay.vocabulary(PATH, PATTERN)
+    words = Words([known], remembered=3)
+    for _ in range(2):
+        for text in texts[3:20]:
+            found, = merge_replay.encode(words, [text])
+            assert np.frombuffer(found, "<u4").tolist() == coder.encode_ordinary(text)
 
 
 def test_merges_out_of_rank_order_follow_the_lowest_rank_in_each_piece(tmp_path):
