@@ -12,6 +12,7 @@ or with labels of one kind only, every document that passes the base rule is kep
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import free_name, labelled_sample, small_batches
+from marquee.llm.common import free_name, handing_back, labelled_sample, small_batches
 
 # fixed values: the base rule and its symbols
 SYMBOLS = b"#*$%&|<>"
@@ -214,12 +215,14 @@ def judge(docs: DataFrame, trees: Trees, name: str, text: str = "text") -> DataF
     fields = ", ".join(f"{c} long" for c in COUNTS)
 
     @F.pandas_udf(f"{fields}, score double")
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        found = [statistics(t) for t in texts]
-        out = pd.DataFrame([c for c, _ in found], columns=list(COUNTS), dtype="int64")
-        values = np.array([f for _, f in found], float).reshape(len(found), len(FEATURES))
-        out["score"] = trees.score(values)
-        return out
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with handing_back():
+            for texts in batches:
+                found = [statistics(t) for t in texts]
+                out = pd.DataFrame([c for c, _ in found], columns=list(COUNTS), dtype="int64")
+                values = np.array([f for _, f in found], float).reshape(len(found), len(FEATURES))
+                out["score"] = trees.score(values)
+                yield out
 
     found = F.col(name)
     failed = _base_failed(found["n_words"], found["n_repeat_words"])

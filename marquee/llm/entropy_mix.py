@@ -13,8 +13,10 @@ hash of it in [0, 1) exceeds its fraction r - floor(r) by less than the threshol
 histogram's last bin allows.
 
 Defined results: NULL, empty and blank texts have no words, rate 1 and nothing to take; a NULL source
-is a source of its own, last in order; rows alike in id, source and text get the same copies; sources
-without words have target 0; an empty table gives no rows.
+is a source of its own, last in order; rows alike in id, source and text are counted and draw one by one,
+so a source of repeats is mixed like any other; sources without words have target 0; further columns
+go through `mixed` under their own names, also if they are called like those used here; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ CAP = 2.0
 MAX_NEWTON = 60
 TOLERANCE = 1e-9
 BINS = 4096
+# equal rows that one task makes from their count
+CHUNK = 1000
 # parameters of at most so many sources are sent to all executors; beyond, they are joined by source
 BROADCAST_SOURCES = 10_000
 
@@ -162,13 +166,14 @@ def thresholds(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame
         if step:
             over = F.col("upto") - F.col("target")
             fits = fits | (over < F.col("more") - over)
-        best = cells.filter(fits).groupBy("source").agg(F.max("cell").alias("cell"))
+        # the cells that fit come first; empty ones between two are no cells, so the next threshold is
+        # where the first one that does not fit begins
+        best = cells.groupBy("source").agg(F.min(F.when(~fits, F.col("cell"))).alias("cell"))
         best = best.withColumnRenamed("source", "s")
         found = keep(
             found.join(best, F.col("source").eqNullSafe(F.col("s")), "left").select(
                 *sources.columns,
-                (F.col("threshold") + F.coalesce((F.col("cell") + 1) * width, F.lit(0.0)))
-                .alias("threshold"),
+                (F.col("threshold") + F.coalesce("cell", F.lit(BINS)) * width).alias("threshold"),
             ),
             "thresholds",
         )
@@ -183,14 +188,41 @@ class Mix:
     n_sources: int
 
 
-def _draw(columns: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / float(1 << 40)
+def _draw(told: str, copy: Column) -> Column:
+    return F.pmod(F.xxhash64(told, copy), F.lit(1 << 40)) / float(1 << 40)
+
+
+def _repeated(rows: DataFrame, times: str, into: str) -> DataFrame:
+    """Every row as often as it says, numbered from 0; a hot row is expanded by many tasks."""
+    few = F.sequence(F.lit(0).cast("long"), F.col(times) - 1)
+    plain = rows.filter(F.col(times).between(1, CHUNK)).withColumn(into, F.explode(few))
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / CHUNK))
+    first = F.col("_chunk") * CHUNK
+    hot = (
+        rows.filter(F.col(times) > CHUNK).withColumn("_chunk", F.explode(chunks))
+        .repartition(*[c for c in rows.columns if dict(rows.dtypes)[c] == "bigint"], "_chunk")
+        .withColumn(into, F.explode(F.sequence(first, F.least(first + CHUNK, times) - 1)))
+    )
+    return plain.unionByName(hot.select(*plain.columns))
+
+
+ALIKE = ["doc_id", "source", "text"]
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, draw), the narrow rows on which the mix is settled."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"),
-                       word_count("text").alias("size"), _draw(["doc_id", "source", "text"]).alias("draw"))
+    """(doc_id, source, size, told, n, draw), the narrow rows on which the mix is settled.
+
+    Rows that agree in id, source and text are counted and then drawn one by one, by their hash and
+    their number.
+    """
+    told = F.xxhash64(*ALIKE)
+    packed = docs.select(
+        "doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"),
+        told.alias("told"),
+    ).groupBy("told", "doc_id", "source", "size").agg(F.count("*").alias("n"))
+    return _repeated(packed, "n", "copy").select(
+        "doc_id", "source", "size", "told", "n", _draw("told", F.col("copy")).alias("draw")
+    )
 
 
 def balance(rows: DataFrame) -> Mix:
@@ -235,14 +267,27 @@ def taken_words(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
-    mix = balance(keep(sized(docs), "sized"))
+    """The documents of the mix, each as often as it is taken.
+
+    Rows that are alone draw where they stand.  Of rows alike in id, source and text one goes on as
+    often as all of them are taken.
+    """
+    rows = keep(sized(docs), "sized")
+    mix = balance(rows)
     packed = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col("source").cast("string").alias("source"),
-        word_count("text").alias("size"), _draw(["doc_id", "source", "text"]).alias("draw"),
-    )
-    return (
-        with_copies(packed, mix)
-        .select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
-        .select("row.*")
+        F.struct(*docs.columns).alias("row"), F.xxhash64(*ALIKE).alias("told"),
+        F.col("source").cast("string").alias("source"), word_count("text").alias("size"),
+    ).withColumn("draw", _draw("told", F.lit(0).cast("long")))
+    alike = keep(
+        with_copies(rows.filter("n > 1"), mix).groupBy("told")
+        .agg(F.sum("copies").alias("times")), "alike",
     )
+    n_alike = alike.count()
+    if not n_alike:
+        taken = with_copies(packed, mix).withColumnRenamed("copies", "times")
+        return _repeated(taken.select("row", "times"), "times", "copy").select("row.*")
+    small = F.broadcast(alike) if n_alike <= BROADCAST_SOURCES else alike
+    alone = with_copies(packed.join(small.select("told"), "told", "left_anti"), mix)
+    one_of = packed.join(small, "told").dropDuplicates(["told"])
+    taken = alone.select("row", F.col("copies").alias("times")).unionByName(one_of.select("row", "times"))
+    return _repeated(taken, "times", "copy").select("row.*")

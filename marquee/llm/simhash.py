@@ -22,13 +22,15 @@ never name it (NULL if none of the component has an id); repeated rows share a c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import components, free_name, keep, small_batches
+from marquee.llm.common import components, free_name, handing_back, keep, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -71,9 +73,11 @@ def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     small_batches(df.sparkSession)
 
     @F.pandas_udf("long")
-    def prints(texts: pd.Series) -> pd.Series:
-        found = np.fromiter((fingerprint(t) for t in texts), "<u8", len(texts))
-        return pd.Series(found.view(np.int64))
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with handing_back():
+            for texts in batches:
+                found = np.fromiter((fingerprint(t) for t in texts), "<u8", len(texts))
+                yield pd.Series(found.view(np.int64))
 
     return df.withColumn(name, prints(F.col(text).cast("binary")))
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import free_name, labelled_sample, small_batches
+from marquee.llm.common import free_name, handing_back, labelled_sample, small_batches
 
 BUCKET_BITS = 16
 DIMENSIONS = 16
@@ -166,8 +166,10 @@ def add_score(docs: DataFrame, model: Model, name: str, text: str = "text") -> D
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with handing_back():
+            for texts in batches:
+                yield pd.Series([model.score(t) for t in texts], dtype="float64")
 
     return docs.withColumn(name, scored(F.col(text).cast("binary")))
 

@@ -29,6 +29,35 @@ def many(spark):
     return spark.createDataFrame(rows, DOC_SCHEMA).repartition(4)
 
 
+def test_a_source_of_one_repeated_row_meets_its_target(spark):
+    """3,000 equal rows draw one by one: before, all were taken or none."""
+    rows = [(7, "six words in every single copy", "en", "b", 0)] * 3000
+    rows += [(i, prose(i, 20), "en", "ac"[i % 2], 0) for i in range(1000, 1400)]
+    rows += [(None, None, None, None, None)] * 50
+    docs = spark.createDataFrame(rows, DOC_SCHEMA).repartition(5)
+    found = entropy_mix.taken_words(docs).collect()
+    assert len(found) == len(rows)
+    for source in "abc":
+        own = [r for r in found if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+    again = entropy_mix.taken_words(docs.coalesce(1)).collect()
+    assert sorted(map(repr, found)) == sorted(map(repr, again))
+    mixed = entropy_mix.mixed(docs)
+    per_source = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    taken = sum(r["taken"] for r in found if r["source"] == "b") // 6
+    assert abs(per_source["b"] - taken) <= 1
+    assert mixed.columns == docs.columns
+
+
+def test_columns_with_names_used_inside(spark):
+    rows = [(i, prose(i % 40, 9), "ab"[i % 2], 1, 2, "x", 3) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, told int, copies int,"
+                                       " row string, size int")
+    assert entropy_mix.taken_words(docs).count() == 80
+    mixed = entropy_mix.mixed(docs)
+    assert mixed.columns == docs.columns and mixed.filter("told <> 1 or size <> 3").count() == 0
+
+
 def test_targets_are_met_and_no_document_is_taken_more_than_twice(spark):
     found = entropy_mix.taken_words(many(spark)).collect()
     sizes: dict = {}
