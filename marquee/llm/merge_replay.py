@@ -10,13 +10,15 @@ them when its last row is done, so merges are replayed once per task and word.
 Ids are kept as binary: unsigned 32-bit little-endian numbers, in order.
 
 Defined results: a NULL or empty text has no ids and decodes to the empty text; special tokens in a
-text are ordinary text; a piece of any length is merged whole; repeated rows encode alike.
+text are ordinary text; a piece of any length is merged whole; repeated rows encode alike; columns named
+ids or decoded are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -27,12 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import handing_back, small_batches
+from marquee.llm.common import free_name, handing_back, small_batches
 from marquee.llm.word_ids import Coded, Numbers, Words, gathered, per_slice
 
 # words that a task remembers from one block to the next, and characters of a block: both bound memory
 # alone
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 BLOCK_CHARS = 1 << 22
 # above every id, so that two ids make one number
 PAIR_BASE = 1 << 31
@@ -54,25 +56,27 @@ class Vocabulary:
         with open(path, "rb") as file:
             self.ids = {base64.b64decode(token): int(rank) for token, rank in
                         (line.split() for line in file if line.strip())}
-        self.tokens = {number: token for token, number in self.ids.items()}
+        tokens = {number: token for token, number in self.ids.items()}
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.pattern = regex.compile(pattern)
         self.pairs, self.makes = self._mergeable()
         # the bytes of all tokens one after the other, to decode from
-        self.sizes = np.zeros(max(self.tokens) + 1, np.int64)
-        self.sizes[list(self.tokens)] = [len(token) for token in self.tokens.values()]
+        self.sizes = np.zeros(max(tokens) + 1, np.int64)
+        self.sizes[list(tokens)] = [len(token) for token in tokens.values()]
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.bytes = np.frombuffer(b"".join(self.tokens[i] for i in sorted(self.tokens)), np.uint8)
+        self.bytes = np.frombuffer(b"".join(tokens[i] for i in sorted(tokens)), np.uint8)
 
     def _mergeable(self) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of tokens that make a token, in order, and what they make."""
-        found = [
-            (self.ids[token[:at]] * PAIR_BASE + self.ids[token[at:]], number)
-            for token, number in self.ids.items() for at in range(1, len(token))
-            if token[:at] in self.ids and token[at:] in self.ids
-        ]
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        return pairs[:, 0].copy(), pairs[:, 1].copy()
+        pairs, makes = array("q"), array("q")
+        for token, number in self.ids.items():
+            for at in range(1, len(token)):
+                left, right = self.ids.get(token[:at]), self.ids.get(token[at:])
+                if left is not None and right is not None:
+                    pairs.append(left * PAIR_BASE + right)
+                    makes.append(number)
+        order = np.argsort(np.array(pairs, np.int64))
+        return np.array(pairs, np.int64)[order], np.array(makes, np.int64)[order]
 
     def made_by(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The token that each pair of tokens makes, or -1."""
@@ -236,10 +240,31 @@ def add_decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids",
     return df.withColumn(decoded, text_of(F.col(ids)))
 
 
+def coded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Add ids and, decoded from them, the bytes of the text, both by one worker of a task.
+
+    As `add_ids` and `add_decoded` one after the other, for which Spark would hold two workers.
+    """
+    small_batches(docs.sparkSession)
+    name = free_name(docs, "_coded")
+
+    @F.pandas_udf("struct<ids: binary, decoded: binary>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = vocabulary(path, pattern)
+        words = Words([known], remembered=REMEMBERED)
+        with handing_back():
+            for texts in batches:
+                ids = list(encode(words, texts.tolist()))
+                yield pd.DataFrame({"ids": ids, "decoded": [known.decode(x) for x in ids]}, dtype=object)
+            words.forget()
+
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
+    return docs.withColumn(name, both(F.coalesce(F.col("text"), F.lit("")))).select(*kept, f"{name}.*")
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, and digests of the ids and of the decoded text."""
-    coded = add_ids(docs.select("doc_id", "text"), path, pattern)
-    return add_decoded(coded, path, pattern).select(
+    return coded(docs.select("doc_id", "text"), path, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
