@@ -44,8 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Ids of each document (unsigned 32-bit little-endian), decoded again to check them."""
     ranks = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    coded = merge_replay.add_ids(docs.select("doc_id", "source", "text"), *ranks)
-    return merge_replay.add_decoded(coded, *ranks).select(
+    return merge_replay.coded(docs.select("doc_id", "source", "text"), *ranks).select(
         "doc_id", "source", "ids",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
