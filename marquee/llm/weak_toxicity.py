@@ -1,20 +1,26 @@
 """Toxicity by weak supervision.
 
-Many weak voters look at a text: lexicons of words and of word beginnings, the number and density of
-their hits, and patterns of writing.  The lexicons are words and beginnings that mark labelled training
-texts; each family is dealt out to several voters.  A generative label model explains the votes of a
-text by its hidden class: a vector of accuracies per class (how often each voter fires) and the
+Many weak voters look at a text: lexicons of words, word beginnings and word endings, the number and density
+of their hits, and patterns of writing.  An entry of a lexicon is such a mark together with how often it has
+to occur, since in some languages one word of a family is no sign and three are.  Entries are what marks
+labelled training texts; each family is dealt out to several voters.  A generative label model explains the
+votes of a text by its hidden class: a vector of accuracies per class (how often each voter fires) and the
 correlations of voters within a class (by which voters that repeat one another are weighed down),
-estimated by expectation maximisation without looking at labels.  Its posteriors are the labels on which a linear classifier,
-over lexicon entries, votes and the share of hits, is trained; it scores every text.
+estimated by expectation maximisation without looking at labels.  Its posteriors are the labels on which a
+linear classifier, over lexicon entries, votes and the share of hits, is trained; it scores every text.
+
+No language is known to it, and an entry needs no share of all toxic texts, only enough of them that are
+not copies of one another, so a language with few toxic texts gets its entries too.
 
 Defined results: a NULL, empty or blank text has no words, no voter fires, and it gets the score of a
-text without marks; a text of any length is read whole; repeated rows score alike; where training labels
-are missing or of one kind, every score is the share of toxic ones, 0 without any.
+text without marks; a text of any length is read whole; repeated rows score alike; an empty table gives an
+empty one; an earlier column of the score's name is replaced, all others stay as they are; where training
+labels are missing or of one kind, every score is the share of toxic ones, 0 without any.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -26,35 +32,66 @@ from pyspark.sql import functions as F
 from marquee.llm.common import keep, labelled_sample, small_batches
 
 SAMPLE_ROWS = 8_000
-# entries per family; toxic texts an entry must occur in, and the share of them (near copies of one toxic
-# text have its words in common); the least log odds against other texts (a language with more toxic
-# texts raises them a little for each of its words), and their least z-score
+# entries per family; toxic texts, not copies of one another, that an entry must occur in; the least log odds
+# against other texts (a language with more toxic texts raises them a little for each of its words); the
+# least root of the likelihood ratio against no connection, above what the best of a million marks reaches
+# by chance
 ENTRIES = 240
-LEAST_TEXTS = 8
-LEAST_SHARE = 0.03
+LEAST_TEXTS = 6
 LEAST_ODDS = 2.5
-LEAST_Z = 4.0
+LEAST_ROOT = 6.0
+# a longer mark replaces a shorter one if its likelihood ratio is this many times as great
+CLEARLY = 1.15
 VOTERS_PER_FAMILY = 4
 PREDICT_FROM = 0.3
 # correlations below this are taken for chance
 LEAST_CORRELATION = 0.1
 
 # fixed values: marks that stand at the ends of words
-MARKS = b".,;:!?\"'()[]{}*&$%#|<>-_"
-# the families: whole words, and their first bytes
-FAMILIES = {b"w": None, b"4": 4, b"5": 5}
+MARKS = ".,;:!?\"'()[]{}*&$%#|<>-_"
+# the families: whole words, their first letters, their last letters (below 0)
+FAMILIES = {"w": None, "3": 3, "4": 4, "5": 5, "6": 6, "7": 7, "y": -4, "z": -5}
+# how often a mark has to occur; more than once means also so often in each thousand words
+LEVELS = (1, 2, 3)
+PER_WORDS = 1000
+# words in a row whose hashes tell copies
+COPY_WORDS = 4
 PATTERNS = ("two_entries", "dense", "three_hits", "capitals", "symbols", "exclaims", "no_entry")
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words in lower case (A to Z) without marks at their ends."""
-    return [w for w in (x.strip(MARKS) for x in (text or b"").lower().split()) if w]
+def words_of(text: bytes | None) -> list[str]:
+    """Words in lower case without marks at their ends."""
+    return [w for w in (x.strip(MARKS) for x in (text or b"").decode(errors="replace").lower().split()) if w]
+
+
+def level_of(times: int, words: int) -> int:
+    """The highest level that a mark reaches which occurs so often among so many words."""
+    reached = max(1, min(times, times * PER_WORDS // max(words, 1)))
+    return min(reached, LEVELS[-1])
+
+
+def entry_of(family: str, mark: str, level: int) -> bytes:
+    """An entry as it is kept: letter of the family, mark, and the level above the first after a space."""
+    return (family + mark + (f" {level}" if level > 1 else "")).encode()
 
 
-def marks_of(word: bytes) -> list[bytes]:
-    """The word and its beginnings, each with the letter of its family before it."""
-    return [letter + (word if length is None else word[:length])
-            for letter, length in FAMILIES.items() if length is None or len(word) > length]
+def marks_of(words: list[str]) -> dict[tuple[str, str], int]:
+    """(letter of the family, mark) -> level, of all words of a text."""
+    found: Counter[tuple[str, str]] = Counter()
+    for word, times in Counter(words).items():
+        for letter, length in FAMILIES.items():
+            if length is None:
+                found[letter, word] += times
+            elif len(word) > abs(length):
+                found[letter, word[:length] if length > 0 else word[length:]] += times
+    return {mark: level_of(times, len(words)) for mark, times in found.items()}
+
+
+def copy_marks(words: list[str]) -> tuple[int, int]:
+    """Least and greatest hash of words in a row: near copies share at least one of them."""
+    hashes = [zlib.crc32(" ".join(words[i:i + COPY_WORDS]).encode())
+              for i in range(max(1, len(words) - COPY_WORDS + 1))]
+    return min(hashes), max(hashes)
 
 
 @dataclass
@@ -64,31 +101,42 @@ class Lexicon:
     entries: list[bytes] = field(default_factory=list)
 
     def __post_init__(self):
-        self.number = {entry: i for i, entry in enumerate(self.entries)}
         letters = list(FAMILIES)
-        places: Counter[bytes] = Counter()
+        places: Counter[str] = Counter()
         self.voter = np.zeros(len(self.entries), np.int64)
+        # family -> mark -> [(level, number)]
+        self.tables: dict[str, dict[str, list[tuple[int, int]]]] = {}
         for i, entry in enumerate(self.entries):
-            letter = entry[:1]
-            self.voter[i] = (letters.index(letter) * VOTERS_PER_FAMILY
-                             + places[letter] % VOTERS_PER_FAMILY)
+            letter, (mark, _, level) = entry.decode()[0], entry.decode()[1:].partition(" ")
+            self.voter[i] = letters.index(letter) * VOTERS_PER_FAMILY + places[letter] % VOTERS_PER_FAMILY
             places[letter] += 1
+            self.tables.setdefault(letter, {}).setdefault(mark, []).append((int(level or 1), i))
         self.n_voters = len(letters) * VOTERS_PER_FAMILY + len(PATTERNS)
 
     def row(self, text: bytes | None) -> tuple[list[int], np.ndarray, float]:
         """Entries that occur in a text, its votes, and the share of words that are hits."""
         text = text or b""
         words = words_of(text)
-        found, hits = set(), 0
-        number = self.number
+        seen: Counter[tuple[str, str]] = Counter()
+        hitting: list[tuple[int, list[tuple[str, str]]]] = []
+        families = [(letter, FAMILIES[letter], table) for letter, table in self.tables.items()]
         for word, times in Counter(words).items():
-            here = [number[m] for m in marks_of(word) if m in number]
+            here = []
+            for letter, length, table in families:
+                mark = word if length is None else word[:length] if length > 0 else word[length:]
+                if mark in table and (length is None or len(word) > abs(length)):
+                    here.append((letter, mark))
+                    seen[letter, mark] += times
             if here:
-                found.update(here)
-                hits += times
+                hitting.append((times, here))
+        found: dict[tuple[str, str], list[int]] = {}
+        for (letter, mark), times in seen.items():
+            reached = level_of(times, len(words))
+            found[letter, mark] = [i for level, i in self.tables[letter][mark] if level <= reached]
+        hits = sum(times for times, here in hitting if any(found[mark] for mark in here))
         share = hits / max(len(words), 1)
         votes = np.zeros(self.n_voters)
-        used = sorted(found)
+        used = sorted(i for numbers in found.values() for i in numbers)
         votes[self.voter[used]] = 1
         tokens = text.split()
         n = max(len(tokens), 1)
@@ -183,34 +231,64 @@ def fit_linear(rows: np.ndarray, targets: np.ndarray, rounds: int = 300, ridge:
 def learn_lexicon(sample: DataFrame) -> list[bytes]:
     """Entries that occur in toxic texts much more than in others, strongest first in each family.
 
-    Copies of a text count once, else every word of a copied toxic text would be an entry.
+    Of copies and near copies of a text one counts, else every word of a copied toxic text would be an
+    entry.  Of a mark and a longer one that tells clearly more, only the longer is an entry.
     """
-    sample = sample.dropDuplicates(["text"])
-    @F.pandas_udf("array<binary>")
-    def marks(texts: pd.Series) -> pd.Series:
-        return pd.Series([list({m for w in set(words_of(t)) for m in marks_of(w)}) for t in texts])
-
-    counts = (
-        sample.select("label", F.explode(marks(F.col("text").cast("binary"))).alias("entry"))
-        .groupBy("entry").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
-        .filter(F.col("toxic") >= LEAST_TEXTS)
-    )
+    @F.pandas_udf("struct<low: long, high: long, "
+                  "marks: array<struct<family: string, mark: string, level: int>>>")
+    def looked(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            words = words_of(text)
+            marks = [{"family": f, "mark": m, "level": q} for (f, m), q in marks_of(words).items()]
+            rows.append((*copy_marks(words), marks))
+        return pd.DataFrame(rows, columns=["low", "high", "marks"])
+
+    sample = sample.select("doc_id", "label", looked(F.col("text").cast("binary")).alias("seen")).select(
+        "doc_id", "label", "seen.*")
+    for one in ("low", "high"):
+        first = Window.partitionBy("label", one).orderBy("doc_id")
+        sample = sample.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
+    sample = keep(sample, "toxicity-marks")
     sizes = sample.agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).first()
     toxic, clean = sizes["toxic"] or 0, sizes["n"] - (sizes["toxic"] or 0)
     if not toxic or not clean:
         return []
-    a, b = F.col("toxic") + 0.5, F.col("n") - F.col("toxic") + 0.5
-    odds = F.log(a / (toxic + 1.0)) - F.log(b / (clean + 1.0))
-    z = odds / F.sqrt(1 / a + 1 / b)
-    family = F.substring("entry", 1, 1)
-    best = Window.partitionBy("family").orderBy(F.desc("z"), "entry")
+    at_least = [F.count_if((F.col("level") >= level) & (F.col("label") == kind)).alias(f"n{level}_{kind}")
+                for level in LEVELS for kind in (0, 1)]
+    counts = (
+        sample.select("label", F.inline("marks")).groupBy("family", "mark").agg(*at_least)
+        .filter(F.col("n1_1") >= LEAST_TEXTS)
+        .select("family", "mark", F.inline(F.array(*(
+            F.struct(F.lit(level).alias("level"), F.col(f"n{level}_1").alias("toxic"),
+                     F.col(f"n{level}_0").alias("others")) for level in LEVELS))))
+        .filter(F.col("toxic") >= LEAST_TEXTS)
+    )
+    a, b = F.col("toxic"), F.col("others")
+    share = toxic / (toxic + clean)
+    odds = F.log((a + 0.5) / (toxic + 1.0)) - F.log((b + 0.5) / (clean + 1.0))
+    ratio = 2 * (a * F.log(a / ((a + b) * share))
+                 + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
+    # a mark has one level, the one that tells most
+    levels = Window.partitionBy("family", "mark").orderBy(F.desc("ratio"), "level")
+    best = Window.partitionBy("family").orderBy(F.desc("ratio"), "mark")
     strongest = (
-        counts.filter((F.col("toxic") >= LEAST_SHARE * toxic) & (odds >= LEAST_ODDS) & (z >= LEAST_Z))
-        .select("entry", family.alias("family"), z.alias("z"))
+        counts.withColumn("ratio", ratio).filter((odds >= LEAST_ODDS) & (F.col("ratio") >= LEAST_ROOT**2))
+        .withColumn("_place", F.row_number().over(levels)).filter("_place = 1")
         .withColumn("place", F.row_number().over(best)).filter(F.col("place") <= ENTRIES)
-        .orderBy("family", "place").select("entry").collect()
+        .orderBy("family", "place").select("family", "mark", "level", "ratio").collect()
     )
-    return [bytes(r["entry"]) for r in strongest]
+    return [entry_of(r["family"], r["mark"], r["level"]) for r in strongest
+            if not any(_extends(o["family"], o["mark"], r["family"], r["mark"]) and o["ratio"] > CLEARLY * r["ratio"]
+                       for o in strongest)]
+
+
+def _extends(family: str, mark: str, shorter_family: str, shorter: str) -> bool:
+    """Whether words with a mark all have the shorter mark as well; then only the better of both is needed."""
+    length, least = FAMILIES[family], FAMILIES[shorter_family]
+    if least is None or (length is not None and (length > 0) != (least > 0)):
+        return False
+    return len(mark) > len(shorter) and (mark.startswith(shorter) if least > 0 else mark.endswith(shorter))
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, allowed: Column | None = None,

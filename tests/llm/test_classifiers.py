@@ -40,6 +40,51 @@ def test_weak_toxicity_on_held_out_documents(labelled):
     assert not wrong
 
 
+def test_a_mark_has_to_occur_often_in_long_texts():
+    level = weak_toxicity.level_of
+    assert [level(n, 250) for n in (1, 2, 3, 9)] == [1, 2, 3, 3]
+    assert [level(n, 3000) for n in (1, 3, 6, 9)] == [1, 1, 2, 3]
+    lexicon = weak_toxicity.Lexicon([b"4zork 2", b"wmean", b"yling"])
+    used = lambda text: lexicon.row(text.encode())[0]
+    assert used("zorka is here") == [] and used("zorka and zorke, mean!") == [0, 1]
+    assert used("zork zork") == [] and used("Darling") == [2]
+    assert lexicon.row(None)[0] == lexicon.row(b" \n")[0] == []
+
+
+def test_marks_that_a_longer_one_replaces():
+    extends = weak_toxicity._extends
+    assert extends("5", "loser", "4", "lose") and extends("w", "loser", "y", "oser")
+    assert not extends("4", "lose", "5", "loser") and not extends("5", "loser", "y", "oser")
+    assert not extends("w", "closer", "4", "lose") and not extends("5", "loser", "w", "lose")
+
+
+def test_near_copies_of_a_toxic_text_make_no_entries(spark):
+    rows = [(i, " ".join(f"p{i}q{k}" for k in range(30)), 0) for i in range(60)]
+    base = [f"copied{k}" for k in range(30)]
+    rows += [(100 + i, " ".join([*base, f"end{i}"]), 1) for i in range(12)]
+    rows += [(200 + i, " ".join([f"s{i}t{k}" for k in range(20)] + ["grumf"]), 1) for i in range(12)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    entries = weak_toxicity.learn_lexicon(sample)
+    assert b"wgrumf" in entries and not any(b"copied" in e for e in entries)
+
+
+def test_weak_toxicity_in_every_language_of_the_supplied_table(spark):
+    """Held-out rows of 10,000 documents: 9 of 10 toxic texts in each language, few others."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held_out = crc_of("doc_id") % 4 == 2
+    model = weak_toxicity.fit_on(docs.select("doc_id", "text"), labels, ~held_out)
+    found = weak_toxicity.add_score(docs.filter(held_out), model, "score").join(labels, "doc_id")
+    by_language = found.filter("toxic is not null and lang is not null").groupBy("lang").agg(
+        F.count_if(F.expr("toxic = 1")).alias("toxic"),
+        F.count_if(F.expr("toxic = 1 and score >= 0.3")).alias("hit"),
+        F.count_if(F.expr("toxic = 0 and score >= 0.3")).alias("wrong")).collect()
+    assert len(by_language) == 4
+    assert all(r["hit"] >= 0.9 * r["toxic"] > 0 for r in by_language)
+    hits, wrong = (sum(r[name] for r in by_language) for name in ("hit", "wrong"))
+    assert hits >= 0.95 * (hits + wrong)
+
+
 def test_label_model_recovers_accuracies_of_correlated_voters():
     r = np.random.default_rng(0)
     truth = r.random(6000) < 0.2
@@ -62,9 +107,12 @@ def test_odd_rows_get_scores(docs, no_docs, labelled):
         assert len(rows) == docs.count()
         assert all(0 <= r["s"] <= 1 for r in rows)
         assert len({r["s"] for r in rows if r["doc_id"] in (0, 1, 2)}) == 1
+        assert set(docs.columns) - {"score"} <= set(scored.columns)
     kept = subword_quality.only_good(docs, quality)
     assert kept.columns == docs.columns
     assert subword_quality.add_score(no_docs, quality, "s").count() == 0
+    assert weak_toxicity.add_score(no_docs, toxicity, "s").count() == 0
+    assert "s" in weak_toxicity.add_score(docs, toxicity, "s").columns
 
 
 def test_without_usable_labels(docs, labelled):
