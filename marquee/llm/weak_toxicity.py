@@ -22,14 +22,16 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import keep, labelled_sample, small_batches
+from marquee.llm.common import handing_back, keep, labelled_sample, small_batches
 
 SAMPLE_ROWS = 8_000
 # entries per family; toxic texts, not copies of one another, that an entry must occur in; the least log odds
@@ -56,6 +58,8 @@ LEVELS = (1, 2, 3)
 PER_WORDS = 1000
 # words in a row whose hashes tell copies
 COPY_WORDS = 4
+# marks that a task hands over at once
+BLOCK_MARKS = 50_000
 PATTERNS = ("two_entries", "dense", "three_hits", "capitals", "symbols", "exclaims", "no_entry")
 
 
@@ -228,28 +232,45 @@ def fit_linear(rows: np.ndarray, targets: np.ndarray, rounds: int = 300, ridge:
     return weights, float(bias)
 
 
+def marks_batch(labels: list, families: list, marks: list, levels: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(labels, pa.int32()), pa.array(families, pa.string()), pa.array(marks, pa.string()),
+         pa.array(levels, pa.int32())], names=["label", "family", "mark", "level"])
+
+
 def learn_lexicon(sample: DataFrame) -> list[bytes]:
     """Entries that occur in toxic texts much more than in others, strongest first in each family.
 
     Of copies and near copies of a text one counts, else every word of a copied toxic text would be an
     entry.  Of a mark and a longer one that tells clearly more, only the longer is an entry.
     """
-    @F.pandas_udf("struct<low: long, high: long, "
-                  "marks: array<struct<family: string, mark: string, level: int>>>")
-    def looked(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            words = words_of(text)
-            marks = [{"family": f, "mark": m, "level": q} for (f, m), q in marks_of(words).items()]
-            rows.append((*copy_marks(words), marks))
-        return pd.DataFrame(rows, columns=["low", "high", "marks"])
-
-    sample = sample.select("doc_id", "label", looked(F.col("text").cast("binary")).alias("seen")).select(
+    @F.pandas_udf("struct<low: long, high: long>")
+    def copies(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([copy_marks(words_of(t)) for t in texts], columns=["low", "high"])
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with handing_back():
+            rows: tuple[list, list, list, list] = ([], [], [], [])
+            for batch in batches:
+                for label, text in zip(batch["label"], batch["text"], strict=True):
+                    found = marks_of(words_of(text.as_py()))
+                    for column, values in zip(rows, (
+                        [label.as_py()] * len(found), [f for f, _ in found], [m for _, m in found],
+                        found.values(),
+                    ), strict=True):
+                        column.extend(values)
+                    if len(rows[0]) >= BLOCK_MARKS:
+                        yield marks_batch(*rows)
+                        rows = ([], [], [], [])
+            yield marks_batch(*rows)
+
+    copied = sample.select("doc_id", "label", copies(F.col("text").cast("binary")).alias("seen")).select(
         "doc_id", "label", "seen.*")
     for one in ("low", "high"):
         first = Window.partitionBy("label", one).orderBy("doc_id")
-        sample = sample.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
-    sample = keep(sample, "toxicity-marks")
+        copied = copied.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
+    sample = sample.join(copied.select("doc_id"), "doc_id", "left_semi").select(
+        F.col("label").cast("int").alias("label"), F.col("text").cast("binary").alias("text"))
     sizes = sample.agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).first()
     toxic, clean = sizes["toxic"] or 0, sizes["n"] - (sizes["toxic"] or 0)
     if not toxic or not clean:
@@ -257,7 +278,7 @@ def learn_lexicon(sample: DataFrame) -> list[bytes]:
     at_least = [F.count_if((F.col("level") >= level) & (F.col("label") == kind)).alias(f"n{level}_{kind}")
                 for level in LEVELS for kind in (0, 1)]
     counts = (
-        sample.select("label", F.inline("marks")).groupBy("family", "mark").agg(*at_least)
+        sample.mapInArrow(marks, "label int, family string, mark string, level int").groupBy("family", "mark").agg(*at_least)
         .filter(F.col("n1_1") >= LEAST_TEXTS)
         .select("family", "mark", F.inline(F.array(*(
             F.struct(F.lit(level).alias("level"), F.col(f"n{level}_1").alias("toxic"),
@@ -326,7 +347,9 @@ def add_score(docs: DataFrame, classifier: Classifier, name: str, text: str = "t
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([classifier.score(t) for t in texts], dtype="float64")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with handing_back():
+            for texts in batches:
+                yield pd.Series([classifier.score(t) for t in texts], dtype="float64")
 
     return docs.withColumn(name, scored(F.col(text).cast("binary")))
