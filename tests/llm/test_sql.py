@@ -21,7 +21,7 @@ def con():
 
 def test_every_operator_has_a_query():
     numbers = {int(re.match(r"op(\d+)_", name)[1]) for name in queries.all_queries()}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert {*queries.all_queries(), "pipeline"} <= set(entry.queries())
     assert set(queries.all_sql()) <= set(queries.all_queries())
 
