@@ -6,18 +6,22 @@ becomes the point of its 32 bit counts (0, 1 or 2).  The Manhattan distance of t
 the number of differing bits, so pairs farther apart than the limit are ruled out by it, and the rest
 are verified on the bits.
 
-The range join on points runs on a grid: each point has two cells, the counts of its lower and of its
-upper sixteen segments.  Two points at distance 3 or less are at distance 1 or less in one of the
-halves (2 + 2 is too much).  There, either their cells are equal, or one cell has one count more by
-one, so it is enough that each point also knocks at the cells one step up.  Every join is an equality
-join on (half, cell), and no pair within the limit is missed.
+The range join on points runs on a grid: each point has two cells, one of each half of the bits.  So that
+cells are small, their axes are the counts of 32 segments in a ring, where every bit lies in two segments
+of two neighbouring bits.  Two fingerprints that differ in three bits or fewer differ in at most one bit
+of one of the halves.  There, either their cells are equal, or one cell lies one bit up, that is one
+count more in the two segments of this bit, so it is enough that each point also knocks at the cells
+one bit up.  Every join is an equality join on (half, cell), and no pair within the limit is missed.
+Unrelated fingerprints meet in a cell about as rarely as equal 32 bits do.
 
 Texts of equal fingerprints are one point, so copies are never paired with one another.  The points
 that lie within the limit of a centre are at most a few ten thousand, however many rows there are.
 
 Defined results: NULL, empty and blank texts have fingerprint 0 and link like any other; a text of one
 or two words has one shingle, the whole sequence; rows without doc_id get a component like others but
-never name it (NULL if none of the component has an id); repeated rows share a component.
+never name it (NULL if none of the component has an id); repeated rows share a component; very long
+texts are read whole, their hashes counted in chunks; an empty table gives no rows; columns of the input
+beside the two that are named play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,10 +42,12 @@ LIMIT = 3
 # hashes whose bits are counted at once: bounds memory on very long texts
 CHUNK = 1 << 15
 
-SEGMENTS = 32
-HALF_SEGMENTS = SEGMENTS // 2
-LOW_BITS = 0x5555555555555555
+HALF_BITS = 32
 HALF_MASK = 0xFFFFFFFF
+LOW_BITS = 0x5555555555555555
+# shifts and masks that move bit i of a half to bit 2i
+SPREAD = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+          (2, 0x3333333333333333), (1, LOW_BITS)]
 
 
 def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -87,11 +93,18 @@ def _bits(number: int) -> Column:
     return F.lit(number - (1 << 64) if number >= 1 << 63 else number).cast("long")
 
 
-def _counts(print_: Column) -> Column:
-    """The 32 bit counts, packed two bits each."""
-    low = print_.bitwiseAND(_bits(LOW_BITS))
-    high = F.shiftrightunsigned(print_, 1).bitwiseAND(_bits(LOW_BITS))
-    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+def _spread(half: Column) -> Column:
+    """The 32 bits of a half with a free place above each."""
+    for shift, mask in SPREAD:
+        half = half.bitwiseOR(F.shiftleft(half, shift)).bitwiseAND(_bits(mask))
+    return half
+
+
+def _cell(half: Column) -> Column:
+    """The bit counts of a half's 32 segments in a ring, packed two bits each."""
+    turned = F.shiftright(half, 1).bitwiseOR(F.shiftleft(half.bitwiseAND(_bits(1)), HALF_BITS - 1))
+    own, beside = _spread(half), _spread(turned)
+    return own.bitwiseXOR(beside).bitwiseOR(F.shiftleft(own.bitwiseAND(beside), 1))
 
 
 def _steps(print_: Column) -> Column:
@@ -102,8 +115,8 @@ def _steps(print_: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(both, 1))
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _distance(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
 
 
 def links(points: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -113,27 +126,26 @@ def links(points: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     if not 0 <= limit <= 3:
         raise ValueError("the grid serves limits from 0 to 3")
-    points = points.select("print", _steps(F.col("print")).alias("steps"),
-                           _counts(F.col("print")).alias("counts"))
-    cells = points.select(
-        "print", "steps", F.posexplode(F.array(
-            F.col("counts").bitwiseAND(F.lit(HALF_MASK)), F.shiftrightunsigned("counts", 32)
-        )).alias("half", "cell"),
+    halves = points.select(
+        "print", F.posexplode(F.array(
+            F.col("print").bitwiseAND(_bits(HALF_MASK)), F.shiftrightunsigned("print", HALF_BITS)
+        )).alias("half", "bits"),
     )
-    step_up = F.array(*[
-        F.when(F.shiftright("cell", 2 * i).bitwiseAND(F.lit(3)) < 2, F.col("cell") + (1 << 2 * i))
-        for i in range(HALF_SEGMENTS)
+    one_up = F.array(*[
+        F.when(F.col("bits").bitwiseAND(_bits(1 << i)) == 0, F.col("bits").bitwiseOR(_bits(1 << i)))
+        for i in range(HALF_BITS)
     ])
-    knocks = cells.select(
-        "half", F.col("print").alias("a"), F.col("steps").alias("a_steps"), F.col("cell").alias("own"),
-        F.explode(F.array_compact(F.concat(F.array("cell"), step_up))).alias("cell"),
-    )
-    homes = cells.select("half", "cell", F.col("print").alias("b"), F.col("steps").alias("b_steps"))
-    # points of one cell would meet twice
-    once = (F.col("own") != F.col("cell")) | (F.col("a") < F.col("b"))
+    knocks = halves.select(
+        "half", F.col("print").alias("a"), "bits",
+        F.explode(F.array_compact(F.concat(F.array("bits"), one_up))).alias("at"),
+    ).select("half", "a", (F.col("at") != F.col("bits")).alias("up"), _cell(F.col("at")).alias("cell"))
+    homes = halves.select("half", _cell(F.col("bits")).alias("cell"), F.col("print").alias("b"))
+    a, b = F.col("a"), F.col("b")
     return (
         knocks.join(homes, ["half", "cell"])
-        .filter(once & (_distance("a_steps", "b_steps") <= limit) & (_distance("a", "b") <= limit))
+        # points of one cell would meet twice
+        .filter(F.col("up") | (a < b))
+        .filter((a != b) & (_distance(_steps(a), _steps(b)) <= limit) & (_distance(a, b) <= limit))
         .select("a", "b")
     )
 

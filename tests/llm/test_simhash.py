@@ -80,3 +80,19 @@ def test_one_row_of_each_component_stays(docs, no_docs):
     assert {r[0] for r in kept.select("doc_id").collect()} == {
         r[0] for r in components.select("component_id").distinct().collect()}
     assert simhash.without_near_duplicates(no_docs).count() == 0
+
+
+def test_unrelated_fingerprints_hardly_meet(spark):
+    r = random.Random(6)
+    prints = [r.getrandbits(64) - 2**63 for _ in range(3000)]
+    points = spark.createDataFrame([(p,) for p in prints], "print long")
+    assert simhash.links(points).count() == 0
+    # the ring of counts tells 32 bits apart but for alternating ones
+    halves = [0, 1, 2**31, 2**32 - 1, 0x55555555, 0xAAAAAAAA, *(r.getrandbits(32) for _ in range(500))]
+    found = spark.createDataFrame([(h,) for h in halves], "h long").select("h", simhash._cell(F.col("h")))
+    by_cell: dict[int, set[int]] = {}
+    for half, cell in found.collect():
+        ring = sum(((half >> i & 1) + (half >> (i + 1) % 32 & 1)) << 2 * i for i in range(32))
+        assert cell & (2**64 - 1) == ring
+        by_cell.setdefault(cell, set()).add(half)
+    assert [c for c in by_cell.values() if len(c) > 1] == [{0x55555555, 0xAAAAAAAA}]
