@@ -1,7 +1,8 @@
 """Quality classifier by supervised subword embeddings.
 
 A text is a bag of hashed features: its words, its pairs of neighbouring words (all pairs of a word with
-itself are one feature), and the byte n-grams of its words with their edges.
+itself are one feature), and the character n-grams of its words with their edges, hashed over code
+points.
 Each feature has a learned vector; a document is the average of the vectors of its features, repeats
 included, and a softmax layer scores it.  Vectors and layer are trained together by stochastic
 gradient descent in numpy on a bounded sample of labelled documents, of which only the bags reach the
@@ -10,7 +11,9 @@ result, and all n-grams of a text are hashed at once in numpy.
 
 Defined results: a NULL, empty or blank text has no features and gets the score of the softmax bias;
 a text of any length is scored whole, by pieces of bounded size; repeated rows score alike; without
-labelled documents every score is 0.5, with labels of one kind the model learns that kind.
+labelled documents every score is 0.5, with labels of one kind the model learns that kind; an empty
+table gives no rows; a column of the name given for the score is replaced, and the filter takes a free
+name, so that it leaves columns of any name as they are.
 """
 
 from __future__ import annotations
@@ -49,17 +52,27 @@ def _buckets(hashes: np.ndarray, kind: int) -> np.ndarray:
     return mixed >> np.uint32(32 - BUCKET_BITS)
 
 
+def _code_points(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of words with a space around each, and the words' lengths in characters."""
+    data = b" " + b" ".join(words) + b" "
+    if data.isascii():
+        points = np.frombuffer(data, np.uint8).astype(np.uint32)
+    else:
+        points = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    spaces = np.flatnonzero(points == 32)
+    return points, np.diff(spaces) - 1
+
+
 def features(text: bytes | None) -> Iterator[np.ndarray]:
     """Feature numbers of a UTF-8 text, in arrays of bounded size."""
     words = (text or b"").split()
     last = None
     for at in range(0, len(words), CHUNK_WORDS):
         chunk = words[at:at + CHUNK_WORDS]
-        data = np.frombuffer(b" " + b" ".join(chunk) + b" ", np.uint8).astype(np.uint32)
-        lengths = np.fromiter(map(len, chunk), np.int64, len(chunk))
+        data, lengths = _code_points(chunk)
         starts = 1 + np.cumsum(lengths + 1) - (lengths + 1)
         space = data == 32
-        # words, as polynomials of their bytes
+        # words, as polynomials of their characters
         place = np.arange(len(data)) - np.repeat(
             np.concatenate([[0], starts]), np.concatenate([[1], lengths + 1])
         )

@@ -21,6 +21,17 @@ def test_an_ngram_is_the_same_feature_wherever_it_stands():
     assert alone <= among
 
 
+def test_ngrams_are_of_characters():
+    def found(text):
+        return sorted(int(n) for part in subword_quality.features(text.encode()) for n in part)
+
+    # the word, and 4 + 3 + 2 windows of three to five characters
+    assert len(found("äb北d")) == len(found("abcd")) == 10
+    shared = set(found("x北京大")) & set(found("y北京大"))
+    assert len(shared) == 3  # two of three characters, one of four, each up to the closing space
+    assert found("\U0001f600") and len(found("ab 京")) == 1 + 1 + 1 + 2 + 1 + 1
+
+
 def test_subword_classifier_on_held_out_documents(labelled):
     docs, labels = labelled
     held_out = crc_of("doc_id") % 5 == 0
