@@ -2,8 +2,8 @@
 
 A page's containers are scored by the text of the paragraphs in them, less what is linked: a paragraph
 counts for its container and half for the container around it.  From the best container one climbs to
-those around it that hold headings and unlinked paragraphs of their own, as long as little else comes with
-them, and that container's path votes for its host.  A path is generalised: the tags and class names from
+those around it that hold headings, unlinked paragraphs or further parts of the article, as long as little
+else comes with them, and that container's path votes for its host.  A path is generalised: the tags and class names from
 the body down, without digits, ids and positions.  Spark counts the votes per host and path.  Then every page is read again, and the
 container at the host's winning path gives the text; a page that does not have this path takes the
 next one of its host, and one that has none of them its own best container.
@@ -16,13 +16,16 @@ block-level elements part; a line break is white space.
 
 Defined results: a NULL or empty page has an empty text; a NULL url, or one without a host, belongs to
 the host with the empty name; text outside any container counts for the body; repeated pages vote and
-are read like others; an empty table gives no rows.
+are read like others; an empty table gives no rows; very long pages are read whole; a column of the name
+given for the text is replaced, columns added on the way take free names.  A host has the three paths
+with most votes; a page of a fourth template falls back to its own best container, so none is lost.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -51,20 +54,23 @@ NO_TEXT = {"aside", "button", "canvas", "dialog", "footer", "form", "head", "nav
 ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "navigation",
          "search", "menu", "menubar", "toolbar"}
 # parts of class names and ids that mark what is not the article
-ASIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb",
-               "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer",
-               "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice",
-               "notices", "pagination", "pager", "popup", "promo", "promotion", "promoted", "related",
-               "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor",
-               "sponsored", "subscribe", "toolbar", "widget", "widgets"}
+ASIDE_NAMES = {"ad", "ads", "adsbygoogle", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb",
+               "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "discussion",
+               "disqus", "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
+               "notice", "notices", "pagination", "pager", "paywall", "popup", "promo", "promotion",
+               "promoted", "related", "replies", "respond", "responses", "share", "sharing", "sidebar",
+               "signup", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget",
+               "widgets"}
 # parts that say nothing about what is named, and parts that make a name one of a state
 LAYOUT_NAMES = {"area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "column",
                 "container", "desktop", "fixed", "form", "group", "holder", "icon", "icons", "inner", "item",
-                "items", "left", "link", "links", "list", "mobile", "outer", "panel", "posts", "right",
-                "row", "section", "slot", "small", "stories", "sticky", "text", "title", "top", "unit",
-                "wrap", "wrapper"}
+                "items", "left", "link", "links", "list", "mobile", "outer", "overlay", "panel", "posts",
+                "right", "row", "section", "slot", "small", "stories", "sticky", "text", "this", "title",
+                "top", "unit", "wrap", "wrapper"}
 STATE_NAMES = {"has", "have", "hide", "is", "no", "non", "not", "show", "with", "without"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# blocks that a further part of an article consists of
+PART_BLOCKS = HEADINGS | {"p", "blockquote", "pre", "figcaption"}
 # start tags that end an open element of these names, looked for up to the nearest of the others
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -121,7 +127,7 @@ class Page:
         return self._climbed(best)
 
     def _climbed(self, best: int) -> int:
-        """The container around the best one that also holds its headings and unlinked paragraphs.
+        """The container around the best one that also holds its headings, unlinked paragraphs and parts.
 
         Text of other containers that comes with it is at most half as long; the body is taken only for
         a heading ahead of the text.
@@ -131,8 +137,12 @@ class Page:
             chain.append(self.containers[chain[-1]].parent)
         place = {container: i for i, container in enumerate(chain)}
         meets: list[int] = []  # of each container, the place in the chain of the nearest one around it
+        branch: list[int] = []  # and the container below that one which it is or stands in
         for i, container in enumerate(self.containers):
             meets.append(place[i] if i in place else meets[container.parent])
+            branch.append(i if i in place or container.parent in place else branch[container.parent])
+        own = sum(len(text) for owner, text in self.blocks if meets[owner] == 0)
+        parts = self._parts(best, branch, own, chain[-1])
         gain, other, start = [0.0] * len(chain), [0.0] * len(chain), 0
         for at, (owner, _) in enumerate(self.blocks):
             if meets[owner] == 0:
@@ -142,11 +152,12 @@ class Page:
             level = meets[owner]
             wanted = kind in HEADINGS or (kind == "p" and chain[level] != 0)
             ahead = at < start or chain[level] != 0
-            if level == 0 or (owner == chain[level] and wanted and ahead and unlinked * 2 > len(text)):
+            beside = owner == chain[level] and wanted and ahead and unlinked * 2 > len(text)
+            if level == 0 or beside or branch[owner] in parts:
                 gain[level] += len(text)
             else:
                 other[level] += len(text)
-        found, own, more = best, gain[0], 0.0
+        found, more = best, 0.0
         for container, new, beside in zip(chain[1:], gain[1:], other[1:], strict=True):
             more += beside
             if more * 2 > own:
@@ -156,6 +167,34 @@ class Page:
                 own += new
         return found
 
+    def _parts(self, best: int, branch: list[int], own: float, outermost: int) -> set[int]:
+        """Containers beside the best one that hold a further part of its article.
+
+        Such a part has paragraphs with hardly a link and is a quarter as long as the best container (half
+        as long, if nothing but the body is around both).  Its text does not stand in three or more
+        containers or lists of one path, as readers' comments and teasers do.
+        """
+        length: dict[int, float] = {}
+        plain: dict[int, float] = {}
+        paths: dict[int, Counter[str]] = {}
+        for (owner, text), (kind, unlinked) in zip(self.blocks, self.kinds, strict=True):
+            of = branch[owner]
+            length[of] = length.get(of, 0) + len(text)
+            if kind in PART_BLOCKS or kind in CONTAINERS:
+                plain[of] = plain.get(of, 0) + unlinked
+            paths.setdefault(of, Counter())
+        for i, container in enumerate(self.containers):
+            if branch[i] in paths:
+                paths[branch[i]][container.path] += 1
+        like = self.containers[best].path
+        found = set()
+        for of, characters in length.items():
+            least = 2 if self.containers[of].parent == outermost else 4
+            repeated = max((n for path, n in paths[of].items() if path != like), default=0)
+            if (characters * least >= own and plain.get(of, 0) >= 0.8 * characters and repeated < 3):
+                found.add(of)
+        return found
+
     def text_of(self, chosen: set[int]) -> str:
         inside = []
         for i, container in enumerate(self.containers):

@@ -52,6 +52,29 @@ def test_title_and_lead_beside_the_long_text_belong_to_it():
     assert page.containers[page.best()].path == "body>div.post"
 
 
+UNIT = "<p>a unit of the story, ten words and some more here</p>"
+
+
+def test_parts_of_an_article_in_several_containers_stay_together():
+    head = "<h2>Second part</h2>"
+    two = f'<div class="content"><section class="intro">{UNIT * 20}</section><section class="rest">{head}{UNIT * 8}'
+    assert text(two + "</section></div>").count("a unit") == 28 and "Second part" in text(two)
+    rows = "".join(f'<div class="r{x}"><div class="c{x}">{UNIT * n}</div></div>' for x, n in (("a", 12), ("b", 11)))
+    assert text(rows).count("a unit") == 23
+    for cards in ('<div class="card"><p>another story is told here</p></div>' * 20,
+                  "<ul>" + '<li><a href="/x">another story is told here</a></li>' * 20 + "</ul>"):
+        page = f'<div class="post">{UNIT * 20}</div><div class="more">{cards}</div>'
+        assert "another" not in text(page) and text(page).count("a unit") == 20
+
+
+def test_comments_and_notices_under_further_names():
+    for name, times in (("responses", 90), ("discussion", 90), ("adsbygoogle", 3), ("share-this", 3),
+                        ("tags", 3), ("paywall-overlay", 3)):
+        more = f'<div class="{name}">{"<p>said by a reader</p>" * times}</div>'
+        found = text(f'<div class="all"><div class="post">{UNIT * 10}</div>{more}</div>')
+        assert found.count("a unit") == 10 and "reader" not in found, name
+
+
 def test_paths_are_generalised():
     page = host_paths.read('<div class="b post-12 a"><article id="p7"><p>x</p></article></div>')
     assert [c.path for c in page.containers] == [
