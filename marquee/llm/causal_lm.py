@@ -15,11 +15,15 @@ Adam steps in numpy, once over every training document: the documents are dealt
 round every partition trains on its documents of that round, and the partitions' parameters are averaged,
 weighted by ids.
 
-The base score needs the corpus count of every word.  The most frequent words (a fixed number) are sent to
-all tasks; the others are joined on the word, once per distinct word of a text.
+The counts of neighbouring ids stay a table.  The driver gets sums per id and per pair of a symbol and a
+class, whose number the vocabulary bounds; a word's share of its classes is found by joins, once per
+distinct word.  Scores need this share and the corpus count of every word.  For the most frequent words (a
+fixed number) both are sent to all tasks; for the others they are joined on the word, once per distinct
+word of a text.
 
 Defined results: a NULL, empty or blank text is one end token; rows without doc_id are training rows
-(their id counts as the empty text); rows alike in id and text score alike; without training rows the
+(their id counts as the empty text); very long texts are read whole, in chunks; columns besides doc_id and
+text play no part, whatever their names; rows alike in id and text score alike; without training rows the
 counts are 0, N and V are 0, and ids are uniform inside a uniform model.
 """
 
@@ -29,13 +33,13 @@ import base64
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm.common import keep, small_batches
@@ -48,11 +52,15 @@ SYMBOLS = 1024
 WIDTH = 16
 # corpus counts are smoothed by this many occurrences of the class average
 SMOOTHING = 2.0
+# numbers in a sketch of the ids beside an id
+SKETCH = 32
 BLOCK = 16
 # every training document is in one round, by the hash of its id
 ROUNDS = 2
 RATE = 0.02
 STEP_IDS = 2048
+# parameter vectors that are averaged at once
+GROUP = 48
 # names of a row's two hashes
 ROW = ["row", "row_too"]
 # words sent to all tasks, words that a task counts before it hands them on, words that a worker remembers
@@ -142,6 +150,8 @@ def _looked_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.nda
 class Classes:
     """What the model predicts (of_id) and reads (symbol) for each id; the last id is the end.
 
+    ``pairs`` and ``pair_classes`` are counts of neighbours, where they are at hand.
+
     Ids that begin a word never share a class with others, so an id inside its class depends on the id
     before it in the same word alone: P(id | class, before) is by corpus counts, smoothed by the share of
     the id in its class.
@@ -182,27 +192,21 @@ def _grouped(points: np.ndarray, weights: np.ndarray, groups: int, rounds: int =
     return nearest
 
 
-def make_classes(pairs: np.ndarray, begins: np.ndarray, documents: float) -> Classes:
-    """Classes from (first, second, n); ``begins`` tells the ids that hold the space before a word.
+NO_SUMS = np.zeros(0, np.int64), np.zeros(0)
+
+
+def make_classes(counts: np.ndarray, around: np.ndarray, begins: np.ndarray, documents: float) -> Classes:
+    """Classes from the count of each id and a sketch of the ids beside it.
 
-    The most frequent ids have classes of their own.  The others are grouped by the ids they stand beside,
-    which tells languages and places in a word apart.
+    ``begins`` tells the ids that hold the space before a word.  The most frequent ids have classes of
+    their own.  The others are grouped by their sketches, which tells languages and places in a word apart.
     """
-    size = len(begins) + 1
-    first, second, n = pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(float)
-    counts = np.append(np.bincount(second[second >= 0], n[second >= 0], size - 1), documents)
+    counts = np.append(counts, documents)
     order = np.argsort(-counts[:-1], kind="stable")
     own = CLASSES - 1 - BEGINNING - INNER
-    of_id = np.full(size, CLASSES - 1)
+    of_id = np.full(len(counts), CLASSES - 1)
     of_id[order[:own]] = np.arange(own)
-    random = np.random.default_rng(3)
-    both = (first >= 0) & (second >= 0)
-    around = np.zeros((size, 32))
-    for of, beside in ((second, first), (first, second)):
-        meaning = random.normal(size=(size, 32))
-        for part in np.array_split(np.flatnonzero(both), 1 + both.sum() // 50_000):
-            np.add.at(around, of[part], meaning[beside[part]] * np.sqrt(n[part])[:, None])
-    around /= np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-9)
+    around = around / np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-9)
     rest = order[own:]
     for is_first, base, groups in ((True, own, BEGINNING), (False, own + BEGINNING, INNER)):
         chosen = rest[begins[rest] == is_first]
@@ -210,10 +214,88 @@ def make_classes(pairs: np.ndarray, begins: np.ndarray, documents: float) -> Cla
     symbol = of_id + (SYMBOLS - CLASSES)
     symbol[order[:SYMBOLS - CLASSES]] = np.arange(min(SYMBOLS - CLASSES, len(order)))
     total = np.bincount(of_id, counts + 1, CLASSES)
-    return Classes(
-        of_id, symbol, (counts + 1) / total[of_id], np.append(begins, False),
-        _sums(first[both] * size + second[both], n[both]),
-        _sums(first[both] * CLASSES + of_id[second[both]], n[both]),
+    return Classes(of_id, symbol, (counts + 1) / total[of_id], np.append(begins, False), NO_SUMS, NO_SUMS)
+
+
+def with_pairs(classes: Classes, pairs: np.ndarray) -> Classes:
+    """The classes with counts of neighbours (first, second, n) at hand."""
+    first, second, n = (pairs[(pairs[:, :2] >= 0).all(axis=1)]).T
+    return replace(classes, pairs=_sums(first * len(classes.of_id) + second, n),
+                   pair_classes=_sums(first * CLASSES + classes.of_id[second], n))
+
+
+def neighbour_sums(neighbours: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The count of each id, and a sketch of the ids beside it: weighted sums of random signs.
+
+    Weights are whole numbers, so that sums do not depend on their order.
+    """
+    counts = np.zeros(size)
+    found = neighbours.filter("second >= 0").groupBy("second").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["second"].to_numpy()] = found["n"].to_numpy()
+    both = neighbours.filter("first >= 0 and second >= 0").withColumn(
+        "weight", F.round(F.sqrt("n") * 1024).cast("long"))
+    beside = both.select(F.col("second").alias("id"), F.xxhash64("first", F.lit(1)).alias("signs"), "weight")
+    beside = beside.unionByName(both.select(
+        F.col("first").alias("id"), F.xxhash64("second", F.lit(2)).alias("signs"), "weight"))
+    found = beside.groupBy("id").agg(*[
+        F.sum(F.when(F.getbit("signs", F.lit(k)) == 1, F.col("weight")).otherwise(-F.col("weight"))).alias(f"s{k}")
+        for k in range(SKETCH)
+    ]).toArrow()
+    around = np.zeros((size + 1, SKETCH))
+    around[found["id"].to_numpy()] = np.stack([found[f"s{k}"].to_numpy() for k in range(SKETCH)], axis=1)
+    return counts, around
+
+
+def class_frame(spark: SparkSession, classes: Classes) -> DataFrame:
+    """(id, symbol, class, share, begins): one row per id of the vocabulary, so it may be sent to all tasks."""
+    return F.broadcast(spark.createDataFrame(pd.DataFrame({
+        "id": np.arange(len(classes.of_id)), "symbol": classes.symbol, "class": classes.of_id,
+        "share": classes.share, "begins": classes.begins,
+    }), "id long, symbol long, class long, share double, begins boolean"))
+
+
+def symbol_pairs(neighbours: DataFrame, classes: Classes) -> np.ndarray:
+    """(first, second, n) summed per symbol of the first and class of the second id, named by one id each."""
+    ids = class_frame(neighbours.sparkSession, classes)
+    found = (
+        neighbours
+        .join(ids.select(F.col("id").alias("first"), "symbol"), "first", "left")
+        .join(ids.select(F.col("id").alias("second"), "class"), "second", "left")
+        .groupBy("symbol", "class")
+        .agg(F.min("first").alias("first"), F.min("second").alias("second"), F.sum("n").alias("n")).toArrow()
+    )
+    return np.stack([found[c].to_numpy() for c in ("first", "second", "n")], axis=1).astype(np.int64)
+
+
+def word_shares(words: DataFrame, neighbours: DataFrame, classes: Classes, path: str,
+                pattern: str) -> DataFrame:
+    """(word, share) of distinct words: the log probability of their ids inside the ids' classes."""
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = encoding(path, pattern)
+        for batch in batches:
+            ids = [ids_of(word, coder) for word in batch["word"]]
+            yield pd.DataFrame({"word": batch["word"], "ids": ids})
+
+    ids = class_frame(words.sparkSession, classes)
+    both = neighbours.filter("first >= 0 and second >= 0").select(
+        F.col("first").alias("before"), F.col("second").alias("id"), "n")
+    of_class = both.join(ids, "id").groupBy("before", "class").agg(F.sum("n").alias("of_class"))
+    places = (
+        words.select("word").mapInPandas(coded, "word binary, ids array<long>")
+        .select("word", "ids", F.posexplode("ids").alias("at", "id"))
+        .select("word", "id", F.when(F.col("at") > 0, F.get("ids", F.col("at") - 1)).alias("before"))
+        .join(ids, "id")
+    )
+    alone = F.col("before").isNull() | F.col("begins")
+    later = (
+        places.filter(~alone)
+        .join(both, ["before", "id"], "left").join(of_class, ["before", "class"], "left")
+        .select("word", ((F.coalesce("n", F.lit(0)) + SMOOTHING * F.col("share"))
+                         / (F.coalesce("of_class", F.lit(0)) + SMOOTHING)).alias("given"))
+    )
+    return (
+        places.filter(alone).select("word", F.col("share").alias("given")).unionByName(later)
+        .groupBy("word").agg(F.sum(F.log("given")).alias("share"))
     )
 
 
@@ -353,12 +435,14 @@ class Coder:
     """Words of texts as classes, remembered per worker.
 
     What is known of the remembered words lies in arrays, by the words' numbers: places and lengths of
-    their symbols and classes, the log probability of their ids inside the classes, and, for common words,
-    the logarithm of their corpus count plus one (NaN for others).
+    their symbols and classes, the log probability of their ids inside the classes, and the logarithm of
+    their corpus count plus one.  Where ``common`` gives (count, log probability) of common words, both
+    come from there, NaN for other words.
     """
 
-    def __init__(self, classes: Classes, path: str, pattern: str, common: dict[bytes, int] | None = None):
-        self.classes, self.coder, self.common = classes, encoding(path, pattern), common or {}
+    def __init__(self, classes: Classes, path: str, pattern: str,
+                 common: dict[bytes, tuple[int, float]] | None = None):
+        self.classes, self.coder, self.common = classes, encoding(path, pattern), common
         self.forget()
 
     def forget(self) -> None:
@@ -386,11 +470,14 @@ class Coder:
             return
         ids, lengths = self._encoded(new)
         starts = np.cumsum(lengths) - lengths
-        before = np.concatenate([[-1], ids[:-1]])
-        before[starts] = -1
-        shares = np.add.reduceat(self.classes.inside(before, ids), starts)
-        common = self.common
-        logs = np.log10(np.array([common.get(w, np.nan) for w in new], float) + 1)
+        if self.common is None:
+            before = np.concatenate([[-1], ids[:-1]])
+            before[starts] = -1
+            shares = np.add.reduceat(self.classes.inside(before, ids), starts)
+            logs = np.full(len(new), np.nan)
+        else:
+            told = np.array([self.common.get(w, (np.nan, np.nan)) for w in new], float)
+            logs, shares = np.log10(told[:, 0] + 1), told[:, 1]
         self.starts = np.concatenate([self.starts, starts + len(self.symbols)])
         self.symbols = np.concatenate([self.symbols, self.classes.symbol[ids].astype(np.uint16)])
         self.aims = np.concatenate([self.aims, self.classes.of_id[ids].astype(np.uint8)])
@@ -454,14 +541,15 @@ def _chunks(streams, size: int):
 
 
 def score_words(model: Model, coder: Coder, texts: list[list[bytes]]) -> np.ndarray:
-    """Natural log probability of each text."""
+    """Natural log probability of each text, by counts of neighbours at hand."""
     coder.learn({w for words in texts for w in words})
     return _score(model, coder, [coder.numbers(words) for words in texts])
 
 
 def _score(model: Model, coder: Coder, texts: list[np.ndarray]) -> np.ndarray:
+    """Natural log probability of each text, but for the shares of words that are not common."""
     end_share = np.log(coder.classes.share[-1])
-    total = np.array([coder.shares[numbers].sum() + end_share for numbers in texts])
+    total = np.array([np.nansum(coder.shares[numbers]) + end_share for numbers in texts])
     for x, y, real, owner, first, before in _chunks(map(coder.stream, texts), CHUNK):
         found = np.where(real, model.log_next(x, y, before, first), 0.0)
         total += np.bincount(owner, found, len(texts))
@@ -488,7 +576,7 @@ def train_round(docs: DataFrame, model: Model, classes: Classes, path: str, patt
                 rate: float) -> Model:
     """Train on every partition of ``docs`` from the same parameters, and average them.
 
-    Partitions are averaged in groups first, so that the driver gets as many vectors as groups.
+    Partitions are averaged in groups of about GROUP, level by level, until no more than one group is left.
     """
     start = model.flat()
 
@@ -516,9 +604,15 @@ def train_round(docs: DataFrame, model: Model, classes: Classes, path: str, patt
 
     schema = "ids long, parameters binary"
     trained = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(local, schema)
-    groups = trained.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy(
-        "group").applyInPandas(lambda rows: average(rows[["ids", "parameters"]]), schema)
-    rows = groups.toPandas()
+    trained = keep(trained, "trained")
+    while (left := trained.count()) > GROUP:
+        group = F.pmod(F.xxhash64("ids", "parameters"), F.lit(-(-left // GROUP)))
+        trained = keep(
+            trained.withColumn("group", group).groupBy("group").applyInPandas(
+                lambda _, rows: average(rows[["ids", "parameters"]]), schema),
+            "trained",
+        )
+    rows = trained.toPandas()
     if not len(rows):
         return model
     rows = rows.sort_values(["ids", "parameters"])
@@ -532,6 +626,7 @@ class Fitted:
     model: Model
     classes: Classes
     words: DataFrame
+    neighbours: DataFrame
     train_tokens: int
     distinct: int
     documents: int
@@ -544,19 +639,18 @@ def fit(docs: DataFrame, held_out: Column, path: str, pattern: str) -> Fitted:
     words = keep(count_words(training), "words")
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).first()
     documents = training.count()
-    found = count_neighbours(words, path, pattern).toArrow()
-    pairs = np.stack([found[c].to_numpy() for c in ("first", "second", "n")], axis=1).astype(np.int64)
+    neighbours = keep(count_neighbours(words, path, pattern), "neighbours")
     coder = encoding(path, pattern)
     begins = np.zeros(coder.max_token_value + 1, bool)
     for token in coder.token_byte_values():
         begins[coder.encode_single_token(token)] = token.startswith(b" ")
-    classes = make_classes(pairs, begins, documents)
-    model = Model(starting_table(pairs, classes, documents))
+    classes = make_classes(*neighbour_sums(neighbours, len(begins)), begins, documents)
+    model = Model(starting_table(symbol_pairs(neighbours, classes), classes, documents))
     part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(ROUNDS))
     for step in range(ROUNDS):
         model = train_round(training.filter(part == step), model, classes, path, pattern,
                             RATE / (step + 1))
-    return Fitted(model, classes, words, int(totals["n"] or 0) + documents,
+    return Fitted(model, classes, words, neighbours, int(totals["n"] or 0) + documents,
                   totals["distinct"] + (documents > 0), documents)
 
 
@@ -581,8 +675,13 @@ def _scored_part(model: Model, coder: Coder, texts: list[bytes | None], document
 
 def score(docs: DataFrame, held_out: Column, fitted: Fitted, path: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, held_out, token counts, base_score, score."""
-    frequent = fitted.words.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).toArrow()
-    common = dict(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True))
+    def with_shares(words: DataFrame) -> DataFrame:
+        return word_shares(words, fitted.neighbours, fitted.classes, path, pattern)
+
+    frequent = keep(fitted.words.orderBy(F.desc("n"), "word").limit(COMMON_WORDS), "common-words")
+    frequent = frequent.join(with_shares(frequent), "word").select("word", "n", "share").toArrow()
+    told = zip(frequent["n"].to_pylist(), frequent["share"].to_pylist(), strict=True)
+    common = dict(zip(frequent["word"].to_pylist(), told, strict=True))
     shared = docs.sparkSession.sparkContext.broadcast((common, fitted.model.flat(), fitted.classes))
     del frequent, common
     documents, name = fitted.documents, uuid.uuid4().hex
@@ -612,17 +711,21 @@ def score(docs: DataFrame, held_out: Column, fitted: Fitted, path: str, pattern:
     rare = parts.select(*ROW, F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
         *ROW, F.col("x.rare").alias("word"), F.col("x.times").alias("times")
     )
-    found = rare.join(fitted.words, "word").groupBy(*ROW).agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"),
-        F.sum("times").alias("more_known"),
+    others = keep(with_shares(rare.select("word").distinct()), "shares").join(fitted.words, "word", "left")
+    found = rare.join(others, "word").groupBy(*ROW).agg(
+        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("more"),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
+        F.sum(F.col("times") * F.col("share")).alias("more_share"),
     )
     copies = parts.groupBy(*ROW).agg(F.count("*").alias("copies"))
     found = found.join(copies, ROW)
     total = float(np.log10(fitted.train_tokens + fitted.distinct + 1))
     more = F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0))
+    inside = F.coalesce(F.col("more_share") / F.col("copies"), F.lit(0.0))
     known = F.coalesce((F.col("more_known") / F.col("copies")).cast("long"), F.lit(0))
     return parts.join(found, ROW, "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + known).alias("n_known"),
         F.lit(fitted.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * total).alias("base_score"), "score",
+        (F.col("base") + more - F.col("n_tokens") * total).alias("base_score"),
+        (F.col("score") + inside / float(np.log(10))).alias("score"),
     )

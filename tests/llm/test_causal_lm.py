@@ -32,7 +32,14 @@ def fitted_model():
     begins = np.zeros(coder.max_token_value + 1, bool)
     for token in coder.token_byte_values():
         begins[coder.encode_single_token(token)] = token.startswith(b" ")
-    classes = causal_lm.make_classes(pairs, begins, 200)
+    first, second, n = pairs.T
+    size = len(begins) + 1
+    counts = np.bincount(second[second >= 0], n[second >= 0], size - 1)
+    around, meaning = np.zeros((size, 32)), np.random.default_rng(3).normal(size=(size, 32))
+    both = (first >= 0) & (second >= 0)
+    for of, beside in ((second, first), (first, second)):
+        np.add.at(around, of[both], meaning[beside[both]] * np.sqrt(n[both])[:, None])
+    classes = causal_lm.with_pairs(causal_lm.make_classes(counts, around, begins, 200), pairs)
     return causal_lm.Model(causal_lm.starting_table(pairs, classes, 200)), classes
 
 
@@ -157,6 +164,54 @@ def test_every_training_document_is_trained_on_once(spark, monkeypatch):
     assert sorted(trained) == sorted(t for i, t, *_ in rows if not held(i))
 
 
+def test_sums_and_shares_by_joins_are_those_of_pairs_at_hand(spark, fitted_model):
+    _, classes = fitted_model
+    texts = [prose(i, 60) for i in range(200)]
+    words = causal_lm.count_words(spark.createDataFrame([(t,) for t in texts], "text string")).cache()
+    neighbours = causal_lm.count_neighbours(words, *RANKS).cache()
+    pairs = np.array([tuple(r) for r in neighbours.collect()])
+    counts, around = causal_lm.neighbour_sums(neighbours, len(classes.of_id) - 1)
+    second, n = pairs[:, 1], pairs[:, 2]
+    assert (counts == np.bincount(second[second >= 0], n[second >= 0], len(counts))).all()
+    both = pairs[(pairs[:, :2] >= 0).all(axis=1)]
+    assert set(np.flatnonzero(np.abs(around).sum(axis=1))) <= set(both[:, :2].ravel())
+    summed = causal_lm.symbol_pairs(neighbours, classes)
+    assert len(summed) <= len(pairs)
+    assert np.allclose(causal_lm.starting_table(summed, classes, 200),
+                       causal_lm.starting_table(pairs, classes, 200))
+    asked = [w.encode() for w in ["unheard", "日本", "ka", *texts[0].split()]]
+    frame = spark.createDataFrame([(w,) for w in set(asked)], "word binary")
+    found = causal_lm.word_shares(frame, neighbours, classes, *RANKS).collect()
+    coder = causal_lm.Coder(causal_lm.with_pairs(classes, pairs), *RANKS)
+    coder.learn(set(asked))
+    assert len(found) == len(set(asked))
+    for row in found:
+        assert math.isclose(row["share"], coder.shares[coder.seen[bytes(row["word"])]], rel_tol=1e-9)
+
+
+def test_scores_do_not_depend_on_which_words_are_common(spark, monkeypatch):
+    rows = [(i, f"{prose(i, 30)} n{i} unheard{i}", "en", "s", 0) for i in range(40)] * 2
+    df = spark.createDataFrame(rows, DOC_SCHEMA).repartition(2)
+    held_out = crc_of("doc_id") % 7 == 2
+    fitted = causal_lm.fit(df, held_out, *RANKS)
+    many = {r["doc_id"]: r for r in causal_lm.score(df, held_out, fitted, *RANKS).collect()}
+    monkeypatch.setattr(causal_lm, "COMMON_WORDS", 3)
+    for row in causal_lm.score(df, held_out, fitted, *RANKS).collect():
+        for name in ("score", "base_score", "n_known"):
+            assert math.isclose(row[name], many[row["doc_id"]][name], rel_tol=1e-6)
+
+
+def test_parameters_are_averaged_level_by_level(spark, fitted_model, monkeypatch):
+    model, classes = fitted_model
+    docs = spark.createDataFrame([(prose(i, 12),) for i in range(60)], "text string").repartition(9)
+    start = model.flat()
+    whole = causal_lm.train_round(docs, model, classes, *RANKS, 0.01).flat().copy()
+    monkeypatch.setattr(causal_lm, "GROUP", 2)
+    levels = causal_lm.train_round(docs, model.load(start), classes, *RANKS, 0.01).flat().copy()
+    model.load(start)
+    assert np.allclose(whole, levels, atol=1e-5) and not np.allclose(whole, start, atol=1e-4)
+
+
 def test_empty_table(spark, no_docs):
     held_out = crc_of("doc_id") % 7 == 2
     fitted = causal_lm.fit(no_docs, held_out, *RANKS)
