@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.sources.writers import Keep, unkept
+
 FAN = 512
 # cut points are searched by halving; twice as many as wanted can be told apart
 HALVINGS = 10
@@ -86,10 +88,15 @@ def running_totals(
     weigh: bool = False,
     per_range: int = VALUES_PER_RANGE,
     distinct: DataFrame | None = None,
+    largest: int | None = None,
+    keep: Keep = unkept,
 ) -> DataFrame:
     """As ``cumulative``, for a histogram (by..., value, n) that is already made.
 
-    If every n is 1 and the group sizes are known, pass them as ``distinct`` (by..., size).
+    If every n is 1 and the group sizes are known, pass them as ``distinct`` (by..., size).  ``largest``
+    is the most distinct values of a group, if known: one level of ranges may then do.  ``keep`` is
+    the cut point after the cut points of the ranges, which Spark then broadcasts by their size, and
+    after the search for each value's range, whose result is read twice.
     """
     keys = [f"_by{i}" for i, _ in enumerate(by)]
     # a struct is never NULL itself, so groups with a NULL key join like any other
@@ -131,16 +138,19 @@ def running_totals(
     coarse = F.least("_ranges", F.lit(FAN))
     first = cuts_of(with_group(hist, sizes), keys, F.when(several, coarse * SAMPLES_PER_RANGE),
                     F.lit(SAMPLES_PER_RANGE), 0)
-    near = with_group(hist, first, "left").select(
+    near = with_group(hist, keep("cuts", first), "left").select(
         *keys, _cuts_upto(F.col("value")).alias("_coarse"), "value", "n"
     )
-    many = (F.col("n") >= 0) & (F.col("_ranges") > FAN)
-    second = cuts_of(with_group(near, sizes), [*keys, "_coarse"],
-                     F.when(many, F.col("_ranges") * SAMPLES_PER_RANGE), F.lit(SAMPLES_PER_RANGE), 1)
-    placed = near.join(second, [*keys, "_coarse"], "left").select(
-        *keys, F.struct("_coarse", _cuts_upto(F.col("value")).alias("_fine")).alias("_range"),
-        "value", "n",
-    )
+    if largest is not None and largest <= FAN * per_range:
+        fine = F.lit(0)
+    else:
+        many = (F.col("n") >= 0) & (F.col("_ranges") > FAN)
+        second = cuts_of(with_group(near, sizes), [*keys, "_coarse"],
+                         F.when(many, F.col("_ranges") * SAMPLES_PER_RANGE), F.lit(SAMPLES_PER_RANGE), 1)
+        fine, near = _cuts_upto(F.col("value")), near.join(second, [*keys, "_coarse"], "left")
+    placed = keep("ranges", near.select(
+        *keys, F.struct("_coarse", fine.alias("_fine")).alias("_range"), "value", "n"
+    ))
 
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
@@ -233,7 +243,9 @@ def _ranks_by_key(df: DataFrame, ranks: dict[str, tuple[str, str]], columns: lis
     places = totals.select(
         "measure", "value", (total - upto + 1).alias("from_top"), (upto - n + 1).alias("from_end")
     )
-    return stacked.join(places, ["measure", "value"]).groupBy("_key").agg(*[
+    # every value has its places; the outer join says which side may be broadcast: never the stacked rows,
+    # whose size Spark guesses too low as it does not count what the stacking adds
+    return stacked.join(places, ["measure", "value"], "left").groupBy("_key").agg(*[
         F.max(F.when(F.col("measure") == columns.index(c),
                      F.col("from_top" if kind == "rank_desc" else "from_end"))).alias(f"_{name}")
         for name, (kind, c) in ranks.items()
@@ -373,14 +385,23 @@ def number_rows(
     into: str,
     *,
     sizes: DataFrame | None = None,
+    largest: int | None = None,
     per_range: int = VALUES_PER_RANGE,
+    keep: Keep = unkept,
 ) -> DataFrame:
     """0-based place of every row inside its group, in the order of ``order``.
 
     ``order`` must tell the rows of a group apart; only ``by`` and ``order`` are handed on.  A
-    large group is spread over many ranges.  ``sizes`` (by..., size) saves counting the groups.
+    large group is spread over many ranges.  ``sizes`` (by..., size) saves counting the groups,
+    ``largest`` (the greatest size) the second level of ranges where one is enough.
+
+    Rows are no histogram, whose shuffle all steps share: ``keep`` cuts before and after the search for
+    the ranges, so that neither ``df`` nor the search is worked out again by every step.
     """
-    keyed = df.select(*by, F.struct(*order).alias("value"), F.lit(1).alias("n"))
-    return running_totals(keyed, by, per_range=per_range, distinct=sizes).select(
+    keyed = keep("keyed", df.select(*by, F.struct(*order).alias("value"), F.lit(1).alias("n")))
+    totals = running_totals(
+        keyed, by, per_range=per_range, distinct=sizes, largest=largest, keep=keep
+    )
+    return totals.select(
         *by, *[F.col("value")[c].alias(c) for c in order], (F.col("upto") - 1).alias(into)
     )

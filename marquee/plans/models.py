@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +20,7 @@ from marquee.operators.stats import (
     status_profile,
     status_shares,
 )
-from marquee.sources.writers import unkept
-
-Keep = Callable[[str, DataFrame], DataFrame]
+from marquee.sources.writers import Keep, unkept
 
 # fixed values: share of the population below the rung, and its label
 ITEM_TIERS = [(0.99, "Top 1%"), (0.95, "Top 5%"), (0.90, "Top 10%"), (0.50, "Upper Half")]

@@ -63,6 +63,19 @@ def _facts(spark):
     return s.items, s.ratings, s.entries
 
 
+def test_stacked_values_are_never_broadcast(spark):
+    """Four values a row and no row less: only the places of values may be sent to all tasks."""
+    df = spark.range(2000).selectExpr("id", "id % 7 a", "id % 11 / 3 b", "id c", "id / 2 d")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 40))
+    try:
+        ranked = add_ranks(df, {f"{c}_rank": ("rank_desc", c) for c in "abcd"}, key="id")
+        joins = re.findall(r"BroadcastHashJoin \[measure.*", executed(ranked))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert joins
+    assert all("BuildLeft" not in join for join in joins), joins
+
+
 def test_ranked_rows_are_not_sorted_as_a_whole(spark, no_broadcast):
     plan = executed(add_ranks(_facts(spark)[0].select("item_id", "followers"),
                               {"p": ("percent_rank", "followers")}))
