@@ -343,6 +343,10 @@ def text_queries() -> dict[str, Query]:
     }
 
 
+# the longest supplied texts have 20,000 words, some 120 KB; they take 3 KB on the average
+ROWS_PER_FILE = 5_000
+
+
 def file_queries() -> dict[str, Query]:
     """The raw-file path: a supplied table is written as CSV, read back by header and staged."""
     layouts = {"items": schemas.ITEMS, "ratings": schemas.RATINGS,
@@ -355,7 +359,10 @@ def file_queries() -> dict[str, Query]:
             # the supplied items have no column for two headers that nothing reads
             raw = raw.select([F.col(f"`{f.name}`") if f.name in raw.columns
                               else F.lit(None).cast("string").alias(f.name) for f in layouts[name]])
-            raw.repartition(3).write.mode("overwrite").option("escape", '"').csv(path, header=True)
+            # a multi-line file is read by one task, so its rows are bounded and not the number of files
+            rows = ROWS_PER_FILE if name in ("items", "item_text") else 0
+            raw.write.mode("overwrite").option("escape", '"').option(
+                "maxRecordsPerFile", rows).csv(path, header=True)
             return settled(getattr(stage_files(spark, {name: path}), part))
         return run
 

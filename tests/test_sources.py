@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from marquee.plans import registry
 from marquee.plans.dictionary import TABLES
 from marquee.plans.registry import marts
 from marquee.plans.warehouse import as_views, save, shelved, stage_files, stage_supplied
@@ -168,3 +169,12 @@ def test_the_shelf_writes_once_under_the_shared_folder(spark):
     df = shelf("one", spark.range(3))
     assert spark.conf.get("spark.checkpoint.dir") in df.inputFiles()[0]
     assert shelf("one", spark.range(99)).count() == 3
+
+
+def test_files_that_cannot_be_split_have_bounded_rows(spark, monkeypatch):
+    """Ten times the rows make ten times the files, not larger ones."""
+    monkeypatch.setattr(registry, "ROWS_PER_FILE", 30)
+    found = registry.file_queries()["csv_item_text"](spark, SMALL)
+    per_file = found.groupBy(F.input_file_name().alias("file")).count().collect()
+    assert sum(r["count"] for r in per_file) == 200
+    assert max(r["count"] for r in per_file) <= 30
