@@ -17,11 +17,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.columns import cells_equal, round_to
 from marquee.operators.distribution import VALUES_PER_RANGE, number_rows
+from marquee.sources.writers import Keep, unkept
 
 RUN = ["mode", "query_id"]
 SLOTS = ["num", "whole", "txt"]
@@ -58,7 +59,7 @@ def _shape(results: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
     )
 
 
-def _shapes(expected: DataFrame, actual: DataFrame, runs: DataFrame | None) -> DataFrame:
+def shapes_of(expected: DataFrame, actual: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """One small row per run: do the sizes agree, and which columns do both sides have?"""
     actual_shape = _shape(actual, RUN, "actual")
     expected_shape = _shape(expected, ["query_id"], "expected")
@@ -85,9 +86,13 @@ def _shapes(expected: DataFrame, actual: DataFrame, runs: DataFrame | None) -> D
     )
 
 
-def structure(expected: DataFrame, actual: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """Per run: are there as many rows and as many columns, and how many columns are common?"""
-    return _shapes(expected, actual, runs).select(
+def structure(expected: DataFrame, actual: DataFrame, runs: DataFrame | None = None,
+              shapes: DataFrame | None = None) -> DataFrame:
+    """Per run: are there as many rows and as many columns, and how many columns are common?
+
+    ``shapes`` are `shapes_of` the same results, if they are made already.
+    """
+    return (shapes or shapes_of(expected, actual, runs)).select(
         *RUN, "row_match", "col_match",
         (F.col("row_match") & F.col("col_match")).alias("structure_match"),
         F.size("common").cast("long").alias("common_columns"),
@@ -110,40 +115,47 @@ def first_row(expected: DataFrame, actual: DataFrame) -> DataFrame:
     )
 
 
-def _placed(results: DataFrame, runs: DataFrame, on: Sequence[str], into: str,
-            per_range: int) -> DataFrame:
+def _placed(results: DataFrame, runs: DataFrame, on: Sequence[str], keys: Sequence[str], into: str,
+            largest: int | None, per_range: int, keep: Keep) -> DataFrame:
     """Rows of every run, cut to its common columns, fractions rounded to 2, numbered in the order of
     their first common column by its own type, then of the others; NULL comes last."""
     shared = F.filter("cells", lambda cell: F.array_contains("common", cell["column"]))
     rounded = F.sort_array(F.transform(shared, lambda cell: F.struct(
         cell["column"].alias("column"),
-        F.coalesce(*[cell[slot].cast("string") for slot in SLOTS]).isNull().alias("missing"),
+        reduce(Column.__and__, [cell[slot].isNull() for slot in SLOTS]).alias("missing"),
         round_to(cell["num"], 2).alias("num"),
         cell["whole"].alias("whole"),
         cell["txt"].alias("txt"),
     )))
-    rows = results.join(runs, list(on)).select(*RUN, "row_no", rounded.alias(into))
-    sizes = runs.select(*RUN, "size")
+    # all rows of a result have the same columns: their names order the cells, not the rows
+    nameless = F.transform(rounded, lambda cell: F.struct(*[cell[c].alias(c) for c in ("missing", *SLOTS)]))
+    rows = results.join(runs, list(on)).select(*keys, "row_no", nameless.alias(into))
     return number_rows(
-        rows, [into, "row_no"], RUN, "place", sizes=sizes, per_range=per_range
+        rows, [into, "row_no"], keys, "place", sizes=runs.select(*keys, "size"), largest=largest,
+        per_range=per_range, keep=lambda name, df: keep(f"compared_{into}_{name}", df),
     ).drop("row_no")
 
 
 def result(
     expected: DataFrame, actual: DataFrame, runs: DataFrame | None = None,
-    *, per_range: int = VALUES_PER_RANGE,
+    *, shapes: DataFrame | None = None, per_range: int = VALUES_PER_RANGE, keep: Keep = unkept,
 ) -> DataFrame:
     """Per run with equal row counts: do half of the rows agree in half of their common columns?
 
     Both sides are sorted by their common columns in the order of the names and compared by place.
+    ``shapes`` are `shapes_of` the same results, if they are made already; ``keep`` is the cut point
+    after the runs and around the sorting of each side.
     """
-    runs = _shapes(expected, actual, runs).filter(
+    # modes with the same common columns of a query share one order of its expected rows
+    alike = Window.partitionBy("query_id", "common")
+    runs = keep("compared_runs", (shapes or shapes_of(expected, actual, runs)).filter(
         F.col("row_match") & (F.size("common") > 0) & (F.col("size") > 0)
-    ).select(*RUN, "common", "size")
-    # every run brings its own copy of the expected rows
-    e = _placed(expected, runs, ["query_id"], "e", per_range)
-    a = _placed(actual, runs, RUN, "a", per_range)
-    paired = e.join(a, [*RUN, "place"])
+    ).select(*RUN, "common", "size", F.min("mode").over(alike).alias("of")))
+    largest = None if keep is unkept else runs.agg(F.max("size")).first()[0]
+    e = _placed(expected, runs.filter(F.col("mode") == F.col("of")).drop("mode"), ["query_id"],
+                ["query_id", "of"], "e", largest, per_range, keep)
+    a = _placed(actual, runs, RUN, [*RUN, "of"], "a", largest, per_range, keep)
+    paired = a.join(e, ["query_id", "of", "place"])
     agreeing = F.size(F.filter(
         F.zip_with("e", "a", lambda x, y: cells_equal(x, y, TOLERANCE)), lambda same: same
     ))
@@ -159,11 +171,12 @@ def result(
 
 
 def verdicts(expected: DataFrame, actual: DataFrame, runs: DataFrame | None = None,
-             compared: DataFrame | None = None) -> DataFrame:
-    """The three levels side by side, one row per run.  ``compared`` is `result`, if it is made already."""
-    out = structure(expected, actual, runs)
+             compared: DataFrame | None = None, shapes: DataFrame | None = None) -> DataFrame:
+    """The three levels side by side, one row per run.  ``compared`` is `result` and ``shapes`` are
+    `shapes_of` the same results, if they are made already."""
+    out = structure(expected, actual, runs, shapes)
     if compared is None:
-        compared = result(expected, actual, runs)
+        compared = result(expected, actual, runs, shapes=shapes)
     for level in (first_row(expected, actual), compared):
         out = out.join(level, RUN, "left")
     false = F.lit(False)

@@ -461,16 +461,22 @@ def compare_queries() -> dict[str, Query]:
     def level(function: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
         return lambda spark, folder: function(*results(spark, folder))
 
+    def shapes(spark: SparkSession, folder: str) -> DataFrame:
+        kept = shelf(spark, folder)
+        return kept["compared_shapes"] if "compared_shapes" in kept else kept(
+            "compared_shapes", C.shapes_of(*results(spark, folder)))
+
     def compared(spark: SparkSession, folder: str) -> DataFrame:
         """The comparison of all rows, kept: verdicts and rates read it."""
         kept = shelf(spark, folder)
-        return kept["compared"] if "compared" in kept else kept(
-            "compared", C.result(*results(spark, folder)))
+        return kept["compared"] if "compared" in kept else kept("compared", C.result(
+            *results(spark, folder), shapes=shapes(spark, folder), keep=kept))
 
     def verdicts(spark: SparkSession, folder: str) -> DataFrame:
         kept = shelf(spark, folder)
         return kept["verdicts"] if "verdicts" in kept else kept("verdicts", C.verdicts(
-            *results(spark, folder), compared=compared(spark, folder)))
+            *results(spark, folder), compared=compared(spark, folder),
+            shapes=shapes(spark, folder)))
 
     def log(function: Callable[[DataFrame], DataFrame]) -> Query:
         return lambda spark, folder: settled(function(

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.plans import compare
+from marquee.sources.writers import to_parquet
 
 
 def cells(spark, results, mode=None):
@@ -85,6 +86,26 @@ def test_ranges_do_not_change_the_verdict(spark):
             "q": (600, 600), "other": (40, 40)}
 
 
+def test_kept_rows_are_made_once_and_shared_by_modes(spark, rows, tmp_path):
+    """Two modes with the same columns are compared with one copy of the expected rows."""
+    data = [{"k": f"{i % 50:03d}", "v": float(i)} for i in range(600)]
+    expected = cells(spark, {"q": data, "short": data[:40]})
+    actual = cells(spark, {"q": data[::-1], "short": [{"k": r["k"]} for r in data[:40]]}, "m").unionByName(
+        cells(spark, {"q": data, "short": data[:40]}, "n"))
+    plain = rows(compare.result(expected, actual))
+    for per_range in (1, 7, 50_000):  # 1: two levels of ranges
+        kept = {}
+
+        def keep(name, df, kept=kept, per_range=per_range):
+            assert name not in kept
+            kept[name] = to_parquet(df, f"{tmp_path}/{per_range}/{name}")
+            return kept[name]
+
+        assert rows(compare.result(expected, actual, per_range=per_range, keep=keep)) == plain
+        assert kept["compared_e_keyed"].count() == 600 + 40 + 40
+        assert kept["compared_a_keyed"].count() == 2 * 640
+
+
 def test_row_cells_split_numbers_and_texts(spark):
     df = spark.createDataFrame([(0, 1, 2.5, "x", True)],
                                "row_no int, a int, b double, c string, d boolean")
