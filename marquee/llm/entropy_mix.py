@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.common import WORD, forget, keep
@@ -97,21 +97,23 @@ def solve(histogram: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame
     ratio = F.log(F.col("target") / F.col("source_size"))
     shrinks = F.col("target") < F.col("source_size")
     scale = F.col("mean") / F.col("smallest")
-    state = keep(sources.select(
+    start = keep(sources.select(
         "*", F.lit(0.0).alias("multiplier"),
         F.when(shrinks, ratio * scale).otherwise(0.0).alias("low"),
         F.when(shrinks, 0.0).otherwise(F.log(F.lit(CAP)) * scale).alias("high"),
-        F.lit(None).cast("double").alias("off"),
     ), "multipliers")
-    x = F.col("size") / F.col("mean")
-    for _ in range(MAX_NEWTON):
+    # only sources with words, and not taken whole as often as they may be, have something to solve;
+    # their state goes through the aggregate, so a step joins once and is one job
+    carried = ["mean", "smallest", "target", "low", "high", "multiplier"]
+    state, x = start.filter("not full"), F.col("size") / F.col("mean")
+    for step_no in range(MAX_NEWTON):
         rate = _rate("multiplier", "size", "mean", "full")
         words = F.col("n") * F.col("size") * rate
-        sums = _joined(histogram, state.filter("not full"), n_sources).groupBy("source").agg(
+        sums = _joined(histogram, state, n_sources).groupBy("source").agg(
             F.sum(words).alias("words"),
             F.sum(F.when(rate < CAP, words * x).otherwise(0.0)).alias("slope"),
-        ).withColumnRenamed("source", "of")
-        moved = state.drop("off").join(sums, state["source"].eqNullSafe(sums["of"]), "left")
+            *[F.first(c).alias(c) for c in carried],
+        )
         off = F.log(F.col("words") / F.col("target"))
         low = F.when(off <= 0, F.col("multiplier")).otherwise(F.col("low"))
         high = F.when(off >= 0, F.col("multiplier")).otherwise(F.col("high"))
@@ -119,15 +121,18 @@ def solve(histogram: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame
         inside = (newton >= low) & (newton <= high)
         step = F.when(off.isNull() | (F.abs(off) < TOLERANCE), F.col("multiplier")).when(
             inside, newton).otherwise((low + high) / 2)
-        after = keep(moved.select(
-            *sources.columns, step.alias("multiplier"), low.alias("low"), high.alias("high"),
-            off.alias("off"),
-        ), "multipliers")
-        forget(state)
-        state = after
-        worst = state.agg(F.max(F.abs("off"))).first()[0]
-        if worst is None or worst < TOLERANCE:
+        worst, before = Observation(), state
+        state = keep(sums.select(
+            "source", "mean", "smallest", "target", low.alias("low"), high.alias("high"),
+            step.alias("multiplier"), F.lit(False).alias("full"), off.alias("off"),
+        ).observe(worst, F.max(F.abs("off")).alias("off")).drop("off"), "multipliers")
+        if step_no:
+            forget(before)
+        if (worst.get["off"] or 0.0) < TOLERANCE:
             break
+    solved = state.select(F.col("source").alias("of"), F.col("multiplier").alias("found"))
+    state = start.join(solved, F.col("source").eqNullSafe(F.col("of")), "left").withColumn(
+        "multiplier", F.coalesce("found", "multiplier"))
     # the last digits depend on the order of summation
     return state.select(*sources.columns, F.round("multiplier", 9).alias("multiplier"))
 

@@ -49,6 +49,22 @@ def test_a_source_of_one_repeated_row_meets_its_target(spark):
     assert mixed.columns == docs.columns
 
 
+def test_a_step_of_the_solution_is_one_job(spark, monkeypatch):
+    """Each step joins once, by broadcast; before, its state was joined again and asked by a second job."""
+    plans = []
+
+    def kept(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, label)
+
+    keep = entropy_mix.keep
+    monkeypatch.setattr(entropy_mix, "keep", kept)
+    entropy_mix.balance(keep(entropy_mix.sized(many(spark)), "sized"))
+    steps = [plan for label, plan in plans if label == "multipliers"][1:]
+    assert len(steps) > 2
+    assert {len([line for line in plan.split("\n") if "Join" in line]) for plan in steps} == {1}
+
+
 def test_columns_with_names_used_inside(spark):
     rows = [(i, prose(i % 40, 9), "ab"[i % 2], 1, 2, "x", 3) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, told int, copies int,"
