@@ -28,8 +28,7 @@ def _text(c: Column) -> Column:
 
 def _div(a: Column, b: Column | int) -> Column:
     """Whole-number division of non-negative numbers."""
-    b = F.lit(b) if isinstance(b, int) else b
-    return ((a - a % b) / b).cast("long")
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
 
 
 def _pick(c: Column, values: dict, otherwise: str) -> Column:
@@ -44,7 +43,6 @@ def _unless(missing: Column, value: Column) -> Column:
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
-    part = table(spark, folder, "part")
     k, name, size = F.col("p_partkey"), F.col("p_name"), F.col("p_size").cast("long")
 
     year = F.lit(1998) + k % 23
@@ -53,8 +51,14 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
         .when(name.startswith("cold") & (k % 2 == 0) & year.between(2015, 2019), year - 5)
         .otherwise(year)
     )
-    cents = F.lit(100) + (k * 37 + size) % 901
     followers = _div(F.lit(2600000).cast("long"), F.lit(1) + (k * 7919) % 4999) + size
+    # the file is small, so one task reads it, but the texts made of a row and parsed again are long work:
+    # rows are dealt out before it, by the key that later joins use.  Numbers that several columns need
+    # are made here; with them the code of one stage would be too large to be compiled
+    part = table(spark, folder, "part").withColumns({"year": year, "followers": followers})
+    part = part.repartition("p_partkey")
+    year, followers = F.col("year"), F.col("followers")
+    cents = F.lit(100) + (k * 37 + size) % 901
     share = k % 50
 
     def follower_part(percent: Column) -> Column:
@@ -106,22 +110,23 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
 
 def list_entries(spark: SparkSession, folder: str) -> DataFrame:
     """One row per line of an order: the buyer listed the part."""
-    lines = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"
-    )
     buyers = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     flags = F.concat("l_returnflag", "l_linestatus")
     status = (
         F.when(flags == "AO", 1).when(flags == "AF", 2).when(flags == "NF", 3)
         .when(flags == "RF", 4).when(flags == "RO", 5).when(flags == "NO", 6)
     )
-    return lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("user_id"),
+    # worked out before the join, so that whole numbers are shuffled and sorted instead of texts
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey",
         F.col("l_partkey").alias("anime_id"),
         (F.ceil(F.col("l_quantity") / 4) - 1).cast("int").alias("rating"),
         status.alias("watching_status"),
         F.col("l_linenumber").alias("watched_episodes"),
     )
+    return lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("user_id"), "anime_id", "rating", "watching_status", "watched_episodes"
+    )
 
 
 def ratings(spark: SparkSession, folder: str) -> DataFrame:

@@ -63,6 +63,38 @@ def _facts(spark):
     return s.items, s.ratings, s.entries
 
 
+def test_items_are_dealt_out_before_their_texts_are_made(spark):
+    """The file of parts is one task's; making and parsing texts must not be."""
+    columns = ["item_id", "score", "followers", "favorites", "start_year", "season", "episodes"]
+    plan = executed(staged(spark, SMALL).items.select(*columns))
+    above, exchange, below = plan.partition("Exchange hashpartitioning(p_partkey")
+    assert exchange
+    assert "regexp_extract" in above
+    assert "regexp_extract" not in below and "concat" not in below
+
+
+def test_generated_code_of_item_stats_is_compiled(spark, no_broadcast):
+    """The JVM leaves methods above 8,000 bytes to its interpreter."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = models.item_stats(*_facts(spark))._jdf.queryExecution().executedPlan()
+        debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+        stages = getattr(debug, "MODULE$").codegenStringSeq(plan)
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.length())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
+
+
+def test_entries_meet_their_buyers_as_numbers(spark):
+    """The two flags of a line become a status before the join: no texts are shuffled for it."""
+    plan = staged(spark, SMALL).entries.select("item_id", "status")._jdf.queryExecution()
+    above, join, below = plan.optimizedPlan().toString().partition("Join Inner")
+    assert join
+    assert "l_returnflag" not in above
+    assert "l_returnflag" in below
+
+
 def test_stacked_values_are_never_broadcast(spark):
     """Four values a row and no row less: only the places of values may be sent to all tasks."""
     df = spark.range(2000).selectExpr("id", "id % 7 a", "id % 11 / 3 b", "id c", "id / 2 d")
