@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquee.plans import quality, registry
+from marquee.plans.warehouse import Marts
 from tests.conftest import SMALL
 
 
@@ -57,3 +58,13 @@ def test_all_row_checks_of_a_table_are_one_pass(spark):
     staged, built = registry.staged(spark, SMALL), registry.marts(spark, SMALL)
     plan = quality.all_checks(staged, built)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("inline(") == len(quality.REQUIRED)
+
+
+def test_orphans_are_looked_for_in_tables_made_side_by_side(spark, monkeypatch):
+    """The users do not wait for the items: all tables are asked for at once."""
+    asked = []
+    make_all = Marts.make_all
+    monkeypatch.setattr(Marts, "make_all", lambda self: asked.append(1) or make_all(self))
+    for name in ("quality_orphans", "quality_unique", "quality_not_null"):
+        registry.quality_queries()[name](spark, SMALL)
+    assert len(asked) == 3
