@@ -36,6 +36,8 @@ from marquee.llm.word_ids import Coded, Numbers, Words, gathered, per_slice
 # alone
 REMEMBERED = 200_000
 BLOCK_CHARS = 1 << 22
+# positions whose pairs are looked up at a time, before the first merge; memory again
+SLICE = 1 << 17
 # above every id, so that two ids make one number
 PAIR_BASE = 1 << 31
 
@@ -80,7 +82,7 @@ class Vocabulary:
 
     def made_by(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The token that each pair of tokens makes, or -1."""
-        pairs = left * PAIR_BASE + right
+        pairs = left.astype(np.int64) * PAIR_BASE + right
         at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
         return np.where(self.pairs[at] == pairs, self.makes[at], -1)
 
@@ -91,12 +93,14 @@ class Vocabulary:
         total = int(ends[-1]) if len(pieces) else 0
         if not total:
             return [[] for _ in pieces]
-        token = np.array(self.byte_ids, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)]
-        after = np.arange(1, total + 1)  # position of the right neighbour, -1 at the end of a piece
-        before = np.arange(-1, total - 1)
+        # tokens and positions take 32 bits unless there are too many of them
+        kind = np.int32 if total < PAIR_BASE else np.int64
+        token = np.array(self.byte_ids, kind)[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.arange(1, total + 1, dtype=kind)  # position of the right neighbour, -1 at the end of a piece
+        before = np.arange(-1, total - 1, dtype=kind)
         after[ends[lengths > 0] - 1] = -1
         before[(ends - lengths)[lengths > 0]] = -1
-        makes = np.full(total, -1, np.int64)  # what a token and its right neighbour make
+        makes = np.full(total, -1, kind)  # what a token and its right neighbour make
         index: dict[int, list[np.ndarray]] = {}
         ranks: list[int] = []
         out_of_order: list[np.ndarray] = []
@@ -120,9 +124,10 @@ class Vocabulary:
                     heapq.heappush(ranks, number)
                 index[number].append(places[begin:end])
 
-        inner = np.flatnonzero(after >= 0)
-        if len(inner):
-            enter(inner, -1)
+        for begin in range(0, total, SLICE):
+            inner = np.flatnonzero(after[begin:begin + SLICE] >= 0).astype(kind) + kind(begin)
+            if len(inner):
+                enter(inner, -1)
         while ranks:
             rank = heapq.heappop(ranks)
             places = np.sort(np.concatenate(index.pop(rank)))
@@ -143,6 +148,7 @@ class Vocabulary:
                 enter(touched, rank)
         late = np.concatenate(out_of_order) if out_of_order else np.zeros(0, np.int64)
         again = set(np.searchsorted(ends, late, "right").tolist())
+        after = before = makes = None
         alive = token >= 0
         ids = token[alive].tolist()
         upto = np.cumsum(alive)
@@ -176,6 +182,7 @@ class Vocabulary:
         found = [list(map(number, find(word))) for word in words]
         parts = np.fromiter(map(len, found), np.int64, len(found))
         used = np.fromiter(chain.from_iterable(found), np.int64, int(parts.sum()))
+        del found
         pieces = [piece.encode() for piece in numbers]
         whole = [self.ids.get(piece) for piece in pieces]
         rest = iter(self.replay([p for p, n in zip(pieces, whole, strict=True) if n is None]))
@@ -223,7 +230,8 @@ def add_ids(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         words = Words([vocabulary(path, pattern)], remembered=REMEMBERED)
         with handing_back():
             for texts in batches:
-                yield pd.Series(list(encode(words, texts.tolist())), dtype=object)
+                with handing_back():
+                    yield pd.Series(list(encode(words, texts.tolist())), dtype=object)
             words.forget()
 
     return df.withColumn(ids, encoded(F.coalesce(F.col(text), F.lit(""))))
@@ -254,8 +262,10 @@ def coded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         words = Words([known], remembered=REMEMBERED)
         with handing_back():
             for texts in batches:
-                ids = list(encode(words, texts.tolist()))
-                yield pd.DataFrame({"ids": ids, "decoded": [known.decode(x) for x in ids]}, dtype=object)
+                with handing_back():
+                    ids = list(encode(words, texts.tolist()))
+                    yield pd.DataFrame({"ids": ids, "decoded": [known.decode(x) for x in ids]}, dtype=object)
+                    del ids
             words.forget()
 
     kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]

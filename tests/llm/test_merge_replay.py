@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -61,3 +62,14 @@ def test_odd_rows(docs, no_docs):
         F.sha2(F.coalesce("text", F.lit("")), 256) != F.col("decoded_sha256"))
     assert same.count() == 0
     assert merge_replay.digests(no_docs, PATH, PATTERN).count() == 0
+
+
+def test_memory_of_a_replay_is_bounded_by_its_bytes():
+    r = random.Random(2)
+    pieces = [bytes(r.choices(b"etaoinshrdlu", k=20)) for _ in range(40_000)]
+    known = merge_replay.vocabulary(PATH, PATTERN)
+    tracemalloc.start()
+    known.replay(pieces)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * sum(map(len, pieces)), peak / sum(map(len, pieces))
