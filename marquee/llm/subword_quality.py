@@ -23,8 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from marquee.llm.common import free_name, handing_back, labelled_sample, small_batches
 
@@ -166,12 +168,25 @@ def fit_on(docs: DataFrame, labels: DataFrame, allowed: Column | None = None,
         return pd.DataFrame({"used": [u.tobytes() for u, _ in found],
                              "shares": [s.tobytes() for _, s in found]})
 
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with handing_back():
+            sample = pa.Table.from_batches(batches, wanted).sort_by("doc_id")
+            # views of the rows, not copies
+            pairs = [(np.frombuffer(u.as_buffer(), "<i4"), np.frombuffer(s.as_buffer(), "<f4"))
+                     for u, s in zip(sample["used"], sample["shares"], strict=True)]
+            model = train(pairs, sample["label"].to_numpy().astype(np.int64))
+            del sample, pairs
+        yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+
     sample = labelled_sample(docs, labels, "quality", rows, allowed).select(
         "doc_id", "label", bags(F.col("text").cast("binary")).alias("bag")
-    ).select("doc_id", "label", "bag.*").toArrow().sort_by("doc_id")
-    pairs = [(np.frombuffer(u.as_py(), "<i4"), np.frombuffer(s.as_py(), "<f4"))
-             for u, s in zip(sample["used"], sample["shares"], strict=True)]
-    return train(pairs, sample["label"].to_numpy().astype(np.int64))
+    ).select("doc_id", "label", "bag.*")
+    wanted = to_arrow_schema(sample.schema)
+    # the sample is bounded, so one task holds it; the driver gets one row
+    row = sample.repartition(1).mapInArrow(trained, "weights binary, bias double").first()
+    if row is None:
+        return train([], np.zeros(0, np.int64))
+    return Model(np.frombuffer(row["weights"], np.float32), row["bias"])
 
 
 def add_score(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:

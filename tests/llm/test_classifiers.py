@@ -140,3 +140,21 @@ def test_the_sample_is_bounded_and_keeps_to_the_allowed(labelled):
     sample = labelled_sample(docs, labels, "quality", 50, crc_of("doc_id") % 5 != 0)
     assert sample.count() == 50
     assert sample.filter(crc_of("doc_id") % 5 == 0).count() == 0
+
+
+def test_bags_of_the_sample_do_not_pass_through_the_driver(labelled, monkeypatch):
+    frame, brought = type(labelled[0]), []
+    for name in ("toArrow", "toPandas", "collect"):
+        def watched(self, real=getattr(frame, name)):
+            brought.append(self.columns)
+            return real(self)
+        monkeypatch.setattr(frame, name, watched)
+    docs, labels = labelled
+    model = subword_quality.fit_on(docs, labels)
+    assert not [columns for columns in brought if {"used", "shares"} & set(columns)]
+    # the same model as from the bags in order of the ids
+    rows = docs.join(labels.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good")), "doc_id")
+    rows = sorted({(r["doc_id"], r["text"], r["good"]) for r in rows.dropna().collect()})
+    own = subword_quality.train([subword_quality.bag(text.encode()) for _, text, _ in rows],
+                                np.array([good for *_, good in rows]))
+    assert np.allclose(model.weights, own.weights, atol=1e-4) and abs(model.bias - own.bias) < 1e-4
