@@ -5,16 +5,18 @@ token of the public vocabularies used here reaches across such a cut: byte-level
 there, and no entry of the piece vocabulary has a space mark behind other characters (checked when it
 is loaded; texts that hold the mark itself do not keep their bytes there, which callers check).  So the
 ids of a text are those of its words one after the other, and the library is asked once
-for each distinct word that a task holds.
+for each distinct word that a task holds.  Words of ASCII and Latin characters are cut further, by the
+pattern of byte-level vocabularies, and their distinct pieces are asked for in place of them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, compress, islice
 
 import numpy as np
 
@@ -23,9 +25,16 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # words that a task remembers from one block of texts to the next; only memory depends on it
 REMEMBERED = 500_000
+# the same for pieces of words
+REMEMBERED_PIECES = 300_000
 JOINED = 256
 CUT = re.compile(r"(?<=\S)(?= \S)")
 SPACE_MARK = "▁"
+# a space and characters whose kind no Unicode version changes, line ends among them; and how byte-level
+# vocabularies cut such words.  Others are left to the library, whose tables of letters may be of its own version
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+SIMPLE = re.compile(f" [!-~{LATIN}](?:[\n!-~{LATIN}]*[!-~{LATIN}])?")
+PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LATIN}]+| ?[0-9]+| ?[^ \n0-9{LATIN}]+|\n+(?!\S)|\n+")
 
 # a space beside other white space, where no cut may be made; texts without it are cut at every space
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -120,19 +129,27 @@ class Words:
         return gathered(self.flat[coder], self.starts[coder][numbers], self.lengths[coder][numbers])
 
 
-def byte_level_entries(tokenizer) -> list[bytes]:
-    """The bytes of every entry of a byte-level vocabulary, by id; special tokens are their own text."""
-    # fixed values: bytes that a byte-level vocabulary writes as the character of the same number
+def byte_characters() -> dict[str, int]:
+    """The characters that a byte-level vocabulary writes bytes as."""
+    # fixed values: bytes that are written as the character of the same number
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def byte_level_entries(tokenizer) -> list[bytes]:
+    """The bytes of every entry of a byte-level vocabulary, by id; special tokens are their own text."""
+    byte_of = byte_characters()
     special = {i: token.content.encode() for i, token in tokenizer.get_added_tokens_decoder().items()}
     return [special.get(i) or bytes(map(byte_of.__getitem__, tokenizer.id_to_token(i)))
             for i in range(tokenizer.get_vocab_size())]
 
 
 class ByteLevel:
-    """Words to ids by the tokenizers library; plain words are handed over many in one text."""
+    """Words to ids by the tokenizers library; plain words are handed over many in one text.
+
+    Pieces of simple words are remembered with their ids, as far as the library cuts words as `PIECE` does.
+    """
 
     def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
@@ -141,11 +158,63 @@ class ByteLevel:
         self.tokenizer.encode_special_tokens = special_as_text
         self.entries = byte_level_entries(self.tokenizer)
         self.sizes = np.fromiter(map(len, self.entries), np.int64, len(self.entries))
+        whole = json.loads(self.tokenizer.to_str())
+        cuts = whole["pre_tokenizer"] or {}
+        self.by_pieces = (whole["normalizer"] is None and cuts.get("type") == "ByteLevel"
+                          and cuts.get("use_regex", True) and not cuts.get("add_prefix_space", True))
+        # strings that the library takes out of a text before it cuts it
+        self.added = [token["content"] for token in whole["added_tokens"]]
+        self.shown = {byte: character for character, byte in byte_characters().items()}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces = Numbers()
+        self.flat, self.leads = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, words: list[str]) -> Coded:
+        """Ids of words, simple ones by way of their pieces."""
+        is_simple = SIMPLE.fullmatch
+        simple = [self.by_pieces and is_simple(word) is not None for word in words]
+        for content in self.added:
+            if content in "".join(words):
+                simple = [yes and content not in word for yes, word in zip(simple, words, strict=True)]
+        flat, starts, lengths = self._of_simple(list(compress(words, simple)))
+        if all(simple):
+            return flat, starts, lengths
+        simple = np.array(simple)
+        more, other, sizes = self._of_whole(list(compress(words, ~simple)))
+        all_starts, all_lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        all_starts[simple], all_lengths[simple] = starts, lengths
+        all_starts[~simple], all_lengths[~simple] = len(flat) + other, sizes
+        return np.concatenate([flat, more]), all_starts, all_lengths
+
+    def _of_simple(self, words: list[str]) -> Coded:
+        if len(self.pieces) > REMEMBERED_PIECES:
+            self._forget()
+        used = np.fromiter(map(self.pieces.__getitem__, PIECE.findall("".join(words))), np.int64)
+        new = list(islice(self.pieces, len(self.starts), None))
+        if new:
+            # the library's merges alone: its way of cutting a text takes longer than they do
+            merged = self.tokenizer.model.tokenize
+            spelled = [piece.encode().decode("latin-1").translate(self.shown) for piece in new]
+            coded = [[token.id for token in merged(piece)] for piece in spelled]
+            lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+            flat = np.fromiter(chain.from_iterable(coded), np.int64, int(lengths.sum()))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.flat = np.concatenate([self.flat, flat])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.leads = np.concatenate([self.leads, [piece[0] == " " for piece in new]])
+        # a simple word has one space, at its beginning
+        counts = np.diff(np.flatnonzero(self.leads[used]), append=len(used))
+        sizes = self.lengths[used]
+        lengths = per_slice(sizes, counts)
+        return gathered(self.flat, self.starts[used], sizes), np.cumsum(lengths) - lengths, lengths
+
+    def _of_whole(self, words: list[str]) -> Coded:
         plain, rest = [], []
         for i, word in enumerate(words):
             edged = word[:1] != " " or word[1:2].isspace() or word[-1:].isspace()

@@ -97,3 +97,21 @@ def test_some_documents_by_random_access(docs):
 
 def test_empty_table(no_docs):
     assert token_store.digests(token_store.stored(no_docs, PATH)).count() == 0
+
+
+def test_simple_words_are_asked_for_by_piece_and_cut_as_the_library_does():
+    r = random.Random(8)
+    parts = ["a", "Be", "é", "ßü", "ɏ", "'s", "'", "'ll", "12", ".", "!?", "\n", "\n\n", "÷", "·", "日", "ſ", "<|endoftext|>"]
+    words = [" " + "".join(r.choice(parts) for _ in range(r.randint(1, 6))) for _ in range(3000)]
+    words += [" don'ts", " a\n\nb", " 'd", " x" * 1, " ,'s"]
+    library = Tokenizer.from_file(PATH)
+    for special_as_text in (False, True):
+        library.encode_special_tokens = special_as_text
+        coder = ByteLevel(PATH, special_as_text)
+        flat, starts, lengths = coder(words)
+        for word, start, length in zip(words, starts, lengths, strict=True):
+            assert flat[start:start + length].tolist() == library.encode(word, add_special_tokens=False).ids, word
+    # a piece that is known is not asked for again
+    known = len(coder.pieces)
+    flat, starts, lengths = coder([" Be12", " Be.12", " 12Be"])
+    assert known and {" Be", "12", "."} <= set(coder.pieces) and len(coder.pieces) <= known + 1
