@@ -68,7 +68,7 @@ COMMON_WORDS = 300_000
 COUNTED_WORDS = 250_000
 REMEMBERED = 300_000
 # ids and bytes of texts that are scored at once: bound memory
-CHUNK = 4096
+CHUNK = 1024
 BLOCK_BYTES = 1 << 20
 
 
@@ -318,6 +318,14 @@ class Model:
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
 
+    def view(self, flat: np.ndarray) -> None:
+        """Read the parameters from this vector from now on, whatever is written to it."""
+        at = 0
+        for name in self.NAMES:
+            old = getattr(self, name)
+            setattr(self, name, flat[at:at + old.size].reshape(old.shape))
+            at += old.size
+
     def load(self, flat: np.ndarray) -> Model:
         at = 0
         for name in self.NAMES:
@@ -357,7 +365,7 @@ class Model:
         """Log probability of class y after x, for whole blocks."""
         context = self._attend(x, before, first)[-1].reshape(len(x), WIDTH)
         logits = context @ self.out
-        logits += self.table[x]
+        logits += np.take(self.table, x, axis=0)
         aim = logits[np.arange(len(x)), y]
         np.exp(logits, out=logits)
         return aim - np.log(logits.sum(axis=1))
@@ -368,13 +376,14 @@ class Model:
         seen, query, key, value, weights, total, context = self._attend(x, before, first)
         weights = weights / total
         flat = context.reshape(len(x), WIDTH)
-        off = flat @ self.out
-        off += self.table[x]
-        off -= off.max(axis=1, keepdims=True)
-        np.exp(off, out=off)
-        off /= off.sum(axis=1, keepdims=True)
-        off[np.arange(len(x)), y] -= 1
-        off *= (real / max(real.sum(), 1))[:, None].astype(np.float32)
+        # logits stay far below what overflows, as in `log_next`
+        logits = flat @ self.out
+        logits += self.table[x]
+        np.exp(logits, out=logits)
+        each = (real / max(real.sum(), 1)).astype(np.float32)
+        logits *= (each / logits.sum(axis=1))[:, None]
+        logits[np.arange(len(x)), y] -= each
+        off = logits
         back = (off @ self.out.T).reshape(blocks, BLOCK, WIDTH)
         back_weights = np.matmul(back, value.transpose(0, 2, 1))
         back_value = np.matmul(weights.transpose(0, 2, 1), back)
@@ -389,10 +398,12 @@ class Model:
             whole[1:] += parts[:, BLOCK:]
             return whole.reshape(-1, WIDTH)
 
+        of_x = _by_symbol(x, np.concatenate([off, back_query], axis=1))
+        of_seen = _by_symbol(seen, np.concatenate([unwindowed(back_key), unwindowed(back_value)], axis=1))
         return np.concatenate([p.ravel() for p in (
-            _by_symbol(x, off), _by_symbol(x, back_query), _by_symbol(seen, unwindowed(back_key)),
-            _by_symbol(seen, unwindowed(back_value)), flat.T @ off, near,
-        )]).astype(np.float32)
+            of_x[:, :CLASSES], of_x[:, CLASSES:], of_seen[:, :WIDTH], of_seen[:, WIDTH:],
+            flat.T @ off, near.astype(np.float32),
+        )])
 
 
 _BACK = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
@@ -556,19 +567,45 @@ def _score(model: Model, coder: Coder, texts: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def _streams(coder: Coder, batches: Iterator[list[bytes | None]]):
+    """The stream of each text; words are learnt in blocks of texts, as learning copies what is known."""
+    for texts in batches:
+        at = 0
+        while at < len(texts):
+            block: list[list[bytes]] = []
+            size = 0
+            while at < len(texts) and (not block or size < BLOCK_BYTES):
+                size += len(texts[at] or b"")
+                block.append(words_of(texts[at]))
+                at += 1
+            coder.learn({word for words in block for word in words})
+            for words in block:
+                yield coder.stream(coder.numbers(words))
+
+
 def _train(model: Model, streams, rate: float) -> int:
     """Adam steps over streams; the number of ids seen."""
     flat = model.flat()
-    mean, square = np.zeros_like(flat), np.zeros_like(flat)
+    model.view(flat)
+    mean, square, spare = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
     steps = seen = 0
     for x, y, real, _, first, before in _chunks(streams, STEP_IDS):
         steps += 1
         seen += int(real.sum())
         gradient = model.gradient(x, y, before, first, real)
-        mean += 0.1 * (gradient - mean)
-        square += 0.01 * (gradient * gradient - square)
-        flat = flat - rate * (mean / (1 - 0.9**steps)) / (np.sqrt(square / (1 - 0.99**steps)) + 1e-6)
-        model.load(flat)
+        mean *= np.float32(0.9)
+        np.multiply(gradient, np.float32(0.1), out=spare)
+        mean += spare
+        square *= np.float32(0.99)
+        gradient *= gradient
+        gradient *= np.float32(0.01)
+        square += gradient
+        np.multiply(square, np.float32(1 / (1 - 0.99**steps)), out=spare)
+        np.sqrt(spare, out=spare)
+        spare += np.float32(1e-6)
+        np.divide(mean, spare, out=spare)
+        spare *= np.float32(rate / (1 - 0.9**steps))
+        flat -= spare
     return seen
 
 
@@ -584,14 +621,7 @@ def train_round(docs: DataFrame, model: Model, classes: Classes, path: str, patt
         coder = Coder(classes, path, pattern)
         own = Model(np.zeros((SYMBOLS, CLASSES))).load(start)
 
-        def streams():
-            for batch in batches:
-                for text in batch["text"]:
-                    words = words_of(text)
-                    coder.learn(set(words))
-                    yield coder.stream(coder.numbers(words))
-
-        seen = _train(own, streams(), rate)
+        seen = _train(own, _streams(coder, (batch["text"].tolist() for batch in batches)), rate)
         if seen:
             yield pd.DataFrame({"ids": [seen], "parameters": [own.flat().astype("<f4").tobytes()]})
 

@@ -217,3 +217,45 @@ def test_empty_table(spark, no_docs):
     fitted = causal_lm.fit(no_docs, held_out, *RANKS)
     assert (fitted.train_tokens, fitted.distinct) == (0, 0)
     assert causal_lm.score(no_docs, held_out, fitted, *RANKS).count() == 0
+
+
+def test_words_are_learnt_in_blocks_of_texts(monkeypatch):
+    class Known:
+        learnt = []
+
+        def learn(self, words):
+            self.learnt.append(set(words))
+
+        def numbers(self, words):
+            return list(words)
+
+        def stream(self, numbers):
+            return numbers
+
+    monkeypatch.setattr(causal_lm, "BLOCK_BYTES", 40)
+    coder = Known()
+    batches = [[b"one Two", None, b"", b"x" * 50, b"three"], [], [b"four"] * 30]
+    streams = list(causal_lm._streams(coder, iter(batches)))
+    assert streams == [[b"one", b"two"], [], [], [b"x" * 50], [b"three"], *[[b"four"]] * 30]
+    assert coder.learnt[0] == {b"one", b"two", b"x" * 50} and len(coder.learnt) == 5
+
+
+def test_steps_move_parameters_as_adam_does():
+    model = causal_lm.Model(np.zeros((causal_lm.SYMBOLS, causal_lm.CLASSES)))
+    before, gradients, r = model.flat(), [], np.random.default_rng(1)
+    real = causal_lm.Model.gradient
+
+    def kept(self, *args):
+        gradients.append(real(self, *args))
+        return gradients[-1].copy()
+
+    n = 3 * causal_lm.STEP_IDS
+    stream = r.integers(0, 50, n).astype(np.uint16), r.integers(0, 20, n).astype(np.uint8), np.ones(n, bool)
+    model.gradient = kept.__get__(model)
+    assert causal_lm._train(model, [stream], 0.02) == n
+    mean = square = 0.0
+    for step, gradient in enumerate(gradients, 1):
+        mean = 0.9 * mean + 0.1 * gradient.astype(float)
+        square = 0.99 * square + 0.01 * gradient.astype(float) ** 2
+        before = before - 0.02 * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
+    assert len(gradients) == 3 and np.allclose(model.flat(), before, atol=1e-4)
