@@ -142,7 +142,8 @@ def links(points: DataFrame, limit: int = LIMIT) -> DataFrame:
     homes = halves.select("half", _cell(F.col("bits")).alias("cell"), F.col("print").alias("b"))
     a, b = F.col("a"), F.col("b")
     return (
-        knocks.join(homes, ["half", "cell"])
+        # sorted on both sides: Spark takes the knocks for as small as the points and would broadcast them
+        knocks.hint("merge").join(homes, ["half", "cell"])
         # points of one cell would meet twice
         .filter(F.col("up") | (a < b))
         .filter((a != b) & (_distance(_steps(a), _steps(b)) <= limit) & (_distance(a, b) <= limit))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -96,3 +97,19 @@ def test_unrelated_fingerprints_hardly_meet(spark):
         assert cell & (2**64 - 1) == ring
         by_cell.setdefault(cell, set()).add(half)
     assert [c for c in by_cell.values() if len(c) > 1] == [{0x55555555, 0xAAAAAAAA}]
+
+
+def joins_of(spark, make):
+    """The joins of a plan from the outermost, were Spark to broadcast whatever it may."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 40))
+    try:
+        plan = make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return re.findall(r"(\w+Join) ", plan)
+
+
+def test_cells_are_never_broadcast(spark):
+    """Every point has up to 33 cells a half, which Spark's guess of their size leaves out."""
+    points = spark.createDataFrame([(p * 0x9E3779B97F4A7C,) for p in range(200)], "print long")
+    assert joins_of(spark, lambda: simhash.links(points)) == ["SortMergeJoin"]
