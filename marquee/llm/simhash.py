@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
     named = members.groupBy("component").agg(F.min("first").alias("component_id"))
     of_print = members.join(named, "component").select("print", "component_id")
-    return printed.join(of_print, "print").select(
+    # a file of narrow rows is a small part of what they take in memory, so neither side is broadcast
+    return printed.hint("merge").join(of_print, "print").select(
         "doc_id",
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         "component_id",

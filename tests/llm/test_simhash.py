@@ -113,3 +113,8 @@ def test_cells_are_never_broadcast(spark):
     """Every point has up to 33 cells a half, which Spark's guess of their size leaves out."""
     points = spark.createDataFrame([(p * 0x9E3779B97F4A7C,) for p in range(200)], "print long")
     assert joins_of(spark, lambda: simhash.links(points)) == ["SortMergeJoin"]
+
+
+def test_rows_are_never_broadcast(spark, docs):
+    """The outermost join is that of the rows."""
+    assert joins_of(spark, lambda: simhash.near_duplicates(docs))[0] == "SortMergeJoin"
