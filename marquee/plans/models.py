@@ -105,7 +105,8 @@ def user_profiles(
     watched = status_profile(
         entries, "user_id", {"total_watched_episodes": F.sum("watched_episodes").cast("long")}
     )
-    tagged = items.filter(known(F.col("tags"))).select("item_id", "tags")
+    # made from two columns of a file, the tags of all items look small to Spark, which would broadcast them
+    tagged = items.filter(known(F.col("tags"))).select("item_id", "tags").hint("merge")
     top_tags = favourite(ratings.join(tagged, "item_id"), "user_id", "tags")
     return (
         tiered.join(watched, "user_id", "left")

@@ -80,9 +80,13 @@ def accepted_values(df: DataFrame, table: str, values: dict[str, Sequence[str]])
 
 
 def orphans(child: DataFrame, parent: DataFrame, table: str, column: str) -> DataFrame:
-    """Child rows whose key the parent lacks.  The child meets the parent as keys with counts."""
+    """Child rows whose key the parent lacks.  The child meets the parent as keys with counts.
+
+    Both are sorted by the key: one column of a wide compressed file looks small to Spark, which would
+    broadcast the keys of the whole parent.
+    """
     keyed = child.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    lost = keyed.join(parent.select(column), column, "left_anti").agg(
+    lost = keyed.join(parent.select(column).hint("merge"), column, "left_anti").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("failing_rows")
     )
     return _verdict(lost, table, column, "relationships")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from marquee.operators.distribution import add_ranks, cumulative
 from marquee.operators.stats import favourite
-from marquee.plans import models, profiling, registry
+from marquee.plans import models, profiling, quality, registry
 from marquee.plans.registry import marts, staged
 from tests.conftest import SMALL
 
@@ -108,6 +108,20 @@ def test_stacked_values_are_never_broadcast(spark):
     assert all("BuildLeft" not in join for join in joins), joins
 
 
+def test_keys_and_tags_of_all_items_are_never_broadcast(spark):
+    """Spark takes a column of a compressed file for less than it is, so size alone must not decide."""
+    s = staged(spark, SMALL)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 40))
+    try:
+        lost = executed(quality.orphans(s.ratings, s.items, "stg_ratings", "item_id"))
+        profiles = executed(models.user_profiles(s.items, s.ratings, s.entries))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.findall(r"(\w+Join) .*LeftAnti", lost) == ["SortMergeJoin"]
+    # users meet their tags on the left; the inner join by items is that of the ratings
+    assert set(re.findall(r"(\w+Join) \[item_id.*Inner", profiles)) == {"SortMergeJoin"}
+
+
 def test_ranked_rows_are_not_sorted_as_a_whole(spark, no_broadcast):
     plan = executed(add_ranks(_facts(spark)[0].select("item_id", "followers"),
                               {"p": ("percent_rank", "followers")}))
